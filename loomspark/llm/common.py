@@ -34,11 +34,19 @@ def _shuffles_go(spark: SparkSession):
         spark.conf.set(_CLEANUP, before)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python in batches of so many rows at most, for this session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder: they cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:

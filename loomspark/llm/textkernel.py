@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed together; scratch arrays are eight times that.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _MASK = (1 << 64) - 1
 #: Odd, so that it has an inverse modulo 2^64.
@@ -123,7 +123,7 @@ def _long_word(word: np.ndarray, up: np.ndarray) -> int:
     return total & _MASK
 
 
-def slices(column: pa.Array, limit: int = 4 << 20):
+def slices(column: pa.Array, limit: int = 1 << 20):
     """Row ranges of a string column of about `limit` bytes of text each (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total = np.concatenate([[0], np.cumsum(sizes)])
