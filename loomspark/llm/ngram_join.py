@@ -197,32 +197,40 @@ def _folded(bits: list[bytes]) -> np.ndarray:
     return np.stack(out)
 
 
-def _block(k: int, threshold: int):
-    """A spanning forest of the links between components in a pair of blocks of one tile."""
-
-    def run(pdf):
-        import pandas as pd
-
-        bands, links = Bands(threshold), []
-        pdf = pdf.drop_duplicates(["node", "text"])
-        sets = shingles(Words(pa.array(pdf["text"], pa.large_string()), lower=True), k)
-        order = np.argsort([len(s) for s in sets], kind="stable")
-        sets = [sets[x] for x in order]
-        size = np.array([len(s) for s in sets])
-        most = np.array([bands.most(x) for x in range(int(2 * size[-1]) + 1)])
-        bits = _folded([bitmap(s) for s in sets])
-        node, side = pdf["node"].to_numpy()[order], pdf["side"].to_numpy()[order]
-        component = np.unique(pdf["component"].to_numpy()[order], return_inverse=True)[1]
-        for x in range(len(sets)):
-            end = np.searchsorted(size, size[x] * 100 // threshold, side="right")
-            y = np.arange(x + 1, end)
+def _block(threshold: int):
+    """For each pair of blocks of a tile, pairs that its bitmaps allow: a forest over the components, nearest pairs first."""
+
+    def pairs(node, side, component, size, bits, failed, most):
+        order = np.argsort(size, kind="stable")
+        node, side, size, component = node[order], side[order], size[order], component[order].copy()
+        bits = _folded([bits[i] for i in order])
+        found = []
+        for x in range(len(node)):
+            y = np.arange(x + 1, np.searchsorted(size, size[x] * 100 // threshold, side="right"))
             y = y[(component[y] != component[x]) & ((side[y] != side[x]) | (side[y] == 2))]
-            y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1) <= most[size[x] + size[y]]]
-            for z in y:
-                if component[z] != component[x] and _linked(sets[x], sets[z], threshold):
-                    component[component == component[z]] = component[x]
-                    links.append((node[x], node[z]))
-        return pd.DataFrame(links, columns=["a", "b"])
+            if len(y):
+                apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1)
+                ok = apart <= most(size[x] + size[y])
+                found += [(d, x, z) for d, z in zip(apart[ok].tolist(), y[ok].tolist())]
+        for _, x, z in sorted(found):
+            a, b = int(node[x]), int(node[z])
+            if component[x] != component[z] and (a, b) not in failed and (b, a) not in failed:
+                component[component == component[z]] = component[x]
+                yield a, b
+
+    def run(batches):
+        bands = Bands(threshold)
+        for batch in batches:
+            rows = batch.column("rows")
+            at = rows.offsets.to_numpy()
+            flat = rows.values
+            node, side, component, size = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "side", "component", "n"))
+            bits, failed = flat.field("bits"), flat.field("failed")
+            links = []
+            for i, j in zip(at[:-1], at[1:]):
+                known = {(int(a), b) for a, bs in zip(node[i:j], failed[i:j].to_pylist()) for b in bs or ()}
+                links += pairs(node[i:j], side[i:j], component[i:j], size[i:j], bits[i:j].to_pylist(), known, bands.most)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
     return run
 
@@ -251,33 +259,45 @@ def graph(docs: DataFrame, k: int = 3, threshold: int = 90) -> DataFrame:
     left = bits.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
     right = bits.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
     pairs = cut(pairs.join(left, "a").join(right, "b").mapInArrow(_near(threshold), "a long, b long").distinct(), "pairs")
-    drop("bits")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(members.select("node")).distinct()
-    near = cut(texts.join(nodes, texts.doc_id == nodes.node, "left_semi").distinct(), "texts")
-    one = near.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    two = near.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    links = cut(pairs.join(one, "a").join(two, "b").mapInArrow(_verify(k, threshold), "a long, b long").distinct(), "links")
-    found = cut(components(scratch, links), "components")
 
-    label = F.coalesce("component", "node").alias("component")
-    rest = members.join(found, "node", "left").select("tile", "node", label).join(centre, "tile").where("node <> b")
-    mixed = rest.groupBy("tile").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("size")).where("p <> q")
-    rest = cut(rest.join(mixed.select("tile", "size"), "tile").select("tile", "size", "node", "component"), "rest")
-    if some(rest):
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        near = cut(texts.join(nodes, texts.doc_id == nodes.node, "left_semi").distinct(), f"texts_{name}")
+        one = near.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+        two = near.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+        links = cut(pairs.join(one, "a").join(two, "b").mapInArrow(_verify(k, threshold), "a long, b long").distinct(), f"links_{name}")
+        drop(f"texts_{name}")
+        return links
+
+    links = verified(pairs, "star")
+    found = cut(components(scratch, links), "components")
+    # what the smallest nodes leave open: every pair of other nodes in different components, by blocks of bitmaps
+    others = members.join(centre, "tile").where("node <> b").select("tile", "node")
+    failed, step = pairs.join(links, ["a", "b"], "left_anti"), 0
+    while True:
+        label = F.coalesce("component", "node").alias("component")
+        rest = others.join(found, "node", "left").select("tile", "node", label)
+        mixed = rest.groupBy("tile").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("size")).where("p <> q")
+        rest = rest.join(mixed.select("tile", "size"), "tile")
         # block pairs (i, j) of a tile; a node meets its own block once and every other block once
         blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        spread = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        spread = spread.select(
-            "tile", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-            F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"),
-        )
-        spread = spread.join(near.withColumnRenamed("doc_id", "node"), "node")
-        more = spread.groupBy("tile", "i", "j").applyInPandas(_block(k, threshold), "a long, b long").distinct()
-        more = cut(more, "more")
-        if some(more):
-            found = cut(components(scratch, links.unionByName(more), "again"), "components2")
-    drop("texts", "rest", "members", "pairs")
+        spread = rest.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
+        spread = spread.select("tile", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
+        known = failed.groupBy(F.col("a").alias("node")).agg(F.sort_array(F.collect_set("b")).alias("failed"))
+        spread = spread.join(bits, "node").join(known, "node", "left")
+        row = F.struct("node", "side", "component", "n", "bits", "failed")
+        tiles = spread.groupBy("tile", "i", "j").agg(F.sort_array(F.collect_list(row)).alias("rows")).select("rows").distinct()
+        more = cut(tiles.mapInArrow(_block(threshold), "a long, b long").distinct(), f"more{step}")
+        if not some(more):
+            break
+        new = verified(more, str(step))
+        failed = cut(failed.unionByName(more.join(new, ["a", "b"], "left_anti")), f"failed{step}")
+        links = cut(links.unionByName(new), f"links{step}")
+        if some(new):
+            found = cut(components(scratch, links, f"cc{step}"), f"components{step}")
+        step += 1
+    drop("members", "pairs", "bits")
     labels = classes.join(found, "node", "left").select("h1", "h2", "n", label)
     # rows that share an id share the smallest label of their sets
     rows = sets.join(labels, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component"))
