@@ -34,10 +34,17 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, some
 from .textkernel import _STEP, Words, mix, slices
 
-#: Slots beyond those that linked sets can differ in: so many of a set's slots may be empty.
-SPARE = 2
+#: A slot with so few shingles says little: many unrelated sets may agree on it.
+POOR = 2
 #: Nodes of one tile that are compared by one task.
 BLOCK_ROWS = 256
+#: Pairs that a task returns for each node of its block, at most; what is left waits for the next round.
+PAIRS_PER_NODE = 8
+
+
+def spare(most: int) -> int:
+    """Slots beyond those that linked sets can differ in: so many of a set's slots may be left out for being poor."""
+    return 2 + most // 32
 
 
 def shingles(words: Words, k: int) -> list[np.ndarray]:
@@ -96,12 +103,15 @@ class Bands:
         for band in (i, i + 1):
             most = self.most(2 * (self.low[band + 1] - 1))
             if most:
-                out.append((band, most + 1 + SPARE))
+                out.append((band, most + 1 + spare(most)))
         return out
 
 
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """A hash for each tile of a set. A slot without shingles counts only for sets with more than SPARE of them."""
+    """A hash for each tile of a set. Poor slots count only for sets with more of them than are spare.
+
+    Linked sets agree on more slots than are spare, so a set without its poor slots still has one that both agree on.
+    """
     total = np.zeros(len(s) + 1, dtype=np.uint64)
     np.cumsum(mix(s ^ np.uint64(0x5851F42D4C957F2D)), out=total[1:])
     out = []
@@ -112,8 +122,8 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
         key = total[cut[1:]] - total[cut[:-1]]
         name = mix(np.arange(slots, dtype=np.uint64) + np.uint64(band << 32))
         sig = mix(mix(key + size.astype(np.uint64)) ^ name)
-        full = size > 0
-        out.append(sig if slots - full.sum() > SPARE else sig[full])
+        rich = size > POOR
+        out.append(sig if slots - rich.sum() > slots - 1 - bands.most(2 * (bands.low[band + 1] - 1)) else sig[rich])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -198,11 +208,11 @@ def _folded(bits: list[bytes]) -> np.ndarray:
 
 
 def _block(threshold: int):
-    """For each pair of blocks of a tile, pairs that its bitmaps allow: a forest over the components, nearest pairs first."""
+    """For each block of a tile, pairs of different components that its bitmaps allow: the nearest, in proportion to the nodes."""
 
     def pairs(node, side, component, size, bits, failed, most):
         order = np.argsort(size, kind="stable")
-        node, side, size, component = node[order], side[order], size[order], component[order].copy()
+        node, side, size, component = node[order], side[order], size[order], component[order]
         bits = _folded([bits[i] for i in order])
         found = []
         for x in range(len(node)):
@@ -212,10 +222,11 @@ def _block(threshold: int):
                 apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1)
                 ok = apart <= most(size[x] + size[y])
                 found += [(d, x, z) for d, z in zip(apart[ok].tolist(), y[ok].tolist())]
+        left = PAIRS_PER_NODE * len(node)
         for _, x, z in sorted(found):
             a, b = int(node[x]), int(node[z])
-            if component[x] != component[z] and (a, b) not in failed and (b, a) not in failed:
-                component[component == component[z]] = component[x]
+            if left and (a, b) not in failed and (b, a) not in failed:
+                left -= 1
                 yield a, b
 
     def run(batches):
@@ -277,13 +288,20 @@ def graph(docs: DataFrame, k: int = 3, threshold: int = 90) -> DataFrame:
     while True:
         label = F.coalesce("component", "node").alias("component")
         rest = others.join(found, "node", "left").select("tile", "node", label)
-        mixed = rest.groupBy("tile").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("size")).where("p <> q")
-        rest = rest.join(mixed.select("tile", "size"), "tile")
-        # block pairs (i, j) of a tile; a node meets its own block once and every other block once
-        blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-        spread = rest.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        # a tile's largest component is not compared with itself: it is cut into blocks, which all other nodes visit
+        each = rest.groupBy("tile", "component").agg(F.count("*").alias("n"))
+        most = each.groupBy("tile").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size")).where("top.n < size")
+        rest = rest.join(most.select("tile", "size", F.col("top.n").alias("n"), F.col("top.component").alias("main")), "tile")
+        homes, guests = F.ceil(F.col("n") / BLOCK_ROWS).cast("int"), F.ceil((F.col("size") - F.col("n")) / BLOCK_ROWS).cast("int")
+        at = lambda blocks: F.pmod(F.xxhash64("node"), blocks).cast("int")
+        home = rest.where("component = main").select("tile", "node", "component", F.lit(-1).alias("i"), at(homes).alias("j"), F.lit(0).alias("side"))
+        guest = rest.where("component <> main")
+        visit = guest.select("tile", "node", "component", F.lit(-1).alias("i"), F.explode(F.sequence(F.lit(0), homes - 1)).alias("j"), F.lit(1).alias("side"))
+        # pairs (i, j) of the others' blocks; a node meets its own block once and every other block once
+        own = guest.withColumn("own", at(guests)).withColumn("other", F.explode(F.sequence(F.lit(0), guests - 1)))
         side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
-        spread = spread.select("tile", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
+        own = own.select("tile", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
+        spread = home.unionByName(visit).unionByName(own)
         known = failed.groupBy(F.col("a").alias("node")).agg(F.sort_array(F.collect_set("b")).alias("failed"))
         spread = spread.join(bits, "node").join(known, "node", "left")
         row = F.struct("node", "side", "component", "n", "bits", "failed")
