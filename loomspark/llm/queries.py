@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, language_id, ngram_join, quality_knn, quality_rules, substring_dedup, url_filter
+from . import (
+    ann,
+    chat_format,
+    language_id,
+    ngram_join,
+    packing,
+    quality_knn,
+    quality_rules,
+    sentencepiece_codec,
+    substring_dedup,
+    url_filter,
+)
+
+#: The public SentencePiece vocabulary; every node has it.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +29,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(_table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digest(_table(spark, sf_dir, "documents"), PIECES)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +53,14 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.chats(chat_format.with_probe(_table(spark, sf_dir, "conversations"))))
 
 
+def op8_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.graph(_table(spark, sf_dir, "documents"))
 
@@ -42,8 +68,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_substring_dedup, op3_language_id, op4_url_filter, op5_quality_rules, op6_quality_knn,
-        op7_chat_format, op10_ngram_jaccard_join,
+        op1_substring_dedup, op2_sentencepiece, op3_language_id, op4_url_filter, op5_quality_rules, op6_quality_knn,
+        op7_chat_format, op8_approximate_nearest_neighbours, op9_packing, op10_ngram_jaccard_join,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op7_chat_format": chat_format.ORACLE}

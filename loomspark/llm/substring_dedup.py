@@ -264,3 +264,10 @@ def dedup_text(docs: DataFrame, length: int = 13, drop_empty: bool = True) -> Da
     joined = joined.withColumnRenamed(f"c{at}", "text")
     schema = joined.select(*joined.columns[:-2]).schema
     return joined.mapInArrow(_cut_text(length, at, drop_empty), schema).toDF(*docs.columns)
+
+
+def with_lengths(docs: DataFrame) -> DataFrame:
+    """`docs` with `n_chars`, if it has that column, as the length of `text`."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
