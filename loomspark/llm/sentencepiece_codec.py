@@ -41,8 +41,8 @@ from .common import Scratch, small_batches
 CHARS = 1 << 16
 #: Characters without a word start that are scanned as one chunk.
 RUN = 256
-#: Words and pairs of pieces that a worker remembers.
-WORDS, PAIRS = 300_000, 400_000
+#: Words of each of two generations, and pairs of pieces, that a worker remembers.
+WORDS, PAIRS = 250_000, 200_000
 _MARK = "▁"
 _NONE = -np.inf
 
@@ -57,10 +57,20 @@ class Codec:
         self.longest = max((len(p) for p in self.id), default=1)
         self.by_word = not any(_MARK in p.lstrip(_MARK) for p in self.id)
         self.parts = re.compile(f"{_MARK}*[^{_MARK}]+|{_MARK}+") if self.by_word else re.compile(r"[\s\S]+")
-        self.bytes = {i: bytes([b]) for b, i in self.byte.items()}
-        self.text = {i: p.replace(_MARK, " ").encode() for p, i in self.id.items()}
+        shown = [b""] * (max(max(self.id.values(), default=0), max(self.byte.values(), default=0), self.unknown) + 1)
+        for p, i in self.id.items():
+            shown[i] = p.replace(_MARK, " ").encode()
+        for b, i in self.byte.items():
+            shown[i] = bytes([b])
+        self.raw = np.zeros(len(shown), bool)
+        self.raw[list(self.byte.values())] = True
+        self.flat = np.frombuffer(b"".join(shown), np.uint8)
+        self.size = np.array([len(x) for x in shown], np.int64)
+        self.place = np.concatenate([[0], np.cumsum(self.size)])[:-1]
+        self.code = {p: i.to_bytes(4, "little") for p, i in self.id.items()}
+        self._edges()
         self._stable: dict[tuple[str, str], bool] = {}
-        self._words: dict[str, bytes] = {}
+        self._words = _Words(self)
 
     @classmethod
     def load(cls, path: str) -> Codec:
@@ -74,9 +84,9 @@ class Codec:
             raise ValueError("a BPE model with an identity normaliser and a dummy prefix is needed")
         return cls([(p.piece, p.score, p.type) for p in model.pieces])
 
-    def merged(self, text: str) -> list[str]:
-        """The plain definition: the best-scored neighbours merge, the leftmost of equals, until none can."""
-        parts = list(text)
+    def _steps(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """The plain definition: the best-scored neighbours merge, the leftmost of equals, until none can; and the last two that did."""
+        parts, last = list(text), None
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -85,36 +95,100 @@ class Codec:
                     best, at = s, i
             if at < 0:
                 break
+            last = (parts[at], parts[at + 1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        return parts, last
+
+    def merged(self, text: str) -> list[str]:
+        return self._steps(text)[0]
+
+    def _edges(self) -> None:
+        """For each piece, what stands at its two ends while it is being merged: (string, born at score, taken in at score).
+
+        Where every piece scores less than the two it is merged from, merges happen in the order of scores,
+        so two pieces are stable if no two strings that stand at the cut at one time have a merge that comes
+        before either is taken in. Other pieces (`odd`) are compared by merging.
+        """
+        self.kind: dict[str, bool] = {}
+        self.left: dict[str, tuple] = {}
+        self.right: dict[str, tuple] = {}
+        self.odd: set[str] = set()
+        inf = float("inf")
+        for p in sorted(self.id, key=len):
+            whole, last = self._steps(p)
+            if whole != [p]:
+                continue  # no merges lead to it
+            for n in range(1, len(p)):
+                self.kind.setdefault(p[:n], False)
+            self.kind[p] = True
+            if last is None:
+                self.left[p] = self.right[p] = ((p, inf, -inf),)
+                continue
+            one, two, score = *last, self.score[p]
+            for x in last:  # a character without a piece of its own
+                if x not in self.left:
+                    self.left[x] = self.right[x] = ((x, inf, -inf),)
+            for spines, child in ((self.left, one), (self.right, two)):
+                *below, (top, born, _) = spines[child]
+                spines[p] = (*below, (top, born, score), (p, score, -inf))
+            if score >= min(self.left[one][-1][1], self.left[two][-1][1]) or one in self.odd or two in self.odd:
+                self.odd.add(p)
+
+    def _ends(self, p: str, spines: dict) -> tuple:
+        return spines.get(p) or ((p, float("inf"), float("-inf")),)
 
     def stable(self, left: str, right: str) -> bool:
         """Whether an edge from one piece to the next weighs 0; an empty left stands for the text's start."""
-        key = (left, right)
-        found = self._stable.get(key)
+        if not left:
+            return len(right) == 1 or self.kind.get(right, False)
+        found = self._stable.get((left, right))
         if found is None:
             if len(self._stable) >= PAIRS:
                 self._stable.clear()
-            found = self._stable[key] = self.merged(left + right) == ([left, right] if left else [right])
+            found = self._stable[left, right] = self._compatible(left, right)
         return found
 
+    def _compatible(self, left: str, right: str) -> bool:
+        if left in self.odd or right in self.odd:
+            return self.merged(left + right) == [left, right]
+        score = self.score.get
+        for u, born, taken in self._ends(left, self.right):
+            for v, born2, taken2 in self._ends(right, self.left):
+                if taken < born2 and taken2 < born:
+                    c = score(u + v)
+                    # of equals, the leftmost comes first: what takes u in stands left of the cut, what takes v in right of it
+                    if c is not None and c > taken and c >= taken2:
+                        return False
+        return True
+
     def _piece(self, p: str) -> bool:
-        return p in self.id or len(p) == 1
+        return len(p) == 1 or self.kind.get(p, False)
 
     def _scan(self, text: str, start: int, end: int, entry: str, at: int) -> list[str]:
         """The pieces from `at`, after the piece `entry`, up to the one that ends at `end`: forward scan and backtrace.
 
         `start` is where entry begins. Each prefix has one stable last piece at most.
         """
-        last: dict[int, str] = {at: entry}
-        for e in range(at + 1, end + 1):
-            for s in range(max(at, e - self.longest), e):
-                left = last.get(s)
-                if left is not None and self._piece(p := text[s:e]) and self.stable(left, p):
-                    last[e] = p
-                    break
-        out, e = [], end
-        while e > at:
+        last: list[str | None] = [None] * (end - at + 1)
+        last[0] = entry
+        kind, known, stable = self.kind.get, self._stable.get, self.stable
+        for s in range(at, end):
+            left = last[s - at]
+            if left is None:
+                continue
+            for e in range(s + 1, end + 1):
+                p = text[s:e]
+                piece = kind(p)
+                if piece is None:
+                    if e > s + 1:
+                        break  # no piece begins so
+                    piece = True
+                if (piece or e == s + 1) and last[e - at] is None:
+                    fits = known((left, p))
+                    if fits if fits is not None else stable(left, p):
+                        last[e - at] = p
+        out, e = [], end - at
+        while e > 0:
             out.append(last[e])
             e -= len(last[e])
         return out[::-1]
@@ -173,53 +247,78 @@ class Codec:
         states = [self.states(text, c)[i] for c, i in zip(cuts, path)]
         return [p for a, b, s, t in zip(cuts, cuts[1:], states, states[1:]) for p in self.backtrace(text, a, b, s, t)]
 
-    def ids(self, pieces: list[str]) -> list[int]:
-        out: list[int] = []
-        for p in pieces:
-            i = self.id.get(p)
-            if i is not None:
-                out.append(i)
-            elif self.byte:
-                out += [self.byte[b] for b in p.encode()]
-            else:
-                out.append(self.unknown)
-        return out
+    def ids(self, pieces: list[str]) -> bytes:
+        """Token ids of pieces, as little-endian 32-bit integers; a character without a piece is its bytes."""
+        code = self.code
+        return b"".join([code.get(p) or self._fallback(p) for p in pieces])
+
+    def _fallback(self, p: str) -> bytes:
+        ids = [self.byte[b] for b in p.encode()] if self.byte else [self.unknown]
+        return np.array(ids, dtype="<i4").tobytes()
 
     def word(self, w: str) -> bytes:
-        found = self._words.get(w)
-        if found is None:
-            pieces = self._scan(w, 0, len(w), "", 0) if len(w) <= RUN else self.long_run(w)
-            found = np.array(self.ids(pieces), dtype="<i4").tobytes()
-            if len(w) <= RUN:
-                if len(self._words) >= WORDS:
-                    self._words.clear()
-                self._words[w] = found
-        return found
+        return self._words[w]
+
+    def _encoded(self, w: str) -> bytes:
+        return self.ids(self._scan(w, 0, len(w), "", 0) if len(w) <= RUN else self.long_run(w))
 
     def encode(self, text: str | None) -> bytes:
         """Token ids, as little-endian 32-bit integers."""
-        return self.encode_marked(mark(text)) if text else b""
+        if not text:
+            return b""
+        if self.by_word and "  " not in text and _MARK not in text and text[0] != " " and text[-1] != " ":
+            return b"".join(map(self._words.__getitem__, text.split(" ")))
+        return self.encode_marked(mark(text))
 
     def encode_marked(self, marked: str) -> bytes:
-        return b"".join(map(self.word, self.parts.findall(marked)))
+        words = self._words
+        # remembered without their mark, if it is one that starts them
+        return b"".join([words[p[1:]] if p[0] == _MARK and p[1:2] != _MARK and len(p) > 1 else self._encoded(p) for p in self.parts.findall(marked)])
 
     def decode(self, ids: bytes, first: bool = True) -> str:
         """The text of token ids; `first`: they start a text, whose dummy prefix goes."""
-        out, raw = [], []
-        for i in np.frombuffer(ids, dtype="<i4").tolist():
-            b = self.bytes.get(i)
-            if b is None:
-                if raw:
-                    out.append(_utf8(b"".join(raw)))
-                    raw = []
-                out.append(self.text.get(i, b""))
-            else:
-                raw.append(b)
-        if raw:
-            out.append(_utf8(b"".join(raw)))
-        text = b"".join(out).decode()
+        i = np.frombuffer(ids, dtype="<i4")
+        size = self.size[i]
+        end = np.cumsum(size)
+        total = int(end[-1]) if len(end) else 0
+        raw = self.flat[np.repeat(self.place[i] - (end - size), size) + np.arange(total)].tobytes()
+        try:
+            text = raw.decode()
+        except UnicodeDecodeError:
+            text = self._mended(i, size, end, raw)
         return text[1:] if first and text.startswith(" ") else text
 
+    def _mended(self, i: np.ndarray, size: np.ndarray, end: np.ndarray, raw: bytes) -> str:
+        """Runs of byte pieces that are no UTF-8 have U+FFFD in their place."""
+        out, since = [], 0
+        byte = self.raw[i]
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], byte, [False]]).astype(np.int8)))
+        for a, b in zip(edge[0::2], edge[1::2]):
+            low, high = int(end[a] - size[a]), int(end[b - 1])
+            out += [raw[since:low], _utf8(raw[low:high])]
+            since = high
+        return b"".join([*out, raw[since:]]).decode()
+
+
+class _Words(dict):
+    """Word (without its mark) -> ids, of two generations: what is in use moves to the new one, what is not goes with the old."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec, self.old = codec, {}
+
+    def __missing__(self, w: str) -> bytes:
+        if len(w) > 64:
+            return self.codec._encoded(_MARK + w)
+        found = self.old.get(w)
+        if found is None:
+            found = self.codec._encoded(_MARK + w)
+        if len(self) >= WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[w] = found
+        return found
+
 
 def _utf8(raw: bytes) -> bytes:
     """Bytes that are no UTF-8 become U+FFFD, each."""
@@ -376,15 +475,11 @@ def part_ids(codec: Codec, m: str, left: int, right: int, enter: int, leave: int
     if s == t:
         return b""
     if a >= right or a < s[1] or b > t[0]:
-        return _ids(codec, codec._scan(m, s[0], t[1], m[s[0] : s[1]], s[1]))
+        return codec.ids(codec._scan(m, s[0], t[1], m[s[0] : s[1]], s[1]))
     head = codec._scan(m, s[0], a, m[s[0] : s[1]], s[1]) if a > s[1] else []
     # from a word start on, the entering piece does not matter
     tail = codec._scan(m, b, t[1], "", b)
-    return _ids(codec, head) + codec.encode_marked(m[a:b]) + _ids(codec, tail)
-
-
-def _ids(codec: Codec, pieces: list[str]) -> bytes:
-    return np.array(codec.ids(pieces), dtype="<i4").tobytes()
+    return codec.ids(head) + codec.encode_marked(m[a:b]) + codec.ids(tail)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:

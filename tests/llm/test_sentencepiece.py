@@ -45,6 +45,20 @@ def test_scan_is_merging(codec):
         assert codec._scan(w, 0, len(w), "", 0) == codec.merged(w)
 
 
+def test_stable_pairs_are_those_that_merging_keeps(codec):
+    rnd = random.Random(3)
+    pieces = [p for p in codec.kind if codec.kind[p]]
+    near = [p for p in pieces if len(p) <= 3]
+    for _ in range(6000):
+        a, b = rnd.choice(rnd.choice([pieces, near])), rnd.choice(rnd.choice([pieces, near]))
+        assert codec._compatible(a, b) == (codec.merged(a + b) == [a, b]), (a, b)
+
+
+def test_bytes_that_are_no_utf8(codec, library):
+    ids = [codec.byte[0xE6], codec.byte[0x97], codec.id["the"], codec.byte[0xC3], codec.byte[0xA9], codec.byte[0xFF]]
+    assert codec.decode(np.array(ids, "<i4").tobytes()) == library.decode(ids)
+
+
 def test_products_are_associative_and_equal_the_whole(codec):
     t = op.mark("unbelievablyinternationalization" * 3)
     cuts = [0, 7, 8, 30, 61, 97]
