@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,26 +45,32 @@ def text_sections(files: DataFrame) -> DataFrame:
     )
 
 
-def _islands(files: DataFrame, head: Column, lines: Column | None = None) -> DataFrame:
-    """One row for each marked line: its section's number, lines and place. `head` is a column of arrays of booleans, `heads`' rule."""
-    rows = files.withColumn("ls", S.lines(F.col("text")) if lines is None else lines).withColumn("heads", head)
-    starts = F.filter(F.sequence(F.lit(0), F.size("ls") - 1), lambda i: F.get(F.col("heads"), i))
-    rows = rows.where(F.size("ls") > 0).withColumn("starts", starts)
-    rows = rows.select("*", F.posexplode("starts").alias("nth", "start"))
-    end = F.coalesce(F.get(F.col("starts"), F.col("nth") + 1), F.size("ls"))
-    return rows.withColumn("end", end).withColumn("head", F.get(F.col("ls"), F.col("start")))
+def _sections(files: DataFrame, heads, name, seq: int = 0, context: bool = True, trimmed: bool = True, lead_in: bool = False) -> DataFrame:
+    """Section chunks: one for each line that `heads` (lines -> array of booleans) marks, named by `name` (its line).
 
+    Sections are cut inside the row of a file; only they leave it. `lead_in`: what is before the first mark joins the first section.
+    """
+    rows = files.withColumn("ls", S.lines(F.col("text"))).where(F.size("ls") > 0)
+    rows = rows.withColumn("heads", heads(F.col("ls")))
+    rows = rows.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("ls") - 1), lambda i: F.get(F.col("heads"), i)))
+    first = F.lit(0) if lead_in else F.get(F.col("starts"), F.lit(0))
 
-def _sections(rows: DataFrame, name: Column, first: Column, seq: Column, context: Column, trimmed: bool) -> DataFrame:
-    """Rows of islands as section chunks; `first` is the line at which content starts."""
-    content = F.array_join(F.slice(F.col("ls"), first + 1, F.col("end") - first), "\n")
-    if trimmed:
-        content = F.regexp_replace(content, r"^\s+|\s+\z", "")
-    size = lambda n: F.aggregate(F.slice(F.col("ls"), F.lit(1), n), F.lit(0).cast("long"), lambda t, x: t + F.octet_length(x) + 1)
-    last = F.when(F.col("end") == F.size("ls"), F.octet_length("text").cast("long")).otherwise(size(F.col("end")))
+    def cut(s, k):
+        begin = F.when(k == 0, first).otherwise(s)
+        end = F.coalesce(F.get(F.col("starts"), k + 1), F.size("ls"))
+        return F.struct(F.get(F.col("ls"), s).alias("head"), begin.alias("begin"), end.alias("end"), F.array_join(F.slice(F.col("ls"), begin + 1, end - begin), "\n").alias("raw"))
+
+    before = F.when(first > 0, F.octet_length(F.array_join(F.slice(F.col("ls"), F.lit(1), first), "\n")) + 1).otherwise(0)
+    rows = rows.select("path", F.size("ls").alias("n"), F.octet_length("text").cast("long").alias("size"), before.cast("long").alias("before"), F.posexplode(F.transform("starts", cut)).alias("nth", "s"))
+    rows = rows.select("path", "n", "size", "before", "nth", "s.*")
+    run = Window.partitionBy("path").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("through", F.col("before") + F.sum(F.octet_length("raw").cast("long") + 1).over(run))
+    file = S.file_name(F.col("path"))
     return rows.select(
-        "path", seq.cast("int").alias("seq"), name.alias("name"), F.lit("section").alias("kind"), (first + 1).cast("int").alias("line_start"),
-        F.col("end").cast("int").alias("line_end"), size(first).alias("byte_start"), last.alias("byte_end"), content.alias("content"), context.alias("context"),
+        "path", (F.col("nth") + seq).cast("int").alias("seq"), name(F.col("head"), file).alias("name"), F.lit("section").alias("kind"),
+        (F.col("begin") + 1).cast("int").alias("line_start"), F.col("end").cast("int").alias("line_end"),
+        (F.col("through") - F.octet_length("raw") - 1).alias("byte_start"), F.when(F.col("end") == F.col("n"), F.col("size")).otherwise(F.col("through")).alias("byte_end"),
+        (F.regexp_replace("raw", r"^\s+|\s+\z", "") if trimmed else F.col("raw")).alias("content"), (file if context else F.lit(None).cast("string")).alias("context"), "n",
     )
 
 
@@ -74,45 +80,38 @@ def _or(name: Column, otherwise: Column) -> Column:
 
 def markdown_sections(files: DataFrame) -> DataFrame:
     """The whole document, then a section for each line that starts with # outside of fences."""
-    file = S.file_name(F.col("path"))
     n = F.greatest(F.size(S.lines(F.col("text"))), F.lit(1))
     whole = files.select(
-        "path", F.lit(0).alias("seq"), file.alias("name"), F.lit("document").alias("kind"), F.lit(1).alias("line_start"), n.alias("line_end"),
+        "path", F.lit(0).alias("seq"), S.file_name(F.col("path")).alias("name"), F.lit("document").alias("kind"), F.lit(1).alias("line_start"), n.alias("line_end"),
         F.lit(0).cast("long").alias("byte_start"), F.octet_length("text").cast("long").alias("byte_end"), F.col("text").alias("content"), F.lit(None).cast("string").alias("context"),
     )
     fence = lambda x: F.ltrim(x).rlike(r"^(```|~~~)")
-    # a fold over the lines: whether a fence is open, and which lines are heads
-    start = F.struct(F.lit(False).alias("open"), F.array().cast("array<boolean>").alias("heads"))
-    heads = F.aggregate(
-        "ls", start,
-        lambda a, x: F.struct((a["open"] != fence(x)).alias("open"), F.concat(a["heads"], F.array(~a["open"] & ~fence(x) & x.startswith("#"))).alias("heads")),
-        lambda a: a["heads"],
-    )
-    rows = _islands(files, heads)
-    name = F.trim(F.regexp_replace(F.trim("head"), "^#+", ""))
-    none = F.lit(None).cast("string")
-    return whole.unionByName(_sections(rows, _or(name, F.lit("Untitled Section")), F.col("start"), F.col("nth") + 1, none, False))
+
+    def heads(ls):
+        # outside: an even number of fences before
+        fences = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: fence(F.get(ls, i)))
+        files_ = F.transform(F.array(fences), lambda f: F.transform(ls, lambda x, i: x.startswith("#") & (F.size(F.filter(f, lambda k: k < i)) % 2 == 0)))
+        return F.get(files_, F.lit(0))
+
+    named = lambda head, file: _or(F.trim(F.regexp_replace(F.trim(head), "^#+", "")), F.lit("Untitled Section"))
+    return whole.unionByName(_sections(files, heads, named, seq=1, context=False, trimmed=False).drop("n"))
+
+
+def _key_line(x: Column) -> Column:
+    return (x != "") & ~x.rlike(r"^([ \t#]|---|\.\.\.)")
 
 
 def yaml_sections(files: DataFrame) -> DataFrame:
     """A section for each line that starts a top-level key; what is before the first joins it."""
-    heads = F.transform("ls", lambda x: (x != "") & ~x.rlike(r"^(\s|#|---|\.\.\.)"))
-    rows = _islands(files, heads)
-    name = F.trim(F.substring_index("head", ":", 1))
-    first = F.when(F.col("nth") == 0, 0).otherwise(F.col("start"))
-    file = S.file_name(F.col("path"))
-    return _sections(rows, _or(name, file), first, F.col("nth"), file, True)
+    named = lambda head, file: _or(F.trim(F.substring_index(head, ":", 1)), file)
+    return _sections(files, lambda ls: F.transform(ls, _key_line), named, lead_in=True).drop("n")
 
 
 def toml_sections(files: DataFrame) -> DataFrame:
-    """A section for each table line; what is before the first is `root`."""
+    """A section for each table line; what is before the first is `root`; a blank last section goes, a blank first one stays."""
     table = lambda x: F.trim(x).startswith("[") & ~F.trim(x).startswith("[#")
-    heads = F.transform("ls", lambda x, i: table(x) | (i == 0))
-    rows = _islands(files, heads)
-    name = F.when(table(F.col("head")), F.trim(F.regexp_replace(F.trim("head"), r"^\[+|\]+$", ""))).otherwise(F.lit(""))
-    out = _sections(rows, _or(name, F.lit("root")), F.col("start"), F.col("nth"), S.file_name(F.col("path")), True)
-    # a blank last section goes, a blank first one stays
-    return out.join(files.select("path", F.size(S.lines(F.col("text"))).alias("n")), "path").where("content <> '' OR line_end < n").drop("n")
+    named = lambda head, file: _or(F.when(table(head), F.trim(F.regexp_replace(F.trim(head), r"^\[+|\]+$", ""))).otherwise(F.lit("")), F.lit("root"))
+    return _sections(files, lambda ls: F.transform(ls, lambda x, i: table(x) | (i == 0)), named).where("content <> '' OR line_end < n").drop("n")
 
 
 @F.pandas_udf(T.StringType())
@@ -147,11 +146,11 @@ def sections(files: DataFrame) -> DataFrame:
     yaml, toml = files.where(F.col("ext").isin("yaml", "yml") & ~blank), files.where((F.col("ext") == "toml") & ~blank)
     is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("text")).startswith("OBJECT<") & (F.schema_of_variant(F.try_parse_json("text")) != "OBJECT<>"), F.lit(False))
     objects = files.where((F.col("ext") == "json") & is_object)
-    keyed = yaml.where(F.exists(S.lines(F.col("text")), lambda x: (x != "") & ~x.rlike(r"^(\s|#|---|\.\.\.)")))
+    keyed = yaml.where(F.exists(S.lines(F.col("text")), _key_line))
     plain = (
         files.where(~F.col("ext").isin("md", "mdx", "yaml", "yml", "toml", "json") | (F.col("ext").isin("yaml", "yml", "toml") & blank))
         .unionByName(files.where((F.col("ext") == "json") & ~is_object))
-        .unionByName(yaml.where(~F.exists(S.lines(F.col("text")), lambda x: (x != "") & ~x.rlike(r"^(\s|#|---|\.\.\.)"))))
+        .unionByName(yaml.where(~F.exists(S.lines(F.col("text")), _key_line)))
     )
     out = md
     for part in (json_sections(objects), yaml_sections(keyed), toml_sections(toml), text_sections(plain)):
