@@ -72,4 +72,29 @@ QUERIES = {
         op7_chat_format, op8_approximate_nearest_neighbours, op9_packing, op10_ngram_jaccard_join,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op7_chat_format": chat_format.ORACLE}
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+_OP1 = f"""
+WITH n AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS s FROM n, unnest(range(1, len(ws) - 11)) AS t(i)),
+first AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+hit AS (SELECT doc_id, i FROM win JOIN first USING (s) WHERE m < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM hit),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM n),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY k) AS t, count(*) AS c FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT n.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(c, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM n LEFT JOIN kept USING (doc_id)
+"""
+
+_OP10 = f"""
+WITH RECURSIVE n AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS sh FROM n, unnest(range(1, greatest(len(ws) - 1, least(len(ws), 1) + 1))) AS t(i)),
+c AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN c a ON a.doc_id = x JOIN c b ON b.doc_id = y WHERE 100 * shared >= 90 * (a.k + b.k - shared)),
+r AS (SELECT y AS doc_id, x AS low FROM e UNION SELECT x, y FROM e UNION SELECT r.doc_id, f.y FROM r JOIN (SELECT x, y FROM e UNION ALL SELECT y, x FROM e) f ON f.x = r.low)
+SELECT n.doc_id, coalesce(k, 0)::BIGINT AS n_shingles, least(n.doc_id, coalesce(m, n.doc_id)) AS component_id
+FROM n LEFT JOIN c USING (doc_id) LEFT JOIN (SELECT doc_id, min(low) AS m FROM r GROUP BY 1) USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op7_chat_format": chat_format.ORACLE, "op10_ngram_jaccard_join": _OP10}
