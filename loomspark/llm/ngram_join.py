@@ -7,7 +7,7 @@ neighbouring bands. A tile is one band and one slot: each band cuts the hash ran
 slots than linked sets of that band can differ in, so linked sets agree on whole slots, and
 each set goes to the tiles (band, slot, content of the slot) of its own and of the next band.
 
-In a tile, hashed bitmap signatures (parities of the hashes at about two bits a shingle) bound
+In a tile, hashed bitmap signatures (parities of the hashes at one to two bits a shingle) bound
 the difference from below, hence the overlap from above; what passes is intersected exactly, as
 sorted arrays. Equal sets are one node from the start. A tile's nodes are first compared
 with the tile's smallest node only (an aggregate and an equi-join, whatever the tile's size);
@@ -54,17 +54,17 @@ def shingles(words: Words, k: int) -> list[np.ndarray]:
     count = np.diff(words.first)
     out = [np.unique(h[bounds[r] : bounds[r + 1]]) for r in range(words.rows)]
     for r in np.flatnonzero((count > 0) & (count < k)):
-        total, step = np.uint64(0), 1
-        for x in words.hash[words.first[r] : words.first[r + 1]]:
-            total, step = total + x * np.uint64(step), step * _STEP & (1 << 64) - 1
-        out[r] = mix(np.array([total + np.uint64(count[r])]))
+        # as Words.runs has it for a run of that many words
+        steps = np.array([pow(_STEP, j, 1 << 64) for j in range(count[r])], dtype=np.uint64)
+        total = (words.hash[words.first[r] : words.first[r + 1]] * steps).sum(dtype=np.uint64)
+        out[r] = mix(np.array([total]) + np.uint64(count[r]))
     return out
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parities of the hashes' low bits, two bits or more for each shingle."""
+    """Parities of the hashes' low bits, one to two bits for each shingle."""
     width = 64
-    while width < 2 * len(s):
+    while width < len(s):
         width *= 2
     parity = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
@@ -208,7 +208,10 @@ def _folded(bits: list[bytes]) -> np.ndarray:
 
 
 def _block(threshold: int):
-    """For each block of a tile, pairs of different components that its bitmaps allow: the nearest, in proportion to the nodes."""
+    """For each block of a tile, pairs of different components that its bitmaps allow: the nearest, in proportion to the nodes.
+
+    A node paired with itself says that pairs are left for the next round.
+    """
 
     def pairs(node, side, component, size, bits, failed, most):
         order = np.argsort(size, kind="stable")
@@ -225,7 +228,10 @@ def _block(threshold: int):
         left = PAIRS_PER_NODE * len(node)
         for _, x, z in sorted(found):
             a, b = int(node[x]), int(node[z])
-            if left and (a, b) not in failed and (b, a) not in failed:
+            if (a, b) not in failed and (b, a) not in failed:
+                if not left:
+                    yield a, a  # there are more
+                    break
                 left -= 1
                 yield a, b
 
@@ -291,7 +297,7 @@ def graph(docs: DataFrame, k: int = 3, threshold: int = 90) -> DataFrame:
         # a tile's largest component is not compared with itself: it is cut into blocks, which all other nodes visit
         each = rest.groupBy("tile", "component").agg(F.count("*").alias("n"))
         most = each.groupBy("tile").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size")).where("top.n < size")
-        rest = rest.join(most.select("tile", "size", F.col("top.n").alias("n"), F.col("top.component").alias("main")), "tile")
+        rest = cut(rest.join(most.select("tile", "size", F.col("top.n").alias("n"), F.col("top.component").alias("main")), "tile"), f"rest{step}")
         homes, guests = F.ceil(F.col("n") / BLOCK_ROWS).cast("int"), F.ceil((F.col("size") - F.col("n")) / BLOCK_ROWS).cast("int")
         at = lambda blocks: F.pmod(F.xxhash64("node"), blocks).cast("int")
         home = rest.where("component = main").select("tile", "node", "component", F.lit(-1).alias("i"), at(homes).alias("j"), F.lit(0).alias("side"))
@@ -305,8 +311,10 @@ def graph(docs: DataFrame, k: int = 3, threshold: int = 90) -> DataFrame:
         known = failed.groupBy(F.col("a").alias("node")).agg(F.sort_array(F.collect_set("b")).alias("failed"))
         spread = spread.join(bits, "node").join(known, "node", "left")
         row = F.struct("node", "side", "component", "n", "bits", "failed")
-        tiles = spread.groupBy("tile", "i", "j").agg(F.sort_array(F.collect_list(row)).alias("rows")).select("rows").distinct()
-        more = cut(tiles.mapInArrow(_block(threshold), "a long, b long").distinct(), f"more{step}")
+        tiles = spread.groupBy("tile", "i", "j").agg(F.collect_list(row).alias("rows"))
+        more = cut(tiles.select("rows").mapInArrow(_block(threshold), "a long, b long").distinct(), f"more{step}")
+        drop(f"rest{step}")
+        again, more = some(more.where("a = b")), more.where("a <> b")
         if not some(more):
             break
         new = verified(more, str(step))
@@ -314,6 +322,8 @@ def graph(docs: DataFrame, k: int = 3, threshold: int = 90) -> DataFrame:
         links = cut(links.unionByName(new), f"links{step}")
         if some(new):
             found = cut(components(scratch, links, f"cc{step}"), f"components{step}")
+        if not again:
+            break
         step += 1
     drop("members", "pairs", "bits")
     labels = classes.join(found, "node", "left").select("h1", "h2", "n", label)

@@ -42,7 +42,7 @@ CHARS = 1 << 16
 #: Characters without a word start that are scanned as one chunk.
 RUN = 256
 #: Words of each of two generations, and pairs of pieces, that a worker remembers.
-WORDS, PAIRS = 250_000, 200_000
+WORDS, PAIRS = 200_000, 200_000
 _MARK = "▁"
 _NONE = -np.inf
 
@@ -179,14 +179,16 @@ class Codec:
             for e in range(s + 1, end + 1):
                 p = text[s:e]
                 piece = kind(p)
-                if piece is None:
-                    if e > s + 1:
-                        break  # no piece begins so
-                    piece = True
-                if (piece or e == s + 1) and last[e - at] is None:
-                    fits = known((left, p))
-                    if fits if fits is not None else stable(left, p):
+                if piece:
+                    if last[e - at] is None:
+                        fits = known((left, p))
+                        if fits or fits is None and stable(left, p):
+                            last[e - at] = p
+                elif e == s + 1:  # a character without a piece
+                    if last[e - at] is None and stable(left, p):
                         last[e - at] = p
+                elif piece is None:
+                    break  # no piece begins so
         out, e = [], end - at
         while e > 0:
             out.append(last[e])
@@ -365,23 +367,23 @@ def _worker(path: str) -> Codec:
     return held[path]
 
 
-def encode(docs: DataFrame, model: str, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, text, part, ids of `docs` (doc_id, text), one row for each document, or CHARS characters of a longer one.
+_ENCODED = "doc_id long, row long, part int, text string, ids binary"
 
-    `model` is the path of the model file on every node. `ids` are little-endian 32-bit integers; `row` tells the rows of a document.
-    """
+
+def _encode(docs: DataFrame, model: str, finish, schema: str, scratch: Scratch | None) -> tuple[DataFrame, DataFrame]:
+    """Encodes every row, (documents of one part, parts of longer ones); `finish` makes the columns of `schema` of (codec, doc_id, row, part, texts, ids) in the same worker."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = scratch or Scratch(spark, "pieces")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, row long, part int, text string, ids binary"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def whole(batches):
         codec = _worker(model)
         for batch in batches:
-            ids = [codec.encode(t.as_py()) for t in batch.column("text")]
-            none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), none, pa.array([0] * batch.num_rows, pa.int32()), batch.column("text"), pa.array(ids, pa.binary())], ["doc_id", "row", "part", "text", "ids"])
+            n, texts = batch.num_rows, batch.column("text").to_pylist()
+            ids = list(map(codec.encode, texts))
+            yield pa.RecordBatch.from_arrays(finish(codec, batch.column("doc_id"), pa.nulls(n, pa.int64()), pa.array([0] * n, pa.int32()), texts, ids), names)
 
     short = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= CHARS).mapInArrow(whole, schema)
 
@@ -423,13 +425,20 @@ def encode(docs: DataFrame, model: str, scratch: Scratch | None = None) -> DataF
         codec = _worker(model)
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("m", "left", "right", "enter", "leave")]
-            ids, texts = [], []
-            for m, a, b, s, t in zip(*cols):
-                ids.append(part_ids(codec, m, a, b, s, t))
-                texts.append(m[a:b].replace(_MARK, " "))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("part"), pa.array(texts, pa.string()), pa.array(ids, pa.binary())], ["doc_id", "row", "part", "text", "ids"])
+            ids = [part_ids(codec, m, a, b, s, t) for m, a, b, s, t in zip(*cols)]
+            texts = [m[a:b].replace(_MARK, " ") for m, a, b in zip(*cols[:3])]
+            yield pa.RecordBatch.from_arrays(finish(codec, batch.column("doc_id"), batch.column("row"), batch.column("part"), texts, ids), names)
+
+    return short, parts.join(cuts, ["row", "part"]).mapInArrow(traced, schema)
+
 
-    spread = parts.join(cuts, ["row", "part"]).mapInArrow(traced, schema)
+def encode(docs: DataFrame, model: str, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, row, part, text, ids of `docs` (doc_id, text): one row for each document, or for CHARS characters of a longer one.
+
+    `model` is the path of the model file on every node. `ids` are little-endian 32-bit integers; `row` tells the rows
+    of a document of several parts, and is null for others.
+    """
+    short, spread = _encode(docs, model, lambda codec, doc, row, part, texts, ids: [doc, row, part, pa.array(texts, pa.string()), pa.array(ids, pa.binary())], _ENCODED, scratch)
     return short.unionByName(spread)
 
 
@@ -494,32 +503,38 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     return encoded.mapInArrow(run, encoded.select("*", F.lit("").alias("decoded")).schema)
 
 
+def _digests(ids: list[bytes], texts: list[str | None], back: list[str]) -> list[pa.Array]:
+    return [
+        pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
+        pa.array([hashlib.sha256(b.encode()).hexdigest() for b in back], pa.string()), pa.array([b == (t or "").replace(_MARK, " ") for t, b in zip(texts, back)], pa.bool_()),
+    ]
+
+
+_DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean"
+
+
 def digest(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, exact of every row of `docs` (doc_id, text).
 
-    `ids_sha256`: of the ids as little-endian 32-bit integers; `exact`: the text came back, its marks as spaces.
+    `ids_sha256`: of the ids as little-endian 32-bit integers; `exact`: the text came back, its marks as spaces. A
+    document is encoded, decoded and digested in one worker; of longer ones, the parts are.
     """
-    parts = decode(encode(docs, model), model)
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for ids, text, back in zip(*(batch.column(c).to_pylist() for c in ("ids", "text", "decoded"))):
-                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == (text or "").replace(_MARK, " ")))
-            n, a, b, same = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
+    def finish(codec, doc, row, part, texts, ids):
+        back = [codec.decode(i, p == 0) for i, p in zip(ids, part.to_pylist())]
+        done = row.null_count == len(row)
+        kept = [pa.nulls(len(ids), pa.binary()), pa.nulls(len(ids), pa.string()), pa.nulls(len(ids), pa.string())] if done else [pa.array(ids, pa.binary()), pa.array(texts, pa.string()), pa.array(back, pa.string())]
+        return [doc, row, part, *kept, *_digests(ids, texts, back)]
+
+    one, parts = _encode(docs, model, finish, f"doc_id long, row long, part int, ids binary, text string, decoded string, {_DIGEST}", None)
 
     def joined(batches):
         for batch in batches:
-            out = []
-            for ps in batch.column("p").to_pylist():
-                text, back = "".join(p["text"] for p in ps)[1:], "".join(p["decoded"] for p in ps)
-                out.append((b"".join(p["ids"] for p in ps), text, back))
-            i, t, d = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(i, pa.binary()), pa.array(t, pa.string()), pa.array(d, pa.string())], ["doc_id", "ids", "text", "decoded"])
+            whole = [[("".join if c != "ids" else b"".join)([p[c] for p in ps]) for ps in batch.column("p").to_pylist()] for c in ("ids", "text", "decoded")]
+            ids, texts, back = whole
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_digests(ids, [t[1:] for t in texts], back)], ["doc_id", *[c.split()[0] for c in _DIGEST.split(", ")]])
 
-    one = parts.where("row is null").select("doc_id", "ids", "text", "decoded")
+    names = ["doc_id", *[c.split()[0] for c in _DIGEST.split(", ")]]
     # the parts of one document meet, as its row of the input did
-    many = parts.where("row is not null").groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("part", "ids", "text", "decoded"))).alias("p"))
-    many = many.mapInArrow(joined, "doc_id long, ids binary, text string, decoded string")
-    return one.unionByName(many).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")
+    many = parts.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("part", "ids", "text", "decoded"))).alias("p"))
+    return one.select(*names).unionByName(many.mapInArrow(joined, f"doc_id long, {_DIGEST}"))
