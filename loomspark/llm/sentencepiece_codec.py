@@ -42,7 +42,7 @@ CHARS = 1 << 16
 #: Characters without a word start that are scanned as one chunk.
 RUN = 256
 #: Words of each of two generations, and pairs of pieces, that a worker remembers.
-WORDS, PAIRS = 200_000, 200_000
+WORDS, PAIRS = 600_000, 200_000
 _MARK = "▁"
 _NONE = -np.inf
 
@@ -165,36 +165,38 @@ class Codec:
         return len(p) == 1 or self.kind.get(p, False)
 
     def _scan(self, text: str, start: int, end: int, entry: str, at: int) -> list[str]:
-        """The pieces from `at`, after the piece `entry`, up to the one that ends at `end`: forward scan and backtrace.
+        """The pieces from `at`, after the piece `entry`, up to the one that ends at `end`: forward values, as far as they are asked for, and backtrace.
 
-        `start` is where entry begins. Each prefix has one stable last piece at most.
+        `start` is where entry begins. Each prefix has one stable last piece at most, so its value is that piece.
         """
-        last: list[str | None] = [None] * (end - at + 1)
+        last: list = [None] * (end - at + 1)
         last[0] = entry
-        kind, known, stable = self.kind.get, self._stable.get, self.stable
-        for s in range(at, end):
-            left = last[s - at]
-            if left is None:
-                continue
-            for e in range(s + 1, end + 1):
-                p = text[s:e]
-                piece = kind(p)
-                if piece:
-                    if last[e - at] is None:
-                        fits = known((left, p))
-                        if fits or fits is None and stable(left, p):
-                            last[e - at] = p
-                elif e == s + 1:  # a character without a piece
-                    if last[e - at] is None and stable(left, p):
-                        last[e - at] = p
-                elif piece is None:
-                    break  # no piece begins so
-        out, e = [], end - at
-        while e > 0:
-            out.append(last[e])
-            e -= len(last[e])
+        out, e = [], end
+        while e > at:
+            p = last[e - at] or self._last(text, e, at, last)
+            if not p:
+                raise ValueError("no stable path")
+            out.append(p)
+            e -= len(p)
         return out[::-1]
 
+    def _last(self, text: str, e: int, at: int, last: list) -> str | bool:
+        """The last piece of the best path to `e`, or False if none is stable; longer pieces are tried first."""
+        kind, known = self.kind.get, self._stable.get
+        for s in range(at if e - at < self.longest else e - self.longest, e):
+            p = text[s:e]
+            if kind(p) or e - s == 1:
+                left = last[s - at]
+                if left is None:
+                    left = self._last(text, s, at, last)
+                if left is not False:
+                    fits = known((left, p))
+                    if fits or fits is None and self.stable(left, p):
+                        last[e - at] = p
+                        return p
+        last[e - at] = False
+        return False
+
     def states(self, text: str, cut: int) -> list[tuple[int, int]]:
         """Pieces (start, end) with start < cut <= end; at the text's start, the empty piece."""
         if cut == 0:
