@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,18 @@ MAX_BYTES = 1 << 20
 EXCLUDED = ("node_modules", "target", ".git", "dist", "build", ".scs", "__pycache__", "vendor", ".next", ".nuxt", "coverage", ".venv", "venv")
 
 
+def _empty_files(base: str) -> list[tuple[str, int]]:
+    """(path, mtime) of files without content, which Spark's reader passes over; excluded directories are not entered."""
+    out = []
+    for folder, dirs, names in os.walk(base):
+        dirs[:] = [d for d in dirs if d not in EXCLUDED]
+        for n in names:
+            s = os.stat(os.path.join(folder, n), follow_symlinks=False)
+            if s.st_size == 0:
+                out.append((os.path.relpath(os.path.join(folder, n), base), int(s.st_mtime)))
+    return out
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """path (relative to root), mtime, length, content and chunk_type; size and directories are filtered before content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= MAX_BYTES)
@@ -19,6 +33,9 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     whole = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?(?=/)", "")
     rel = S.relative(F.url_decode(F.regexp_replace(whole, r"\+", "%2B")), base)
     files = files.select(rel.alias("path"), F.unix_seconds("modificationTime").alias("mtime"), "length", "content")
+    if os.path.isdir(base) and "://" not in root.removeprefix("file://"):
+        empty = spark.createDataFrame(_empty_files(base), "path string, mtime long")
+        files = files.unionByName(empty.select("path", "mtime", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
     wanted = ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, EXCLUDED)))
     return files.where(wanted).withColumn("chunk_type", S.chunk_type(F.col("path"))).where("chunk_type is not null")
 
