@@ -6,6 +6,9 @@ A document's set is its distinct k-word shingles, as sorted 64-bit hashes. Two s
 neighbouring bands. A tile is one band and one slot: each band cuts the hash range into more
 slots than linked sets of that band can differ in, so linked sets agree on whole slots, and
 each set goes to the tiles (band, slot, content of the slot) of its own and of the next band.
+There are `spare(d)` slots beyond the d + 1 that this needs, so a set may leave as many of its tiles:
+first those of poor slots, then those that most sets are in. All sets leave tiles in one order, so of
+the tiles that linked sets agree on, at least the last in that order is kept by both.
 
 In a tile, hashed bitmap signatures (parities of the hashes at one to two bits a shingle) bound
 the difference from below, hence the overlap from above; what passes is intersected exactly, as
@@ -28,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, some
@@ -43,8 +46,8 @@ PAIRS_PER_NODE = 8
 
 
 def spare(most: int) -> int:
-    """Slots beyond those that linked sets can differ in: so many of a set's slots may be left out for being poor."""
-    return 2 + most // 32
+    """Slots beyond those that linked sets can differ in, and one more: so many of a set's tiles may be left."""
+    return 2 + most // 5
 
 
 def shingles(words: Words, k: int) -> list[np.ndarray]:
@@ -107,14 +110,14 @@ class Bands:
         return out
 
 
-def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """A hash for each tile of a set. Poor slots count only for sets with more of them than are spare.
+def signatures(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each tile of a set, and its note: (tiles that may still be left) * 4 + (poor slot) * 2 + (parity of the band).
 
-    Linked sets agree on more slots than are spare, so a set without its poor slots still has one that both agree on.
+    Sets with few enough poor slots have left them already.
     """
     total = np.zeros(len(s) + 1, dtype=np.uint64)
     np.cumsum(mix(s ^ np.uint64(0x5851F42D4C957F2D)), out=total[1:])
-    out = []
+    out, notes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
     for band, slots in bands.tiles(len(s)):
         edge = (np.arange(1, slots, dtype=np.float64) * (2.0**64 / slots)).astype(np.uint64)
         cut = np.concatenate([[0], np.searchsorted(s, edge), [len(s)]])
@@ -122,9 +125,13 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
         key = total[cut[1:]] - total[cut[:-1]]
         name = mix(np.arange(slots, dtype=np.uint64) + np.uint64(band << 32))
         sig = mix(mix(key + size.astype(np.uint64)) ^ name)
-        rich = size > POOR
-        out.append(sig if slots - rich.sum() > slots - 1 - bands.most(2 * (bands.low[band + 1] - 1)) else sig[rich])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        poor, left = size <= POOR, spare(bands.most(2 * (bands.low[band + 1] - 1)))
+        if poor.sum() <= left:
+            left -= int(poor.sum())
+            sig, poor = sig[~poor], poor[~poor]
+        out.append(sig)
+        notes.append((left * 4 + poor * 2 + band % 2).astype(np.int32))
+    return np.concatenate(out), np.concatenate(notes)
 
 
 def _signed(x) -> np.ndarray:
@@ -160,8 +167,9 @@ def _tiles(k: int, threshold: int):
                 sets = [s for s in shingles(Words(batch.column("text").slice(i, j - i), lower=True), k) if len(s)]
                 if sets:
                     sigs = [signatures(s, bands) for s in sets]
-                    h1 = np.repeat(_digests(sets)[0], [len(x) for x in sigs])
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(sigs))), pa.array(h1)], ["tile", "h1"])
+                    h1 = np.repeat(_digests(sets)[0], [len(x) for x, _ in sigs])
+                    tiles, notes = np.concatenate([x for x, _ in sigs]), np.concatenate([x for _, x in sigs])
+                    yield pa.RecordBatch.from_arrays([pa.array(_signed(tiles)), pa.array(h1), pa.array(notes)], ["tile", "h1", "note"])
 
     return run
 
@@ -262,10 +270,14 @@ def graph(docs: DataFrame, k: int = 3, threshold: int = 90) -> DataFrame:
     ids = sets.where("n > 0 and doc_id is not null")
     classes = cut(ids.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node")), "classes")
 
-    tiles = texts.mapInArrow(_tiles(k, threshold), "tile long, h1 long")
+    tiles = texts.mapInArrow(_tiles(k, threshold), "tile long, h1 long, note int")
     # copies agree on h1: a tile of copies alone needs no work
-    shared = cut(tiles.groupBy("tile").agg(F.min("h1").alias("p"), F.max("h1").alias("q")).where("p <> q").select("tile"), "shared")
-    members = cut(tiles.join(shared, "tile").distinct(), "members_h")
+    shared = tiles.groupBy("tile").agg(F.min("h1").alias("p"), F.max("h1").alias("q"), F.count("*").alias("m"))
+    shared = cut(shared.where("p <> q").select("tile", "m"), "shared")
+    # each set leaves its most common tiles; a set has no more tiles than shingles, so windows are as short as texts
+    order = Window.partitionBy("h1", F.col("note") % 2).orderBy(F.desc(F.shiftright("note", 1) % 2), F.desc("m"), "tile")
+    members = tiles.join(shared, "tile").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") > F.shiftright("note", 2))
+    members = cut(members.select("tile", "h1"), "members_h")
     members = cut(members.join(classes.select("h1", "node"), "h1").select("tile", "node").distinct(), "members")
     drop("shared", "members_h")
 
