@@ -16,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+BUCKETS = 2048
 GRAMS = (3, 4, 5)
-STEPS, RATE, DECAY = 150, 2.0, 0.002
+STEPS, RATE, DECAY = 300, 4.0, 0.0005
 #: Rows of the labelled table that are used, at most (the smallest by url).
 MAX_LABELLED = 5000
 
@@ -40,6 +40,7 @@ LABELLED = tuple(
         ("adult-video", "example.com", "xxx/free"), ("ads-track", "example.org", "pixel.gif"), ("track-click", "example.net", "ads/banner"),
         ("pills-shop", "example.com", "viagra"), ("win-prize", "example.net", "casino/free-spins"), ("x-adult-cams", "example.org", "live"),
         ("spam-links", "example.com", "seo/cheap"),
+        ("blog.adult-x", "example.org", "de/7"), ("m.free-bets", "example.net", "es/8/"), ("www.casino-win", "example.com", "fr/31.html"), ("blog.ads-track", "example.com", "en/6#top"),
     )]
     + [(f"https://{host}.{zone}/{path}", 0) for host, zone, path in (
         ("www.news", "example.com", "en/12"), ("blog.garden", "example.org", "de/45.html"), ("m.weather", "example.net", "fr/7"),
@@ -48,6 +49,7 @@ LABELLED = tuple(
         ("travel", "example.net", "de/berlin"), ("history", "example.org", "fr/paris"), ("blog.therea", "example.com", "en/4/"),
         ("science", "example.net", "physics/optics"), ("www.therbl", "example.org", "es/61"), ("music", "example.com", "jazz/history"),
         ("m.tionble", "example.net", "fr/19"), ("docs", "example.org", "guide/start"), ("health", "example.com", "en/heart"), ("kitchen", "example.net", "tools/knives"),
+        ("theory", "example.com", "de/3875.html"), ("thought", "example.org", "es/7096/"), ("outdoor", "example.com", "fr/5670"), ("this", "example.net", "es/12#top"), ("m.thesis", "example.org", "en/9?page=2"), ("blog.author", "example.com", "es/3"),
     )]
 )
 
