@@ -213,6 +213,30 @@ def json_split(spark, sf_dir):
     return docs.json_keys(table(spark, sf_dir, "events").select("event_id", F.col("props").alias("text"))).select("event_id", "key", "value")
 
 
+_ISLANDS = """, l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)) AS ls FROM d)),
+g AS (SELECT *, sum(CASE WHEN {head} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l)
+SELECT doc_id, (greatest(k, 1) - 1)::INTEGER AS seq, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\\s+|\\s+$', '', 'g') AS content, min(i)::INTEGER AS line_start, max(i)::INTEGER AS line_end FROM g GROUP BY doc_id, greatest(k, 1)"""
+
+
+def _as_files(spark, sf_dir, ext, text):
+    return table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(ext)).alias("path"), F.expr(text).alias("text"))
+
+
+def _by_doc(sections):
+    return sections.select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), "seq", "content", "line_start", "line_end")
+
+
+@_query("WITH d AS (SELECT doc_id, '# first' || chr(10) || 'key: ' || replace(text, '. ', chr(10) || '  - ') AS text FROM documents)" + _ISLANDS.format(head="line <> '' AND NOT regexp_matches(line, '^([ \t#]|---|\.\.\.)')"))
+def yaml_sections(spark, sf_dir):
+    """Top-level keys, here a document's own lines; items and the comment before the first belong to them."""
+    return _by_doc(docs.yaml_sections(_as_files(spark, sf_dir, ".yaml", "concat('# first\nkey: ', replace(text, '. ', '\n  - '))")))
+
+
+@_query("WITH d AS (SELECT doc_id, replace(text, '. ', chr(10) || ' [part.a] ' || chr(10)) AS text FROM documents)" + _ISLANDS.format(head="(starts_with(trim(line), '[') AND NOT starts_with(trim(line), '[#')) OR i = 1"))
+def toml_sections(spark, sf_dir):
+    return _by_doc(docs.toml_sections(_as_files(spark, sf_dir, ".toml", "replace(text, '. ', '\n [part.a] \n')")))
+
+
 @_query()
 def code_definitions(spark, sf_dir):
     """Definitions of the sample files, of every supported language."""
@@ -310,6 +334,36 @@ def file_hashes(spark, sf_dir):
     return hierarchy.file_hashes(hierarchy.files(hierarchy.symbols(page_chunks(spark, sf_dir))))
 
 
+@_query(_SYMBOLS + """, x AS (SELECT dir, file_name, unnest(coalesce(names, [])) AS name, generate_subscripts(coalesce(names, []), 1) AS i FROM f), r AS (SELECT *, sum(octet_length(encode(name)) + CASE WHEN i > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY dir, file_name ORDER BY i) AS size FROM x)
+ SELECT f.dir, f.file_name, coalesce(string_agg(CASE WHEN size <= 8 THEN name ELSE '...' END, ', ' ORDER BY i) FILTER (size <= 8 OR i = m), '') AS names FROM f LEFT JOIN (SELECT r.*, min(CASE WHEN size > 8 THEN i END) OVER (PARTITION BY dir, file_name) AS m FROM r) USING (dir, file_name) GROUP BY ALL""")
+def names_previews(spark, sf_dir):
+    f = hierarchy.files(hierarchy.symbols(page_chunks(spark, sf_dir)))
+    return f.select("dir", "file_name", S.names_preview(F.col("names"), 8).alias("names"))
+
+
+@_query(_SYMBOLS + """, dd AS (SELECT dir, sum(n_symbols)::BIGINT AS n FROM f GROUP BY dir), e AS (SELECT string_split(dir, '/') AS p, unnest(range(1, len(string_split(dir, '/')) + 1)) AS i, dir || ':' || n AS part FROM dd)
+ SELECT array_to_string(p[1:i], '/') AS node, sha256(string_agg(part, ',' ORDER BY part)) AS body_hash FROM e GROUP BY 1""")
+def tree_hashes(spark, sf_dir):
+    return hierarchy.tree_hashes(hierarchy.directories(hierarchy.files(hierarchy.symbols(page_chunks(spark, sf_dir)))))
+
+
+@_query("""SELECT page_id, CASE page_id % 9 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 7 WHEN 3 THEN 1 WHEN 4 THEN 2 WHEN 5 THEN 3 WHEN 6 THEN 4 WHEN 7 THEN 5 ELSE 6 END::INTEGER AS sort_key,
+ ['class ', 'struct ', '', 'trait ', 'enum ', 'fn ', 'fn ', 'const ', 'field '][page_id % 9 + 1] AS prefix FROM pages""")
+def kind_columns(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, S.KINDS[:9])), (F.col("page_id") % 9 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", S.symbol_key(kind).alias("sort_key"), S.kind_prefix(kind).alias("prefix"))
+
+
+@_query(_PARTS + " SELECT chunk_id, name, line_start FROM chunks WHERE context = 'Brand#3'")
+def outline(spark, sf_dir):
+    return search.outline(part_chunks(spark, sf_dir), "Brand#3.rs").select("chunk_id", "name", "line_start")
+
+
+@_query(_PARTS + " SELECT 'called_by' AS direction, name, context || '.rs' AS file, line_start::BIGINT AS line FROM chunks WHERE contains(content, 'SMALL')")
+def dependencies(spark, sf_dir):
+    return search.dependencies(part_chunks(spark, sf_dir), "SMALL")
+
+
 @_query(_SYMBOLS + """, e AS (SELECT string_split(dir, '/') AS p, unnest(range(1, len(string_split(dir, '/')) + 1)) AS i, name FROM s WHERE holder IS NULL), u AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS node, name FROM e)
  SELECT node, array_to_string(list(name ORDER BY name)[1:30], ',') AS names FROM u GROUP BY node""")
 def subtree_names(spark, sf_dir):
@@ -463,6 +517,12 @@ def summary_upsert(spark, sf_dir):
     return summaries.upsert(old, new)
 
 
+@_query("""WITH e AS (SELECT doc_id, 'k' || (doc_id % 300) AS key, sha256(lang) AS body_hash, source AS summary FROM documents) SELECT n.key, n.body_hash, o.summary FROM e n JOIN e o ON o.doc_id < 300 AND o.key = n.key AND o.body_hash = n.body_hash WHERE n.doc_id BETWEEN 600 AND 749""")
+def summary_hits(spark, sf_dir):
+    old, new = _cache(spark, sf_dir)
+    return summaries.hits(new.drop("summary"), old).select("key", "body_hash", "summary")
+
+
 @_query("""WITH e AS (SELECT doc_id, 'k' || (doc_id % 300) AS key, sha256(lang) AS body_hash, '' AS context_hash FROM documents) SELECT n.key, n.body_hash FROM e n WHERE doc_id BETWEEN 600 AND 749 AND NOT EXISTS (SELECT 1 FROM e o WHERE o.doc_id < 300 AND o.key = n.key AND o.body_hash = n.body_hash)""")
 def summary_misses(spark, sf_dir):
     old, new = _cache(spark, sf_dir)
