@@ -142,3 +142,33 @@ def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = plain.withColumn("__c", counts(f"c{docs.columns.index('text')}")).select(*plain.columns, "__c.*")
     rows = rows.where(f"n_words >= {MIN_WORDS} AND 100 * n_repeat_words <= 30 * n_words").where(~_rejected(found))
     return rows.select(*plain.columns).toDF(*docs.columns)
+
+
+def oracle() -> str:
+    """The whole operator in DuckDB's SQL, from the same rules."""
+    word = r"[^\x20\x09-\x0D]"
+    stratum = " + ".join(f"(n_words >= {low})::INTEGER" for low in STRATA)
+    tests = ", ".join(f"('{name}', {i}, {c})" for name, (_, cutoffs) in RULES.items() for i, c in enumerate(cutoffs))
+    rates = " ".join(f"WHEN '{name}' THEN {rate}" for name, (rate, _) in RULES.items())
+    risk, level = RISK / len(RULES), (1 - CONFIDENCE) / (len(STRATA) * len(RULES))
+    term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk!r}) + (n - i) * ln(1 - {risk!r}))"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS s FROM t, unnest(range(1, len(w) - {WINDOW - 2})) AS x(i)),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+again AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS k FROM twice) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS l FROM t),
+c AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines,
+  (length(t) - length(regexp_replace(t, '\\p{{Lu}}', '', 'g')))::BIGINT AS n_capitals, len(list_distinct(w))::BIGINT AS n_distinct_words FROM t JOIN l USING (doc_id) LEFT JOIN again USING (doc_id)),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed, {stratum} AS stratum FROM c),
+rules(rule, i, cutoff) AS (VALUES {tests}),
+r AS (SELECT doc_id, stratum, rule, CASE rule {rates} END AS rate FROM b, (SELECT DISTINCT rule FROM rules) WHERE NOT base_failed),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING max((quality = 1)::INTEGER) = 1),
+k AS (SELECT stratum, rule, i, cutoff, count(*) AS n, count(*) FILTER (rate > cutoff) AS k FROM r SEMI JOIN good USING (doc_id) JOIN rules USING (rule) GROUP BY ALL),
+p AS (SELECT stratum, rule, i, cutoff, CASE WHEN k >= n THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: {term})) END <= {level!r} AS passed FROM k),
+q AS (SELECT *, bool_and(passed) OVER (PARTITION BY stratum, rule ORDER BY i) AS held FROM p),
+chosen AS (SELECT stratum, rule, max_by(cutoff, i) AS cutoff FROM q WHERE held GROUP BY ALL),
+bad AS (SELECT DISTINCT doc_id FROM r JOIN chosen USING (stratum, rule) WHERE rate > cutoff)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_distinct_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept FROM b LEFT JOIN bad USING (doc_id)
+"""

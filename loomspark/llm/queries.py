@@ -97,4 +97,4 @@ SELECT n.doc_id, coalesce(k, 0)::BIGINT AS n_shingles, least(n.doc_id, coalesce(
 FROM n LEFT JOIN c USING (doc_id) LEFT JOIN (SELECT doc_id, min(low) AS m FROM r GROUP BY 1) USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op7_chat_format": chat_format.ORACLE, "op10_ngram_jaccard_join": _OP10}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op5_quality_rules": quality_rules.oracle(), "op7_chat_format": chat_format.ORACLE, "op10_ngram_jaccard_join": _OP10}
