@@ -7,7 +7,7 @@ largest sum; `score` is that language's share after the mean score of a word, ta
 `EVIDENCE` times, is turned into probabilities.
 
 The model is fitted on a bounded sample: of at most `MAX_LANGS` languages (the most frequent),
-`DOCS_PER_LANG` documents each (the smallest hashes of doc_id), with their whole texts, and of
+`DOCS_PER_LANG` documents each (small hashes of doc_id), with their whole texts, and of
 those the `MAX_WORDS` most frequent words over all languages. Prediction reads every text whole.
 
 Defined results
@@ -51,10 +51,12 @@ def held_out(doc_id="doc_id"):
 def training_words(docs: DataFrame) -> list[tuple[str, str, int]]:
     """(lang, word, count) of the bounded sample."""
     rows = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out())
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").join(F.broadcast(langs), "lang", "left_semi").withColumn("nth", F.row_number().over(order))
-    ids = ids.where(F.col("nth") <= DOCS_PER_LANG).select("doc_id", "lang").distinct()
+    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    # hashes up to twice the share that is needed: the order is over a bounded number of rows, however many a language has
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)
+    near = rows.select("doc_id", "lang").join(F.broadcast(langs), "lang").where(share * F.col("count") <= 2 * DOCS_PER_LANG)
+    order = Window.partitionBy("lang").orderBy(share, "doc_id")
+    ids = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= DOCS_PER_LANG).select("doc_id", "lang").distinct()
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")
     sample = rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", words)
     counts = sample.groupBy("lang", "word").count().orderBy(F.desc("count"), "lang", "word").limit(MAX_WORDS)
