@@ -226,7 +226,7 @@ def _by_doc(sections):
     return sections.select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), "seq", "content", "line_start", "line_end")
 
 
-@_query("WITH d AS (SELECT doc_id, '# first' || chr(10) || 'key: ' || replace(text, '. ', chr(10) || '  - ') AS text FROM documents)" + _ISLANDS.format(head="line <> '' AND NOT regexp_matches(line, '^([ \t#]|---|\.\.\.)')"))
+@_query("WITH d AS (SELECT doc_id, '# first' || chr(10) || 'key: ' || replace(text, '. ', chr(10) || '  - ') AS text FROM documents)" + _ISLANDS.format(head=r"line <> '' AND NOT regexp_matches(line, '^([ \t#]|---|\.\.\.)')"))
 def yaml_sections(spark, sf_dir):
     """Top-level keys, here a document's own lines; items and the comment before the first belong to them."""
     return _by_doc(docs.yaml_sections(_as_files(spark, sf_dir, ".yaml", "concat('# first\nkey: ', replace(text, '. ', '\n  - '))")))
