@@ -113,7 +113,7 @@ class Bands:
 def signatures(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each tile of a set, and its note: (tiles that may still be left) * 4 + (poor slot) * 2 + (parity of the band).
 
-    Sets with few enough poor slots have left them already.
+    Sets with few enough poor slots have left them already; others leave poor slots only, as all tiles in the order before a richer one count.
     """
     total = np.zeros(len(s) + 1, dtype=np.uint64)
     np.cumsum(mix(s ^ np.uint64(0x5851F42D4C957F2D)), out=total[1:])
@@ -129,6 +129,9 @@ def signatures(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
         if poor.sum() <= left:
             left -= int(poor.sum())
             sig, poor = sig[~poor], poor[~poor]
+        else:
+            # poor tiles alone use up what may be left, those that no other set emits included
+            left = np.where(poor, left, 0)
         out.append(sig)
         notes.append((left * 4 + poor * 2 + band % 2).astype(np.int32))
     return np.concatenate(out), np.concatenate(notes)

@@ -103,6 +103,32 @@ def test_linked_sets_share_a_tile():
                 assert op.differ(op.bitmap(s), op.bitmap(u)) <= n - m
 
 
+def test_linked_sets_on_both_sides_of_spare(spark):
+    rnd = np.random.default_rng(7)
+    bands, mixed = op.Bands(90), 0
+    for _ in range(1500):
+        a = np.unique(rnd.integers(0, 2**63, 21).astype(np.uint64) * np.uint64(2))
+        one, two = a[rnd.permutation(21) != 0], a[rnd.permutation(21) != 0]
+        (x, nx), (y, ny) = op.signatures(one, bands), op.signatures(two, bands)
+        if not op._linked(one, two, 90):
+            continue
+        both = set(x.tolist()) & set(y.tolist())  # as the join has it: tiles of one set only are gone before tiles are ranked
+        left = []
+        for tiles, notes in ((x, nx), (y, ny)):
+            for parity in (0, 1):
+                own = sorted((-(n // 2 % 2), t, n // 4) for t, n in zip(tiles.tolist(), notes.tolist()) if n % 2 == parity and t in both)
+                left.append({t for i, (_, t, n) in enumerate(own) if i >= n})
+        mixed += bool({n // 2 % 2 for n in nx.tolist()} != {n // 2 % 2 for n in ny.tolist()})
+        assert (left[0] | left[1]) & (left[2] | left[3])
+    assert mixed
+    rows = []
+    for i in range(3000):
+        words = [f"p{i}w{k}" for k in range(22)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "last"]))]
+    got = {r.doc_id: r.component_id for r in op.graph(frame(spark, rows), 3, 90).collect()}
+    assert [i for i, c in got.items() if c != i - i % 2] == []
+
+
 def test_empty_table_and_representatives(spark):
     assert op.graph(frame(spark, [])).collect() == []
     text = " ".join(f"w{k}" for k in range(40))
