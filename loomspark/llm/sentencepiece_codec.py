@@ -171,6 +171,10 @@ class Codec:
         """
         last: list = [None] * (end - at + 1)
         last[0] = entry
+        if end - at > RUN:
+            # in order, so that no value asks for more than values at hand: `_last` calls itself once for each piece back to the start
+            for e in range(at + 1, end):
+                self._last(text, e, at, last)
         out, e = [], end
         while e > at:
             p = last[e - at] or self._last(text, e, at, last)

@@ -84,6 +84,22 @@ def test_documents_over_several_parts(spark, codec, library, monkeypatch):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_giant_documents_without_spaces(spark, library):
+    rnd = random.Random(4)
+    run = lambda alphabet, n: "".join(rnd.choice(alphabet) for _ in range(n))
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rows = [
+        (1, run("日本語中文的一是不了人在有我他这", 2 * op.CHARS + 500)),
+        (2, run(base64, op.CHARS + 2000)),
+        (3, "some words " * ((op.CHARS - 3000) // 11) + run("กขคงจฉชซญดตถทธน", 6000) + " and words" * 50),
+        (4, "short"),
+    ]
+    got = {r.doc_id: r for r in op.digest(spark.createDataFrame(rows, "doc_id long, text string"), MODEL).collect()}
+    for i, t in rows:
+        ids = np.array(library.encode(t), "<i4")
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest() and got[i].exact, i
+
+
 def test_empty_table(spark):
     assert op.digest(spark.createDataFrame([], "doc_id long, text string"), MODEL).collect() == []
     assert Path(MODEL).exists()
