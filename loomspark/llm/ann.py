@@ -8,7 +8,9 @@ descent over the subspaces, centres by solving the normal equations of that loss
 
 A search takes queries in blocks of `QUERY_BLOCK` (a bounded broadcast each) and scans every
 code with look-up tables; the `RERANK` best distinct vectors of a chunk of rows are scored
-exactly, in double precision, on the original vectors, and the best of each chunk go on.
+exactly, in double precision, on the original vectors. So is every other vector whose code leaves
+it open whether it is better than the worst of the best of these (`Codebook.least`), however many
+they are, and the best of each chunk go on: the codes decide what is read, not what is found.
 
 The codebook is fitted on a bounded sample: `SAMPLE` rows of the smallest hashes of vec_id.
 Every row is indexed.
@@ -36,7 +38,10 @@ SUB = 2
 CENTRES = 16
 #: Cosine from which on inner products shall be kept; sets the weight of the parallel residual.
 KEEP = 0.2
+#: Vectors of a chunk that are scored first; the worst of their best bounds which others are.
 RERANK = 48
+#: More than approximate cosines lose in single precision, and than cosines differ by with the order of their sums.
+ROUND, CLOSE = 1e-4, 1e-9
 QUERY_BLOCK = 4096
 #: Rows that are scanned together.
 CHUNK = 16_384
@@ -127,6 +132,25 @@ class Codebook:
         return out
 
 
+    def split(self, x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each coded vector, the length along the vector x (of length 1) that it stands for, and the length across."""
+        c = np.stack([codes & 15, codes >> 4], axis=2).reshape(len(codes), -1)[:, : self.subs]
+        y = self.centres[np.arange(self.subs), c].reshape(len(codes), -1)
+        along = (x * y).sum(1)
+        return along, np.sqrt(np.maximum((y * y).sum(1) - along**2, 0))
+
+    @staticmethod
+    def least(floor: float, along: np.ndarray, across: np.ndarray) -> np.ndarray:
+        """The smallest approximate cosine that each row may have if its cosine c is floor or more.
+
+        It is along * c + across * s with |s| <= sqrt(1 - c^2), which grows with c from 0 on; else the code's error bounds it.
+        """
+        loose = floor - np.hypot(1 - along, across)
+        if floor < 0:
+            return loose - ROUND
+        return np.where(along > 0, floor * along - np.sqrt(max(0.0, 1 - floor**2)) * across, loose) - ROUND
+
+
 def exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Cosines in double precision, each summed in the same order: [..., d] and [..., d]."""
     dot = (queries * rows).sum(-1)
@@ -148,21 +172,28 @@ def nearest(book: Codebook | None, qid: np.ndarray, q: np.ndarray, ids: np.ndarr
     first, owners = _distinct(ids, x, k + 1)
     x = x[first]
     codes = codes[first] if codes is not None else None
+    want = min(max(RERANK, k + 1), len(x))
+    some = codes is not None and len(x) > want
+    if some:
+        unit = book.unit(x)
+        along, across = book.split(unit, codes)
     out = []
     for i in range(0, len(q), 256):
         part = q[i : i + 256]
-        want = min(RERANK, len(x))
-        if codes is not None and len(x) > want:
-            approximate = book.scan(part, codes)
-            near = np.argpartition(-approximate, want - 1, axis=1)[:, :want]
-        else:
-            near = np.broadcast_to(np.arange(len(x)), (len(part), len(x)))
+        if some:
+            approximate, asked = book.scan(part, codes), book.unit(part)
+            top = np.argpartition(-approximate, want - 1, axis=1)[:, :want]
         for j in range(len(part)):
-            score = exact(part[j], x[near[j]])
+            near = np.arange(len(x))
+            if some:
+                floor = np.sort(unit[top[j]] @ asked[j])[-k - 1] - CLOSE
+                near = np.flatnonzero(~(approximate[j] < book.least(floor, along, across)))
+                near = near[~(unit[near] @ asked[j] < floor)]
+            score = exact(part[j], x[near])
             # a query's own row may be among them
             best = np.argsort(-score, kind="stable")
             cut = score[best[min(len(best) - 1, k)]]
-            pairs = sorted((-s, int(o)) for c, s in zip(near[j][score >= cut], score[score >= cut]) for o in owners[c] if o != qid[i + j])
+            pairs = sorted((-s, int(o)) for c, s in zip(near[score >= cut], score[score >= cut]) for o in owners[c] if o != qid[i + j])
             seen: set[int] = set()
             for s, o in pairs:
                 if o not in seen and len(seen) < k:

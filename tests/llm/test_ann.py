@@ -58,6 +58,25 @@ def test_ties_copies_and_odd_vectors(spark):
     assert got[100] == [v for v, _ in want[100]] and got[1000] == [v for v, _ in want[1000]]
 
 
+def test_recall_in_a_hot_cluster_of_near_copies():
+    for noise in (0.001, 0.01, 0.1):
+        rnd = np.random.default_rng(5)
+        x = rnd.normal(size=(op.CHUNK, 64))
+        hot = op.CHUNK // 3
+        x[:hot] = x[0] + rnd.normal(size=(hot, 64)) * noise
+        x = x.astype(np.float32).astype(float)
+        ids = np.arange(op.CHUNK)
+        book = op.Codebook(x[rnd.permutation(op.CHUNK)[: op.SAMPLE]])
+        asked = np.concatenate([ids[:hot:300], ids[hot::1500]])
+        found = {}
+        for i, v, _ in op.nearest(book, asked, x[asked], ids, x, book.encode(x), 5):
+            found.setdefault(i, []).append(v)
+        for i in asked:
+            score = op.exact(x[i], x)
+            score[i] = -9
+            assert found[i] == np.lexsort([ids, -score])[:5].tolist(), (noise, i)
+
+
 def test_parallel_residual_costs_more():
     x = np.random.default_rng(3).normal(size=(2000, 32))
     book = op.Codebook(x)
