@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut out of `text`; `n_chars` follows."""
+    """Passages that earlier documents have are cut out of `text`; `n_chars` follows. Documents of which no word is left go, even if several documents hold their words."""
     return substring_dedup.with_lengths(substring_dedup.dedup_text(docs))
 
 
