@@ -23,7 +23,7 @@ Defined results
 - null or blank text: no shingles, linked with nothing, component_id = doc_id;
 - fewer than k words: the whole sequence is the one shingle;
 - rows with the same doc_id are the same node of the graph, each row has its own n_shingles;
-- null doc_id: counted, but no node: component_id is null;
+- null doc_id: counted, but no node: component_id is null; `representatives` keeps one such row for each set;
 - other columns of the input are ignored by `join` and carried by `representatives`.
 """
 
@@ -347,10 +347,39 @@ def graph(docs: DataFrame, k: int = 3, threshold: int = 90) -> DataFrame:
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
+def _digested(k: int):
+    def run(batches):
+        for batch in batches:
+            for i, j in slices(batch.column("text")):
+                part = batch.slice(i, j - i)
+                sets = shingles(Words(part.column("text"), lower=True), k)
+                h1, h2 = _digests(sets)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2)], [*part.schema.names, "__n", "__h1", "__h2"])
+
+    return run
+
+
 def representatives(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """The rows of `docs` that are the smallest of their component, and those without a doc_id."""
-    labels = graph(docs, k, threshold).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("__c")).withColumnRenamed("doc_id", "__d")
-    gone = labels.where("__c <> __d").select("__d")
-    plain = docs.toDF(*[f"c{n}" for n in range(len(docs.columns))])
-    kept = plain.join(gone, plain[f"c{docs.columns.index('doc_id')}"] == F.col("__d"), "left_anti")
+    """One row for each doc_id that is the smallest of its component, and for each set of the rows without a doc_id.
+
+    Of several rows, the one with the smallest text stays, as far as there is one; rows without doc_id and shingles all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "representatives")
+    labels = graph(docs, k, threshold).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("__c"), F.count("*").alias("__rows"))
+    labels = scratch.cut(labels.withColumnRenamed("doc_id", "__d").where("__c <> __d or __rows > 1"), "labels")
+    again = labels.where("__c = __d").select("__d")
+    plain = docs.toDF(*["text" if c == "text" else f"c{n}" for n, c in enumerate(docs.columns)])
+    at = F.col(f"c{docs.columns.index('doc_id')}")
+    order = [F.asc_nulls_last("text"), *[c for c, t in plain.dtypes if c != "text" and "map<" not in t and t != "variant"]]
+
+    def one(rows: DataFrame, *keys) -> DataFrame:
+        return rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__nth = 1").select(plain.columns)
+
+    kept = plain.join(labels.select("__d"), at == F.col("__d"), "left_anti")
+    if some(again):
+        kept = kept.unionByName(one(plain.join(again, at == F.col("__d"), "left_semi"), at))
+    if some(docs.where("doc_id is null")):
+        schema = plain.select("*", F.lit(0).cast("long").alias("__n"), F.lit(0).cast("long").alias("__h1"), F.lit(0).cast("long").alias("__h2")).schema
+        digested = plain.where(at.isNull()).mapInArrow(_digested(k), schema)
+        kept = kept.where(at.isNotNull()).unionByName(one(digested.where("__n > 0"), "__n", "__h1", "__h2")).unionByName(digested.where("__n = 0").select(plain.columns))
     return kept.toDF(*docs.columns)

@@ -136,6 +136,15 @@ def test_empty_table_and_representatives(spark):
     assert sorted(r.tile for r in op.representatives(df).collect()) == [0, 2, 3]
 
 
+def test_representatives_of_repeated_rows(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(1, a, 0), (1, a, 1), (1, None, 2), (2, a, 3), (2, a, 4), (3, b, 5), (None, a, 6), (None, a.upper(), 7), (None, a, 8), (None, b, 9), (None, None, 10), (None, "", 11), (4, None, 12), (4, None, 13)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tile int")
+    got = op.representatives(df)
+    assert got.columns == df.columns and got.dtypes == df.dtypes
+    assert sorted(r.tile for r in got.collect()) == [0, 5, 7, 9, 10, 11, 12]
+
+
 def test_shingles_of_short_texts():
     w = Words(pa.array(["a b", "a  b", "b a", "a", None]), lower=True)
     s = op.shingles(w, 3)
