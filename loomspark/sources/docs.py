@@ -1,7 +1,7 @@
 """Document parsers: sections of Markdown, JSON, YAML, TOML and windows of plain text, as DataFrame operations.
 
-A section starts at a line that a format's rule marks; a running count of marks numbers the sections
-(gaps and islands), all inside the row of a file with array functions: no shuffle.
+A section starts at a line that a format's rule marks; sections are cut inside the row of a file with array
+functions, in linear time. Their places in bytes are a running sum over a file's sections.
 """
 
 from __future__ import annotations
@@ -45,23 +45,30 @@ def text_sections(files: DataFrame) -> DataFrame:
     )
 
 
-def _sections(files: DataFrame, heads, name, seq: int = 0, context: bool = True, trimmed: bool = True, lead_in: bool = False) -> DataFrame:
-    """Section chunks: one for each line that `heads` (lines -> array of booleans) marks, named by `name` (its line).
+def _let(value: Column, body) -> Column:
+    """body(value), with `value` evaluated once: a variable of a lambda, which no rule of the optimizer copies into others."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    Sections are cut inside the row of a file; only they leave it. `lead_in`: what is before the first mark joins the first section.
+
+def _sections(files: DataFrame, starts, name, seq: int = 0, context: bool = True, trimmed: bool = True, lead_in: bool = False) -> DataFrame:
+    """Section chunks: one for each line number that `starts` (lines -> array of line numbers from 0) holds, named by `name` (its line).
+
+    Sections are cut inside the row of a file, in time linear in its lines; only they leave it. `lead_in`: what is before the first mark joins the first section.
     """
-    rows = files.withColumn("ls", S.lines(F.col("text"))).where(F.size("ls") > 0)
-    rows = rows.withColumn("heads", heads(F.col("ls")))
-    rows = rows.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("ls") - 1), lambda i: F.get(F.col("heads"), i)))
-    first = F.lit(0) if lead_in else F.get(F.col("starts"), F.lit(0))
-
-    def cut(s, k):
-        begin = F.when(k == 0, first).otherwise(s)
-        end = F.coalesce(F.get(F.col("starts"), k + 1), F.size("ls"))
-        return F.struct(F.get(F.col("ls"), s).alias("head"), begin.alias("begin"), end.alias("end"), F.array_join(F.slice(F.col("ls"), begin + 1, end - begin), "\n").alias("raw"))
-
-    before = F.when(first > 0, F.octet_length(F.array_join(F.slice(F.col("ls"), F.lit(1), first), "\n")) + 1).otherwise(0)
-    rows = rows.select("path", F.size("ls").alias("n"), F.octet_length("text").cast("long").alias("size"), before.cast("long").alias("before"), F.posexplode(F.transform("starts", cut)).alias("nth", "s"))
+
+    def cut(ls, at):
+        first = F.lit(0) if lead_in else F.get(at, F.lit(0))
+
+        def one(s, k):
+            begin = F.when(k == 0, first).otherwise(s)
+            end = F.coalesce(F.get(at, k + 1), F.size(ls))
+            return F.struct(F.get(ls, s).alias("head"), begin.alias("begin"), end.alias("end"), F.array_join(F.slice(ls, begin + 1, end - begin), "\n").alias("raw"))
+
+        before = F.when(first > 0, F.octet_length(F.array_join(F.slice(ls, F.lit(1), first), "\n")) + 1).otherwise(0)
+        return F.struct(F.size(ls).alias("n"), before.cast("long").alias("before"), F.transform(at, one).alias("parts"))
+
+    rows = files.select("path", F.octet_length("text").cast("long").alias("size"), _let(S.lines(F.col("text")), lambda ls: _let(starts(ls), lambda at: cut(ls, at))).alias("c"))
+    rows = rows.select("path", "size", "c.n", "c.before", F.posexplode("c.parts").alias("nth", "s"))
     rows = rows.select("path", "n", "size", "before", "nth", "s.*")
     run = Window.partitionBy("path").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("through", F.col("before") + F.sum(F.octet_length("raw").cast("long") + 1).over(run))
@@ -74,6 +81,11 @@ def _sections(files: DataFrame, heads, name, seq: int = 0, context: bool = True,
     )
 
 
+def _numbers(ls: Column, test) -> Column:
+    """The numbers of the lines that pass `test` (line, number)."""
+    return F.filter(F.transform(ls, lambda x, i: F.when(test(x, i), i)), lambda i: i.isNotNull())
+
+
 def _or(name: Column, otherwise: Column) -> Column:
     return F.when(name == "", otherwise).otherwise(name)
 
@@ -87,14 +99,15 @@ def markdown_sections(files: DataFrame) -> DataFrame:
     )
     fence = lambda x: F.ltrim(x).rlike(r"^(```|~~~)")
 
-    def heads(ls):
-        # outside: an even number of fences before
-        fences = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: fence(F.get(ls, i)))
-        files_ = F.transform(F.array(fences), lambda f: F.transform(ls, lambda x, i: x.startswith("#") & (F.size(F.filter(f, lambda k: k < i)) % 2 == 0)))
-        return F.get(files_, F.lit(0))
+    def starts(ls):
+        marks = _numbers(ls, lambda x, i: x.startswith("#"))
+        # what lies between the first and the second fence, the third and the fourth, …; the last may be open
+        pairs = lambda f: F.sequence(F.lit(0), F.floor((F.size(f) - 1) / 2).cast("int"))
+        inside = lambda f: F.flatten(F.transform(pairs(f), lambda k: F.sequence(F.get(f, 2 * k), F.coalesce(F.get(f, 2 * k + 1), F.size(ls)))))
+        return _let(_numbers(ls, lambda x, i: fence(x)), lambda f: F.when(F.size(f) == 0, marks).otherwise(F.array_except(marks, inside(f))))
 
     named = lambda head, file: _or(F.trim(F.regexp_replace(F.trim(head), "^#+", "")), F.lit("Untitled Section"))
-    return whole.unionByName(_sections(files, heads, named, seq=1, context=False, trimmed=False).drop("n"))
+    return whole.unionByName(_sections(files, starts, named, seq=1, context=False, trimmed=False).drop("n"))
 
 
 def _key_line(x: Column) -> Column:
@@ -104,14 +117,14 @@ def _key_line(x: Column) -> Column:
 def yaml_sections(files: DataFrame) -> DataFrame:
     """A section for each line that starts a top-level key; what is before the first joins it."""
     named = lambda head, file: _or(F.trim(F.substring_index(head, ":", 1)), file)
-    return _sections(files, lambda ls: F.transform(ls, _key_line), named, lead_in=True).drop("n")
+    return _sections(files, lambda ls: _numbers(ls, lambda x, i: _key_line(x)), named, lead_in=True).drop("n")
 
 
 def toml_sections(files: DataFrame) -> DataFrame:
     """A section for each table line; what is before the first is `root`; a blank last section goes, a blank first one stays."""
     table = lambda x: F.trim(x).startswith("[") & ~F.trim(x).startswith("[#")
     named = lambda head, file: _or(F.when(table(head), F.trim(F.regexp_replace(F.trim(head), r"^\[+|\]+$", ""))).otherwise(F.lit("")), F.lit("root"))
-    return _sections(files, lambda ls: F.transform(ls, lambda x, i: table(x) | (i == 0)), named).where("content <> '' OR line_end < n").drop("n")
+    return _sections(files, lambda ls: _numbers(ls, lambda x, i: table(x) | (i == 0)), named).where("content <> '' OR line_end < n").drop("n")
 
 
 @F.pandas_udf(T.StringType())
