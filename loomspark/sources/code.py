@@ -12,6 +12,7 @@ import ast
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -338,28 +339,72 @@ def csharp(text: str, masked: str) -> list[Found]:
     return found
 
 
+def _visible(name: str) -> bool:
+    return name.startswith("__") and name.endswith("__") or not name.startswith("_")
+
+
 def python(text: str) -> list[Found]:
-    tree = ast.parse(text)
-    lines = text.splitlines(keepends=True)
+    """Definitions by the language's own grammar; of a file that it does not take, those that its lines show."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return _python_by_lines(text)
+    lines = re.split(r"(?<=\n)|(?<=\r)(?!\n)", text)  # as the grammar counts them: form feeds and others end none
     before = [0]
     for x in lines:
         before.append(before[-1] + len(x))
     place = lambda line, col: before[line - 1] + len(lines[line - 1].encode()[:col].decode())
     found = []
-
-    def visit(node: ast.AST, context: str | None) -> None:
+    stack: list[tuple[ast.AST, str | None]] = [(tree, None)]
+    while stack:  # expressions may be nested deeper than calls can be
+        node, context = stack.pop()
         for child in ast.iter_child_nodes(node):
             inner = context
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 kind = "class" if isinstance(child, ast.ClassDef) else "function"
                 f = Found(child.name, kind, place(child.lineno, child.col_offset), place(child.end_lineno, child.end_col_offset), context=context)
-                f.public = child.name.startswith("__") and child.name.endswith("__") or not child.name.startswith("_")
+                f.public = _visible(child.name)
                 f.doc = _docstring(child, text, place)
                 found.append(f)
                 inner = child.name if kind == "class" else context
-            visit(child, inner)
+            stack.append((child, inner))
+    return found
+
 
-    visit(tree, None)
+_PYTHON_HIDDEN = re.compile(r"#[^\n]*|(\"\"\"|\'\'\')(?:\\[\s\S]|(?!\1)[\s\S])*(?:\1|\Z)|([\"\'])(?:\\[\s\S]|(?!\2)[^\n\\])*(?:\2|$)", re.M)
+_PYTHON_HEAD = re.compile(r"^([ \t\f]*)(async[ \t]+def|def|class)[ \t]+(\w+)[ \t]*[\[(:]", re.M)
+
+
+def _python_by_lines(text: str) -> list[Found]:
+    """Definitions by their first lines and indents; a definition goes on to the next line that is indented no deeper."""
+    masked = _PYTHON_HIDDEN.sub(lambda m: re.sub(r"[^\n]", "_" if m[0][0] != "#" else " ", m[0]), text)
+    width = lambda x: len(x.replace("\f", "").expandtabs(8))
+    found, open_ = [], []  # open_: (indent, name of a class or None)
+    for m in _PYTHON_HEAD.finditer(masked):
+        indent, start = width(m[1]), m.end(1)
+        open_ = [o for o in open_ if o[0] < indent]
+        end, at, depth = None, masked.find("\n", start) + 1, 0
+        depth = sum((c in "([{") - (c in ")]}") for c in masked[start : at or len(masked)])
+        last = at - 1 if at else len(masked)
+        while at:
+            stop = masked.find("\n", at)
+            line = masked[at : stop if stop >= 0 else len(masked)]
+            if line.strip():
+                if width(line[: len(line) - len(line.lstrip())]) <= indent and (depth <= 0 or _PYTHON_HEAD.match(line)):
+                    break
+                last = at + len(line.rstrip())
+                depth = max(0, depth) + sum((c in "([{") - (c in ")]}") for c in line)
+            at = stop + 1
+        end = last
+        kind = "class" if m[2] == "class" else "function"
+        holder = next((name for _, name in reversed(open_) if name), None)
+        f = Found(m[3], kind, start, end, context=holder)
+        f.public = _visible(m[3])
+        body = re.match(r"[^\n]*:[ \t]*\n\s*(\"\"\"|\'\'\'|\"|\')", text[start:end])
+        if body and (close := text.find(body[1], start + body.end())) >= 0:
+            f.doc = _paragraph(text[start + body.end() : close].strip().split("\n"), lambda x: not x)
+        found.append(f)
+        open_.append((indent, m[3] if kind == "class" else None))
     return found
 
 
@@ -416,19 +461,17 @@ def _xml_doc(lines: list[str]) -> str | None:
 # --- all together ---
 
 
+def _opened(text: str, pair: str) -> int:
+    """Brackets of a pair that are open at the end: what is left when closers take openers away, and closers without one count for nothing."""
+    sums = list(accumulate((c == pair[0]) - (c == pair[1]) for c in text if c in pair))
+    return sums[-1] - min(0, *sums) if sums else 0
+
+
 def signature(content: str) -> str:
     """Trimmed lines up to the one that opens a body or ends a statement outside of brackets, five at most."""
-    out: list[str] = []
-    round_, angle = 0, 0
-    for line in content.split("\n")[:SIGNATURE_LINES]:
-        line = line.strip()
-        for c in line:
-            round_ = max(0, round_ + (c == "(") - (c == ")"))
-            angle = max(0, angle + (c == "<") - (c == ">"))
-        out.append(line)
-        if not round_ and not angle and line.endswith(("{", ";")):
-            break
-    return " ".join(out)
+    lines = [x.strip() for x in content.split("\n")[:SIGNATURE_LINES]]
+    ends = (n for n, x in enumerate(lines, 1) if x.endswith(("{", ";")) and not any(_opened("".join(lines[:n]), pair) for pair in ("()", "<>")))
+    return " ".join(lines[: next(ends, len(lines))])
 
 
 def _contexts(found: list[Found], kinds: tuple[str, ...]) -> None:
@@ -445,10 +488,7 @@ def parse(path: str, text: str) -> list[dict]:
     """The chunks of a file, in order of their places; a file of no known (lower-case) extension has none."""
     ext = path.rpartition(".")[2] if "." in path.rpartition("/")[2] else ""
     if ext == "py":
-        try:
-            found = python(text)
-        except (SyntaxError, ValueError):
-            return []
+        found = python(text)
     elif ext == "rs":
         found = rust(text, masked := mask(text, "rs"))
         _contexts(found, ("struct", "interface", "impl"))

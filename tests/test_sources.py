@@ -123,3 +123,54 @@ def test_scalars(spark):
     assert S.qualified("A.b.c") == ("A.b", "c") and S.qualified(".x") == (None, ".x") and S.qualified("README.") == (None, "README.")
     assert one(S.xml_summary(F.lit("x <summary> A <b>b</b>\n c </summary>"))) == "A b c" and one(S.xml_summary(F.lit("<a>"))) is None
     assert one(S.snippet(F.lit("a\n  the name here \n name"), "name")) == "the name here"
+
+
+def test_scan_finds_hidden_and_empty_files(spark, tmp_path):
+    wanted = {"pkg/__init__.py": b"", "pkg/_private/c.py": b"c = 1", ".github/workflows/ci.yml": b"on: push", "_x.md": b"# x", ".hidden.rs": b"", "a/b/c/d/e/f.txt": b"deep", "a%20b+c.md": b"x"}
+    for path, content in (wanted | {".git/x.md": b"x", "a/build/x.rs": b"x", "_x.bin": b"x"}).items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(content)
+    (tmp_path / "link.md").symlink_to(tmp_path / "_x.md")
+    (tmp_path / "dead.md").symlink_to(tmp_path / "nothing")
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        got = {r.path: bytes(r.content) for r in scan.scan(spark, root).collect()}
+        assert got == wanted | {"link.md": b"# x"}
+    assert scan.scan(spark, str(tmp_path / "a/b/c/d/e")).count() == 1
+
+
+def test_scan_shares_out_many_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scan, "FOLDERS", 4)
+    for i in range(40):
+        (tmp_path / f"d{i % 7}/e{i}").mkdir(parents=True)
+        (tmp_path / f"d{i % 7}/e{i}/_f.py").write_text(str(i))
+    got = scan.scan(spark, str(tmp_path)).collect()
+    assert sorted(int(r.content) for r in got) == list(range(40)) and {r.length for r in got} == {1, 2}
+
+
+def test_python_lines_and_deep_expressions():
+    (c,) = code.parse("a.py", "x = 1\n\x0c\ndef a():\n    s = '\u2028'\n    return s\n")
+    assert (c["line_start"], c["line_end"]) == (3, 5) and c["content"].startswith("def a():")
+    assert [x["name"] for x in code.parse("a.py", "a = 1\rdef b(): pass\r\ndef c(): pass")] == ["b", "c"]
+    for deep in ("x = " + "1+" * 5000 + "1", "x = " + "-" * 5000 + "1", "x = " + "(" * 3000 + ")" * 3000):
+        assert [c["name"] for c in code.parse("a.py", f"def first(): pass\n{deep}\ndef last():\n    return 1\n")] == ["first", "last"]
+
+
+def test_python_with_a_syntax_error_keeps_its_definitions():
+    text = 'class A(B):\n    """Says a."""\n    x = (1 +\n2)\n    def m(self,\n          y):\n        return "def no(): # (" + (\n\n    async def n(self): pass\n# def hidden():\ndef _p():\n    oops oops\n\nclass __Q__: pass\n'
+    got = code.parse("a.py", text)
+    assert [(c["name"], c["kind"], c["context"], c["visibility"], c["line_start"], c["line_end"], c["doc_summary"]) for c in got] == [
+        ("A", "class", None, "public", 1, 9, "Says a."), ("m", "method", "A", "public", 5, 7, None), ("n", "method", "A", "public", 9, 9, None),
+        ("_p", "function", None, "private", 11, 12, None), ("__Q__", "class", None, "public", 14, 14, None),
+    ]
+
+
+def test_sections_take_linear_time(spark):
+    import time
+
+    text = "\n".join("```" if i % 8 == 0 else f"# head {i}" for i in range(20_000))
+    files = spark.createDataFrame([("a.md", text), ("b.yaml", "\n".join(f"k{i}: 1" for i in range(20_000))), ("c.toml", "[t]\n" * 20_000)], "path string, text string")
+    docs.sections(files.where("path = 'x'")).collect()
+    began = time.perf_counter()
+    got = docs.sections(files).groupBy("file").count().collect()
+    assert {r.file: r["count"] for r in got} == {"a.md": 1 + 8750, "b.yaml": 20_000, "c.toml": 20_000}
+    assert time.perf_counter() - began < 30
