@@ -9,6 +9,8 @@ from ..scratch import Scratch
 
 #: Names that are searched for together, at most: what is broadcast is bounded by it.
 NAMES = 100_000
+#: Calls that the driver walks by itself, at most, and those on or above cycles.
+LOCAL, CYCLIC = 100_000, 5_000_000
 
 
 def functions(chunks: DataFrame) -> DataFrame:
@@ -66,37 +68,42 @@ def token_edges(chunks: DataFrame) -> DataFrame:
 def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """name, level: 0 for those that call nothing, else one more than the highest callee.
 
-    Acyclic parts are peeled level by level (two anti joins each). What is on or above a cycle has no
-    unique answer: it is collected and walked depth-first, by name, a call back into the walk counting
-    as level 0; then levels close up.
+    Functions whose callees all have levels get theirs, a round for each level: one aggregate and two joins, one written table.
+    Once at most `LOCAL` calls are left, they are walked on the driver. So is what is on or above a cycle, which has no
+    unique answer: it is walked depth-first, by name, a call back into the walk counting as level 0; then levels close up.
+    Cycles and what is above them may hold at most `CYCLIC` calls.
     """
-    scratch = Scratch(vertices.sparkSession, "levels")
-    rest = scratch.cut(vertices.select("name").distinct(), "vertices")
-    left = scratch.cut(edges.select("caller", "callee").distinct().join(rest.withColumnRenamed("name", "callee"), "callee", "left_semi"), "edges")
-    done, level = None, 0
+    spark, scratch = vertices.sparkSession, Scratch(vertices.sparkSession, "levels")
+    names = vertices.select("name").distinct()
+    calls = edges.select("caller", "callee").distinct().join(names.withColumnRenamed("name", "callee"), "callee", "left_semi")
+    calls = scratch.cut(calls, "calls")
+    # `open`: callees without a level; `level`: that of a function with none, so far the least it can be of others
+    state = names.join(calls.groupBy(F.col("caller").alias("name")).agg(F.count("*").alias("open")), "name", "left")
+    state = scratch.cut(state.select("name", F.coalesce("open", F.lit(0)).cast("long").alias("open"), F.lit(0).alias("level")), "state0")
+    step = 0
     while True:
-        calling = left.select(F.col("caller").alias("name")).distinct()
-        ready = scratch.cut(rest.join(calling, "name", "left_anti").withColumn("level", F.lit(level)), f"ready{level}")
-        if not ready.take(1):
+        left = calls.join(state.where("open > 0").select(F.col("name").alias("caller")), "caller", "left_semi")
+        n, ready = left.count(), state.where(f"open = 0 AND level = {step}")
+        if n <= LOCAL or not ready.take(1):
             break
-        done = ready if done is None else done.unionByName(ready)
-        rest = scratch.cut(rest.join(ready, "name", "left_anti"), f"rest{level}")
-        left = scratch.cut(left.join(ready.withColumnRenamed("name", "callee"), "callee", "left_anti"), f"left{level}")
-        level += 1
-    schema = "name string, level int"
-    if rest.take(1):
-        over = scratch.cut(edges.join(rest.withColumnRenamed("name", "caller"), "caller", "left_semi").select("caller", "callee").distinct(), "over")
-        called = over.select(F.col("callee").alias("name")).distinct()
-        known = {} if done is None else {r.name: r.level for r in done.join(called, "name", "left_semi").collect()}
-        calls: dict[str, list[str]] = {}
-        for r in over.collect():
-            calls.setdefault(r.caller, []).append(r.callee)
-        walked = vertices.sparkSession.createDataFrame(sorted(_walk(calls, known).items()), schema)
-        done = walked if done is None else done.unionByName(walked)
-    if done is None:
-        return vertices.sparkSession.createDataFrame([], schema)
+        told = calls.join(ready.select(F.col("name").alias("callee")), "callee", "left_semi").groupBy(F.col("caller").alias("name")).agg(F.count("*").alias("told"))
+        level = F.when(F.col("told") > 0, F.lit(step + 1)).otherwise(F.col("level"))
+        state = state.join(told, "name", "left").select("name", (F.col("open") - F.coalesce("told", F.lit(0))).alias("open"), level.alias("level"))
+        state = scratch.cut(state, f"state{step + 1}")
+        scratch.drop(f"state{step}")
+        step += 1
+    done = state.where("open = 0").select("name", "level")
+    if n > CYCLIC:
+        raise ValueError(f"{n} calls are on or above cycles; at most {CYCLIC} can be walked")
+    if n:
+        left = scratch.cut(left, "left")
+        known = {r.name: r.level for r in done.join(left.select(F.col("callee").alias("name")).distinct(), "name", "left_semi").collect()}
+        called: dict[str, list[str]] = {}
+        for r in left.collect():
+            called.setdefault(r.caller, []).append(r.callee)
+        done = done.unionByName(spark.createDataFrame(sorted(_walk(called, known).items()), "name string, level int"))
     used = [r.level for r in done.select("level").distinct().orderBy("level").collect()]
-    closed = F.array_position(F.array(*map(F.lit, used)), F.col("level")).cast("int") - 1
+    closed = F.array_position(F.array(*map(F.lit, used)).cast("array<int>"), F.col("level")).cast("int") - 1
     return done.select("name", closed.alias("level"))
 
 
