@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import time
 from dataclasses import dataclass
 from pathlib import Path
@@ -12,12 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..scratch import Scratch
 from ..sources import code, docs, scan, schemas
 from . import hierarchy
 
 _TABLES = {"files": schemas.FILES, "chunks": schemas.CHUNKS, "vectors": "file string, seq int, embedding array<float>", "summaries": schemas.SUMMARIES}
 
 
+#: Chunks that are embedded before their vectors are saved, about.
+EMBED_ROUND = 200_000
+
+
 @dataclass
 class Changes:
     added: int = 0
@@ -63,18 +69,19 @@ class Index:
 
     # --- tables ---
 
-    def _version(self) -> int | None:
+    def _held(self) -> dict[str, list[int]]:
+        """The versions that make up each table."""
         try:
             held = json.loads((self.folder / "_CURRENT").read_text())
         except (FileNotFoundError, ValueError):
-            return None
-        return held["table"] if held.get("version") == schemas.VERSION else None  # another format is recreated
+            return {}
+        return held["tables"] if held.get("version") == schemas.VERSION else {}  # another format is recreated
 
     def table(self, name: str) -> DataFrame:
-        v = self._version()
-        if v is None or not (self.folder / f"v={v}" / name).exists():
+        parts = [str(self.folder / f"v={v}" / name) for v in self._held().get(name, [])]
+        if not parts:
             return self.spark.createDataFrame([], _TABLES[name])
-        return self.spark.read.schema(_TABLES[name]).parquet(str(self.folder / f"v={v}" / name))
+        return self.spark.read.schema(_TABLES[name]).option("recursiveFileLookup", True).parquet(*parts)
 
     @property
     def files(self) -> DataFrame:
@@ -89,17 +96,23 @@ class Index:
         """chunk_id, embedding."""
         return self.table("vectors").join(self.chunks.select("file", "seq", "chunk_id"), ["file", "seq"]).select("chunk_id", "embedding")
 
-    def save(self, **tables: DataFrame) -> None:
-        """A new version: all tables are written first, then one rename makes it current. Readers keep theirs."""
-        v = (self._version() or 0) + 1
-        while (self.folder / f"v={v}").exists():
-            v += 1
-        out = self.folder / f"v={v}"
-        for name in _TABLES:
-            tables.get(name, self.table(name)).write.parquet(str(out / name))
+    def save(self, append: bool = False, **tables: DataFrame) -> None:
+        """A new version of `tables`, or more rows of them: they are written first, then one rename makes them current.
+
+        Tables that are not given stay as they are. Readers keep what they have: what neither the new version nor the one before it needs is removed.
+        """
+        before = self._held()
+        v = max([int(p.name[2:]) for p in self.folder.glob("v=*")], default=0) + 1
+        for name, rows in tables.items():
+            rows.write.parquet(str(self.folder / f"v={v}" / name))
+        now = before | {name: [*(before.get(name, []) if append else []), v] for name in tables}
         staged = self.folder / f"_CURRENT.{os.getpid()}"
-        staged.write_text(json.dumps({"version": schemas.VERSION, "table": v, "last_indexed": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}))
+        staged.write_text(json.dumps({"version": schemas.VERSION, "tables": now, "last_indexed": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}))
         os.replace(staged, self.folder / "_CURRENT")
+        needed = {n for held in (before, now) for parts in held.values() for n in parts}
+        for p in self.folder.glob("v=*"):
+            if int(p.name[2:]) not in needed:
+                shutil.rmtree(p, ignore_errors=True)
 
     # --- refresh ---
 
@@ -107,38 +120,39 @@ class Index:
         code_files, doc_files = found.where("chunk_type = 'code'"), found.where("chunk_type = 'doc'")
         return code.definitions(code_files).unionByName(docs.sections(doc_files))
 
-    def _ids(self, rows: DataFrame) -> DataFrame:
-        ranged = numbered(rows)
-        path = str(self.folder / f"_ids.{time.time_ns()}")
-        ranged.write.parquet(path)
-        ranged = self.spark.read.parquet(path)
+    def _ids(self, rows: DataFrame, scratch: Scratch) -> DataFrame:
+        ranged = scratch.cut(numbered(rows), "ranged")  # one evaluation decides the ranges
         counts = {r.p: r.n for r in ranged.groupBy("p").agg(F.count("*").alias("n")).collect()}
         base, offset = 0, []
         for p in sorted(counts):
             offset.append((p, base))
             base += counts[p]
-        table = self.spark.createDataFrame(offset, "p long, base long")
+        table = self.spark.createDataFrame(offset, "p long, base long")  # a row for each range
         names = [c.split()[0] for c in schemas.RAW.split(", ")]
         return ranged.join(F.broadcast(table), "p").select((F.col("base") + F.col("i")).alias("chunk_id"), *names)
 
     def refresh(self, root: str) -> Changes:
-        """Brings the index to the state of a tree. Contents are read of new files, and of those with another time only."""
-        before = self.files
-        found = scan.scan(self.spark, root)
-        status = compared(found, before)
+        """Brings the index to the state of a tree. Contents are read, once, of new files and of those with another time only."""
+        scratch, before = Scratch(self.spark, "refresh"), self.files
+        found = scratch.cut(scan.listing(self.spark, root), "listing")
+        status = scratch.cut(compared(found, before), "status")
         counts = {r.status: r.n for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
         if not (counts.get("added") or counts.get("removed") or counts.get("stale")):
+            scratch.drop("listing", "status")
             return Changes(pending=self.pending())
-        fresh = scan.texts(found.join(status.where(F.col("status").isin("added", "stale")), "path"))
-        fresh = fresh.join(before.select("path", F.col("hash").alias("old_hash")), "path", "left")
+        fresh = scan.texts(scan.read(found.join(status.where(F.col("status").isin("added", "stale")), "path"), root)).drop("content")
+        fresh = scratch.cut(fresh.join(before.select("path", F.col("hash").alias("old_hash")), "path", "left"), "fresh")
         changed = fresh.where(~F.col("hash").eqNullSafe(F.col("old_hash")))
         updated = changed.where("status = 'stale'").count()
         gone = status.where("status = 'removed'").select("path").unionByName(changed.select("path"))
         rows = changed.select("path", "mtime", "hash", "chunk_type", "error")
         touched = fresh.where(F.col("hash").eqNullSafe(F.col("old_hash"))).select("path", F.col("mtime").alias("new"))
-        kept = without(before, gone, "path").join(touched, "path", "left").withColumn("mtime", F.coalesce("new", "mtime")).drop("new")
-        chunks = without(self.chunks.drop("chunk_id"), gone).unionByName(self._parsed(changed))
-        self.save(files=kept.unionByName(rows), chunks=self._ids(chunks), vectors=without(self.table("vectors"), gone))
+        tables = {"files": without(before, gone, "path").join(touched, "path", "left").withColumn("mtime", F.coalesce("new", "mtime")).drop("new").unionByName(rows)}
+        if updated or counts.get("added") or counts.get("removed"):
+            chunks = without(self.chunks.drop("chunk_id"), gone).unionByName(self._parsed(changed))
+            tables |= {"chunks": self._ids(chunks, scratch), "vectors": without(self.table("vectors"), gone)}
+        self.save(**tables)
+        scratch.drop("listing", "status", "fresh", "ranged")
         return Changes(counts.get("added", 0), updated, counts.get("removed", 0), self.pending())
 
     def reindex(self, root: str) -> Changes:
@@ -152,10 +166,12 @@ class Index:
         return self.chunks.join(self.table("vectors").select("file", "seq"), ["file", "seq"], "left_anti").count()
 
     def embed(self, embedder, batch_size: int = 500) -> int:
-        """Vectors for the chunks that have none; how many there were."""
+        """Vectors for the chunks that have none; how many there were.
+
+        They are made and saved in rounds of about EMBED_ROUND chunks: after a failure, the next call goes on with the rest.
+        """
         if batch_size <= 0:
             raise ValueError("batch_size has to be positive")
-        todo = self.chunks.join(self.table("vectors").select("file", "seq"), ["file", "seq"], "left_anti")
         text = S.embedding_text(F.col("chunk_type"), F.col("kind"), F.col("name"), F.col("content"))
 
         def run(frames):
@@ -165,10 +181,12 @@ class Index:
                     out += embedder(list(pdf["text"].iloc[i : i + batch_size]))
                 yield pdf[["file", "seq"]].assign(embedding=out)
 
-        new = todo.select("file", "seq", text.alias("text")).mapInPandas(run, _TABLES["vectors"])
-        n = todo.count()
-        if n:
-            self.save(vectors=self.table("vectors").unionByName(new))
+        n = self.pending()
+        rounds = -(-n // EMBED_ROUND)
+        for r in range(rounds):
+            todo = self.chunks.join(self.table("vectors").select("file", "seq"), ["file", "seq"], "left_anti")
+            todo = todo.where(F.pmod(F.xxhash64("file", "seq"), F.lit(rounds)) == r)
+            self.save(append=True, vectors=todo.select("file", "seq", text.alias("text")).mapInPandas(run, _TABLES["vectors"]))
         return n
 
     def status(self) -> dict:

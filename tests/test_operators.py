@@ -179,6 +179,15 @@ def test_levels(spark):
     assert graph(spark, [("s", "s")]) == {"s": 0}  # levels close up
 
 
+def test_levels_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr(callgraph, "LOCAL", 0)
+    assert graph(spark, [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("a", "d")], ["x"]) == {"d": 0, "x": 0, "b": 1, "c": 1, "a": 2}
+    assert graph(spark, [("a", "b"), ("b", "a"), ("t", "a"), ("b", "leaf")]) == {"leaf": 0, "b": 1, "a": 2, "t": 3}
+    monkeypatch.setattr(callgraph, "CYCLIC", 1)
+    with pytest.raises(ValueError, match="cycles"):
+        graph(spark, [("a", "b"), ("b", "a")])
+
+
 def test_edges_are_substrings(spark):
     df = frame(spark, [chunk(1, "get", content="fn get() { }"), chunk(2, "get_name", content="fn get_name() { get() }"), chunk(3, "get", content="other get"), chunk(4, "", content="get_name")])
     got = {(r.caller, r.callee): r.n for r in callgraph.edges(df).collect()}
@@ -272,6 +281,36 @@ def test_refresh(spark, tmp_path):
     assert index.status()["n_errors"] == 0
 
 
+def test_embedding_goes_on_after_a_failure(spark, tmp_path, monkeypatch):
+    class Failing(connectors.HashEmbedder):
+        """Works for some calls, then fails, as a service may."""
+
+        def __init__(self, left):
+            super().__init__(8)
+            self.left = left
+
+        def one(self, text):
+            if "Two" in text and self.left:
+                raise RuntimeError("no service")
+            return super().one(text)
+
+    root = tmp_path / "tree"
+    write(root, samples.FILES)
+    index = Index(spark, str(tmp_path / "index"))
+    n = index.refresh(str(root)).pending
+    monkeypatch.setattr("loomspark.operators.index.EMBED_ROUND", 5)
+    with pytest.raises(Exception, match="no service"):
+        index.embed(Failing(True))
+    left = index.pending()
+    assert 0 < left <= n
+    assert index.embed(Failing(False)) == left and index.pending() == 0 and index.embeddings.count() == n
+    kept = {p.name for p in (tmp_path / "index").glob("v=*")}
+    index.save(chunks=index.chunks.limit(0))
+    index.save(chunks=index.chunks.limit(0))
+    assert kept - {p.name for p in (tmp_path / "index").glob("v=*")}  # what no reader needs any more is gone
+    assert index.table("vectors").count() == n
+
+
 def test_lock_and_dirty(spark, tmp_path):
     index = Index(spark, str(tmp_path))
     (tmp_path / "tree").mkdir()
