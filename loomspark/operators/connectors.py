@@ -37,7 +37,7 @@ class HashEmbedder:
         v = [0.0] * self.dim
         for w in re.findall(r"\w+", text.lower()):
             for piece in {w, *(f"<{w}>"[i : i + 3] for i in range(len(w)))}:
-                h = int.from_bytes(hashlib.blake2b(piece.encode(), digest_size=8).digest(), "big")
+                h = int.from_bytes(hashlib.md5(piece.encode(), usedforsecurity=False).digest()[:8], "big")
                 v[h % self.dim] += 1.0 if h >> 63 else -1.0
         norm = math.sqrt(sum(x * x for x in v))
         return [x / norm for x in v] if norm else v

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import callgraph, connectors, hierarchy, index, search, summaries
+from ..scratch import Scratch
 from ..sources import code, docs
-from . import render, samples
+from . import expected, render, samples
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -63,20 +64,23 @@ def page_paths(spark, sf_dir) -> DataFrame:
 _PATHS = "WITH paths AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[^:]*://([^?#]*)', 1), '/$', '') AS path, length(html) AS size FROM pages), d AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS dir, regexp_extract(path, '([^/]*)$', 1) AS file_name FROM paths)"
 
 
+_EXTENSIONS = (".rs", ".tsx", ".js", ".py", ".cs", ".go")
+
+
 def page_chunks(spark, sf_dir) -> DataFrame:
     """Each page is a symbol: of three kinds, some of them methods of a class that is another page of the same directory."""
     p = page_paths(spark, sf_dir)
     kind = F.when(F.col("page_id") % 3 == 0, "class").when(F.col("page_id") % 3 == 1, "method").otherwise("constant")
     return p.select(
         F.col("page_id").alias("chunk_id"), F.lit("code").alias("chunk_type"), F.concat(F.lit("s"), (F.col("page_id") % 40).cast("string")).alias("name"), kind.alias("kind"),
-        F.concat("path", F.lit(".rs")).alias("file"), F.col("page_id").cast("int").alias("seq"), F.lit(1).alias("line_start"), F.lit(2).alias("line_end"), F.col("path").alias("content"),
+        F.concat("path", F.element_at(F.array(*map(F.lit, _EXTENSIONS)), (F.col("page_id") % 6 + 1).cast("int"))).alias("file"), F.col("page_id").cast("int").alias("seq"), F.lit(1).alias("line_start"), F.lit(2).alias("line_end"), F.col("path").alias("content"),
         F.concat(F.lit("s"), (F.col("page_id") % 12).cast("string")).alias("context"),
         F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("pub fn s"), F.col("page_id").cast("string"), F.lit("(a: u8) {"))).alias("signature"),
         F.when(F.col("page_id") % 5 == 0, F.lit("A summary")).alias("doc_summary"), F.when(F.col("page_id") % 4 == 0, "private").otherwise("public").alias("visibility"),
     )
 
 
-_SYMBOLS = _PATHS + """, c AS (SELECT page_id AS seq, path || '.rs' AS file, dir, file_name || '.rs' AS file_name, 's' || (page_id % 40) AS name, 's' || (page_id % 12) AS context,
+_SYMBOLS = _PATHS + """, c AS (SELECT page_id AS seq, path || ['.rs', '.tsx', '.js', '.py', '.cs', '.go'][page_id % 6 + 1] AS file, dir, file_name || ['.rs', '.tsx', '.js', '.py', '.cs', '.go'][page_id % 6 + 1] AS file_name, 's' || (page_id % 40) AS name, 's' || (page_id % 12) AS context,
  CASE page_id % 3 WHEN 0 THEN 'class' WHEN 1 THEN 'method' ELSE 'constant' END AS kind, CASE WHEN page_id % 2 = 0 THEN 'pub fn s' || page_id || '(a: u8) {' END AS signature FROM d),
 h AS (SELECT file, name AS context, max(seq) AS holder FROM c WHERE kind = 'class' GROUP BY ALL),
 s AS (SELECT c.*, CASE WHEN kind <> 'class' THEN holder END AS holder, CASE kind WHEN 'class' THEN 0 WHEN 'method' THEN 4 ELSE 5 END AS sort_key FROM c LEFT JOIN h USING (file, context)),
@@ -160,9 +164,19 @@ def intern_dictionary(spark, sf_dir):
     return search.interned(table(spark, sf_dir, "documents"), "source", "doc_id")
 
 
-@_query(_PARTS + """, hit AS (SELECT * FROM chunks WHERE contains(content, 'SMALL')) SELECT chunk_id, content AS snippet FROM hit WHERE name <> 'SMALL'""")
+def mention_chunks(spark, sf_dir) -> DataFrame:
+    """Parts of which each fiftieth defines SMALL, and whose second lines call a helper."""
+    body = F.concat("content", F.lit("\n  x = helper"), (F.col("chunk_id") % 3).cast("string"), F.lit("(1) "))
+    return part_chunks(spark, sf_dir).withColumn("name", F.when(F.col("chunk_id") % 50 == 0, "SMALL").otherwise(F.col("name"))).withColumn("content", body)
+
+
+_MENTIONS = _PARTS + """, m AS (SELECT chunk_id, context || '.rs' AS file, line_start, CASE WHEN chunk_id % 50 = 0 THEN 'SMALL' ELSE name END AS name, content AS first, chunk_id % 3 AS helper FROM chunks),
+ r AS (SELECT * FROM m WHERE contains(first, 'SMALL') AND NOT EXISTS (SELECT 1 FROM m d WHERE d.name = 'SMALL' AND d.file = m.file AND d.line_start = m.line_start))"""
+
+
+@_query(_MENTIONS + " SELECT chunk_id, first AS snippet FROM r")
 def find_references(spark, sf_dir):
-    return search.references(part_chunks(spark, sf_dir), "SMALL").select("chunk_id", "snippet")
+    return search.references(mention_chunks(spark, sf_dir), "SMALL").select("chunk_id", "snippet")
 
 
 @_query("""SELECT turn_id, pos, callee FROM (SELECT conv_id * 1000 + turn AS turn_id, unnest(regexp_extract_all(text || ' f (x) g(', '(\\w+)\\s*\\(', 1)) AS callee, generate_subscripts(regexp_extract_all(text || ' f (x) g(', '(\\w+)\\s*\\(', 1), 1) - 1 AS pos FROM conversations)""")
@@ -199,13 +213,14 @@ def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.content_hash(F.col("text")).alias("hash"))
 
 
-@_query("""WITH d AS (SELECT doc_id, '# Part ' || doc_id || chr(10) || replace(text, '. ', chr(10) || '## ') AS text FROM documents), l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)), 1) AS i FROM d),
-g AS (SELECT *, sum(CASE WHEN starts_with(line, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS seq FROM l) SELECT doc_id, seq::INTEGER AS seq, string_agg(line, chr(10) ORDER BY i) AS content, min(i)::INTEGER AS line_start, max(i)::INTEGER AS line_end FROM g GROUP BY ALL""")
+@_query("""WITH d AS (SELECT doc_id, '# Part ' || doc_id || chr(10) || replace(replace(text, '. ', chr(10) || '## '), ', ', chr(10) || ' ~~~ ' || chr(10) || '#') AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)), 1) AS i FROM d),
+o AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^ *(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 0 AS outside FROM l),
+g AS (SELECT *, sum(CASE WHEN starts_with(line, '#') AND outside THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS seq FROM o) SELECT doc_id, seq::INTEGER AS seq, string_agg(line, chr(10) ORDER BY i) AS content, min(i)::INTEGER AS line_start, max(i)::INTEGER AS line_end FROM g GROUP BY doc_id, seq""")
 def markdown_sections(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    text = F.concat(F.lit("# Part "), F.col("doc_id").cast("string"), F.lit("\n"), F.replace(F.col("text"), F.lit(". "), F.lit("\n## ")))
-    got = docs.markdown_sections(d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), text.alias("text"))).where("kind = 'section'")
-    return got.select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), "seq", "content", "line_start", "line_end")
+    """Sentences are sections; commas are fences, so that every second one hides what looks like a heading."""
+    text = "concat('# Part ', doc_id, '\n', replace(replace(text, '. ', '\n## '), ', ', '\n ~~~ \n#'))"
+    return _by_doc(docs.markdown_sections(_as_files(spark, sf_dir, ".md", text)).where("kind = 'section'"))
 
 
 @_query("""SELECT event_id, unnest(json_keys(props)) AS key, json_extract(props, '$.' || unnest(json_keys(props)))::VARCHAR AS value FROM events""")
@@ -237,16 +252,16 @@ def toml_sections(spark, sf_dir):
     return _by_doc(docs.toml_sections(_as_files(spark, sf_dir, ".toml", "replace(text, '. ', '\n [part.a] \n')")))
 
 
-@_query()
+@_query(expected.definitions_sql())
 def code_definitions(spark, sf_dir):
     """Definitions of the sample files, of every supported language."""
     return code.definitions(samples.frame(spark))
 
 
-@_query()
+@_query(expected.sections_sql())
 def doc_sections(spark, sf_dir):
     """Sections of the sample documents: Markdown, JSON, YAML, TOML and text."""
-    return docs.sections(samples.frame(spark))
+    return docs.sections(samples.frame(spark).where("path like 'docs/%'"))
 
 
 # --- functions ---
@@ -267,10 +282,12 @@ def symbol_costs(spark, sf_dir):
     return p.select("p_partkey", S.symbol_cost(F.col("p_name"), F.col("p_type")).cast("int").alias("cost"), S.recommendation(F.col("p_size") * 20).alias("recommendation"))
 
 
-@_query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '<[^>]*>', '', 'g')) AS title, substring(regexp_replace('pub pub async ' || url || '{', '^(pub )+(async )+', ''), 1, 0) AS rest FROM pages")
+@_query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS title, url AS rest FROM pages")
 def xml_text(spark, sf_dir):
+    """Titles without tags, and signatures without modifiers and what opens a body."""
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", S.without_tags(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"), F.lit("").alias("rest"))
+    rest = S.short_signature(F.concat(F.lit(" pub pub async export function "), F.col("url"), F.lit(" {{")), 1 << 20)
+    return p.select("page_id", S.without_tags(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"), rest.alias("rest"))
 
 
 @_query("""WITH t AS (SELECT page_id, 'fn ' || url || '(a)' AS s FROM pages) SELECT page_id, CASE WHEN octet_length(encode(s)) <= 40 THEN s ELSE substring(s, 1, 37) || '...' END AS short FROM t""")
@@ -359,9 +376,9 @@ def outline(spark, sf_dir):
     return search.outline(part_chunks(spark, sf_dir), "Brand#3.rs").select("chunk_id", "name", "line_start")
 
 
-@_query(_PARTS + " SELECT 'called_by' AS direction, name, context || '.rs' AS file, line_start::BIGINT AS line FROM chunks WHERE contains(content, 'SMALL')")
+@_query(_MENTIONS + """ SELECT 'called_by' AS direction, name, file, line_start::BIGINT AS line FROM r UNION ALL SELECT 'calls', 'helper' || helper, file, line_start::BIGINT + 1 FROM m WHERE name = 'SMALL'""")
 def dependencies(spark, sf_dir):
-    return search.dependencies(part_chunks(spark, sf_dir), "SMALL")
+    return search.dependencies(mention_chunks(spark, sf_dir), "SMALL")
 
 
 @_query(_SYMBOLS + """, e AS (SELECT string_split(dir, '/') AS p, unnest(range(1, len(string_split(dir, '/')) + 1)) AS i, name FROM s WHERE holder IS NULL), u AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS node, name FROM e)
@@ -370,9 +387,14 @@ def subtree_names(spark, sf_dir):
     return hierarchy.subtree_names(hierarchy.symbols(page_chunks(spark, sf_dir))).select("node", F.array_join("names", ",").alias("names"))
 
 
-@_query(_SYMBOLS + " SELECT 'Rust' AS lang, count(*) AS n_files FROM f")
+_LANGUAGES = """, lf AS (SELECT CASE regexp_extract(file_name, '[^.]*$') WHEN 'rs' THEN 'Rust' WHEN 'tsx' THEN 'TypeScript' WHEN 'js' THEN 'JavaScript' WHEN 'py' THEN 'Python' WHEN 'cs' THEN 'C#' ELSE 'Other' END AS lang, count(*) AS n_files FROM f GROUP BY 1)"""
+
+
+@_query(_SYMBOLS + _LANGUAGES + " SELECT lang, n_files, row_number() OVER (ORDER BY n_files DESC, list_position(['Rust', 'TypeScript', 'JavaScript', 'Python', 'C#', 'Other'], lang))::INTEGER AS place FROM lf")
 def language_histogram(spark, sf_dir):
-    return hierarchy.languages(hierarchy.files(hierarchy.symbols(page_chunks(spark, sf_dir))))
+    """Six languages; `place`: the primary one is 1."""
+    found = hierarchy.languages(hierarchy.files(hierarchy.symbols(page_chunks(spark, sf_dir))))
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_files"), S.language_key(F.col("lang")))))
 
 
 @_query("""WITH e AS (SELECT count(*) AS n_embedded FROM embeddings SEMI JOIN part ON vec_id = p_partkey), t AS (SELECT count(*) AS duplicate_names FROM (SELECT p_name FROM part GROUP BY 1 HAVING count(*) > 1)),
@@ -387,22 +409,58 @@ def _map(spark, sf_dir):
     return render.Map(page_chunks(spark, sf_dir), "pages")
 
 
-@_query()
+_HEADER = """SELECT '// Project: pages (' || (SELECT lang FROM lf ORDER BY n_files DESC, list_position(['Rust', 'TypeScript', 'JavaScript', 'Python', 'C#', 'Other'], lang) LIMIT 1) || ', ' || (SELECT count(*) FROM s) || ' symbols)' AS line UNION ALL SELECT '//'"""
+_LINES_OF = _SYMBOLS + _LANGUAGES + """, q AS (SELECT *, CASE WHEN seq % 5 = 0 THEN 'A summary' END AS doc, CASE WHEN seq % 4 = 0 THEN '(priv) ' ELSE '' END AS priv, CASE kind WHEN 'class' THEN 'class ' WHEN 'method' THEN 'fn ' ELSE 'const ' END || name AS plain,
+ CASE WHEN signature IS NOT NULL THEN 'fn s' || seq || '(a: u8)' END AS short FROM s), dd AS (SELECT dir, count(*) AS n_files, sum(n_symbols)::BIGINT AS n_symbols FROM f GROUP BY dir),
+ dl AS (SELECT dir, '// ' || dir || '/  — ' || n_files || ' files, ' || n_symbols || ' symbols' AS line FROM dd), fl AS (SELECT dir, '//   ' || file_name || '  (' || n_symbols || ' symbols)' AS line FROM f),
+ tl AS (SELECT dir, '//     ' || priv || CASE WHEN doc IS NOT NULL THEN plain || ' — ' || doc ELSE coalesce(short, plain) END AS line FROM q WHERE holder IS NULL),
+ ml AS (SELECT dir, '//       ' || priv || plain || CASE WHEN doc IS NOT NULL THEN ' — ' || doc ELSE '' END AS line FROM q WHERE holder IS NOT NULL)"""
+
+
+@_query(_LINES_OF + f" {_HEADER} UNION ALL SELECT line FROM dl UNION ALL SELECT line FROM fl UNION ALL SELECT line FROM tl UNION ALL SELECT line FROM ml")
 def map_flat(spark, sf_dir):
     return _map(spark, sf_dir).flat(3)
 
 
-@_query()
+_SHOWN = _ROLLUP.replace("WITH paths", "WITH RECURSIVE paths") + _LANGUAGES + """, n AS (SELECT parent, count(*) AS k FROM t WHERE parent IS NOT NULL GROUP BY 1), l AS (SELECT t.*, coalesce(n.k = 1 AND t.n_files >= p.n_files, false) AS lone FROM t LEFT JOIN n ON t.parent = n.parent LEFT JOIN t p ON p.node = t.parent),
+ r AS (SELECT node AS head, node, 0 AS len FROM l WHERE NOT lone UNION ALL SELECT r.head, l.node, r.len + 1 FROM r JOIN l ON l.parent = r.node AND l.lone), last AS (SELECT head, max_by(node, len) AS tail FROM r GROUP BY 1),
+ heads AS (SELECT l.node, substring(tail, CASE WHEN l.parent IS NULL THEN 1 ELSE length(l.parent) + 2 END) AS label, l.n_files, l.n_symbols FROM last JOIN l ON l.node = head),
+ shown AS (SELECT x.*, (SELECT count(*) FROM heads a WHERE starts_with(x.node, a.node || '/')) AS d FROM heads x)"""
+
+
+@_query(_SHOWN + f""", header AS ({_HEADER}), room AS (SELECT 2000 - (sum(octet_length(encode(line)) + 1) + 3) // 4 AS tokens FROM header),
+ cost AS (SELECT d, sum(sum(38 + 2 * d + octet_length(encode(label)))) OVER (ORDER BY d) AS chars FROM shown WHERE d <= 10 GROUP BY d),
+ deep AS (SELECT coalesce(max(x), 0) AS d FROM range(11) t(x), room WHERE coalesce((SELECT max(chars) FROM cost WHERE d <= x), 0) <= tokens * 4)
+ SELECT line FROM header UNION ALL SELECT '//' || repeat('  ', d::INTEGER) || ' ' || label || '/  — ' || n_files || ' files, ' || n_symbols || ' symbols' FROM shown WHERE d <= (SELECT d FROM deep)""")
 def map_tree(spark, sf_dir):
     return _map(spark, sf_dir).tree(render.BUDGET)
 
 
-@_query()
+@_query(_LINES_OF + f""", best AS (SELECT dir FROM dd ORDER BY n_symbols DESC, dir LIMIT 1), entries AS (SELECT (SELECT count(*) + sum(n_symbols) FROM f, best WHERE f.dir = best.dir) + 1 AS n),
+ other AS (SELECT dl.line, row_number() OVER (ORDER BY n_symbols DESC, dir) AS k FROM dd JOIN dl USING (dir) WHERE dir <> (SELECT dir FROM best)),
+ deep AS (SELECT CASE WHEN n < 30 THEN 3 ELSE 2 END AS d FROM entries)
+ SELECT line || CASE WHEN line = '//' THEN '' ELSE ' [area: ' || dir || ']' END AS line FROM ({_HEADER}), best UNION ALL SELECT line FROM dl SEMI JOIN best USING (dir) UNION ALL SELECT line FROM fl SEMI JOIN best USING (dir)
+ UNION ALL SELECT line FROM tl SEMI JOIN best USING (dir) UNION ALL SELECT line FROM ml SEMI JOIN best USING (dir) WHERE (SELECT d FROM deep) = 3
+ UNION ALL SELECT unnest(['//', '// --- other directories (top by size) ---']) UNION ALL SELECT line FROM other WHERE k <= 5 UNION ALL SELECT '// ... and ' || (count(*) - 5) || ' more directories' FROM other HAVING count(*) > 5
+ UNION ALL SELECT unnest(['//', '// [zoom: directory] Drill to file: map --area <file-path>', '// Suggested: ' || string_agg(best.dir || '/' || file_name || ' (' || n_symbols || ' symbols)', ', ' ORDER BY n_symbols DESC, file_name)])
+ FROM (SELECT * FROM f SEMI JOIN best USING (dir) ORDER BY n_symbols DESC, file_name LIMIT 3) f, best GROUP BY best.dir""")
 def map_area(spark, sf_dir):
+    """The largest directory; no directory of the pages holds more than 100 entries, or directories of its own."""
     m = _map(spark, sf_dir)
     return m.area(m.dirs.orderBy(F.desc("n_symbols"), "dir").first().dir)
 
 
+@_query(_LINES_OF + """, best AS (SELECT *, row_number() OVER (ORDER BY n_symbols DESC, dir) AS k FROM dd), one AS (SELECT dir, file_name FROM f ORDER BY dir, file_name LIMIT 1)
+ SELECT 'project' AS zoom, '// Suggested: ' || string_agg(dir || ' (' || n_symbols || ' symbols)', ', ' ORDER BY k) AS hint FROM best WHERE k <= 3 UNION ALL SELECT 'file', '// [zoom: file] Use ''lookup <symbol>'' for full definition' UNION ALL
+ SELECT 'directory', '// Suggested: ' || (SELECT string_agg(f.dir || '/' || file_name || ' (' || n_symbols || ' symbols)', ', ' ORDER BY n_symbols DESC, file_name) FROM (SELECT * FROM f WHERE dir = (SELECT dir FROM one) ORDER BY n_symbols DESC, file_name LIMIT 3) f)""")
+def map_hints(spark, sf_dir):
+    """Where to look next, from a missing area, a directory and a file."""
+    m = _map(spark, sf_dir)
+    one = m.files.orderBy("dir", "file_name").first()
+    areas = ["nowhere/at/all", one.dir + "/", f"{one.dir}/{one.file_name}"]
+    return spark.createDataFrame([(z, m.hint(z, a)[-1]) for a in areas for z in [m.zoom(a)]], "zoom string, hint string")
+
+
 # --- index ---
 
 _SNAPSHOT = "WITH old AS (SELECT doc_id, n_chars - CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS mtime FROM documents WHERE doc_id % 5 <> 0), now AS (SELECT doc_id, n_chars AS mtime FROM documents WHERE doc_id % 11 <> 0)"
@@ -437,7 +495,11 @@ def embedding_coverage(spark, sf_dir):
     return n.withColumn("recommendation", S.recommendation(F.col("pending")))
 
 
-@_query()
+@_query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(substring(text, 1, 500)), '[\\p{L}\\p{N}_]+')) AS w FROM documents),
+ p AS (SELECT doc_id, unnest(list_distinct(list_append(list_transform(range(1, length(w) + 1), lambda i: substring('<' || w || '>', i, 3)), w))) AS piece FROM w),
+ h AS (SELECT doc_id, ('0x' || substring(md5(piece), 1, 16))::UBIGINT AS h FROM p), v AS (SELECT doc_id, (h % 64)::INTEGER AS dim, sum(CASE WHEN h >= 9223372036854775808 THEN 1 ELSE -1 END) AS x FROM h GROUP BY ALL),
+ n AS (SELECT doc_id, sqrt(sum(x * x)::DOUBLE) AS norm FROM v GROUP BY 1) SELECT d.doc_id, dim::INTEGER AS dim, CASE WHEN coalesce(x, 0) = 0 THEN 0.0 ELSE round(x / norm, 9) END AS value
+ FROM (SELECT doc_id, unnest(range(64)) AS dim FROM documents) d LEFT JOIN v USING (doc_id, dim) LEFT JOIN n ON n.doc_id = d.doc_id""")
 def embed_documents(spark, sf_dir):
     """Vectors of all documents by the default embedder, 64 wide."""
     e = connectors.HashEmbedder(64)
@@ -447,7 +509,8 @@ def embed_documents(spark, sf_dir):
             yield pdf[["doc_id"]].assign(embedding=e(list(pdf["text"])))
 
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.substring("text", 1, S.EMBED_CHARS).alias("text")).mapInPandas(run, "doc_id long, embedding array<double>")
+    v = d.select("doc_id", F.substring("text", 1, S.EMBED_CHARS).alias("text")).mapInPandas(run, "doc_id long, embedding array<double>")
+    return v.select("doc_id", F.posexplode("embedding").alias("dim", "x")).select("doc_id", "dim", F.when(F.col("x") == 0, 0.0).otherwise(F.round("x", 9)).alias("value"))
 
 
 # --- call graph and summaries ---
@@ -459,15 +522,19 @@ def contains_edges(spark, sf_dir):
     return callgraph.contained(d.select("doc_id", "text"), b.select(F.col("text").alias("needle")), "text", "needle").select("doc_id", "needle")
 
 
-def _calls(spark, sf_dir):
-    """A part mentions the part of half its number."""
+def _calls(spark, sf_dir, cycle: bool = False):
+    """A part mentions the parts of half and of a third of its number: many diamonds. `cycle`: of half only, and part 1 mentions part 2."""
     p = table(spark, sf_dir, "part").select("p_partkey")
     n = lambda c: F.concat(F.lit("f"), c.cast("string"), F.lit("_"))
-    body = F.concat(F.lit("call "), F.when(F.col("p_partkey") > 0, n(F.expr("p_partkey div 2"))).otherwise(""))
+    other = F.when(F.col("p_partkey") == 1, n(F.lit(2))).otherwise("") if cycle else n(F.expr("p_partkey div 3"))
+    body = F.concat(F.lit("call "), F.when(F.col("p_partkey") > 0, F.concat(n(F.expr("p_partkey div 2")), F.lit(" "), other)).otherwise(""))
     return p.select(F.col("p_partkey").alias("chunk_id"), F.lit("code").alias("chunk_type"), F.lit("function").alias("kind"), n(F.col("p_partkey")).alias("name"), body.alias("content"))
 
 
-@_query("SELECT 'f' || p_partkey || '_' AS caller, 'f' || (p_partkey // 2) || '_' AS callee, 1::BIGINT AS n FROM part WHERE p_partkey > 0")
+_EDGES = "SELECT DISTINCT p_partkey AS caller, unnest([p_partkey // 2, p_partkey // 3]) AS callee FROM part WHERE p_partkey > 0"
+
+
+@_query(f"SELECT 'f' || caller || '_' AS caller, 'f' || callee || '_' AS callee, 1::BIGINT AS n FROM ({_EDGES})")
 def call_edges(spark, sf_dir):
     return callgraph.edges(_calls(spark, sf_dir))
 
@@ -478,7 +545,15 @@ def call_levels(spark, sf_dir):
     return callgraph.levels(callgraph.functions(c), callgraph.edges(c))
 
 
-@_query("SELECT count(*) AS n_functions, count(*) - 1 AS n_calls, 1::BIGINT AS n_leaves FROM part")
+@_query("""WITH RECURSIVE l(k, level) AS (SELECT * FROM (VALUES (0, 0), (1, 2), (2, 1)) UNION ALL SELECT p_partkey, level + 1 FROM l JOIN part ON p_partkey // 2 = k WHERE p_partkey > 2)
+ SELECT 'f' || k || '_' AS name, level::INTEGER AS level FROM l""")
+def call_levels_cyclic(spark, sf_dir):
+    """1 and 2 call each other: the walk starts at f1_, so 2 counts 1 as level 0."""
+    c = _calls(spark, sf_dir, cycle=True)
+    return callgraph.levels(callgraph.functions(c), callgraph.edges(c))
+
+
+@_query(f"SELECT (SELECT count(*) FROM part) AS n_functions, (SELECT count(*) FROM ({_EDGES})) AS n_calls, 1::BIGINT AS n_leaves")
 def call_stats(spark, sf_dir):
     c = _calls(spark, sf_dir)
     return callgraph.stats(callgraph.functions(c), callgraph.edges(c))
@@ -489,7 +564,7 @@ def batching(spark, sf_dir):
     """Batches of 50 in the order of ids: ids are numbered by ranges, and ranges by their counts."""
     ranged = table(spark, sf_dir, "documents").select("doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     at = F.monotonically_increasing_id()
-    ranged = ranged.withColumn("p", F.shiftright(at, 33)).withColumn("i", at.bitwiseAND(F.lit((1 << 33) - 1)))
+    ranged = Scratch(spark, "batching").cut(ranged.withColumn("p", F.shiftright(at, 33)).withColumn("i", at.bitwiseAND(F.lit((1 << 33) - 1))), "ranged")
     base = ranged.groupBy("p").agg(F.count("*").alias("n"))
     base = base.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     return ranged.join(F.broadcast(base), "p").select("doc_id", F.floor((F.col("base") + F.col("i")) / summaries.SUMMARY_BATCH).alias("batch"))
@@ -505,39 +580,123 @@ def ordered_match(spark, sf_dir):
 
 
 def _cache(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    one = d.select(F.concat(F.lit("k"), (F.col("doc_id") % 300).cast("string")).alias("key"), F.sha2("lang", 256).alias("body_hash"), F.lit("").alias("context_hash"), F.col("source").alias("summary"), "doc_id")
-    return one.where("doc_id < 300").drop("doc_id"), one.where("doc_id >= 600 AND doc_id < 750").drop("doc_id")
+    """A cache of all documents, and what is wanted later: each seventh has another key, each fourth another hash, all have another summary."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    entry = lambda first, last, said: d.select(F.concat(first, n.cast("string")).alias("key"), F.sha2(F.concat("lang", last), 256).alias("body_hash"), F.lit("").alias("context_hash"), said.alias("summary"))
+    old = entry(F.lit("k"), F.lit(""), F.col("source"))
+    return old, entry(F.when(n % 7 == 0, "n").otherwise("k"), F.when(n % 4 == 0, "!").otherwise(""), F.concat("source", F.lit(" new")))
+
 
+_CACHE = """WITH o AS (SELECT 'k' || doc_id AS key, sha256(lang) AS body_hash, '' AS context_hash, source AS summary FROM documents),
+n AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'n' ELSE 'k' END || doc_id AS key, sha256(lang || CASE WHEN doc_id % 4 = 0 THEN '!' ELSE '' END) AS body_hash, '' AS context_hash, source || ' new' AS summary FROM documents)"""
 
-@_query("""WITH e AS (SELECT doc_id, 'k' || (doc_id % 300) AS key, sha256(lang) AS body_hash, '' AS context_hash, source AS summary FROM documents WHERE doc_id < 300 OR doc_id BETWEEN 600 AND 749)
- SELECT key, body_hash, context_hash, summary FROM e QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id DESC) = 1""")
+
+@_query(_CACHE + " SELECT * FROM n UNION ALL SELECT * FROM o WHERE key NOT IN (SELECT key FROM n)")
 def summary_upsert(spark, sf_dir):
-    old, new = _cache(spark, sf_dir)
-    return summaries.upsert(old, new)
+    return summaries.upsert(*_cache(spark, sf_dir))
 
 
-@_query("""WITH e AS (SELECT doc_id, 'k' || (doc_id % 300) AS key, sha256(lang) AS body_hash, source AS summary FROM documents) SELECT n.key, n.body_hash, o.summary FROM e n JOIN e o ON o.doc_id < 300 AND o.key = n.key AND o.body_hash = n.body_hash WHERE n.doc_id BETWEEN 600 AND 749""")
+@_query(_CACHE + " SELECT n.key, n.body_hash, o.summary FROM n JOIN o USING (key, body_hash, context_hash)")
 def summary_hits(spark, sf_dir):
     old, new = _cache(spark, sf_dir)
     return summaries.hits(new.drop("summary"), old).select("key", "body_hash", "summary")
 
 
-@_query("""WITH e AS (SELECT doc_id, 'k' || (doc_id % 300) AS key, sha256(lang) AS body_hash, '' AS context_hash FROM documents) SELECT n.key, n.body_hash FROM e n WHERE doc_id BETWEEN 600 AND 749 AND NOT EXISTS (SELECT 1 FROM e o WHERE o.doc_id < 300 AND o.key = n.key AND o.body_hash = n.body_hash)""")
+@_query(_CACHE + " SELECT key, body_hash FROM n ANTI JOIN o USING (key, body_hash, context_hash)")
 def summary_misses(spark, sf_dir):
     old, new = _cache(spark, sf_dir)
     return summaries.misses(new, old).select("key", "body_hash")
 
 
-@_query()
+@_query(_SYMBOLS + """, x AS (SELECT dir, file_name, list_sort(coalesce(names, [])) AS sorted, coalesce(names, []) AS names FROM f)
+ SELECT 'file::' || dir || ':' || file_name AS key, sha256(array_to_string(sorted, ',')) AS body_hash, '' AS context_hash, array_to_string(names[1:5], ', ') AS summary FROM x
+ UNION ALL SELECT 'dir::' || dir, sha256(string_agg(p, '|' ORDER BY p)), '', array_to_string(flatten(list(names ORDER BY file_name))[1:5], ', ') FROM (SELECT *, file_name || ':' || array_to_string(names, ',') AS p FROM x) GROUP BY dir""")
 def entry_summaries(spark, sf_dir):
     """Summaries of all files and directories by the default summarizer."""
     wanted = summaries.wanted_entries(hierarchy.symbols(page_chunks(spark, sf_dir)))
     return summaries.generate(wanted, spark.createDataFrame([], summaries.SCHEMA), connectors.FirstSentence())
 
 
-@_query()
+@_query(expected.functions_sql())
 def function_summaries(spark, sf_dir):
     """Summaries of the sample files' functions, callees first."""
     chunks = code.definitions(samples.frame(spark)).withColumn("chunk_id", F.xxhash64("file", "seq"))
     return summaries.generate_functions(chunks, spark.createDataFrame([], summaries.SCHEMA), connectors.FirstSentence())[0]
+
+
+# --- functions of one row ---
+
+@_query(_PATHS + """ SELECT page_id, CASE WHEN starts_with(path, regexp_extract(path, '^[^/]*') || '/') AND page_id % 2 = 0 THEN substring(path, length(regexp_extract(path, '^[^/]*')) + 2) ELSE path END AS rel FROM d""")
+def relative_paths(spark, sf_dir):
+    """Paths below their host, of every second page; the others are asked for below a folder that only looks like theirs."""
+    p = page_paths(spark, sf_dir)
+    root = F.regexp_extract("path", "^[^/]*", 0)
+    hosts = [r[0] for r in p.select(root.alias("h")).distinct().orderBy("h").collect()]  # of the pages, for a rule that takes one root
+    out = None
+    for k in range(0, len(hosts), 100):
+        rel = F.col("path")
+        for h in hosts[k : k + 100]:
+            rel = F.when((root == h) & (F.col("page_id") % 2 == 0), S.relative(F.col("path"), h + "/")).when((root == h), S.relative(F.col("path"), h[:-1])).otherwise(rel)
+        part = p.where(root.isin(*hosts[k : k + 100])).select("page_id", rel.alias("rel"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@_query("""WITH r AS (SELECT p_partkey, p_size * 40.0 AS rpm, p_retailprice * 1000.0 AS tpm FROM part), c AS (SELECT *, greatest(5, least(50, least(rpm / 140, CASE WHEN tpm < 1000000 THEN tpm / 8000 / 30 ELSE 1e9 END)))::DOUBLE AS c FROM r)
+ SELECT p_partkey, floor(c)::INTEGER AS concurrent, greatest(500, least(2000, floor(c)::INTEGER * 20)) AS size FROM c""")
+def request_sizes(spark, sf_dir):
+    """Requests at a time, and texts in a batch, under limits that the parts stand for."""
+
+    def run(frames):
+        for pdf in frames:
+            n = [connectors.concurrency(r, t) for r, t in zip(pdf["rpm"], pdf["tpm"])]
+            yield pdf[["p_partkey"]].assign(concurrent=n, size=[connectors.batch_size(x) for x in n])
+
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 40.0).alias("rpm"), (F.col("p_retailprice") * 1000.0).alias("tpm"))
+    return p.mapInPandas(run, "p_partkey long, concurrent int, size int")
+
+
+@_query("""SELECT doc_id, 'Summarise each function in one short sentence. Reply with a JSON array of {name, summary}.' || chr(10) || chr(10) || '1. f' || doc_id || ' (' || len(string_split(regexp_replace(translate(text, chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(133) || chr(8232) || chr(8233), repeat(chr(10), 9)), chr(10) || '$', ''), chr(10))) || ' lines)' || chr(10) || 'Calls:' || chr(10) || '  - a: x' || chr(10) || '  - b: ' || source || chr(10) || substring(text, 1, 1500) AS prompt,
+ 'Summarise each entry in a few words. Reply with a JSON array of {name, summary}.' || chr(10) || chr(10) || '1. [file] p' || doc_id || ': ' || lang || ', ' || source || chr(10) || '2. [directory] q: ' AS entries, source AS said FROM documents WHERE text IS NOT NULL AND text <> '' AND lang IS NOT NULL AND source IS NOT NULL""")
+def prompts(spark, sf_dir):
+    """What is asked for each document as a function, and for its names as entries; what a reply says."""
+
+    def run(frames):
+        for pdf in frames:
+            asked = [connectors.function_prompt([{"name": f"f{n}", "body": t, "calls": {"b": s, "a": "x"}}]) for n, t, s in zip(pdf["doc_id"], pdf["text"], pdf["source"])]
+            entries = [connectors.entry_prompt([{"kind": "file", "path": f"p{n}", "symbols": [lang, s]}, {"kind": "directory", "path": "q", "symbols": []}]) for n, lang, s in zip(pdf["doc_id"], pdf["lang"], pdf["source"])]
+            said = [dict(connectors.parse_reply(f'Sure:\n```json\n[{{"name": "q", "summary": "[x]"}}, {{"name": "p{n}", "summary": "{s}"}}]\n```'))[f"p{n}"] for n, s in zip(pdf["doc_id"], pdf["source"])]
+            yield pdf[["doc_id"]].assign(prompt=asked, entries=entries, said=said)
+
+    d = table(spark, sf_dir, "documents").where("text <> '' AND lang IS NOT NULL AND source IS NOT NULL")
+    return d.select("doc_id", "text", "lang", "source").mapInPandas(run, "doc_id long, prompt string, entries string, said string")
+
+
+@_query(_PARTS + """, n AS (SELECT count(*) AS n, count(*) FILTER (chunk_type = 'code') AS c FROM chunks) SELECT * FROM (SELECT 'blank' AS "case", 0::BIGINT AS n, 'Please provide a search query' AS said FROM n UNION ALL SELECT 'no embedder', least(3, (SELECT count(*) FROM chunks WHERE contains(lower(name), 'widget') OR contains(lower(content), 'widget'))), 'Using name-based search (no embedder).' FROM n
+ UNION ALL SELECT 'pending', least(3, (SELECT count(*) FROM chunks WHERE contains(lower(name), 'widget') OR contains(lower(content), 'widget'))), 'Using name-based search (' || (n - 1) || ' chunks pending embeddings). Embed them for semantic search.' FROM n
+ UNION ALL SELECT 'failing', least(3, (SELECT count(*) FROM chunks WHERE contains(lower(name), 'widget') OR contains(lower(content), 'widget'))), 'Using name-based search (service is down).' FROM n UNION ALL SELECT 'by meaning', least(3, n), NULL FROM n UNION ALL SELECT 'code only', least(3, c), NULL FROM n UNION ALL SELECT 'no top', 0, NULL FROM n)""")
+def search_cases(spark, sf_dir):
+    """Which search answers, how many rows, and what it says about it."""
+    c = part_chunks(spark, sf_dir)
+    some = lambda n: c.where(f"chunk_id < {n}").select("chunk_id", F.array(F.lit(1.0), F.col("chunk_id").cast("double")).alias("embedding"))
+    least = c.agg(F.min("chunk_id")).first()[0]
+    whole, vector = some(1 << 60), lambda q: [1.0, 2.0]
+
+    def down(q):
+        raise RuntimeError("service is down")
+
+    asked = {
+        "blank": search.search(c, "  ", 3), "no embedder": search.search(c, "widget", 3), "pending": search.search(c, "widget", 3, None, some(least + 1), vector), "failing": search.search(c, "widget", 3, None, whole, down),
+        "by meaning": search.search(c, "widget", 3, None, whole, vector), "code only": search.search(c, "widget", 3, search.type_of_flags(True, False), whole, vector), "no top": search.search(c, "widget", 0, search.type_of_flags(True, True), whole, vector),
+    }
+    return spark.createDataFrame([(k, rows.count(), said) for k, (rows, said) in asked.items()], "case string, n long, said string")
+
+
+@_query(ORACLE_SQL["depth_estimate"].replace("SELECT (50 + ceil(sum(c) FILTER (l <= 0)", ", est AS (SELECT (50 + ceil(sum(c) FILTER (l <= 0)") + """), b(budget) AS (VALUES (0), (500), (2000), (5000), (8000), (20000), (10000000))
+ SELECT budget, CASE WHEN t3 <= budget THEN 3 WHEN t2 <= budget THEN 2 WHEN t1 <= budget THEN 1 ELSE 0 END AS depth FROM b, est""")
+def auto_depths(spark, sf_dir):
+    """The depth of a flat map that each of some budgets gets."""
+    s = hierarchy.symbols(page_chunks(spark, sf_dir))
+    f = hierarchy.files(s)
+    costs = hierarchy.depth_costs(s, f, hierarchy.directories(f)).first()
+    return spark.createDataFrame([(b, hierarchy.auto_depth(costs, b)) for b in (0, 500, 2000, 5000, 8000, 20_000, 10_000_000)], "budget int, depth int")

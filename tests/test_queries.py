@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 import oracle
 
-from loomspark.plans import queries
+from loomspark.plans import index_queries, queries  # noqa: F401  the first adds its queries to the second
 
 SF = "/root/testdata/sf0.001"
 
