@@ -5,13 +5,14 @@ from __future__ import annotations
 import argparse
 import json
 import logging
+import subprocess
 import sys
 from logging.handlers import RotatingFileHandler
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from .operators import search, summaries
+from .operators import hierarchy, search, summaries
 from .operators.connectors import FirstSentence, HashEmbedder
 from .operators.index import Index
 from .plans.render import BUDGET, Map
@@ -38,6 +39,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("status", help="counts of the index")
     s = sub.add_parser("refresh", help="bring the index to the state of the tree")
     s.add_argument("--quiet", action="store_true")
+    s.add_argument("--background-embed", action="store_true", help="leave a process that makes the missing vectors")
     sub.add_parser("reindex", help="build the index anew")
     s = sub.add_parser("embed", help="vectors for chunks that have none")
     s.add_argument("--batch-size", type=int, default=500)
@@ -45,7 +47,8 @@ def parser() -> argparse.ArgumentParser:
     s = sub.add_parser("map", help="the tree's symbols within a token budget")
     s.add_argument("--area", default=None)
     s.add_argument("--tokens", type=int, default=BUDGET)
-    s = sub.add_parser("summarize", help="summaries of functions, callees first")
+    s = sub.add_parser("summarize", help="summaries of functions, callees first, of files, directories and subtrees")
+    s.add_argument("--area", default=None)
     s.add_argument("--batch-size", type=int, default=summaries.SUMMARY_BATCH)
     s.add_argument("--force", action="store_true")
     s.add_argument("--dry-run", action="store_true")
@@ -86,6 +89,9 @@ def main(args: list[str] | None = None, out=sys.stdout) -> int:
     if a.command == "refresh":
         if not a.quiet:
             say(vars(changes) if changes else {"locked": True})
+        if a.background_embed and changes and changes.pending:
+            # the process outlives this one and takes the lock for itself
+            subprocess.Popen([sys.executable, "-m", "loomspark.cli", "--root", root, "--index", str(folder), "embed"], stdin=subprocess.DEVNULL, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL, start_new_session=True)
     elif a.command == "search":
         kind = a.filter or search.type_of_flags(a.code_only, a.docs_only)
         held = index.embeddings.select(F.size("embedding").alias("n")).first()
@@ -102,7 +108,8 @@ def main(args: list[str] | None = None, out=sys.stdout) -> int:
         if not chunks.where("chunk_type = 'code'").take(1):
             print("// The index has no symbols", file=out)
         else:
-            for row in Map(chunks, Path(root).name).render(a.tokens, a.area).collect():
+            said = summaries.for_map(hierarchy.symbols(chunks), index.table("summaries"))
+            for row in Map(chunks, Path(root).name, **said).render(a.tokens, a.area).collect():
                 print(row.line, file=out)
     elif a.command == "summarize":
         if a.dry_run:
@@ -110,6 +117,9 @@ def main(args: list[str] | None = None, out=sys.stdout) -> int:
         else:
             cache = index.table("summaries")
             cache, stats = summaries.generate_functions(chunks, cache.limit(0) if a.force else cache, FirstSentence(), a.batch_size)
+            symbols = hierarchy.symbols(chunks)
+            for wanted in (summaries.wanted_entries(symbols), summaries.wanted_trees(symbols)):
+                cache = summaries.generate(wanted if a.area is None else summaries.in_area(wanted, a.area), cache, FirstSentence(), a.batch_size)
             index.save(summaries=cache)
             say(stats)
     elif a.command == "deps":

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..scratch import Scratch
 
 CONTAINERS = ("class", "struct", "interface", "enum")
 
@@ -59,6 +60,13 @@ def depth_costs(symbols: DataFrame, files: DataFrame, dirs: DataFrame) -> DataFr
     return parts.agg(*[total(d).alias(f"t{d}") for d in range(4)])
 
 
+def depth_entries(symbols: DataFrame, files: DataFrame, dirs: DataFrame) -> DataFrame:
+    """One row: how many entries a map of each depth has, n0 (directories) to n3 (members too)."""
+    level = F.when(F.col("holder").isNull(), 2).otherwise(3)
+    parts = dirs.select(F.lit(0).alias("level")).unionByName(files.select(F.lit(1).alias("level"))).unionByName(symbols.select(level.alias("level")))
+    return parts.agg(*[F.count(F.when(F.col("level") <= d, 1)).alias(f"n{d}") for d in range(4)])
+
+
 def auto_depth(costs, budget: int) -> int:
     """The deepest level whose estimate is within the budget, else 0; `costs` is the row of depth_costs."""
     return next((d for d in (3, 2, 1, 0) if costs[f"t{d}"] <= budget), 0)
@@ -109,6 +117,12 @@ def collapsed(tree: DataFrame) -> DataFrame:
     return chains.select(F.col("top").alias("node"), F.substring(F.col("tail"), above, F.length("tail")).alias("label"), "shown_depth", "tail", "n_files", "n_symbols")
 
 
+def listed(shown: DataFrame) -> DataFrame:
+    """path, n_files, n_symbols, place: the displayed nodes depth first, each by the path of its chain's end."""
+    rows = shown.select(F.col("tail").alias("path"), "n_files", "n_symbols", F.split("node", "/").alias("sort"))
+    return Scratch(shown.sparkSession, "listed").numbered(rows, "place", "sort").drop("sort")
+
+
 def tree_costs(shown: DataFrame) -> DataFrame:
     """depth, chars: what a tree shown down to each depth costs; one row for each depth that occurs."""
     extra = F.when(F.col("summary").isNotNull(), 55).otherwise(0) if "summary" in shown.columns else F.lit(0)

@@ -52,14 +52,6 @@ def without(rows: DataFrame, paths: DataFrame, column: str = "file") -> DataFram
     return rows.join(paths.select(F.col("path").alias(column)), column, "left_anti")
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """`rows` with chunk_id: dense from 0 in the order of (file, seq), by ranges of files; only the ranges' counts come to the driver."""
-    ranged = rows.repartitionByRange("file").sortWithinPartitions("file", "seq")
-    at = F.monotonically_increasing_id()
-    ranged = ranged.withColumn("p", F.shiftright(at, 33)).withColumn("i", at.bitwiseAND(F.lit((1 << 33) - 1)))
-    return ranged
-
-
 class Index:
     """`folder` holds the tables; its file system has to be the driver's for the pointer and the lock."""
 
@@ -109,9 +101,9 @@ class Index:
         staged = self.folder / f"_CURRENT.{os.getpid()}"
         staged.write_text(json.dumps({"version": schemas.VERSION, "tables": now, "last_indexed": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}))
         os.replace(staged, self.folder / "_CURRENT")
-        needed = {n for held in (before, now) for parts in held.values() for n in parts}
-        for p in self.folder.glob("v=*"):
-            if int(p.name[2:]) not in needed:
+        needed = {self.folder / f"v={n}" / name for held in (before, now) for name, parts in held.items() for n in parts}
+        for p in self.folder.glob("v=*/*"):
+            if p not in needed:
                 shutil.rmtree(p, ignore_errors=True)
 
     # --- refresh ---
@@ -121,15 +113,8 @@ class Index:
         return code.definitions(code_files).unionByName(docs.sections(doc_files))
 
     def _ids(self, rows: DataFrame, scratch: Scratch) -> DataFrame:
-        ranged = scratch.cut(numbered(rows), "ranged")  # one evaluation decides the ranges
-        counts = {r.p: r.n for r in ranged.groupBy("p").agg(F.count("*").alias("n")).collect()}
-        base, offset = 0, []
-        for p in sorted(counts):
-            offset.append((p, base))
-            base += counts[p]
-        table = self.spark.createDataFrame(offset, "p long, base long")  # a row for each range
         names = [c.split()[0] for c in schemas.RAW.split(", ")]
-        return ranged.join(F.broadcast(table), "p").select((F.col("base") + F.col("i")).alias("chunk_id"), *names)
+        return scratch.numbered(rows, "chunk_id", "file", "seq").select("chunk_id", *names)
 
     def refresh(self, root: str) -> Changes:
         """Brings the index to the state of a tree. Contents are read, once, of new files and of those with another time only."""
@@ -152,7 +137,7 @@ class Index:
             chunks = without(self.chunks.drop("chunk_id"), gone).unionByName(self._parsed(changed))
             tables |= {"chunks": self._ids(chunks, scratch), "vectors": without(self.table("vectors"), gone)}
         self.save(**tables)
-        scratch.drop("listing", "status", "fresh", "ranged")
+        scratch.drop("listing", "status", "fresh", "numbered")
         return Changes(counts.get("added", 0), updated, counts.get("removed", 0), self.pending())
 
     def reindex(self, root: str) -> Changes:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..scratch import Scratch
 
 NO_QUERY = "Please provide a search query"
 NOT_FOUND = "Symbol not found"
@@ -166,8 +167,6 @@ def uniqueness(chunks: DataFrame) -> DataFrame:
 
 
 def interned(rows: DataFrame, value: str, order: str) -> DataFrame:
-    """(value, id): ids from 0 in the order of first sight. The window is over the distinct values."""
+    """(value, id): ids from 0 in the order of first sight."""
     first = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("first"))
-    return first.withColumn("id", F.row_number().over(Window.orderBy("first", value)) - 1).select(value, "id")
-
-
+    return Scratch(rows.sparkSession, "interned").numbered(first, "id", "first", value).select(value, "id")

@@ -64,6 +64,16 @@ def wanted_trees(symbols: DataFrame) -> DataFrame:
     )
 
 
+def for_map(symbols: DataFrame, cache: DataFrame) -> dict[str, DataFrame]:
+    """The summaries of a cache that are still right, as a map takes them."""
+    entries = hits(wanted_entries(symbols), cache)
+    files = entries.where("kind = 'file'").select(S.dir_path(F.col("path")).alias("dir"), S.file_name(F.col("path")).alias("file_name"), "summary")
+    return {
+        "dir_summaries": entries.where("kind = 'directory'").select(F.col("path").alias("dir"), "summary"), "file_summaries": files,
+        "tree_summaries": hits(wanted_trees(symbols), cache).select(F.col("path").alias("node"), "summary"),
+    }
+
+
 def in_area(wanted: DataFrame, area: str) -> DataFrame:
     """Entries of an area only, filtered before anything costly."""
     return wanted.where(hierarchy.in_area("path", area.rstrip("/")))

@@ -318,6 +318,13 @@ def depth_estimate(spark, sf_dir):
     return hierarchy.depth_costs(s, f, hierarchy.directories(f))
 
 
+@_query(_SYMBOLS + """, n AS (SELECT (SELECT count(DISTINCT dir) FROM f) AS d, (SELECT count(*) FROM f) AS f, (SELECT count(*) FROM s WHERE holder IS NULL) AS t, (SELECT count(*) FROM s WHERE holder IS NOT NULL) AS m) SELECT d AS n0, d + f AS n1, d + f + t AS n2, d + f + t + m AS n3 FROM n""")
+def depth_entries(spark, sf_dir):
+    s = hierarchy.symbols(page_chunks(spark, sf_dir))
+    f = hierarchy.files(s)
+    return hierarchy.depth_entries(s, f, hierarchy.directories(f))
+
+
 _ROLLUP = _SYMBOLS + """, dd AS (SELECT dir, count(*) AS n_files, sum(n_symbols) AS n_symbols FROM f GROUP BY dir), e AS (SELECT string_split(dir, '/') AS p, unnest(range(1, len(string_split(dir, '/')) + 1)) AS i, n_files, n_symbols FROM dd),
 t AS (SELECT array_to_string(p[1:i], '/') AS node, CASE WHEN i > 1 THEN array_to_string(p[1:i - 1], '/') END AS parent, i - 1 AS depth, sum(n_files)::BIGINT AS n_files, sum(n_symbols)::BIGINT AS n_symbols FROM e GROUP BY ALL)"""
 
@@ -436,6 +443,12 @@ def map_tree(spark, sf_dir):
     return _map(spark, sf_dir).tree(render.BUDGET)
 
 
+@_query(_SHOWN.replace("AS label, l.n_files", "AS label, tail, l.n_files") + " SELECT tail AS path, n_files, n_symbols, row_number() OVER (ORDER BY string_split(node, '/')) - 1 AS place FROM shown")
+def tree_nodes(spark, sf_dir):
+    """The nodes of the displayed tree, depth first, by the paths of their chains' ends."""
+    return hierarchy.listed(_map(spark, sf_dir).shown())
+
+
 @_query(_LINES_OF + f""", best AS (SELECT dir FROM dd ORDER BY n_symbols DESC, dir LIMIT 1), entries AS (SELECT (SELECT count(*) + sum(n_symbols) FROM f, best WHERE f.dir = best.dir) + 1 AS n),
  other AS (SELECT dl.line, row_number() OVER (ORDER BY n_symbols DESC, dir) AS k FROM dd JOIN dl USING (dir) WHERE dir <> (SELECT dir FROM best)),
  deep AS (SELECT CASE WHEN n < 30 THEN 3 ELSE 2 END AS d FROM entries)
@@ -562,12 +575,8 @@ def call_stats(spark, sf_dir):
 @_query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 50)::BIGINT AS batch FROM documents")
 def batching(spark, sf_dir):
     """Batches of 50 in the order of ids: ids are numbered by ranges, and ranges by their counts."""
-    ranged = table(spark, sf_dir, "documents").select("doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    at = F.monotonically_increasing_id()
-    ranged = Scratch(spark, "batching").cut(ranged.withColumn("p", F.shiftright(at, 33)).withColumn("i", at.bitwiseAND(F.lit((1 << 33) - 1))), "ranged")
-    base = ranged.groupBy("p").agg(F.count("*").alias("n"))
-    base = base.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return ranged.join(F.broadcast(base), "p").select("doc_id", F.floor((F.col("base") + F.col("i")) / summaries.SUMMARY_BATCH).alias("batch"))
+    rows = Scratch(spark, "batching").numbered(table(spark, sf_dir, "documents").select("doc_id"), "nth", "doc_id")
+    return rows.select("doc_id", F.floor(F.col("nth") / summaries.SUMMARY_BATCH).alias("batch"))
 
 
 @_query("""WITH q AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'assistant')
@@ -700,3 +709,15 @@ def auto_depths(spark, sf_dir):
     f = hierarchy.files(s)
     costs = hierarchy.depth_costs(s, f, hierarchy.directories(f)).first()
     return spark.createDataFrame([(b, hierarchy.auto_depth(costs, b)) for b in (0, 500, 2000, 5000, 8000, 20_000, 10_000_000)], "budget int, depth int")
+
+
+_SUMMARIES = ORACLE_SQL["entry_summaries"].split(" SELECT 'file::'")[0].removeprefix(_SYMBOLS)
+
+
+@_query(_LINES_OF + _SUMMARIES + f""", fs AS (SELECT dir, file_name, array_to_string(names[1:5], ', ') AS s FROM x), ds AS (SELECT dir, array_to_string(flatten(list(names ORDER BY file_name))[1:5], ', ') AS s FROM x GROUP BY dir)
+ {_HEADER} UNION ALL SELECT line || ' (' || s || ')' FROM dl JOIN ds USING (dir) UNION ALL SELECT '//   ' || file_name || '  — ' || n_symbols || ' — ' || s FROM f JOIN fs USING (dir, file_name)""")
+def map_summaries(spark, sf_dir):
+    """Files and directories with the summaries that a cache holds for them."""
+    chunks = page_chunks(spark, sf_dir)
+    cache = summaries.generate(summaries.wanted_entries(hierarchy.symbols(chunks)), spark.createDataFrame([], summaries.SCHEMA), connectors.FirstSentence())
+    return render.Map(chunks, "pages", **summaries.for_map(hierarchy.symbols(chunks), cache)).flat(1)

@@ -1,4 +1,7 @@
-"""Maps of an index as ordered lines: (sort, line), sorted by `sort`."""
+"""Maps of an index as ordered lines: (sort, line), sorted by `sort`.
+
+The texts of the lines are fixed values: what reads maps expects them.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import hierarchy as H
+from ..scratch import Scratch
 
 BUDGET = 2000
 
@@ -28,13 +32,12 @@ class Map:
 
     def __init__(self, chunks: DataFrame, project: str, root: str = "", dir_summaries: DataFrame | None = None, file_summaries: DataFrame | None = None, tree_summaries: DataFrame | None = None):
         self.project, self.spark = project, chunks.sparkSession
-        self.symbols = H.symbols(chunks, root)
-        self.files = H.files(self.symbols)
-        self.dirs = H.directories(self.files)
-        if dir_summaries is not None:
-            self.dirs = self.dirs.join(dir_summaries, "dir", "left")
-        if file_summaries is not None:
-            self.files = self.files.join(file_summaries, ["dir", "file_name"], "left")
+        scratch = Scratch(self.spark, "map")  # headers, costs and lines read the same three tables
+        self.symbols = scratch.cut(H.symbols(chunks, root), "symbols")
+        files = scratch.cut(H.files(self.symbols), "files")
+        dirs = H.directories(files)
+        self.dirs = scratch.cut(dirs if dir_summaries is None else dirs.join(dir_summaries, "dir", "left"), "dirs")
+        self.files = files if file_summaries is None else scratch.cut(files.join(file_summaries, ["dir", "file_name"], "left"), "files_said")
         self.tree_summaries = tree_summaries
 
     def header(self, area: str | None = None) -> list[str]:
@@ -100,7 +103,7 @@ class Map:
         return self._joined(self.header(), self._levels(depth, F.lit(True)))
 
     def shown(self) -> DataFrame:
-        shown = H.collapsed(H.rollup(self.dirs))
+        shown = Scratch(self.spark, "shown").cut(H.collapsed(H.rollup(self.dirs)), "shown")
         return shown.join(self.tree_summaries, "node", "left") if self.tree_summaries is not None else shown
 
     def tree(self, budget: int = BUDGET) -> DataFrame:

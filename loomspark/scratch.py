@@ -7,6 +7,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -17,6 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all nodes share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loom-checkpoint-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -60,3 +63,18 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def numbered(self, df: DataFrame, number: str, *order: str, name: str = "numbered") -> DataFrame:
+        """`df` with `number`, dense from 0 in this order: rows are dealt by ranges and written, then ranges are numbered by their counts.
+
+        One evaluation decides the ranges; a row for each range comes to the driver.
+        """
+        at = F.monotonically_increasing_id()
+        rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        rows = self.cut(rows.withColumn("__p", F.shiftright(at, 33)).withColumn("__i", at.bitwiseAND(F.lit((1 << 33) - 1))), name)
+        base, total = [], 0
+        for p, n in sorted((r[0], r[1]) for r in rows.groupBy("__p").agg(F.count("*")).collect()):
+            base.append((p, total))
+            total += n
+        bases = self.spark.createDataFrame(base, "__p long, __base long")
+        return rows.join(F.broadcast(bases), "__p").select(*df.columns, (F.col("__base") + F.col("__i")).alias(number))

@@ -24,6 +24,8 @@ FOLDERS = 64
 BATCH = 8 << 20
 # Path components that are never entered.
 EXCLUDED = ("node_modules", "target", ".git", "dist", "build", ".scs", "__pycache__", "vendor", ".next", ".nuxt", "coverage", ".venv", "venv")
+#: An index's own folder is not entered either.
+OWN = ".loom"
 
 
 def _local(root: str) -> str | None:
@@ -37,7 +39,7 @@ def _entries(folder: str) -> tuple[list[str], list[tuple[bytes, int, int]]]:
     folders, files = [], []
     with os.scandir(folder) as found:
         for e in found:
-            if e.name in EXCLUDED:
+            if e.name in EXCLUDED or e.name == OWN:
                 continue
             if e.is_dir(follow_symlinks=False):
                 folders.append(e.path)
@@ -85,7 +87,7 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
             files = files.unionByName(tasks.mapInArrow(run, schema))
         cut = len(os.fsencode(base.rstrip("/"))) + 2
         files = files.select(F.decode(F.substring("at", cut, 1 << 30), "UTF-8").alias("path"), "mtime", "length", "at")
-    wanted = ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, EXCLUDED)))
+    wanted = ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, (*EXCLUDED, OWN))))
     return files.where(wanted).withColumn("chunk_type", S.chunk_type(F.col("path"))).where("chunk_type is not null")
 
 

@@ -304,10 +304,10 @@ def test_embedding_goes_on_after_a_failure(spark, tmp_path, monkeypatch):
     left = index.pending()
     assert 0 < left <= n
     assert index.embed(Failing(False)) == left and index.pending() == 0 and index.embeddings.count() == n
-    kept = {p.name for p in (tmp_path / "index").glob("v=*")}
+    kept = set((tmp_path / "index").glob("v=*/chunks"))
     index.save(chunks=index.chunks.limit(0))
     index.save(chunks=index.chunks.limit(0))
-    assert kept - {p.name for p in (tmp_path / "index").glob("v=*")}  # what no reader needs any more is gone
+    assert kept - set((tmp_path / "index").glob("v=*/*"))  # what no reader needs any more is gone
     assert index.table("vectors").count() == n
 
 
@@ -335,7 +335,7 @@ def test_stream(spark, tmp_path):
         assert q.exception() is None and index.files.count() == n + 1
 
 
-def test_command_line(spark, tmp_path):
+def test_command_line(spark, tmp_path, monkeypatch):
     root = tmp_path / "tree"
     write(root, {k: samples.FILES[k] for k in ("src/shapes.rs", "docs/guide.md")})
 
@@ -351,4 +351,11 @@ def test_command_line(spark, tmp_path):
     assert json.loads(run("search", "a flat figure"))["suggestion"] is None
     assert json.loads(run("status"))["n_code"] > 0
     assert json.loads(run("summarize", "--dry-run"))["total_functions"] == 4
+    assert json.loads(run("summarize"))["generated"] == 4 and "(Figure, Draw, Side, main, LIMIT)" in run("map")
+    write(root, {"src/more.rs": "fn more() {}"})
+    started = []
+    monkeypatch.setattr(cli.subprocess, "Popen", lambda args, **how: started.append((args, how["start_new_session"])))
+    assert json.loads(run("refresh", "--background-embed"))["pending"] == 1 and started[0][0][-1] == "embed" and started[0][1]
+    run("refresh", "--background-embed")
+    assert len(started) == 2  # as long as vectors are missing
     assert json.loads(run("deps", "main", "--direction", "calls"))

@@ -127,7 +127,7 @@ def test_scalars(spark):
 
 def test_scan_finds_hidden_and_empty_files(spark, tmp_path):
     wanted = {"pkg/__init__.py": b"", "pkg/_private/c.py": b"c = 1", ".github/workflows/ci.yml": b"on: push", "_x.md": b"# x", ".hidden.rs": b"", "a/b/c/d/e/f.txt": b"deep", "a%20b+c.md": b"x"}
-    for path, content in (wanted | {".git/x.md": b"x", "a/build/x.rs": b"x", "_x.bin": b"x"}).items():
+    for path, content in (wanted | {".git/x.md": b"x", ".loom/v=1/x.md": b"x", "a/build/x.rs": b"x", "_x.bin": b"x"}).items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_bytes(content)
     (tmp_path / "link.md").symlink_to(tmp_path / "_x.md")
