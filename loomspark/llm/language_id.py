@@ -6,9 +6,11 @@ word's ends marked), and scores their mean log frequency. A text gets the langua
 largest sum; `score` is that language's share after the mean score of a word, taken at most
 `EVIDENCE` times, is turned into probabilities.
 
-The model is fitted on a bounded sample: of at most `MAX_LANGS` languages (the most frequent),
-`DOCS_PER_LANG` documents each (small hashes of doc_id), with their whole texts, and of
-those the `MAX_WORDS` most frequent words over all languages. Prediction reads every text whole.
+The model is fitted on a bounded sample: of each language, `DOCS_PER_LANG` documents (of the
+smallest hashes of doc_id), with their whole texts and all their words. Prediction reads every text whole. Logarithms are
+whole multiples of 1 / `UNIT`, so that sums are exact: no result depends on the order or the
+grouping in which words are added. A word or n-gram holds a number only for the languages that have it, so the model
+grows with the words of the sample, not with words times languages.
 
 Defined results
 ---------------
@@ -17,6 +19,7 @@ Defined results
 - ties between languages: the smaller name;
 - null doc_id: predicted, held_out false, never learned from;
 - rows with the same doc_id: each gets its own row;
+- empty and very long texts: nothing special, a text of any length is scored whole;
 - other columns of the input are ignored by `predict` and carried by `accepted`.
 """
 
@@ -32,12 +35,12 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-MAX_LANGS = 200
 DOCS_PER_LANG = 400
-MAX_WORDS = 300_000
 #: Words of a text that count as independent evidence for `score`.
 EVIDENCE = 20
 ORDERS = (5, 4, 3, 2, 1)
+#: Logarithms are multiples of 1 / UNIT; sums are exact up to 2^53, some 400 million words of a text.
+UNIT = 1 << 20
 #: Unseen words whose scores a task remembers.
 REMEMBERED = 200_000
 
@@ -51,85 +54,119 @@ def held_out(doc_id="doc_id"):
 def training_words(docs: DataFrame) -> list[tuple[str, str, int]]:
     """(lang, word, count) of the bounded sample."""
     rows = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out())
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    langs = rows.groupBy("lang").count()
     # hashes up to twice the share that is needed: the order is over a bounded number of rows, however many a language has
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)
-    near = rows.select("doc_id", "lang").join(F.broadcast(langs), "lang").where(share * F.col("count") <= 2 * DOCS_PER_LANG)
-    order = Window.partitionBy("lang").orderBy(share, "doc_id")
-    ids = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= DOCS_PER_LANG).select("doc_id", "lang").distinct()
+    near = rows.select("doc_id", "lang").join(langs, "lang").where(share * F.col("count") <= 2 * DOCS_PER_LANG)
+    order = Window.partitionBy("lang").orderBy("share")
+    near = near.select("lang", share.alias("share")).distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= DOCS_PER_LANG)
+    upto = near.groupBy("lang").agg(F.max("share").alias("upto"))
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")
-    sample = rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", words)
-    counts = sample.groupBy("lang", "word").count().orderBy(F.desc("count"), "lang", "word").limit(MAX_WORDS)
-    return [tuple(r) for r in counts.collect()]
+    sample = rows.join(upto, "lang").where(share <= F.col("upto")).select("lang", words)
+    # grows with DOCS_PER_LANG and the number of languages only
+    return [tuple(r) for r in sample.groupBy("lang", "word").count().collect()]
+
+
+def _fixed(x) -> np.ndarray:
+    return np.round(np.asarray(x, dtype=np.float64) * UNIT).astype(np.int64)
+
+
+class Table:
+    """Log frequencies of keys: key k has `base` plus, for the languages lang[start[k] : start[k + 1]], value[...]."""
+
+    def __init__(self, counts: dict[str, dict[int, int]], n_langs: int):
+        self.index = {key: k for k, key in enumerate(counts)}
+        self.start = np.cumsum([0, *[len(x) for x in counts.values()]])
+        self.lang = np.array([lang for x in counts.values() for lang in sorted(x)], dtype=np.int32)
+        n = np.array([x[lang] for x in counts.values() for lang in sorted(x)], dtype=np.float64)
+        # half a count more for each key and language
+        total = np.bincount(self.lang, weights=n, minlength=n_langs) + 0.5 * len(counts)
+        self.base = _fixed(np.log(0.5) - np.log(np.maximum(total, 0.5)))
+        self.value = _fixed(np.log(n + 0.5) - np.log(0.5))
 
 
 class Model:
     def __init__(self, counts: list[tuple[str, str, int]]):
         self.langs = sorted({lang for lang, _, _ in counts})
         at = {lang: k for k, lang in enumerate(self.langs)}
-        words: dict = defaultdict(lambda: np.zeros(len(at)))
-        grams: dict = {n: defaultdict(lambda: np.zeros(len(at))) for n in ORDERS}
-        for lang, word, n in counts:
+        words: dict = defaultdict(Counter)
+        grams: dict = {n: defaultdict(Counter) for n in ORDERS}
+        for lang, word, n in sorted(counts):
             words[word][at[lang]] += n
-            marked = f"<{word}>"
             for size in ORDERS:
                 table = grams[size]
-                for g in {marked[i : i + size] for i in range(len(marked) - size + 1)}:
+                for g in sorted(self.split(word, size)):
                     table[g][at[lang]] += n
-        self.index, self.scores = self._logs(words)
-        self.grams = {n: self._logs(t) for n, t in grams.items()}
+        self.words = Table(words, len(at))
+        self.grams = {n: Table(t, len(at)) for n, t in grams.items()}
 
     @staticmethod
-    def _logs(table: dict) -> tuple[dict, np.ndarray]:
-        if not table:
-            return {}, np.zeros((0, 0), np.float32)
-        c = np.stack(list(table.values())) + 0.5
-        return {k: i for i, k in enumerate(table)}, np.log(c / c.sum(axis=0)).astype(np.float32)
+    def split(word: str, size: int) -> set[str]:
+        marked = f"<{word}>"
+        return {marked[i : i + size] for i in range(len(marked) - size + 1)}
 
-    def unseen(self, word: str) -> np.ndarray:
+    def unseen(self, word: str) -> tuple[int, np.ndarray, np.ndarray]:
+        """(size of the grams that decide or 0, languages, their values): the mean over the known grams, each as often as the word has it."""
         marked = f"<{word}>"
         for size in ORDERS:
-            index, scores = self.grams[size]
-            found = [index[g] for g in (marked[i : i + size] for i in range(len(marked) - size + 1)) if g in index]
+            t = self.grams[size]
+            found = [t.index[g] for g in (marked[i : i + size] for i in range(len(marked) - size + 1)) if g in t.index]
             if found:
-                return scores[found].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
+                lang = np.concatenate([t.lang[t.start[k] : t.start[k + 1]] for k in found])
+                value = np.concatenate([t.value[t.start[k] : t.start[k + 1]] for k in found])
+                each, place = np.unique(lang, return_inverse=True)
+                return size, each, np.bincount(place, weights=value).astype(np.int64) // len(found)
+        return 0, np.zeros(0, np.int32), np.zeros(0, np.int64)
 
 
 class _Scores(dict):
-    """Word -> row of `table`; unseen words are scored once and remembered, up to a bound."""
+    """Word -> row; rows of unseen words are made once and remembered, up to a bound."""
 
     def __init__(self, model: Model):
-        super().__init__(model.index)
-        self.model, self.used = model, len(model.index)
-        self.table = np.concatenate([model.scores, np.zeros((REMEMBERED, len(model.langs)), np.float32)])
+        super().__init__(model.words.index)
+        self.model, self.known, self.more = model, len(model.words.index), []
+        self.base = np.stack([np.zeros_like(model.words.base), *[model.grams[n].base for n in sorted(ORDERS)], model.words.base])
 
     def __missing__(self, word: str) -> int:
-        self.table[self.used] = self.model.unseen(word)
-        self[word] = self.used
-        self.used += 1
-        return self.used - 1
+        self.more.append(self.model.unseen(word))
+        self[word] = row = self.known + len(self.more) - 1
+        return row
 
     def of(self, counts: Counter) -> np.ndarray:
-        if len(counts) > REMEMBERED:  # a huge text: without the memory
-            known = self.model.index
-            return sum(n * (self.model.scores[known[w]] if w in known else self.model.unseen(w)) for w, n in counts.items())
-        if self.used + len(counts) > len(self.table):
-            self.clear()
-            self.update(self.model.index)
-            self.used = len(self.model.index)
-        rows = np.fromiter(map(self.__getitem__, counts), np.int64, len(counts))
-        return np.fromiter(counts.values(), np.float32, len(counts)) @ self.table[rows]
+        """The sum over words of count times log frequency, for each language."""
+        t, total = self.model.words, np.zeros(len(self.model.langs))
+        items = list(counts.items())
+        for i in range(0, len(items), REMEMBERED):
+            part = items[i : i + REMEMBERED]
+            if len(self.more) + len(part) > REMEMBERED:
+                self.clear()
+                self.update(t.index)
+                self.more = []
+            rows = np.fromiter((self[w] for w, _ in part), np.int64, len(part))
+            n = np.fromiter((c for _, c in part), np.int64, len(part))
+            seen = rows < self.known
+            r, c = rows[seen], n[seen]
+            size = t.start[r + 1] - t.start[r]
+            flat = np.repeat(t.start[r] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            # whole numbers below 2^53: sums of doubles are exact
+            total += np.bincount(t.lang[flat], weights=t.value[flat] * np.repeat(c, size), minlength=len(total)) + self.base[-1] * c.sum()
+            if len(r) < len(rows):
+                unseen = [self.more[x] for x in (rows[~seen] - self.known).tolist()]
+                c = n[~seen]
+                size = np.array([len(lang) for _, lang, _ in unseen])
+                total += np.bincount(np.concatenate([x for _, x, _ in unseen]), weights=np.concatenate([x for _, _, x in unseen]) * np.repeat(c, size), minlength=len(total))
+                total += np.bincount([k for k, _, _ in unseen], weights=c, minlength=len(self.base)) @ self.base
+        return total
 
 
 def classify(scores: _Scores, text: str | None) -> tuple[str, float]:
     counts = Counter(_LETTERS.findall(text.lower())) if text else Counter()
     if not scores.model.langs or not any(c.isalpha() for w in counts for c in w):
         return "und", 0.0
-    total = scores.of(counts).astype(np.float64)
+    total = scores.of(counts)
     n = sum(counts.values())
     best = int(np.argmax(total))
-    share = np.exp((total - total[best]) / n * min(n, EVIDENCE))
+    share = np.exp((total - total[best]) / UNIT / n * min(n, EVIDENCE))
     return scores.model.langs[best], float(1 / share.sum())
 
 
