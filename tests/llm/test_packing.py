@@ -16,7 +16,7 @@ def test_ends_are_optimal():
         c = Counter(lengths)
         sizes = sorted(c)
         for k in (1, 2, 3, 4):
-            got = op.best_ends(sizes, [c[s] for s in sizes], [s * c[s] for s in sizes], k)
+            got = op.best_ends(sizes, [c[s] for s in sizes], k)
             assert len(got) <= k and got[-1] == sizes[-1]
             best = min(padding(lengths, [*x, sizes[-1]]) for x in combinations(sizes[:-1], min(k, len(sizes)) - 1))
             assert padding(lengths, got) == best
@@ -47,11 +47,29 @@ def test_batches(spark, monkeypatch):
     assert sum(r.padding for r in got) == padding([length[r[0]] for r in rows], sorted({r.bucket_len for r in got}))
 
 
-def test_cells_are_bounded_and_ordered(spark):
-    from pyspark.sql import functions as F
+def test_ends_of_many_long_lengths_are_optimal():
+    rnd = random.Random(4)
+    for m, k in ((300, 6), (40, 12), (7, 12)):
+        c = {rnd.randrange(1, 200_000): rnd.randrange(1, 1000) for _ in range(m)}
+        sizes = sorted(c)
+        pad = lambda i, j: sum((sizes[j - 1] - sizes[x]) * c[sizes[x]] for x in range(i, j))
+        cost = [[pad(i, j) if i < j else 0 for j in range(len(sizes) + 1)] for i in range(len(sizes))]
+        best = [0, *[cost[0][j] for j in range(1, len(sizes) + 1)]]  # plain dynamic programming
+        for _ in range(k - 1):
+            best = [0, *[min([best[j]] + [best[i] + cost[i][j] for i in range(j)]) for j in range(1, len(sizes) + 1)]]
+        got = op.best_ends(sizes, [c[s] for s in sizes], k)
+        assert len(got) <= k and sum(min(e for e in got if e >= s) * n - s * n for s, n in c.items()) == best[-1]
+
+
+def test_many_lengths_take_no_square():
+    sizes = list(range(1, 200_001))
+    assert len(op.best_ends(sizes, [1] * len(sizes), 12)) == 12
+
 
-    got = [tuple(r) for r in spark.range(1, 70_000).select("id", op.cell(F.col("id"))).collect()]
-    assert all(a <= b for (_, a), (_, b) in zip(got, got[1:])) and len({c for _, c in got}) < 1024 + 7 * 128
+def test_rows_without_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(op, "SHARD", 10)
+    got = op.pack(frame(spark, [(None, f"a{i} b", "x") for i in range(300)]), budget=30, buckets=2).collect()
+    assert sorted((r.batch, r.slot) for r in got) == [(i // 10, i % 10) for i in range(300)]
 
 
 def test_empty_table(spark):
