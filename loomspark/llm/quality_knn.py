@@ -12,6 +12,8 @@ broadcast is at most MAX_LABELLED * DIMS floats, whatever the corpus holds.
 Defined results
 ---------------
 - null or empty text, or a vector of length 0: the share of label 1 in the sample;
+- equal similarities (to PLACES decimals): the labelled rows of the smaller hashes of doc_id, then the smaller doc_id, vote;
+- very long texts: read whole, in slices;
 - no labelled rows: score 0.5 for every document;
 - labels: null quality and labels without a document are ignored; a doc_id labelled twice counts twice;
 - null doc_id: scored, held_out false, never learned from;
@@ -35,6 +37,8 @@ DIMS = 64
 NEIGHBOURS = 31
 #: Similarities below this share of the nearest one weigh little: weight = similarity ** SHARPNESS.
 SHARPNESS = 8
+#: Decimals of a cosine that count.
+PLACES = 9
 _SLICE = 1 << 20
 _SHAPE = 8
 
@@ -86,8 +90,8 @@ class Model:
             q = y @ (y.T @ q)
         q = np.linalg.qr(q)[0]
         _, _, v = np.linalg.svd(q.T @ y, full_matrices=False)
-        self.axes = np.ascontiguousarray(v[:DIMS].T)
-        self.vectors = self._unit(y @ self.axes)
+        self.axes = np.ascontiguousarray(v[:DIMS].T).astype(np.float64)
+        self.vectors = self._unit(y.astype(np.float64) @ self.axes)
 
     def _weighed(self, x: np.ndarray) -> np.ndarray:
         y = x * self.idf
@@ -102,12 +106,15 @@ class Model:
     def scores(self, x: np.ndarray) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(x), 0.5)
-        cosine = self._unit(self._weighed(x) @ self.axes) @ self.vectors.T
+        # rounded, so that the last bits of a product, which may hang on a batch's height, neither order nor weigh
+        cosine = np.round(self._unit(self._weighed(x).astype(np.float64) @ self.axes) @ self.vectors.T, PLACES)
         k = min(NEIGHBOURS, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.clip(np.take_along_axis(cosine, near, axis=1), 0, 1).astype(np.float64) ** SHARPNESS
+        least = np.partition(cosine, -k, axis=1)[:, -k, None]
+        more, equal = cosine > least, cosine == least
+        near = more | (equal & (np.cumsum(equal, axis=1) <= k - more.sum(axis=1, keepdims=True)))
+        weight = np.where(near, np.clip(cosine, 0, 1), 0) ** SHARPNESS
         total = weight.sum(axis=1)
-        vote = (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-300)
+        vote = (weight * self.labels).sum(axis=1) / np.maximum(total, 1e-300)
         empty = ~x.any(axis=1) | (total <= 0)
         return np.where(empty, self.base, np.clip(vote, 0, 1))
 

@@ -57,3 +57,15 @@ def test_no_labels_and_no_documents(spark):
 def test_long_text_is_read_whole():
     a, b = op.features(pa.array(["ab " * 500_000, "ab " * 500_000 + "zz%"]))
     assert (a != b).any()
+
+
+def test_ties_go_to_the_first_and_heights_do_not_matter(monkeypatch):
+    monkeypatch.setattr(op, "NEIGHBOURS", 3)
+    texts = ["one two three four"] * 6 + ["alpha beta gamma delta"] * 4
+    m = op.Model(op.features(pa.array(texts)), np.array([1, 0, 1, 0, 0, 0, 1, 1, 0, 0]))
+    assert abs(m.scores(op.features(pa.array(texts[:1])))[0] - 2 / 3) < 1e-6  # the first three of six equals: 1, 0, 1
+    rnd = np.random.default_rng(3)
+    x = op.features(pa.array(["".join(chr(97 + c) for c in rnd.integers(0, 9, 60)) for _ in range(120)]))
+    m = op.Model(x, rnd.integers(0, 2, 120))
+    whole = m.scores(x)
+    assert all((m.scores(x[i : i + n]) == whole[i : i + n]).all() for n in (1, 7, 64) for i in range(0, 120, 31))
