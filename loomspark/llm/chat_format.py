@@ -17,18 +17,21 @@ Defined results
 - null role or text: empty; null conv_id: one conversation; null turn: before all others;
 - events of one turn and seq are taken in the order message, regenerate, edit, delta, then by role and text;
 - a turn whose first event is no message starts one; several messages of a turn stay several;
-- repeated rows are repeated messages (or deltas); other columns are ignored; no events, no rows.
+- events of a null or unknown kind are no events;
+- very long texts are as many deltas as they need; repeated rows are repeated messages (or deltas); other columns are ignored; no events, no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_TURNS = 256
 #: Spans that are cut out of one piece of the output, when it is read back.
 SPANS = 64
 KINDS = ("message", "regenerate", "edit", "delta")
+#: Code points of a replayed delta.
+DELTA = 256
 
 
 def _escaped(sql: str) -> str:
@@ -45,13 +48,32 @@ def _let(name: str, value: str, body: str) -> str:
 
 
 def events(conversations: DataFrame) -> DataFrame:
-    """The log of a table of finished turns (conv_id, turn, role, text)."""
-    return conversations.select("conv_id", "turn", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    """A log that replays a table of finished turns (conv_id, turn, role, text) as they may have come about.
+
+    Each turn is a message that starts with the first `DELTA` code points, and deltas of as many for the rest. A user's
+    message is sent empty and edited; an assistant's is begun with a draft, which is discarded when it is regenerated.
+    Rows of one turn are replayed one after the other, by role and text.
+    """
+    order = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("nth", F.row_number().over(order).cast("long"))
+    blocks = f"transform(sequence(0, greatest(0, (length(text) - 1) div {DELTA})), i -> substring(text, i * {DELTA} + 1, {DELTA}))"
+    event = lambda kind, text: f"named_struct('kind', '{kind}', 'text', {text})"
+    begun = {
+        "user": f"array({event('message', '``')}, {event('edit', 'b[0]')})",
+        "assistant": f"array({event('message', '``')}, {event('delta', 'reverse(b[0])')}, {event('regenerate', '``')}, {event('delta', 'b[0]')})",
+    }
+    start = " ".join(f"WHEN '{role}' THEN {x}" for role, x in begun.items()).replace("``", "''")
+    log = f"concat(CASE role {start} ELSE array({event('message', 'b[0]')}) END, transform(slice(b, 2, size(b)), x -> {event('delta', 'x')}))"
+    rows = rows.select("conv_id", "turn", "role", "nth", F.posexplode(F.expr(_let("b", blocks, log))).alias("i", "e"))
+    seq = (F.col("nth") * F.lit(1 << 32) + F.col("i")).alias("seq")
+    return rows.select("conv_id", "turn", seq, "e.kind", "role", "e.text")
 
 
 def messages(log: DataFrame) -> DataFrame:
     """Blocks of final messages: conv_id, block, and messages, an array of (turn, role, text) in order."""
-    rank = F.coalesce(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.lit(0)).cast("int")
+    log = log.where(F.col("kind").isin(*KINDS))
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     event = F.struct(
         F.col("turn").cast("long").alias("turn"), F.col("seq").cast("long").alias("seq"), rank.alias("rank"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),

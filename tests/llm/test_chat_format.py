@@ -54,12 +54,22 @@ def test_events_are_folded(spark):
         (1, 1, 9, "regenerate", None, None), (1, 1, 10, "delta", None, "Good "), (1, 1, 11, "delta", None, "day"), (1, 0, 12, "edit", None, "hi there"),
         (1, 1, 13, "edit", None, "Bye"), (1, 1, 14, "delta", None, "!"), (1, 2, 15, "delta", "user", "late"), (1, 2, 16, "message", "user", "two"),
     ]
+    log += [(1, 1, 14, None, "user", "no kind"), (1, 1, 14, "typing", "user", "unknown kind")]
     random.Random(1).shuffle(log)
     df = spark.createDataFrame(log, "conv_id long, turn long, seq long, kind string, role string, text string")
     (row,) = op.render(op.messages(df)).select(op.read_back().alias("t")).collect()
     assert [tuple(t) for t in row.t] == [("user", "hi there"), ("assistant", "Bye!"), ("user", "late"), ("user", "two")]
 
 
+def test_the_query_folds_all_kinds_of_events(spark):
+    rows = [(1, 0, "user", "q" * 700, "x"), (1, 1, "assistant", "answer " * 100, "x"), (1, 2, "assistant", "", "x"), (1, 3, "system", "s" * 300, "x"), (1, 3, "system", "s" * 300, "x")]
+    log = op.events(spark.createDataFrame(rows, SCHEMA))
+    kinds = {(r.turn, r.kind): r["n"] for r in log.groupBy("turn", "kind").agg({"kind": "count"}).withColumnRenamed("count(kind)", "n").collect()}
+    assert kinds == {(0, "message"): 1, (0, "edit"): 1, (0, "delta"): 2, (1, "message"): 1, (1, "delta"): 4, (1, "regenerate"): 1, (2, "message"): 1, (2, "delta"): 2, (2, "regenerate"): 1, (3, "message"): 2, (3, "delta"): 2}
+    (row,) = op.render(op.messages(log)).select(op.read_back().alias("t")).collect()
+    assert [tuple(t) for t in row.t] == [r[2:4] for r in rows]
+
+
 def test_same_as_sql(spark, tmp_path):
     import duckdb
 
