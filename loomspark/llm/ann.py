@@ -4,7 +4,7 @@ Vectors are scaled to length 1, so that the largest inner product is the largest
 into subspaces of two dimensions with sixteen centres each: four bits a subspace. Centres and codes
 minimise |r|^2 + (eta - 1) (r . x)^2, in which r is the residual: its part parallel to the vector, which
 changes inner products that are large, costs eta times as much. Codes are found by coordinate
-descent over the subspaces, centres by solving the normal equations of that loss in turn.
+descent over the subspaces, and so are centres: what is fitted grows with the dimension, not with its square.
 
 A search takes queries in blocks of `QUERY_BLOCK` (a bounded broadcast each) and scans every
 code with look-up tables; the `RERANK` best distinct vectors of a chunk of rows are scored
@@ -97,15 +97,24 @@ class Codebook:
         return codes
 
     def _solve(self, x: np.ndarray, codes: np.ndarray) -> None:
-        """The centres of least loss for these codes."""
-        n, width = len(x), self.subs * CENTRES * SUB
-        at = (np.arange(self.subs) * CENTRES + codes)[:, :, None] * SUB + np.arange(SUB)
-        v = np.zeros((n, width), np.float32)
-        np.put_along_axis(v, at.reshape(n, -1), x.astype(np.float32), axis=1)
-        a = (self.eta - 1) * (v.T @ v).astype(np.float64)
-        a[np.diag_indices(width)] += np.bincount(at.ravel(), minlength=width) + 1e-3
-        b = np.bincount(at.ravel(), (self.eta * x).ravel(), minlength=width) + 1e-3 * self.centres.ravel()
-        self.centres = np.linalg.solve(a, b).reshape(self.centres.shape)
+        """Centres of less loss for these codes: those of one subspace after the other, the others fixed, by systems of SUB equations each."""
+        weight = self.eta - 1
+        parts = [x[:, s * SUB : s * SUB + SUB] for s in range(self.subs)]
+        along = [((p - self.centres[s, codes[:, s]]) * p).sum(1) for s, p in enumerate(parts)]
+        total = np.sum(along, axis=0)
+        for s, p in enumerate(parts):
+            k, rest = codes[:, s], total - along[s]
+            # |p - c|^2 + weight * (rest + |p|^2 - c . p)^2, summed over the rows of a centre, is least where its gradient is 0
+            a = np.empty((CENTRES, SUB, SUB))
+            b = np.empty((CENTRES, SUB))
+            pull = 1 + weight * (rest + (p * p).sum(1))
+            for i in range(SUB):
+                b[:, i] = np.bincount(k, p[:, i] * pull, minlength=CENTRES) + 1e-3 * self.centres[s, :, i]
+                for j in range(SUB):
+                    a[:, i, j] = weight * np.bincount(k, p[:, i] * p[:, j], minlength=CENTRES) + (i == j) * (np.bincount(k, minlength=CENTRES) + 1e-3)
+            self.centres[s] = np.linalg.solve(a, b[:, :, None])[:, :, 0]
+            along[s] = ((p - self.centres[s, k]) * p).sum(1)
+            total = rest + along[s]
 
     def encode(self, vectors: np.ndarray) -> np.ndarray:
         """Two subspaces a byte."""
@@ -131,7 +140,6 @@ class Codebook:
             out += np.take(t[:, s], codes[:, s], axis=1)
         return out
 
-
     def split(self, x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each coded vector, the length along the vector x (of length 1) that it stands for, and the length across."""
         c = np.stack([codes & 15, codes >> 4], axis=2).reshape(len(codes), -1)[:, : self.subs]
@@ -286,8 +294,9 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
         for r in asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect():
             block.setdefault(len(r.vec), []).append((r.vec_id, r.vec))
         ready = {dim: (np.array([i for i, _ in qs]), np.array([v for _, v in qs])) for dim, qs in block.items()}
-        got = rows.mapInArrow(_search(book, spark.sparkContext.broadcast(ready), k), found.schema)
-        found = found.unionByName(scratch.cut(got, f"found{b}"))
+        held = spark.sparkContext.broadcast(ready)
+        found = found.unionByName(scratch.cut(rows.mapInArrow(_search(book, held, k), found.schema), f"found{b}"))
+        held.destroy()
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -93,3 +93,19 @@ def test_parallel_residual_costs_more():
 
 def test_empty_table(spark):
     assert op.search(frame(spark, [])).collect() == []
+
+
+def test_centres_lower_the_loss_in_any_dimension():
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(600, 1536))
+    book = op.Codebook(x)
+    u = book.unit(x)
+    codes = book._codes(u)
+
+    def loss():
+        r = u - book.centres[np.arange(book.subs), codes].reshape(len(u), -1)
+        return (r**2).sum() + (book.eta - 1) * ((r * u).sum(1) ** 2).sum()
+
+    before = loss()
+    book._solve(u, codes)
+    assert loss() <= before + 1e-3
