@@ -78,3 +78,29 @@ def test_too_few_labels_reject_nothing(spark):
     d, l = spark.createDataFrame(docs, "doc_id long, text string, s string"), spark.createDataFrame(labels, "doc_id long, quality int")
     assert op.thresholds(op._with_counts(d), l) == {}
     assert op.kept_rows(d, l).count() == 300 and op.judge(d.limit(0), l).collect() == []
+
+
+def test_cutoffs_decide_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    rnd = random.Random(6)
+    docs, labels = [], []
+    for i in range(5000):
+        bad = rnd.random() < 0.2
+        words = [f"w{i}x{k}" + ("###" if bad and rnd.random() < 0.7 else "") for k in range(rnd.choice([15, 40, 120, 420]))]
+        if rnd.random() < 0.01:
+            words = [w + "%" for w in words]
+        docs.append((i, " ".join(words).upper() if bad and i % 2 else " ".join(words)))
+        if rnd.random() < 0.9:
+            labels.append((i, int(not bad)))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents"))
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels"))
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    got = op.judge(*(spark.read.parquet(str(tmp_path / x)) for x in ("documents", "labels")))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({op.oracle()})").fetchall()
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows) == sorted(want)
+    by = {(r[-2], r[-1]) for r in rows}
+    assert by == {(True, False), (False, True), (False, False)}
