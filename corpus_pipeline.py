@@ -1,7 +1,16 @@
 """A corpus pipeline: language ID, quality rules, near duplicates, shared passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last
-return the columns of `documents`.
+return the columns of `documents`, and others of whatever name if `docs` has any.
+
+Defined results
+---------------
+- null or blank text, or no letter: the document goes in the first stage; an empty table gives an empty one;
+- null lang or source: nothing special; null doc_id: judged like others, never learned from; one row stays for each
+  text among them, beside a row with a doc_id, and no passage of theirs is cut or cuts others;
+- rows with one doc_id: one of them stays, the one with the smallest text;
+- ties: of near copies the smallest doc_id stays; of languages the smaller name wins;
+- very long texts are read whole in every stage.
 """
 
 from __future__ import annotations
