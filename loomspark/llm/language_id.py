@@ -53,7 +53,7 @@ def held_out(doc_id="doc_id"):
 
 def training_words(docs: DataFrame) -> list[tuple[str, str, int]]:
     """(lang, word, count) of the bounded sample."""
-    rows = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out())
+    rows = docs.select("doc_id", "lang", "text").where("doc_id is not null and lang is not null and text is not null").where(~held_out())
     langs = rows.groupBy("lang").count()
     # hashes up to twice the share that is needed: the order is over a bounded number of rows, however many a language has
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)

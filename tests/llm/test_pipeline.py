@@ -65,3 +65,26 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    text = " ".join(f"the{k}ing" for k in range(40))
+    other = " ".join(f"der{k}ung" for k in range(50))
+    rows = [(1, text, "en"), (1, text, "en"), (2, text + " end", "en"), (3, None, None), (3, other, "de"), (None, other, "de"), (None, text, None), (4, "", "en"), (5, "7 " * 30, None)]
+    more = ["upto", "share", "count", "tile", "row", "n_words", "kept", "whole", "__d", "c0", "bucket", "batch"]
+    df = spark.createDataFrame([(i, t, lang, None, None, *range(len(more))) for i, t, lang in rows], ", ".join([COLUMNS, *[f"{c} int" for c in more]]))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, None), (None, 0, None), (2, None, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        got = stage(spark, docs, str(tmp_path))
+        assert got.dtypes == df.dtypes
+        got.write.parquet(str(tmp_path / f"stage{n}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage{n}"))
+        seen.append(sorted(((r.doc_id, len((r.text or "").split())) for r in docs.collect()), key=str))
+    named = sorted([(1, 40), (1, 40), (2, 41), (3, 50), (None, 50), (None, 40)], key=str)
+    assert seen[0] == seen[1] == named
+    # one row of 1, which 2 is a near copy of; rows without an id are copies of rows with one only in their texts
+    assert seen[2] == seen[3] == sorted([(1, 40), (3, 50), (None, 50), (None, 40)], key=str)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.n_tokens) for r in out), key=str) == sorted([(1, 41), (3, 51), (None, 51), (None, 41)], key=str)
