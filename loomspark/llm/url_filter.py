@@ -89,15 +89,18 @@ def _rule(host: Column, path: Column, rules) -> Column:
     return F.coalesce(*fits) if fits else F.lit(None).cast("struct<name:string,verdict:string>")
 
 
-def _hashed(text: Column, side: str, n: int) -> Column:
-    at = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-    return F.transform(at, lambda i: F.pmod(F.xxhash64(F.lit(f"{side}{n}"), F.substring(text, i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
+def _hashed(chars: Column, side: str, n: int) -> Column:
+    at = F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1)))
+    return F.transform(at, lambda i: F.pmod(F.xxhash64(F.lit(f"{side}{n}"), F.array_join(F.slice(chars, i, F.lit(n)), "")), F.lit(BUCKETS)).cast("int"))
 
 
 def buckets(host: Column, path: Column) -> Column:
     """The distinct buckets of the n-grams of host and path, their ends marked."""
     marked = [("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", F.concat(F.lit("^"), path, F.lit("$")))]
-    return F.array_distinct(F.concat(*[_hashed(text, side, n) for side, text in marked for n in GRAMS]))
+    # characters are cut once, by a lambda's variable: each n-gram takes n of them, however long the text is
+    grams = lambda side: lambda chars: F.concat(*[_hashed(chars, side, n) for n in GRAMS])
+    each = [F.transform(F.array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))), grams(side)) for side, text in marked]
+    return F.array_distinct(F.concat(*[F.get(x, F.lit(0)) for x in each]))
 
 
 def weights(spark: SparkSession, labelled=LABELLED) -> list[float]:
