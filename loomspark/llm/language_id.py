@@ -43,6 +43,10 @@ ORDERS = (5, 4, 3, 2, 1)
 UNIT = 1 << 20
 #: Unseen words whose scores a task remembers.
 REMEMBERED = 200_000
+#: Languages whose sample sizes are broadcast; more are joined.
+BROADCAST = 100_000
+#: Numbers of a table of words times languages; a larger one keeps only those that differ from their column's base. Sums are the same.
+CELLS = 1 << 23
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -55,12 +59,14 @@ def training_words(docs: DataFrame) -> list[tuple[str, str, int]]:
     """(lang, word, count) of the bounded sample."""
     rows = docs.select("doc_id", "lang", "text").where("doc_id is not null and lang is not null and text is not null").where(~held_out())
     langs = rows.groupBy("lang").count()
+    # a row for each language; texts stay where they are as long as there are at most BROADCAST of them
+    small = (lambda df: F.broadcast(df)) if langs.limit(BROADCAST + 1).count() <= BROADCAST else (lambda df: df)
     # hashes up to twice the share that is needed: the order is over a bounded number of rows, however many a language has
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)
-    near = rows.select("doc_id", "lang").join(langs, "lang").where(share * F.col("count") <= 2 * DOCS_PER_LANG)
+    near = rows.select("doc_id", "lang").join(small(langs), "lang").where(share * F.col("count") <= 2 * DOCS_PER_LANG)
     order = Window.partitionBy("lang").orderBy("share")
     near = near.select("lang", share.alias("share")).distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= DOCS_PER_LANG)
-    upto = near.groupBy("lang").agg(F.max("share").alias("upto"))
+    upto = small(near.groupBy("lang").agg(F.max("share").alias("upto")))
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")
     sample = rows.join(upto, "lang").where(share <= F.col("upto")).select("lang", words)
     # grows with DOCS_PER_LANG and the number of languages only
@@ -126,24 +132,36 @@ class _Scores(dict):
         super().__init__(model.words.index)
         self.model, self.known, self.more = model, len(model.words.index), []
         self.base = np.stack([np.zeros_like(model.words.base), *[model.grams[n].base for n in sorted(ORDERS)], model.words.base])
+        self.table = None
+        if (self.known + REMEMBERED) * len(model.langs) <= CELLS:
+            t = model.words
+            self.table = np.zeros((self.known + REMEMBERED, len(model.langs)))
+            self.table[: self.known] = t.base
+            self.table[np.repeat(np.arange(self.known), np.diff(t.start)), t.lang] += t.value
 
     def __missing__(self, word: str) -> int:
-        self.more.append(self.model.unseen(word))
-        self[word] = row = self.known + len(self.more) - 1
+        size, lang, value = self.model.unseen(word)
+        self[word] = row = self.known + len(self.more)
+        self.more.append((size, lang, value))
+        if self.table is not None:
+            self.table[row] = self.base[size]
+            self.table[row, lang] += value
         return row
 
     def of(self, counts: Counter) -> np.ndarray:
         """The sum over words of count times log frequency, for each language."""
         t, total = self.model.words, np.zeros(len(self.model.langs))
-        items = list(counts.items())
-        for i in range(0, len(items), REMEMBERED):
-            part = items[i : i + REMEMBERED]
+        words, times = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+        for i in range(0, len(words), REMEMBERED):
+            part, n = words[i : i + REMEMBERED], times[i : i + REMEMBERED]
             if len(self.more) + len(part) > REMEMBERED:
                 self.clear()
                 self.update(t.index)
                 self.more = []
-            rows = np.fromiter((self[w] for w, _ in part), np.int64, len(part))
-            n = np.fromiter((c for _, c in part), np.int64, len(part))
+            rows = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+            if self.table is not None:
+                total += n.astype(np.float64) @ self.table[rows]
+                continue
             seen = rows < self.known
             r, c = rows[seen], n[seen]
             size = t.start[r + 1] - t.start[r]
