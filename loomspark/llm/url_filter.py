@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 2048
 GRAMS = (3, 4, 5)
-STEPS, RATE, DECAY = 300, 4.0, 0.0005
+STEPS, RATE, DECAY = 300, 16.0, 0.0001
 #: Rows of the labelled table that are used, at most (the smallest by url).
 MAX_LABELLED = 5000
 
@@ -43,6 +43,8 @@ GOOD_WORDS = (
     "news", "garden", "weather", "library", "museum", "university", "recipe", "travel", "history", "science", "music", "docs", "health", "kitchen", "theory",
     "thought", "outdoor", "author", "school", "city", "archive", "forum", "journal", "market", "nature", "paper", "radio", "sport", "theatre", "water",
 )
+# The most frequent pairs of letters in English words.
+PAIRS = ("th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is", "it", "al", "ar", "st", "to", "nt")
 ZONES = ("example.com", "example.org", "example.net")
 PREFIXES = ("", "www.", "blog.", "m.")
 PATHS = ("en/{}", "de/{}.html", "fr/{}/", "es/{}#top", "{}?page=2", "view/{}")
@@ -51,16 +53,22 @@ HELD_OUT, HELD = 4, 1
 
 
 def stems(words: tuple[str, ...]) -> list[str]:
-    """A word by itself, with the third after it, and run into the seventh after it."""
+    """A word by itself, with the third and the eleventh after it, and run into the seventh after it."""
     n = len(words)
-    return [s for i, w in enumerate(words) for s in (w, f"{w}-{words[(i + 3) % n]}", w + words[(i + 7) % n])]
+    return [s for i, w in enumerate(words) for s in (w, f"{w}-{words[(i + 3) % n]}", f"{w}-{words[(i + 11) % n]}", w + words[(i + 7) % n])]
+
+
+def neutral() -> list[str]:
+    """Stems that mean nothing: of two to four frequent pairs of letters."""
+    n = len(PAIRS)
+    return ["".join(PAIRS[(i + 3 * k + j * (2 * k + i % 7 + 1)) % n] for j in range(2 + k % 3)) for k in range(12) for i in range(n)]
 
 
 def labelled(held_out: bool = False) -> list[tuple[str, int]]:
     """The small labelled table, by rule from the words: (url, label), 1 is to be blocked. `held_out`: that of the stems left out of it."""
     out = []
-    for words, label in ((BAD_WORDS, 1), (GOOD_WORDS, 0)):
-        for i, stem in enumerate(stems(words)):
+    for found, label in ((stems(BAD_WORDS), 1), (stems(GOOD_WORDS), 0), (neutral(), 0)):
+        for i, stem in enumerate(dict.fromkeys(found)):
             if (crc32(stem.encode()) % HELD_OUT == HELD) == held_out:
                 path = PATHS[i % len(PATHS)].format(i * 37 % 1000)
                 out.append((f"https://{PREFIXES[i % len(PREFIXES)]}{stem}.{ZONES[i % len(ZONES)]}/{path}", label))
@@ -104,7 +112,7 @@ def buckets(host: Column, path: Column) -> Column:
 
 
 def weights(spark: SparkSession, labelled=LABELLED) -> list[float]:
-    """Bias and one weight for each bucket: full-batch gradient descent on the logistic loss."""
+    """Bias and one weight for each bucket: full-batch gradient descent on the logistic loss, in which either label weighs as much."""
     table = labelled if isinstance(labelled, DataFrame) else spark.createDataFrame(list(labelled), "url string, label int")
     rows = table.where("url is not null and label is not null").select("url", "label").distinct().orderBy("url", "label").limit(MAX_LABELLED)
     host, path = host_and_path(F.col("url"))
@@ -118,9 +126,11 @@ def weights(spark: SparkSession, labelled=LABELLED) -> list[float]:
     for i, row in enumerate(x):
         for j in row:
             has[j].append(i)
-    one = spark.createDataFrame([(x, [y for _, y in known], has, len(x))], "x array<array<int>>, y array<double>, has array<array<int>>, n int")
+    bad = sum(y for _, y in known)
+    part = [len(x) / 2 / max(1, bad if y else len(x) - bad) for _, y in known]  # either label weighs as much
+    one = spark.createDataFrame([(x, [y for _, y in known], part, has, len(x))], "x array<array<int>>, y array<double>, part array<double>, has array<array<int>>, n int")
     # one step: first each row's residual over the square root of its features, then each weight's gradient
-    residual = "transform(sequence(0, n - 1), i -> (y[i] - 1 / (1 + exp(-aggregate(x[i], 0D, (s, j) -> s + w[j]) / sqrt(size(x[i]))))) / sqrt(size(x[i])))"
+    residual = "transform(sequence(0, n - 1), i -> part[i] * (y[i] - 1 / (1 + exp(-aggregate(x[i], 0D, (s, j) -> s + w[j]) / sqrt(size(x[i]))))) / sqrt(size(x[i])))"
     gradient = f"transform(w, (v, j) -> v + {RATE}D * (aggregate(has[j], 0D, (s, i) -> s + r[i]) / n - {DECAY}D * v))"
     step = f"transform(array({residual}), r -> {gradient})[0]"
     fitted = one.select(F.expr(f"aggregate(sequence(1, {STEPS}), array_repeat(0D, {BUCKETS + 1}), (w, k) -> {step})").alias("w"))

@@ -41,11 +41,12 @@ def test_weights_are_those_of_plain_gradient_descent(spark):
     host, path = op.host_and_path(F.col("url"))
     rows = spark.createDataFrame(list(op.LABELLED), "url string, label int").select(op.buckets(host, path).alias("x"), "label").collect()
     v = [0.0] * (op.BUCKETS + 1)
+    share = {y: sum(r.label == y for r in rows) / len(rows) for y in (0, 1)}
     for _ in range(op.STEPS):
         g = [0.0] * len(v)
         for r in rows:
             x = [0] + [b + 1 for b in r.x]
-            e = (r.label - 1 / (1 + math.exp(-sum(v[j] for j in x) / math.sqrt(len(x))))) / math.sqrt(len(x))
+            e = 0.5 / share[r.label] * (r.label - 1 / (1 + math.exp(-sum(v[j] for j in x) / math.sqrt(len(x))))) / math.sqrt(len(x))
             for j in x:
                 g[j] += e
         v = [a + op.RATE * (b / len(rows) - op.DECAY * a) for a, b in zip(v, g)]
@@ -61,7 +62,7 @@ def test_held_out_stems(spark):
     hit = sum(verdict[i] and y for i, (_, y) in enumerate(table))
     precision, recall = hit / sum(verdict.values()), hit / sum(y for _, y in table)
     print("held-out stems:", len(table), "precision", precision, "recall", recall)
-    assert precision >= 0.85 and recall >= 0.85
+    assert precision >= 0.9 and recall >= 0.8
 
 
 def hashed(spark, side, n, gram):
