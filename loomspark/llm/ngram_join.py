@@ -13,10 +13,14 @@ the tiles that linked sets agree on, at least the last in that order is kept by
 In a tile, hashed bitmap signatures (parities of the hashes at one to two bits a shingle) bound
 the difference from below, hence the overlap from above; what passes is intersected exactly, as
 sorted arrays. Equal sets are one node from the start. A tile's nodes are first compared
-with the tile's smallest node only (an aggregate and an equi-join, whatever the tile's size);
-after contracting those links, the tiles that still hold nodes of several components
-besides their smallest are cut into blocks, and block pairs compare only nodes of different components and
-return a spanning forest. No step emits all pairs of a tile, and no link between components is lost.
+with the tile's smallest node only (an aggregate and an equi-join, whatever the tile's size).
+Those links are contracted; what is left are tiles that still hold nodes of several components
+besides their smallest. Near copies share many tiles, so their nodes are not compared tile by tile: each node gets
+a hub, the first in a hashed order of the nodes that it shares a tile with, and the nodes of one hub are a group. A tile whose
+nodes have one hub is done with its group; after HUBS such groupings, each with another order, the few tiles that are left are
+groups themselves, in which nodes that had a hub in common are not compared again. Groups are cut into blocks; pairs of
+blocks compare nodes of different components, bitmaps first and then sorted arrays, and return a spanning forest of links.
+So no step emits all pairs of a group, comparing takes numbers in a task's memory only, and no link between components is lost.
 
 Defined results
 ---------------
@@ -29,6 +33,8 @@ Defined results
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -39,10 +45,10 @@ from .textkernel import _STEP, Words, mix, slices
 
 #: A slot with so few shingles says little: many unrelated sets may agree on it.
 POOR = 2
-#: Nodes of one tile that are compared by one task.
-BLOCK_ROWS = 256
-#: Pairs that a task returns for each node of its block, at most; what is left waits for the next round.
-PAIRS_PER_NODE = 8
+#: Nodes of a block, and their shingles: a row holds two blocks.
+BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1 << 19
+#: Groupings by hubs before the tiles themselves are groups.
+HUBS = 3
 
 
 def spare(most: int) -> int:
@@ -207,62 +213,173 @@ def _verify(k: int, threshold: int):
     return run
 
 
-def _folded(bits: list[bytes]) -> np.ndarray:
-    """The bitmaps as rows of one matrix, folded to the narrowest."""
-    width, out = min(map(len, bits)), []
-    for x in bits:
-        row = np.frombuffer(x, np.uint8)
-        while len(row) > width:
-            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
-        out.append(row)
-    return np.stack(out)
+def _arrays(k: int):
+    def run(batches):
+        for batch in batches:
+            for i, j in slices(batch.column("text")):
+                sets = shingles(Words(batch.column("text").slice(i, j - i), lower=True), k)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    ["node", "n", "s"],
+                )
 
+    return run
 
-def _block(threshold: int):
-    """For each block of a tile, pairs of different components that its bitmaps allow: the nearest, in proportion to the nodes.
 
-    A node paired with itself says that pairs are left for the next round.
-    """
+def _parities(sets: list[np.ndarray], width: int) -> np.ndarray:
+    """Parities of the hashes' low bits, a row of 64-bit words for each set."""
+    out = np.zeros((len(sets), width), np.uint8)
+    for row, s in zip(out, sets):
+        row[:] = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
+
+
+class Block:
+    """Nodes that are compared with one another: links that join different components, a spanning forest of them."""
+
+    def __init__(self, bands: Bands, sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, met: np.ndarray):
+        """`side`: nodes of one side, 0 or 1, are not compared, those of side 2 are with all. `met`: labels, nodes that agree on one (but 0) are not compared."""
+        order = np.argsort([len(s) for s in sets], kind="stable")
+        self.bands, self.order = bands, order
+        self.sets = [sets[i] for i in order]
+        self.size = np.array([len(s) for s in self.sets], np.int64)
+        self.side, self.met = side[order], met[order]
+        self.label = np.unique(component[order], return_inverse=True)[1]
+        self.width = np.array([1 << max(6, (8 * int(n) - 1).bit_length()) for n in self.size], np.int64)
+        self.last = np.searchsorted(self.size, self.size * 100 // bands.t, side="right")
+        self.rows: dict[int, tuple[int, np.ndarray]] = {}
+
+    def _bits(self, width: int) -> tuple[int, np.ndarray]:
+        """First node and bitmaps of the nodes of this width and of those that they are compared with."""
+        if width not in self.rows:
+            low, high = np.searchsorted(self.width, [width, width + 1])
+            self.rows = {width: (int(low), _parities(self.sets[low : self.last[high - 1]], width))}
+        return self.rows[width]
+
+    def forest(self) -> list[tuple[int, int]]:
+        out = []
+        for x in range(len(self.sets)):
+            y = np.arange(x + 1, self.last[x])
+            y = y[(self.label[y] != self.label[x]) & ((self.side[y] != self.side[x]) | (self.side[y] == 2))]
+            if len(y) and self.met.shape[1]:
+                y = y[~((self.met[y] == self.met[x]) & (self.met[x] != 0)).any(axis=1)]
+            if not len(y):
+                continue
+            low, bits = self._bits(int(self.width[x]))
+            apart = np.bitwise_count(bits[y - low] ^ bits[x - low]).sum(axis=1)
+            near = apart <= self.bands.most(self.size[y] + self.size[x])
+            for z in y[near][np.argsort(apart[near], kind="stable")].tolist():
+                if self.label[z] != self.label[x] and _linked(self.sets[x], self.sets[z], self.bands.t):
+                    self.label[self.label == self.label[z]] = self.label[x]
+                    out.append((int(self.order[x]), int(self.order[z])))
+        return out
 
-    def pairs(node, side, component, size, bits, failed, most):
-        order = np.argsort(size, kind="stable")
-        node, side, size, component = node[order], side[order], size[order], component[order]
-        bits = _folded([bits[i] for i in order])
-        found = []
-        for x in range(len(node)):
-            y = np.arange(x + 1, np.searchsorted(size, size[x] * 100 // threshold, side="right"))
-            y = y[(component[y] != component[x]) & ((side[y] != side[x]) | (side[y] == 2))]
-            if len(y):
-                apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1)
-                ok = apart <= most(size[x] + size[y])
-                found += [(d, x, z) for d, z in zip(apart[ok].tolist(), y[ok].tolist())]
-        left = PAIRS_PER_NODE * len(node)
-        for _, x, z in sorted(found):
-            a, b = int(node[x]), int(node[z])
-            if (a, b) not in failed and (b, a) not in failed:
-                if not left:
-                    yield a, a  # there are more
-                    break
-                left -= 1
-                yield a, b
 
+def _forest(threshold: int):
     def run(batches):
         bands = Bands(threshold)
         for batch in batches:
             rows = batch.column("rows")
-            at = rows.offsets.to_numpy()
-            flat = rows.values
-            node, side, component, size = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "side", "component", "n"))
-            bits, failed = flat.field("bits"), flat.field("failed")
-            links = []
+            at, flat = rows.offsets.to_numpy(), rows.values
+            node, side, component = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "side", "component"))
+            met = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("met0", "met1", "met2")], axis=1)
+            s, links = flat.field("s"), []
             for i, j in zip(at[:-1], at[1:]):
-                known = {(int(a), b) for a, bs in zip(node[i:j], failed[i:j].to_pylist()) for b in bs or ()}
-                links += pairs(node[i:j], side[i:j], component[i:j], size[i:j], bits[i:j].to_pylist(), known, bands.most)
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in s[i:j]]
+                links += [(node[i + x], node[i + y]) for x, y in Block(bands, sets, component[i:j], side[i:j], met[i:j]).forest()]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
     return run
 
 
+def _compared(scratch: Scratch, threshold: int, groups: DataFrame, arrays: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """The components (node, component) of `found` and of the links that groups (key, node, component, met0..2) hold.
+
+    A group's largest component is not compared with itself: it is cut into blocks, which all other nodes visit,
+    and pairs of blocks of the others meet. Of large groups, the first block is visited first, then eight times
+    as many, and so on: nodes that have many links find one of them soon, so that few links are found again by several blocks.
+    """
+    weighed = scratch.cut(groups.join(arrays.groupBy("node").agg(F.sum("n").alias("w")), "node"), f"{name}_groups")
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    met = ["met0", "met1", "met2"]
+    limit, step = 1, 0
+    while True:
+        each = weighed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+        top = each.groupBy("key").agg(F.max(F.struct("n", "component", "w")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w")).where("top.n < n")
+        homes, guests = blocks(F.col("top.n"), F.col("top.w")), blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w"))
+        top = scratch.cut(top.select("key", F.col("top.component").alias("main"), homes.alias("homes"), guests.alias("guests")), f"{name}_top{step}")
+        most = top.agg(F.max(F.greatest("homes", "guests"))).first()[0]
+        if most is None:
+            break
+        rest = weighed.join(top, "key")
+        at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+        upto = lambda n: F.sequence(F.lit(0), F.least(n, F.lit(limit)) - 1)
+        home = rest.where("component = main").select("key", "node", "component", *met, at(F.col("homes")).alias("j"), F.lit(0).alias("side"), "guests").where(F.col("j") < limit)
+        guest = rest.where("component <> main")
+        # row (i, j): the others' block i and the main component's block j, which each home is copied to for every i; -1 - j for the others' block j
+        home = home.select("key", "node", "component", *met, F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("i"), "j", "side")
+        visit = guest.select("key", "node", "component", *met, at(F.col("guests")).alias("i"), F.explode(upto(F.col("homes"))).alias("j"), F.lit(1).alias("side"))
+        # pairs (i, j) of the others' blocks, fewer than `limit` apart; a node meets its own block once and every other block once
+        own = guest.withColumn("own", at(F.col("guests")))
+        other = F.sequence(F.greatest(F.lit(0), F.col("own") - limit + 1), F.least(F.col("guests"), F.col("own") + limit) - 1)
+        own = own.withColumn("other", F.explode(other))
+        side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
+        own = own.select("key", "node", "component", *met, F.least("own", "other").alias("i"), (-1 - F.greatest("own", "other")).alias("j"), side.alias("side"))
+        spread = home.unionByName(visit).unionByName(own).join(arrays.select("node", "s"), "node")
+        row = F.struct("node", "side", "component", *met, "s")
+        new = spread.groupBy("key", "i", "j").agg(F.collect_list(row).alias("rows")).select("rows").mapInArrow(_forest(threshold), "a long, b long")
+        new = scratch.cut(new.distinct(), f"{name}_links{step}")
+        scratch.drop(f"{name}_top{step}")
+        if some(new):
+            stars = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            found = scratch.cut(components(scratch, stars.unionByName(new), f"{name}_cc{step}"), f"{name}_components{step}")
+            if most > limit:
+                weighed = weighed.join(found.withColumnRenamed("component", "new"), "node", "left").withColumn("component", F.coalesce("new", "component")).drop("new")
+                weighed = scratch.cut(weighed, f"{name}_groups{step}")
+        if most <= limit:
+            break
+        limit, step = limit * 8, step + 1
+    return found
+
+
+def _open_tiles(scratch: Scratch, rest: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """(tile, node, component) of the tiles whose nodes are of several components."""
+    rest = rest.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = rest.groupBy("tile").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("tile")
+    return scratch.cut(rest.join(mixed, "tile"), name)
+
+
+def _by_hubs(scratch: Scratch, threshold: int, rest: DataFrame, texts, k: int, found: DataFrame) -> DataFrame:
+    """The components (node, component) with the links between nodes of one tile of `rest` (tile, node, component). `texts` gives (doc_id, text) of nodes."""
+    cut, drop, met = scratch.cut, scratch.drop, [f"met{salt}" for salt in range(HUBS)]
+    nodes = cut(rest.select("node", "component").distinct(), "nodes")
+    hubs, done = nodes, 0
+    while done < HUBS and some(rest):
+        # a node's hub: the first, in a hashed order, of the nodes that it shares a tile with
+        first = F.struct(F.xxhash64(F.lit(done), "node").alias("h"), F.col("node").alias("hub"))
+        least = rest.groupBy("tile").agg(F.min(first).alias("l"))
+        hub = rest.join(least, "tile").groupBy("node").agg(F.min("l").alias("l"))
+        hub = cut(hub.select("node", F.xxhash64(F.lit(done), "l.hub").bitwiseOR(F.lit(1)).alias(met[done])), f"hub{done}")
+        hubs = hubs.join(hub, "node", "left")
+        # tiles whose nodes have one hub are done when its group is
+        mixed = rest.join(hub, "node").groupBy("tile").agg(F.min(met[done]).alias("p"), F.max(met[done]).alias("q")).where("p < q").select("tile")
+        rest = cut(rest.join(mixed, "tile"), f"rest{done}")
+        done += 1
+    none = F.lit(0).cast("long")
+    hubs = cut(hubs.select("node", "component", *[F.coalesce(m, none).alias(m) if n < done else none.alias(m) for n, m in enumerate(met)]), "hubs")
+    arrays = texts(nodes.select("node")).select(F.col("doc_id").alias("node"), "text").mapInArrow(_arrays(k), "node long, n long, s binary")
+    arrays = cut(arrays.where("n > 0"), "arrays")
+    # a group's nodes with an earlier hub in common are not compared again
+    groups = [hubs.where(F.col(m) != 0).select(F.col(m).alias("key"), "node", "component", *[e if i < n else none.alias(e) for i, e in enumerate(met)]) for n, m in enumerate(met[:done])]
+    found = _compared(scratch, threshold, reduce(DataFrame.unionByName, groups), arrays, found, "hub")
+    last = _open_tiles(scratch, rest.select("tile", "node"), found, "last")
+    if some(last):
+        groups = last.join(hubs.drop("component"), "node").select(F.col("tile").alias("key"), "node", "component", *met)
+        found = _compared(scratch, threshold, groups, arrays, found, "tile")
+    drop("arrays", "hubs", "last")
+    return found
+
+
 def graph(docs: DataFrame, k: int = 3, threshold: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `docs` (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "jaccard")
@@ -292,56 +409,20 @@ def graph(docs: DataFrame, k: int = 3, threshold: int = 90) -> DataFrame:
     right = bits.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
     pairs = cut(pairs.join(left, "a").join(right, "b").mapInArrow(_near(threshold), "a long, b long").distinct(), "pairs")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        near = cut(texts.join(nodes, texts.doc_id == nodes.node, "left_semi").distinct(), f"texts_{name}")
-        one = near.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-        two = near.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        links = cut(pairs.join(one, "a").join(two, "b").mapInArrow(_verify(k, threshold), "a long, b long").distinct(), f"links_{name}")
-        drop(f"texts_{name}")
-        return links
-
-    links = verified(pairs, "star")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    near = cut(texts.join(nodes, texts.doc_id == nodes.node, "left_semi").distinct(), "texts")
+    one = near.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    two = near.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    links = cut(pairs.join(one, "a").join(two, "b").mapInArrow(_verify(k, threshold), "a long, b long").distinct(), "star")
+    drop("texts", "pairs", "bits")
     found = cut(components(scratch, links), "components")
-    # what the smallest nodes leave open: every pair of other nodes in different components, by blocks of bitmaps
-    others = members.join(centre, "tile").where("node <> b").select("tile", "node")
-    failed, step = pairs.join(links, ["a", "b"], "left_anti"), 0
-    while True:
-        label = F.coalesce("component", "node").alias("component")
-        rest = others.join(found, "node", "left").select("tile", "node", label)
-        # a tile's largest component is not compared with itself: it is cut into blocks, which all other nodes visit
-        each = rest.groupBy("tile", "component").agg(F.count("*").alias("n"))
-        most = each.groupBy("tile").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size")).where("top.n < size")
-        rest = cut(rest.join(most.select("tile", "size", F.col("top.n").alias("n"), F.col("top.component").alias("main")), "tile"), f"rest{step}")
-        homes, guests = F.ceil(F.col("n") / BLOCK_ROWS).cast("int"), F.ceil((F.col("size") - F.col("n")) / BLOCK_ROWS).cast("int")
-        at = lambda blocks: F.pmod(F.xxhash64("node"), blocks).cast("int")
-        home = rest.where("component = main").select("tile", "node", "component", F.lit(-1).alias("i"), at(homes).alias("j"), F.lit(0).alias("side"))
-        guest = rest.where("component <> main")
-        visit = guest.select("tile", "node", "component", F.lit(-1).alias("i"), F.explode(F.sequence(F.lit(0), homes - 1)).alias("j"), F.lit(1).alias("side"))
-        # pairs (i, j) of the others' blocks; a node meets its own block once and every other block once
-        own = guest.withColumn("own", at(guests)).withColumn("other", F.explode(F.sequence(F.lit(0), guests - 1)))
-        side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
-        own = own.select("tile", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
-        spread = home.unionByName(visit).unionByName(own)
-        known = failed.groupBy(F.col("a").alias("node")).agg(F.sort_array(F.collect_set("b")).alias("failed"))
-        spread = spread.join(bits, "node").join(known, "node", "left")
-        row = F.struct("node", "side", "component", "n", "bits", "failed")
-        tiles = spread.groupBy("tile", "i", "j").agg(F.collect_list(row).alias("rows"))
-        more = cut(tiles.select("rows").mapInArrow(_block(threshold), "a long, b long").distinct(), f"more{step}")
-        drop(f"rest{step}")
-        again, more = some(more.where("a = b")), more.where("a <> b")
-        if not some(more):
-            break
-        new = verified(more, str(step))
-        failed = cut(failed.unionByName(more.join(new, ["a", "b"], "left_anti")), f"failed{step}")
-        links = cut(links.unionByName(new), f"links{step}")
-        if some(new):
-            found = cut(components(scratch, links, f"cc{step}"), f"components{step}")
-        if not again:
-            break
-        step += 1
-    drop("members", "pairs", "bits")
-    labels = classes.join(found, "node", "left").select("h1", "h2", "n", label)
+
+    # what the smallest nodes leave open: pairs of other nodes of one tile in different components
+    rest = _open_tiles(scratch, members.join(centre, "tile").where("node <> b").select("tile", "node"), found, "rest")
+    drop("members")
+    if some(rest):
+        found = _by_hubs(scratch, threshold, rest, lambda wanted: texts.join(wanted, texts.doc_id == wanted.node, "left_semi").distinct(), k, found)
+    labels = classes.join(found, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component"))
     # rows that share an id share the smallest label of their sets
     rows = sets.join(labels, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component"))
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))

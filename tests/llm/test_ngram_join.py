@@ -80,6 +80,66 @@ def test_chain_within_blocks(spark, monkeypatch):
     assert got == brute(rows, 3, 90)
 
 
+def near_copies(seed, copies, words, edits):
+    """Texts that are one base with some words replaced by words of their own, and the components of the links by the places of those words."""
+    rnd = np.random.default_rng(seed)
+    k, t, texts = 5, 80, []
+    shingles = words - k + 1
+    hit = np.zeros((copies, shingles), bool)
+    for i in range(copies):
+        w = [f"b{j}" for j in range(words)]
+        for p in rnd.choice(words, rnd.choice(edits), replace=False):
+            w[p] = f"e{i}x{p}"
+            hit[i, max(0, p - k + 1) : p + 1] = True
+        texts.append(" ".join(w))
+    label = np.arange(copies)
+    free = (~hit).astype(np.float32)
+    for i in range(copies):
+        both = free[i] @ free[i + 1 :].T
+        for j in (np.flatnonzero(100 * both >= t * (2 * shingles - both)) + i + 1).tolist():
+            if label[j] != label[i]:
+                a, b = sorted((label[i], label[j]))
+                label[label == b] = a
+    return texts, label
+
+
+def test_thousands_of_near_copies_about_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK_ROWS", 256)
+    texts, label = near_copies(3, 5000, 60, (1, 2, 2, 2, 3))
+    made = []
+    monkeypatch.setattr(op.Scratch, "cut", lambda self, df, name, cut=op.Scratch.cut: (made.append((name, out := cut(self, df, name))), out)[1])
+    got = {r.doc_id: r.component_id for r in op.graph(frame(spark, list(enumerate(texts))), 5, 80).collect()}
+    assert [got[i] for i in range(5000)] == label.tolist()
+    assert 10 < len(set(label.tolist())) < 4990
+    # a spanning forest, not all pairs: some links are found by several blocks
+    found = [spark.read.parquet(f.inputFiles()[0].rsplit("/", 1)[0]).count() for name, f in made if "_links" in name]
+    assert found and sum(found) < 4 * 5000
+
+
+def test_block_is_a_spanning_forest():
+    rnd = np.random.default_rng(2)
+    base = np.unique(rnd.integers(0, 2**63, 60).astype(np.uint64))
+    sets = [np.unique(np.concatenate([rnd.permutation(base)[:50], rnd.integers(0, 2**63, rnd.integers(0, 12)).astype(np.uint64)])) for _ in range(300)]
+    zero = np.zeros((300, 3), np.int64)
+    links = op.Block(op.Bands(75), sets, np.arange(300), np.full(300, 2), zero).forest()
+    label = list(range(300))
+    for pairs, keep in (([(x, y) for x in range(300) for y in range(x) if op._linked(sets[x], sets[y], 75)], False), (links, True)):
+        label = list(range(300))
+        for x, y in pairs:
+            a, b = sorted((label[x], label[y]))
+            assert not keep or a != b
+            label = [a if v == b else v for v in label]
+        if not keep:
+            want = label
+    assert label == want and len(set(label)) < 300
+    # nodes of one side, of one component, or with a label in common are not compared
+    assert op.Block(op.Bands(75), sets, np.arange(300), np.zeros(300, int), zero).forest() == []
+    assert op.Block(op.Bands(75), sets, np.zeros(300, int), np.full(300, 2), zero).forest() == []
+    assert op.Block(op.Bands(75), sets, np.arange(300), np.full(300, 2), zero + [0, 7, 0]).forest() == []
+    wide = [base, np.unique(np.concatenate([base, rnd.integers(0, 2**63, 15).astype(np.uint64)]))]
+    assert len(op.Block(op.Bands(75), wide, np.arange(2), np.full(2, 2), zero[:2]).forest()) == 1
+
+
 def kept(s, bands):
     """Tiles that a set stays in; each tile's count is a hash of it."""
     out = set()
