@@ -23,9 +23,9 @@ def components(scratch: Scratch, links: DataFrame, name: str = "cc") -> DataFram
     edges = scratch.cut(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}0"
     )
-    step = 0
-    while True:
-        before = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    state = lambda: edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    step, before = 0, state()
+    while before[0]:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -41,7 +41,8 @@ def components(scratch: Scratch, links: DataFrame, name: str = "cc") -> DataFram
         edges = scratch.cut(small, f"{name}{step + 1}")
         scratch.drop(f"{name}l{step}", f"{name}{step}")
         step += 1
-        if edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == before:
+        if (now := state()) == before:
             break
+        before = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
