@@ -1,7 +1,7 @@
 """Refresh as a stream: new and changed files trigger one refresh for each micro-batch.
 
-The file source sees no deletions; each batch runs the full comparison, so they are
-caught up with whatever triggers next.
+The file source sees neither deletions nor names that start with a point or an underscore; each batch
+runs the full comparison, so they are caught up with whatever triggers next.
 """
 
 from __future__ import annotations
