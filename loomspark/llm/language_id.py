@@ -45,7 +45,7 @@ UNIT = 1 << 20
 REMEMBERED = 200_000
 #: Languages whose sample sizes are broadcast; more are joined.
 BROADCAST = 100_000
-#: Numbers of a table of words times languages; a larger one keeps only those that differ from their column's base. Sums are the same.
+#: Numbers of the tables of words and n-grams times languages; larger ones keep only those that differ from their column's base. Sums are the same.
 CELLS = 1 << 23
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -133,19 +133,29 @@ class _Scores(dict):
         self.model, self.known, self.more = model, len(model.words.index), []
         self.base = np.stack([np.zeros_like(model.words.base), *[model.grams[n].base for n in sorted(ORDERS)], model.words.base])
         self.table = None
-        if (self.known + REMEMBERED) * len(model.langs) <= CELLS:
-            t = model.words
+        if (self.known + REMEMBERED + sum(len(t.index) for t in model.grams.values())) * len(model.langs) <= CELLS:
             self.table = np.zeros((self.known + REMEMBERED, len(model.langs)))
-            self.table[: self.known] = t.base
-            self.table[np.repeat(np.arange(self.known), np.diff(t.start)), t.lang] += t.value
+            self.table[: self.known] = self._dense(model.words) + model.words.base
+            self.grams = [(size, model.grams[size].index, model.grams[size].base, self._dense(model.grams[size])) for size in ORDERS]
+
+    def _dense(self, t: Table) -> np.ndarray:
+        out = np.zeros((len(t.index), len(self.model.langs)), np.int64)
+        out[np.repeat(np.arange(len(t.index)), np.diff(t.start)), t.lang] = t.value
+        return out
 
     def __missing__(self, word: str) -> int:
-        size, lang, value = self.model.unseen(word)
         self[word] = row = self.known + len(self.more)
-        self.more.append((size, lang, value))
-        if self.table is not None:
-            self.table[row] = self.base[size]
-            self.table[row, lang] += value
+        if self.table is None:
+            self.more.append(self.model.unseen(word))
+            return row
+        self.more.append(None)
+        self.table[row] = 0
+        marked = f"<{word}>"
+        for size, index, base, values in self.grams:  # as Model.unseen has it
+            found = [index[g] for g in [marked[i : i + size] for i in range(len(marked) - size + 1)] if g in index]
+            if found:
+                self.table[row] = base + values[found].sum(axis=0) // len(found)
+                break
         return row
 
     def of(self, counts: Counter) -> np.ndarray:
