@@ -51,10 +51,11 @@ class Scratch:
         small_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """`df` as a table, in a folder for each value of `by` if given."""
         path = f"{self.root}/{name}"
         with _shuffles_go(self.spark):
-            df.write.parquet(path)
+            (df.write.partitionBy(by) if by else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
