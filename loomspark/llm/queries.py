@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the tables of a folder, with production parameters."""
+"""The queries op1 to op13 over the tables of a folder, with production parameters."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from . import (
     ann,
     chat_format,
     language_id,
+    lexical,
+    license_scan,
     ngram_join,
     packing,
     quality_knn,
@@ -15,6 +17,7 @@ from . import (
     sentencepiece_codec,
     substring_dedup,
     url_filter,
+    whitening,
 )
 
 #: The public SentencePiece vocabulary; every node has it.
@@ -65,11 +68,24 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.graph(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("tier")
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_sentencepiece, op3_language_id, op4_url_filter, op5_quality_rules, op6_quality_knn,
-        op7_chat_format, op8_approximate_nearest_neighbours, op9_packing, op10_ngram_jaccard_join,
+        op7_chat_format, op8_approximate_nearest_neighbours, op9_packing, op10_ngram_jaccard_join, op11_embedding_whitening,
+        op12_lexical_search, op13_license_scan,
     )
 }
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -97,4 +113,15 @@ SELECT n.doc_id, coalesce(k, 0)::BIGINT AS n_shingles, least(n.doc_id, coalesce(
 FROM n LEFT JOIN c USING (doc_id) LEFT JOIN (SELECT doc_id, min(low) AS m FROM r GROUP BY 1) USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op5_quality_rules": quality_rules.oracle(), "op7_chat_format": chat_format.ORACLE, "op10_ngram_jaccard_join": _OP10}
+_OP12 = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc_id, ws, len(ws)::HUGEINT AS n FROM t WHERE len(ws) > 0),
+s AS (SELECT count(*)::HUGEINT AS n_docs, sum(n) AS n_terms FROM d),
+p AS (SELECT doc_id, n, w, count(*) AS tf FROM (SELECT doc_id, n, unnest(ws) AS w FROM d) GROUP BY ALL),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+f AS (SELECT w, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM p, s GROUP BY w, n_docs),
+r AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score FROM q JOIN p USING (w) JOIN f USING (w), s GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 50
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op5_quality_rules": quality_rules.oracle(), "op7_chat_format": chat_format.ORACLE, "op10_ngram_jaccard_join": _OP10, "op12_lexical_search": _OP12}
