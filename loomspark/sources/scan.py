@@ -1,111 +1,43 @@
-"""Directory scan: the files of a tree that are worth indexing.
+"""Directory scan: the files of a tree that are worth indexing, in any store that `stores` opens.
 
-A tree on a file system of every node is listed by tasks over its folders, names that start with a
-point or an underscore included, and contents are read by tasks over paths. Other stores are read by
-Spark's own reader, which passes over such names.
+The tree is a data source (`tree`): tasks list folders, and size and extension are tested there. Contents are read by tasks over paths.
 """
 
 from __future__ import annotations
 
-import os
-import stat
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .stores import store
+from .tree import FOLDERS, Tree
 
 MAX_BYTES = 1 << 20
-#: The driver lists folders until there are so many to share out.
-FOLDERS = 64
 #: Bytes of contents in a batch, about.
 BATCH = 8 << 20
-# Path components that are never entered.
-EXCLUDED = ("node_modules", "target", ".git", "dist", "build", ".scs", "__pycache__", "vendor", ".next", ".nuxt", "coverage", ".venv", "venv")
-#: An index's own folder is not entered either.
-OWN = ".loom"
-
-
-def _local(root: str) -> str | None:
-    """The folder of a root without a scheme or with file:, else None."""
-    path = root.removeprefix("file://") if root.startswith("file://") else root.removeprefix("file:")
-    return None if "://" in path else os.path.abspath(path)
-
-
-def _entries(folder: str) -> tuple[list[str], list[tuple[bytes, int, int]]]:
-    """Folders, and files (path, mtime, length), of a folder; a link to a folder is neither."""
-    folders, files = [], []
-    with os.scandir(folder) as found:
-        for e in found:
-            if e.name in EXCLUDED or e.name == OWN:
-                continue
-            if e.is_dir(follow_symlinks=False):
-                folders.append(e.path)
-                continue
-            try:
-                s = e.stat()
-            except OSError:  # a link to nothing, or gone meanwhile
-                continue
-            if stat.S_ISREG(s.st_mode) and s.st_size <= MAX_BYTES:
-                files.append((os.fsencode(e.path), int(s.st_mtime), s.st_size))
-    return folders, files
-
-
-def _walk(folders: list[str]) -> Iterator[tuple[bytes, int, int]]:
-    while folders:
-        more, files = _entries(folders.pop())
-        folders += more
-        yield from files
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """path (relative to root), mtime, length, chunk_type of the wanted files, and `at`, their place; no content is read."""
-    base = _local(root)
-    if base is None:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= MAX_BYTES)
-        whole = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?(?=/)", "")
-        rel = S.relative(F.url_decode(F.regexp_replace(whole, r"\+", "%2B")), root.rstrip("/").split("://")[-1])
-        files = files.select(rel.alias("path"), F.unix_seconds("modificationTime").alias("mtime"), "length", F.col("path").cast("binary").alias("at"))
-    else:
-        folders, found = [base], []
-        while 0 < len(folders) < FOLDERS:
-            more, files = zip(*map(_entries, folders))
-            folders = [f for x in more for f in x]
-            found += [f for x in files for f in x]
-
-        def run(batches):
-            for batch in batches:
-                rows = list(_walk([os.fsdecode(f) for f in batch.column("at").to_pylist()]))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.binary()), (1, pa.int64()), (2, pa.int64()))], ["at", "mtime", "length"])
-
-        schema = "at binary, mtime long, length long"
-        files = spark.createDataFrame(found, schema)
-        if folders:
-            tasks = spark.createDataFrame([(os.fsencode(f),) for f in folders], "at binary").repartition(min(len(folders), 1024))
-            files = files.unionByName(tasks.mapInArrow(run, schema))
-        cut = len(os.fsencode(base.rstrip("/"))) + 2
-        files = files.select(F.decode(F.substring("at", cut, 1 << 30), "UTF-8").alias("path"), "mtime", "length", "at")
-    wanted = ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, (*EXCLUDED, OWN))))
-    return files.where(wanted).withColumn("chunk_type", S.chunk_type(F.col("path"))).where("chunk_type is not null")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(Tree)
+    files = spark.read.format(Tree.name()).option("root", root).option("folders", FOLDERS).load()
+    wanted = files.where((F.col("length") <= MAX_BYTES) & F.col("extension").isin(*S.CODE_EXTENSIONS, *S.DOC_EXTENSIONS))
+    return wanted.withColumn("chunk_type", S.chunk_type(F.col("path"))).select("path", "mtime", "length", "chunk_type", "at")
 
 
 def read(files: DataFrame, root: str) -> DataFrame:
-    """`files` of a listing with `content` in place of `at`. Files that are gone meanwhile are left out."""
-    spark = files.sparkSession
-    if _local(root) is None:
-        whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        return files.join(whole.select(F.col("path").cast("binary").alias("at"), "content"), "at").drop("at")
+    """`files` of a listing with `content` in place of `at`. Files that are gone meanwhile, or that may not be read, are left out."""
 
     def run(batches):
+        at_root = store(root)
         for batch in batches:
             keep, contents, held = [], [], 0
             for k, at in enumerate(batch.column("at").to_pylist()):
                 try:
-                    with open(at, "rb") as f:
-                        contents.append(f.read())
-                except OSError:
+                    contents.append(at_root.read(at))
+                except (FileNotFoundError, PermissionError):
                     continue
                 keep.append(k)
                 held += len(contents[-1])
