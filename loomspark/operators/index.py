@@ -1,11 +1,9 @@
-"""The index on disk: versions of Parquet tables, a pointer to the current one, refresh by difference, vectors, lock and dirty flag."""
+"""The index on disk: buckets of Parquet tables, a manifest of the current ones, refresh by difference, vectors, lock and dirty flag."""
 
 from __future__ import annotations
 
-import json
 import os
-import shutil
-import time
+from copy import deepcopy
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -15,10 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..scratch import Scratch
 from ..sources import code, docs, scan, schemas
-from . import hierarchy
-
-_TABLES = {"files": schemas.FILES, "chunks": schemas.CHUNKS, "vectors": "file string, seq int, embedding array<float>", "summaries": schemas.SUMMARIES}
+from . import buckets, hierarchy
 
+_BUCKETED = {"files": (schemas.FILES, ("path",)), "chunks": (schemas.RAW, ("file", "seq")), "vectors": ("file string, seq int, embedding array<float>", ("file", "seq"))}
+_WHOLE = {"summaries": schemas.SUMMARIES}
 
 #: Chunks that are embedded before their vectors are saved, about.
 EMBED_ROUND = 200_000
@@ -53,27 +51,26 @@ def without(rows: DataFrame, paths: DataFrame, column: str = "file") -> DataFram
 
 
 class Index:
-    """`folder` holds the tables; its file system has to be the driver's for the pointer and the lock."""
+    """`folder` holds the tables; its file system has to be the driver's for the pointer and the lock.
+
+    `bucket_bytes`: contents of a bucket, about. What a refresh writes are the buckets that hold changed files.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, Path(folder)
+    def __init__(self, spark: SparkSession, folder: str, bucket_bytes: int = buckets.SIZE):
+        self.spark, self.folder, self.bucket_bytes = spark, Path(folder), bucket_bytes
         self.folder.mkdir(parents=True, exist_ok=True)
+        self.store = buckets.Store(spark, self.folder, _BUCKETED, schemas.VERSION)
 
     # --- tables ---
 
-    def _held(self) -> dict[str, list[int]]:
-        """The versions that make up each table."""
-        try:
-            held = json.loads((self.folder / "_CURRENT").read_text())
-        except (FileNotFoundError, ValueError):
-            return {}
-        return held["tables"] if held.get("version") == schemas.VERSION else {}  # another format is recreated
-
     def table(self, name: str) -> DataFrame:
-        parts = [str(self.folder / f"v={v}" / name) for v in self._held().get(name, [])]
-        if not parts:
-            return self.spark.createDataFrame([], _TABLES[name])
-        return self.spark.read.schema(_TABLES[name]).option("recursiveFileLookup", True).parquet(*parts)
+        held = self.store.manifest()
+        if name == "chunks":
+            return self.store.numbered("chunks", held, "chunk_id")
+        if name in _BUCKETED:
+            return self.store.read(name, held.buckets).drop("at", "pos")
+        parts = [str(self.folder / f"v={v}/{name}") for v in held.whole.get(name, [])]
+        return self.spark.read.schema(_WHOLE[name]).parquet(*parts) if parts else self.spark.createDataFrame([], _WHOLE[name])
 
     @property
     def files(self) -> DataFrame:
@@ -89,22 +86,16 @@ class Index:
         return self.table("vectors").join(self.chunks.select("file", "seq", "chunk_id"), ["file", "seq"]).select("chunk_id", "embedding")
 
     def save(self, append: bool = False, **tables: DataFrame) -> None:
-        """A new version of `tables`, or more rows of them: they are written first, then one rename makes them current.
-
-        Tables that are not given stay as they are. Readers keep what they have: what neither the new version nor the one before it needs is removed.
-        """
-        before = self._held()
-        v = max([int(p.name[2:]) for p in self.folder.glob("v=*")], default=0) + 1
+        """`tables` in place of what there is, or more rows of them; tables that are not given stay as they are."""
+        now, v = self.store.manifest(), self.store.next_version()
         for name, rows in tables.items():
-            rows.write.parquet(str(self.folder / f"v={v}" / name))
-        now = before | {name: [*(before.get(name, []) if append else []), v] for name in tables}
-        staged = self.folder / f"_CURRENT.{os.getpid()}"
-        staged.write_text(json.dumps({"version": schemas.VERSION, "tables": now, "last_indexed": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}))
-        os.replace(staged, self.folder / "_CURRENT")
-        needed = {self.folder / f"v={n}" / name for held in (before, now) for name, parts in held.items() for n in parts}
-        for p in self.folder.glob("v=*/*"):
-            if p not in needed:
-                shutil.rmtree(p, ignore_errors=True)
+            if name in _BUCKETED:
+                now.buckets = now.buckets or [now.new("")]
+                self.store.write(name, rows, now.buckets, now.buckets, v, append)
+            else:
+                rows.write.parquet(str(self.folder / f"v={v}/{name}"))
+                now.whole[name] = [*(now.whole.get(name, []) if append else []), v]
+        self.store.commit(now)
 
     # --- refresh ---
 
@@ -112,12 +103,8 @@ class Index:
         code_files, doc_files = found.where("chunk_type = 'code'"), found.where("chunk_type = 'doc'")
         return code.definitions(code_files).unionByName(docs.sections(doc_files))
 
-    def _ids(self, rows: DataFrame, scratch: Scratch) -> DataFrame:
-        names = [c.split()[0] for c in schemas.RAW.split(", ")]
-        return scratch.numbered(rows, "chunk_id", "file", "seq").select("chunk_id", *names)
-
     def refresh(self, root: str) -> Changes:
-        """Brings the index to the state of a tree. Contents are read, once, of new files and of those with another time only."""
+        """Brings the index to the state of a tree. Contents are read, once, of new files and of those with another time only; buckets without such files stay."""
         scratch, before = Scratch(self.spark, "refresh"), self.files
         found = scratch.cut(scan.listing(self.spark, root), "listing")
         status = scratch.cut(compared(found, before), "status")
@@ -126,34 +113,58 @@ class Index:
             scratch.drop("listing", "status")
             return Changes(pending=self.pending())
         fresh = scan.texts(scan.read(found.join(status.where(F.col("status").isin("added", "stale")), "path"), root)).drop("content")
-        fresh = scratch.cut(fresh.join(before.select("path", F.col("hash").alias("old_hash")), "path", "left"), "fresh")
-        changed = fresh.where(~F.col("hash").eqNullSafe(F.col("old_hash")))
-        updated = changed.where("status = 'stale'").count()
-        gone = status.where("status = 'removed'").select("path").unionByName(changed.select("path"))
-        rows = changed.select("path", "mtime", "hash", "chunk_type", "error")
-        touched = fresh.where(F.col("hash").eqNullSafe(F.col("old_hash"))).select("path", F.col("mtime").alias("new"))
-        tables = {"files": without(before, gone, "path").join(touched, "path", "left").withColumn("mtime", F.coalesce("new", "mtime")).drop("new").unionByName(rows)}
-        if updated or counts.get("added") or counts.get("removed"):
-            chunks = without(self.chunks.drop("chunk_id"), gone).unionByName(self._parsed(changed))
-            tables |= {"chunks": self._ids(chunks, scratch), "vectors": without(self.table("vectors"), gone)}
-        self.save(**tables)
-        scratch.drop("listing", "status", "fresh", "numbered")
+        fresh = fresh.join(before.select("path", F.col("hash").alias("old_hash")), "path", "left")
+        fresh = scratch.cut(fresh.withColumn("same", F.col("hash").eqNullSafe(F.col("old_hash"))), "fresh")
+        updated = fresh.where("status = 'stale' AND NOT same").count()
+        removed = status.where("status = 'removed'").select("path", F.lit(False).alias("same"))
+        self._write(scratch, fresh, fresh.select("path", "same").unionByName(removed))
+        scratch.drop("listing", "status", "fresh", "touched")
         return Changes(counts.get("added", 0), updated, counts.get("removed", 0), self.pending())
 
+    def _write(self, scratch: Scratch, fresh: DataFrame, paths: DataFrame) -> None:
+        """Writes the buckets of `paths` anew: of those with another content all tables, of the others their files' times."""
+        now, v = self.store.manifest(), self.store.next_version()
+        now.buckets = now.buckets or [now.new("")]
+        old = deepcopy(now.buckets)
+        paths = scratch.cut(paths.withColumn("at", buckets.bucket_of(old, F.col("path"))), "touched")
+        same = {r["at"]: r["same"] for r in paths.groupBy("at").agg(F.min("same").alias("same")).collect()}
+        touched, changed = [b for b in old if b.id in same], [b for b in old if b.id in same and not same[b.id]]
+        gone = paths.where(~F.col("same"))
+        rows = fresh.select("path", "mtime", "hash", "chunk_type", "error", "length", "same")
+        times = rows.where("same").select("path", F.col("mtime").alias("new"))
+        files = without(self.store.read("files", touched).drop("at", "pos"), gone, "path").join(times, "path", "left")
+        files = files.withColumn("mtime", F.coalesce("new", "mtime")).drop("new").unionByName(rows.where(~F.col("same")).drop("same"))
+        cuts = self.store.cuts(files.select(buckets.bucket_of(old, F.col("path")).alias("at"), "path", "length"), self.bucket_bytes)
+        if cuts:  # a bucket that is cut is written under new ids
+            split = [buckets.holder(old, c) for c in cuts]
+            changed += [b for b in touched if b in split and b not in changed]
+            firsts = {b.first for b in split} | set(cuts)
+            now.buckets = sorted([b for b in now.buckets if b not in split] + [now.new(f) for f in firsts], key=lambda b: b.first)
+        into = lambda some: [b for b in now.buckets if b.id in {x.id for x in some} or b.id not in {x.id for x in old}]
+        self.store.write("files", files, now.buckets, into(touched), v)
+        if changed:
+            kept = lambda name: without(self.store.read(name, changed).drop("at", "pos"), gone)
+            self.store.write("chunks", kept("chunks").unionByName(self._parsed(fresh.where(~F.col("same")))), now.buckets, into(changed), v)
+            if any(b.versions.get("vectors") for b in changed):
+                self.store.write("vectors", kept("vectors"), now.buckets, into(changed), v)
+        self.store.commit(now)
+
     def reindex(self, root: str) -> Changes:
-        empty = {name: self.spark.createDataFrame([], schema) for name, schema in _TABLES.items()}
-        self.save(**empty)
+        self.store.commit(buckets.Manifest(whole={}, next_id=self.store.manifest().next_id))
         return self.refresh(root)
 
     # --- vectors ---
 
     def pending(self) -> int:
-        return self.chunks.join(self.table("vectors").select("file", "seq"), ["file", "seq"], "left_anti").count()
+        """Chunks without vectors, by the manifest's counts: no table is read."""
+        held = self.store.manifest()
+        return held.total("chunks") - held.total("vectors")
 
-    def embed(self, embedder, batch_size: int = 500) -> int:
+    def embed(self, embedder, batch_size: int = 500, round_size: int | None = None) -> int:
         """Vectors for the chunks that have none; how many there were.
 
-        They are made and saved in rounds of about EMBED_ROUND chunks: after a failure, the next call goes on with the rest.
+        They are made and saved in rounds of about `round_size` (EMBED_ROUND) chunks: after a failure, the next call goes on with the rest.
+        Only buckets that lack vectors are read.
         """
         if batch_size <= 0:
             raise ValueError("batch_size has to be positive")
@@ -167,11 +178,15 @@ class Index:
                 yield pdf[["file", "seq"]].assign(embedding=out)
 
         n = self.pending()
-        rounds = -(-n // EMBED_ROUND)
+        rounds = -(-n // (round_size or EMBED_ROUND))
         for r in range(rounds):
-            todo = self.chunks.join(self.table("vectors").select("file", "seq"), ["file", "seq"], "left_anti")
+            now, v = self.store.manifest(), self.store.next_version()
+            lacking = [b for b in now.buckets if b.rows.get("chunks", 0) > b.rows.get("vectors", 0)]
+            todo = self.store.read("chunks", lacking).join(self.store.read("vectors", lacking).select("file", "seq"), ["file", "seq"], "left_anti")
             todo = todo.where(F.pmod(F.xxhash64("file", "seq"), F.lit(rounds)) == r)
-            self.save(append=True, vectors=todo.select("file", "seq", text.alias("text")).mapInPandas(run, _TABLES["vectors"]))
+            made = todo.select("file", "seq", text.alias("text")).mapInPandas(run, _BUCKETED["vectors"][0])
+            self.store.write("vectors", made, now.buckets, lacking, v, append=True)
+            self.store.commit(now)
         return n
 
     def status(self) -> dict:

@@ -136,20 +136,44 @@ def refresh_stats(spark, sf_dir):
 def embed_rounds(spark, sf_dir):
     """Vectors in several rounds, none twice; a rebuilt index has none."""
     ix, root, _ = _indexed(spark, sf_dir)
-    rows, before = [("before", 0, ix.pending())], index.EMBED_ROUND
-    index.EMBED_ROUND = max(1, ix.pending() // 3)
-    try:
-        e = connectors.HashEmbedder(8)
-        rows += [("first", ix.embed(e), ix.pending()), ("again", ix.embed(e), ix.pending())]
-        vectors = ix.embeddings
-        rows.append(("vectors", vectors.select("chunk_id").distinct().count(), vectors.count()))
-        ix.reindex(root)
-        rows.append(("reindexed", 0, ix.pending()))
-    finally:
-        index.EMBED_ROUND = before
+    rows, e = [("before", 0, ix.pending())], connectors.HashEmbedder(8)
+    third = max(1, ix.pending() // 3)
+    rows += [("first", ix.embed(e, round_size=third), ix.pending()), ("again", ix.embed(e, round_size=third), ix.pending())]
+    vectors = ix.embeddings
+    rows.append(("vectors", vectors.select("chunk_id").distinct().count(), vectors.count()))
+    ix.reindex(root)
+    rows.append(("reindexed", 0, ix.pending()))
     return spark.createDataFrame(rows, "step string, embedded long, pending long")
 
 
+_BUCKETS = """SELECT t.* FROM (SELECT count(*) AS n FROM pages) p, (VALUES ('one file changed', 'files', 1), ('one file changed', 'chunks', 1), ('one file changed', 'vectors', 1), ('one file touched', 'files', 1),
+ ('one file touched', 'chunks', 0), ('one file touched', 'vectors', 0), ('one file gone', 'files', 1), ('one file gone', 'chunks', 1), ('one file gone', 'vectors', 1)) t(step, tbl, buckets) WHERE n > 8"""
+
+
+@_query(_BUCKETS)
+def index_buckets(spark, sf_dir):
+    """How many of an index's many buckets a change of one file of the pages' tree rewrites."""
+    _, root = _tree(spark, sf_dir)
+    ix = index.Index(spark, os.path.dirname(root) + "/index", bucket_bytes=512)
+    ix.refresh(root)
+    ix.embed(connectors.HashEmbedder(8))
+    path = os.path.join(root, ix.files.where("chunk_type = 'code' AND length > 0").agg(F.max("path")).first()[0])
+    rows = []
+    for step in ("one file changed", "one file touched", "one file gone"):
+        before = ix.store.manifest()
+        if step == "one file gone":
+            os.remove(path)
+        else:
+            with open(path, "a") as f:
+                f.write("\n" * (step == "one file changed"))
+            os.utime(path, (3_000_000 + len(rows), 3_000_000 + len(rows)))
+        ix.refresh(root)
+        written = ix.store.manifest().parts() - before.parts()
+        emptied = {b.id for b in before.buckets} - {b.id for b in ix.store.manifest().buckets if b.versions.get("files")}
+        rows += [(step, name, len([p for p in written if f"/{name}/" in p]) or (step == "one file gone") * len(emptied)) for name in ("files", "chunks", "vectors")]
+    return spark.createDataFrame(rows, "step string, tbl string, buckets int")
+
+
 @_query("""SELECT * FROM (VALUES ('free', true), ('held', false), ('dirty while held', true), ('no refresh while held', true), ('reads while held', true), ('refreshed after', true), ('clean after', true)) t(what, ok)""")
 def index_lock(spark, sf_dir):
     """One writer at a time; who finds the lock taken leaves word and goes on reading."""
