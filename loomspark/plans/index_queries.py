@@ -7,6 +7,7 @@ content, the fourth goes and the fifth comes. Names start with a letter, an unde
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import connectors, index
 from ..scratch import shared_folder
 from ..sources import scan
+from ..streaming import changes
 from .queries import _query, table
 
 _KINDS = (".md", ".RS", ".py", ".bin", ".json", ".toml", ".txt", "", ".rs")
@@ -146,6 +148,27 @@ def embed_rounds(spark, sf_dir):
     return spark.createDataFrame(rows, "step string, embedded long, pending long")
 
 
+_WATCHED = _TREE + """, a AS (SELECT path, mtime, octet_length(encode(text))::BIGINT AS length FROM files WHERE state = 0), b AS (SELECT path, mtime, octet_length(encode(text))::BIGINT AS length FROM files WHERE state = 1)
+ SELECT 0 AS step, path, 'added' AS status, mtime, length FROM a UNION ALL SELECT 1, b.path, CASE WHEN a.path IS NULL THEN 'added' ELSE 'updated' END, b.mtime, b.length FROM b LEFT JOIN a USING (path) WHERE a.path IS NULL OR a.mtime <> b.mtime OR a.length <> b.length
+ UNION ALL SELECT 1, path, 'removed', mtime, length FROM a ANTI JOIN b USING (path) UNION ALL SELECT 2, path, 'removed', mtime, length FROM b WHERE path LIKE 's5/%'"""
+
+
+@_query(_WATCHED)
+def watch_changes(spark, sf_dir):
+    """What a stream over the pages' tree tells of three states: a new tree, another one, and one without a folder."""
+    pages, root = _tree(spark, sf_dir)
+    told = os.path.dirname(root) + "/told"
+    for step in range(3):
+        if step == 1:
+            _write(pages, root, 1)
+        elif step == 2:
+            shutil.rmtree(os.path.join(root, "s5"), ignore_errors=True)
+        out = changes.changes(spark, root, parts=64).withColumn("step", F.lit(step))
+        q = out.writeStream.format("parquet").option("path", f"{told}/{step}").option("checkpointLocation", f"{told}-state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema("step int, " + changes.SCHEMA).parquet(*[f"{told}/{step}" for step in range(3)])
+
+
 _BUCKETS = """SELECT t.* FROM (SELECT count(*) AS n FROM pages) p, (VALUES ('one file changed', 'files', 1), ('one file changed', 'chunks', 1), ('one file changed', 'vectors', 1), ('one file touched', 'files', 1),
  ('one file touched', 'chunks', 0), ('one file touched', 'vectors', 0), ('one file gone', 'files', 1), ('one file gone', 'chunks', 1), ('one file gone', 'vectors', 1)) t(step, tbl, buckets) WHERE n > 8"""
 

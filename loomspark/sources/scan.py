@@ -6,7 +6,7 @@ The tree is a data source (`tree`): tasks list folders, and size and extension a
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -18,13 +18,17 @@ MAX_BYTES = 1 << 20
 BATCH = 8 << 20
 
 
+def wanted() -> Column:
+    """Which files of a tree are indexed, by their length and extension."""
+    return (F.col("length") <= MAX_BYTES) & F.col("extension").isin(*S.CODE_EXTENSIONS, *S.DOC_EXTENSIONS)
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """path (relative to root), mtime, length, chunk_type of the wanted files, and `at`, their place; no content is read."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Tree)
     files = spark.read.format(Tree.name()).option("root", root).option("folders", FOLDERS).load()
-    wanted = files.where((F.col("length") <= MAX_BYTES) & F.col("extension").isin(*S.CODE_EXTENSIONS, *S.DOC_EXTENSIONS))
-    return wanted.withColumn("chunk_type", S.chunk_type(F.col("path"))).select("path", "mtime", "length", "chunk_type", "at")
+    return files.where(wanted()).withColumn("chunk_type", S.chunk_type(F.col("path"))).select("path", "mtime", "length", "chunk_type", "at")
 
 
 def read(files: DataFrame, root: str) -> DataFrame:

@@ -3,18 +3,23 @@
 The planner lists folders from the root on until there are `folders` to share out; each partition lists its own ones, with
 all below. Comparisons of `length`, `mtime` and `extension` with values are pushed to these listings, so what they
 reject never becomes a row. Folders that are never wanted are not entered. No content is read.
+
+As a stream, each micro-batch is the whole listing as it is then: its offset is the time at which it was asked for. A batch that is
+run again lists again, so what follows has to compare with its own state (`streaming.changes`) and not to count rows.
 """
 
 from __future__ import annotations
 
 import operator
 import os
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
+    DataSourceStreamReader,
     EqualTo,
     Filter,
     GreaterThan,
@@ -106,6 +111,23 @@ class TreeReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*batch), types)], list(names))
 
 
+class TreeStreamReader(DataSourceStreamReader):
+    def __init__(self, options):
+        self.now = TreeReader(options)
+
+    def initialOffset(self) -> dict:
+        return {"asked": 0}
+
+    def latestOffset(self) -> dict:
+        return {"asked": time.time_ns() // 1_000_000}
+
+    def partitions(self, start: dict, end: dict) -> list[Folders]:
+        return self.now.partitions()
+
+    def read(self, partition: Folders) -> Iterator[pa.RecordBatch]:
+        return self.now.read(partition)
+
+
 class Tree(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -116,3 +138,6 @@ class Tree(DataSource):
 
     def reader(self, schema) -> TreeReader:
         return TreeReader(self.options)
+
+    def streamReader(self, schema) -> TreeStreamReader:
+        return TreeStreamReader(self.options)

@@ -1,8 +1,4 @@
-"""Refresh as a stream: new and changed files trigger one refresh for each micro-batch.
-
-The file source sees neither deletions nor names that start with a point or an underscore; each batch
-runs the full comparison, so they are caught up with whatever triggers next.
-"""
+"""Refresh as a stream: files that come, change or go, whatever their names start with, trigger one refresh for each micro-batch."""
 
 from __future__ import annotations
 
@@ -10,18 +6,15 @@ from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.index import Index
-
-_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+from .changes import PARTS, changes
 
 
-def watch(spark: SparkSession, root: str, index: Index, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """A query that keeps an index fresh; `once`: for what is there now, then it ends."""
-    # the content is never selected, so it is never read here
-    files = spark.readStream.format("binaryFile").schema(_SCHEMA).option("recursiveFileLookup", True).load(root).select("path")
+def watch(spark: SparkSession, root: str, index: Index, checkpoint: str, once: bool = True, every: str = "10 seconds", parts: int = PARTS) -> StreamingQuery:
+    """A query that keeps an index fresh; `once`: for what is there now, then it ends, else the tree is listed `every` so often."""
 
     def run(batch, _id: int) -> None:
-        if batch.take(1):
+        if batch.count():  # every partition has to run, as each keeps its state
             index.try_refresh(root)
 
-    writer = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    writer = changes(spark, root, parts).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
