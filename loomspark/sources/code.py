@@ -2,13 +2,15 @@
 
 Python is parsed by the standard library. The brace languages are scanned on a mask of the text, in
 which the insides of comments and strings are blanks: definitions are found by pattern, their
-ends by matching brackets, their context by the spans that enclose them. Files are independent, so the
-operator is one `mapInPandas` without a shuffle.
+ends by brackets that are matched once (`Marks`), their context by the spans that enclose them. Nothing searches the
+text before or after a match but for the blanks beside it, so a file takes time in proportion to its length. Files are
+independent, so the operator is one `mapInPandas` without a shuffle.
 """
 
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,94 +48,130 @@ _STRINGS = {
 
 def mask(text: str, family: str) -> str:
     """The text with blanks for what is inside comments and strings; lengths and line feeds stay."""
-    out, at, token = list(text), 0, re.compile(_STRINGS[family], re.M)
-
-    def blank(a: int, b: int) -> None:
-        for i in range(a, b):
-            if out[i] != "\n":
-                out[i] = " "
-
+    out, at, token = [], 0, re.compile(_STRINGS[family], re.M)
     while m := token.search(text, at):
         a, t = m.start(), m.group()
+        kept = 0  # quotes that stay on either side
         if t == "/*":
             end = _comment_end(text, a, nested=family == "rs")
-            blank(a, end)
         elif t == "`":
-            end = _template(text, a, blank)
+            end, kept = _template_end(text, a), 1
         elif family == "rs" and t.endswith('"') and t.lstrip("b").startswith("r"):
             close = text.find('"' + (m[1] or ""), m.end())
             end = len(text) if close < 0 else close + 1 + len(m[1] or "")
-            blank(a, end)
         elif family == "cs" and t.startswith('"""'):
             close = text.find(t, m.end())
             end = len(text) if close < 0 else close + len(t)
-            blank(a, end)
         else:
-            end = m.end()
-            if t.lstrip().startswith(("//", "/", "#")):
-                blank(a, end)
-            else:
-                blank(a + 1, end - 1)
-        at = max(end, a + 1)
-    return "".join(out)
+            end, kept = m.end(), 0 if t.lstrip().startswith(("//", "/", "#")) else 1
+        end = min(max(end, a + 1), len(text))
+        closed = kept and end - a > 1 and (t != "`" or text[end - 1] == "`")
+        inside = _INK.sub(" ", text[a + kept : end - 1 if closed else end])
+        out += [text[at:a], text[a : a + kept], inside, text[end - 1 : end] if closed else ""]
+        at = end
+    return "".join([*out, text[at:]])
 
 
-def _comment_end(text: str, a: int, nested: bool) -> int:
-    depth, i = 1, a + 2
-    while depth and i < len(text):
-        two = text[i : i + 2]
-        if two == "*/":
-            depth, i = depth - 1, i + 2
-        elif two == "/*" and nested:
-            depth, i = depth + 1, i + 2
-        else:
-            i += 1
-    return i
-
-
-def _template(text: str, a: int, blank) -> int:
-    """Blanks a template literal; what is in its `${}` too, as definitions do not stand there."""
-    i, depth = a + 1, 0
-    while i < len(text):
-        c = text[i]
-        if c == "\\":
-            i += 1
-        elif text.startswith("${", i):
-            depth, i = depth + 1, i + 1
-        elif c == "{" and depth:
-            depth += 1
-        elif c == "}" and depth:
-            depth -= 1
-        elif c == "`" and not depth:
-            break
-        i += 1
-    blank(a + 1, min(i, len(text)))
-    return i + 1
+_INK = re.compile(r"[^\n]")
+_COMMENT = re.compile(r"/\*|\*/")
+_TEMPLATE = re.compile(r"\\[\s\S]|\$\{|[{}`]")
 
 
-def closing(masked: str, at: int) -> int:
-    """After the bracket that closes the one at `at`."""
-    stack = []
-    for i in range(at, len(masked)):
-        c = masked[i]
-        if c in _CLOSE:
-            stack.append(_CLOSE[c])
-        elif stack and c == stack[-1]:
-            stack.pop()
-            if not stack:
-                return i + 1
-    return len(masked)
+def _comment_end(text: str, a: int, nested: bool) -> int:
+    depth, i = 1, a + 2
+    while depth and (m := _COMMENT.search(text, i)):
+        depth, i = depth + (-1 if m[0] == "*/" else int(nested)), m.end()
+    return len(text) if depth else i
 
 
-def body(masked: str, at: int, stops: str = "{;") -> tuple[int, str]:
-    """(end, stop): from `at` over balanced brackets to the first stop; a block's end is after its bracket."""
-    i = at
-    while i < len(masked):
-        c = masked[i]
-        if c in stops:
-            return (closing(masked, i) if c == "{" else i + 1), c
-        i = closing(masked, i) if c in _CLOSE else i + 1
-    return len(masked), ""
+def _template_end(text: str, a: int) -> int:
+    """After a template literal; what is in its `${}` belongs to it, as definitions do not stand there."""
+    depth = 0
+    for m in _TEMPLATE.finditer(text, a + 1):
+        if m[0] == "${":
+            depth += 1
+        elif depth and m[0] in "{}":
+            depth += 1 if m[0] == "{" else -1
+        elif m[0] == "`" and not depth:
+            return m.end()
+    return len(text)
+
+
+class Marks:
+    """The brackets and semicolons of a masked text: where each bracket closes, and which stop comes next."""
+
+    def __init__(self, masked: str):
+        self.masked = masked
+        found = [(m.start(), m[0]) for m in re.finditer(r"[()\[\]{};]", masked)]
+        self.at, self.mark = [p for p, _ in found], [c for _, c in found]
+        self.close = [len(found)] * len(found)  # of a bracket, the number of the mark that closes it
+        open_: list[int] = []
+        for k, c in enumerate(self.mark):
+            if c in _CLOSE:
+                open_.append(k)
+            elif open_ and c == _CLOSE[self.mark[open_[-1]]]:
+                self.close[open_.pop()] = k
+        self._stops: dict[str, list[int]] = {}
+
+    def _number(self, at: int) -> int:
+        return bisect.bisect_left(self.at, at)
+
+    def _after(self, k: int) -> int:
+        return self.at[self.close[k]] + 1 if self.close[k] < len(self.at) else len(self.masked)
+
+    def closing(self, at: int) -> int:
+        """After the bracket that closes the one at `at`."""
+        return self._after(self._number(at))
+
+    def body(self, at: int, stops: str = "{;") -> tuple[int, str]:
+        """(end, stop): from `at` over balanced brackets to the first stop; a block's end is after its bracket."""
+        if stops not in self._stops:
+            n = len(self.at)
+            to = [n] * (n + 1)
+            for k in range(n - 1, -1, -1):
+                c = self.mark[k]
+                to[k] = k if c in stops else to[min(n, self.close[k] + 1)] if c in _CLOSE else to[k + 1]
+            self._stops[stops] = to
+        k = self._stops[stops][self._number(at)]
+        if k == len(self.at):
+            return len(self.masked), ""
+        return (self._after(k) if self.mark[k] == "{" else self.at[k] + 1), self.mark[k]
+
+    def back(self, at: int, marks: str = "{};") -> int:
+        """After the last of `marks` before `at`, or 0."""
+        k = self._number(at) - 1
+        while k >= 0 and self.mark[k] not in marks:
+            k -= 1
+        return self.at[k] + 1 if k >= 0 else 0
+
+
+def ink_end(text: str, at: int) -> int:
+    """After the last character before `at` that is no blank."""
+    step = 32
+    while at > 0:
+        part = text[max(0, at - step) : at]
+        kept = part.rstrip()
+        if kept:
+            return at - len(part) + len(kept)
+        at, step = at - len(part), step * 2
+    return 0
+
+
+_BLANKS = re.compile(r"\s*+")
+
+
+def ink_start(text: str, at: int) -> int:
+    """The first character from `at` on that is no blank."""
+    return _BLANKS.match(text, at).end()
+
+
+def ends_with(text: str, at: int, *words: str) -> int | None:
+    """Where a whole word starts that ends at `at`, if it is one of these."""
+    for w in words:
+        a = at - len(w)
+        if a >= 0 and text.startswith(w, a) and not (a and (text[a - 1].isalnum() or text[a - 1] == "_")):
+            return a
+    return None
 
 
 # --- languages ---
@@ -145,22 +183,22 @@ _RS_IMPL = re.compile(r"(?<![\w.>&(:,<])(?:unsafe\s+)?impl\b(?=\s*<|\s+[\w:!&(\[
 
 
 def rust(text: str, masked: str) -> list[Found]:
-    found = []
+    found, marks = [], Marks(masked)
     for m in _RS_FN.finditer(masked):
-        end, stop = body(masked, m.end())
+        end, stop = marks.body(m.end())
         found.append(Found(m[1], "function" if stop == "{" else "method", m.start(), end))
     for m in _RS_TYPE.finditer(masked):
-        end, _ = body(masked, m.end())
+        end, _ = marks.body(m.end())
         found.append(Found(m[2], {"struct": "struct", "enum": "enum", "trait": "interface"}[m[1]], m.start(), end))
     for m in _RS_CONST.finditer(masked):
-        end, _ = body(masked, m.end(), ";")
+        end, _ = marks.body(m.end(), ";")
         found.append(Found(m[1], "constant", m.start(), end))
     for m in _RS_IMPL.finditer(masked):
-        if re.search(r"(->|[=:,(+])\s*$", masked[: m.start()]):
+        before = ink_end(masked, m.start())
+        if masked[before - 1 : before] in tuple("=:,(+") or masked.startswith("->", max(0, before - 2)) and before > 1:
             continue
-        end, stop = body(masked, m.end())
-        name = _impl_type(masked[m.end() : masked.find("{", m.end())])
-        if stop == "{" and name:
+        end, stop = marks.body(m.end())
+        if stop == "{" and (name := _impl_type(masked[m.end() : masked.find("{", m.end())])):
             found.append(Found(name, "impl", m.start(), end))
     return found
 
@@ -190,107 +228,144 @@ def _angle(s: str) -> int:
 _JS_NO_METHOD = {"if", "for", "while", "switch", "catch", "function", "return", "with", "constructor_", "await", "typeof", "super", "new", "do", "else"}
 _JS_FUNCTION = re.compile(r"(?<![\w.$])(?:async\s+)?function\s+([\w$]+)")
 _JS_CLASS = re.compile(r"(?<![\w.$])class\s+([\w$]+)")
-_JS_METHOD = re.compile(r"(?:(?:public|private|protected|static|async|override|readonly|declare|get|set)\s+|\*\s*)*([\w$]+)\s*(?:<[^<>(){};]*>)?\s*\(")
+_JS_METHOD = re.compile(r"(?<![\w$])(?:(?:public|private|protected|static|async|override|readonly|declare|get|set)\s+|\*\s*)*([\w$]++)\s*+(?:<[^<>(){};]*+>\s*+)?\(")
 _TS_TYPE = re.compile(r"(?<![\w.$])(interface|type|(?:const\s+)?enum)\s+([\w$]+)")
 _TS_LET = re.compile(r"(?<![\w.$])(?:const|let)\s+(?!enum\b)")
 
 
+_ALIAS = re.compile(r"\s*+(?:<[^=]*>)?\s*=")
+_OF = re.compile(r"[^;=]*?\b(?:of|in)\b")
+_METHOD_BODY = re.compile(r"\s*+(?::\s*[^={};]+?(?:\{[^{}]*\}[^={};]*?)?)?\s*\{")
+
+
 def _statement(masked: str, at: int) -> bool:
     """Whether a statement can start there, and so a declaration and no expression."""
-    before = masked[:at].rstrip()
-    before = re.sub(r"(?:\bexport|\bdefault|\bdeclare)$", "", before).rstrip()
-    before = re.sub(r"(?:\bexport|\bdefault)$", "", before).rstrip()
-    return not before or before[-1] in "{};)*/" or bool(re.search(r"\n\s*$", masked[:at]) and before[-1] not in "=(,:?+-&|[<>!") or before.endswith("else")
+    first = end = ink_end(masked, at)
+    for words in (("export", "default", "declare"), ("export", "default")):
+        start = ends_with(masked, end, *words)
+        end = ink_end(masked, start) if start is not None else end
+    if not end or masked[end - 1] in "{};)*/":
+        return True
+    return "\n" in masked[first:at] and masked[end - 1] not in "=(,:?+-&|[<>!" or masked.endswith("else", 0, end)
+
+
+def _exported(masked: str, at: int, *words: str) -> int | None:
+    """Where the `export` starts that stands before `at`, over these words."""
+    for w in (*words, "export"):
+        end = ink_end(masked, at)
+        start = ends_with(masked, end, w) if end < at else None
+        if start is not None:
+            at = start
+        elif w == "export":
+            return None
+    return at
 
 
 def javascript(text: str, masked: str, typed: bool = False) -> list[Found]:
-    found = []
+    found, marks = [], Marks(masked)
     for m in _JS_FUNCTION.finditer(masked):
-        end, stop = body(masked, m.end())
+        end, stop = marks.body(m.end())
         if stop == "{" and _statement(masked, m.start()):
             found.append(Found(m[1], "function", m.start(), end))
     for m in _JS_CLASS.finditer(masked):
-        abstract = re.search(r"\babstract\s*$", masked[: m.start()])
+        abstract = ends_with(masked, ink_end(masked, m.start()), "abstract") is not None
         if not abstract and _statement(masked, m.start()):
-            found.append(Found(m[1], "class", m.start(), body(masked, m.end(), "{")[0]))
+            found.append(Found(m[1], "class", m.start(), marks.body(m.end(), "{")[0]))
     for m in _JS_METHOD.finditer(masked):
-        before = masked[: m.start()].rstrip()
-        if m[1] in _JS_NO_METHOD or m[1][0].isdigit() or not before or before[-1] not in "{};,":
+        before = ink_end(masked, m.start())
+        if m[1] in _JS_NO_METHOD or m[1][0].isdigit() or not before or masked[before - 1] not in "{};,":
             continue
-        after = closing(masked, m.end() - 1)
-        tail = re.compile(r"\s*(?::\s*[^={};]+?(?:\{[^{}]*\}[^={};]*?)?)?\s*\{").match(masked, after)
-        if tail and not (before[-1] == ";" and "for" in before[-40:].split("(")[0].split()[-1:]):
-            found.append(Found(m[1], "method", m.start(), closing(masked, tail.end() - 1)))
+        tail = _METHOD_BODY.match(masked, marks.closing(m.end() - 1))
+        if tail and not (masked[before - 1] == ";" and "for" in masked[max(0, before - 40) : before].split("(")[0].split()[-1:]):
+            found.append(Found(m[1], "method", m.start(), marks.closing(tail.end() - 1)))
     if typed:
-        found += _typed(masked)
+        found += _typed(masked, marks)
     for f in found:
-        export = re.search(r"\bexport\s+(?:default\s+)?(?:declare\s+)?$", masked[: f.start])
-        if export:
-            f.outer, f.public = export.start(), True
+        export = _exported(masked, f.start, "declare", "default")
+        if export is not None:
+            f.outer, f.public = export, True
         f.public |= text.startswith("export ", f.start)
     return found
 
 
-def _typed(masked: str) -> list[Found]:
+def _in_loop(masked: str, at: int) -> bool:
+    """Whether the head of a for stands before."""
+    end = ink_end(masked, at)
+    if masked[end - 1 : end] != "(":
+        return False
+    end = ink_end(masked, end - 1)
+    start = ends_with(masked, end, "await")
+    return ends_with(masked, end if start is None else ink_end(masked, start), "for") is not None
+
+
+def _typed(masked: str, marks: Marks) -> list[Found]:
     found = []
     for m in _TS_TYPE.finditer(masked):
         if not _statement(masked, m.start()):
             continue
         word = m[1].split()[-1]
         if word == "type":
-            if re.match(r"\s*(<[^=]*>)?\s*=", masked[m.end() :]):
-                found.append(Found(m[2], "interface", m.start(), _statement_end(masked, m.end())))
+            if _ALIAS.match(masked, m.end()):
+                found.append(Found(m[2], "interface", m.start(), _statement_end(masked, m.end(), marks)))
         else:
-            found.append(Found(m[2], word, m.start(), body(masked, m.end(), "{")[0]))
+            found.append(Found(m[2], word, m.start(), marks.body(m.end(), "{")[0]))
     for m in _TS_LET.finditer(masked):
-        loop = re.search(r"\bfor\s*(?:await\s*)?\(\s*$", masked[: m.start()])
-        if loop and re.match(r"[^;=]*?\b(?:of|in)\b", masked[m.end() :]):
+        if _in_loop(masked, m.start()) and _OF.match(masked, m.end()):
             continue
-        end = _statement_end(masked, m.end())
-        for name, arrow in _declarators(masked, m.end(), end):
+        end = _statement_end(masked, m.end(), marks)
+        for name, arrow in _declarators(masked, m.end(), end, marks):
             found.append(Found(name, "constant", m.start(), end))
-            export = re.search(r"\bexport\s+$", masked[: m.start()])
-            if export and arrow:
-                found.append(Found(name, "function", export.start(), end))
+            export = _exported(masked, m.start())
+            if export is not None and arrow:
+                found.append(Found(name, "function", export, end))
     return found
 
 
-def _declarators(masked: str, at: int, end: int) -> Iterator[tuple[str, bool]]:
+_DECLARED = re.compile(r"\s*+([\w$]++)\s*(?=[=:!;,\n]|\Z)")
+_SEPARATOR = re.compile(r"[,;(\[{]")
+_ARROW_HEAD = re.compile(r"\s*(?:async\b\s*)?(?:<[^>]*>\s*)?(\(|[\w$]++\s*=>)")
+_ARROW = re.compile(r"(?:\s*:[^=]+)?\s*=>")
+
+
+def _declarators(masked: str, at: int, end: int, marks: Marks) -> Iterator[tuple[str, bool]]:
+    """The names that a statement declares, and whether their values are arrow functions."""
     i, first = at, at
     while i <= end:
-        c = masked[i] if i < end else ","
-        if c in _CLOSE:
-            i = closing(masked, i)
+        m = _SEPARATOR.search(masked, i, end)
+        if m and m[0] in _CLOSE:
+            i = marks.closing(m.start())
             continue
-        if c in ",;" or i == end:
-            part = masked[first:i]
-            m = re.match(r"\s*([\w$]+)\s*(?=[=:!;,\n]|$)", part)
-            if m:
-                value = part.split("=", 1)[1] if "=" in part else ""
-                yield m[1], bool(re.match(r"\s*(?:async\s*)?(?:<[^>]*>\s*)?(?:\([\s\S]*?\)(?:\s*:[^=]+)?|[\w$]+)\s*=>", value))
-            first = i + 1
-        i += 1
+        i = m.start() if m else end
+        name = _DECLARED.match(masked, first, i)
+        if name:
+            value = masked.find("=", first, i)
+            head = _ARROW_HEAD.match(masked, value + 1, i) if value >= 0 else None
+            yield name[1], bool(head and (head[1] != "(" or _ARROW.match(masked, marks.closing(head.end() - 1), i)))
+        first = i = i + 1
+
 
+_STOP = re.compile(r"[;\n()\[\]{}]")
+_GOES_ON = (tuple("=,+-*/&|?:<(."), (*".?:&|+-*/=<,", "extends ", "instanceof "))
 
-def _statement_end(masked: str, at: int) -> int:
+
+def _statement_end(masked: str, at: int, marks: Marks) -> int:
     """After the semicolon, or before a line end after which no expression goes on."""
     i = at
-    while i < len(masked):
-        c = masked[i]
+    while m := _STOP.search(masked, i):
+        i, c = m.start(), m[0]
         if c == ";":
             return i + 1
         if c in ")}]":
-            return len(masked[:i].rstrip())
+            return ink_end(masked, i)
         if c in _CLOSE:
-            i = closing(masked, i)
+            i = marks.closing(i)
             continue
-        if c == "\n":
-            before, after = masked[at:i].rstrip(), masked[i:].lstrip()
-            going = before.endswith(tuple("=,+-*/&|?:<(.") + ("=>",)) or after.startswith(tuple(".?:&|+-*/=<,") + ("extends ", "instanceof "))
-            if before and not going:
-                return at + len(before)
-        i += 1
-    return len(masked.rstrip())
+        end, i = ink_end(masked, i), ink_start(masked, i)
+        if end > at:
+            going = masked[end - 1] in _GOES_ON[0] or masked.startswith("=>", end - 2) or masked.startswith(_GOES_ON[1], i)
+            if not going:
+                return end
+    return ink_end(masked, len(masked))
 
 
 _CS_MODIFIER = r"(?:public|private|protected|internal|static|virtual|override|abstract|sealed|async|extern|unsafe|new|partial|readonly|required|ref)"
@@ -300,39 +375,45 @@ _CS_MEMBER = re.compile(_CS_HEAD + r"([A-Za-z_][\w.]*(?:\s*<[^;{}()=]*>)?(?:\s*\
 _CS_NO_TYPE = {"return", "new", "else", "throw", "await", "using", "namespace", "class", "struct", "interface", "enum", "record", "case", "goto", "in", "is", "as", "where", "get", "set", "delegate", "event", "operator", "out", "ref", "yield", "lock", "do", "try", *"public private protected internal static virtual override abstract sealed async extern unsafe partial readonly required".split()}
 
 
+_CS_WHERE = re.compile(r"\b(?:record|where\s+\w+\s*:[^{]*)\s*\Z")
+_CS_VALUE = re.compile(r"\s*+=[^=>]")
+_CS_NEXT = re.compile(r"[({};]")
+
+
 def csharp(text: str, masked: str) -> list[Found]:
-    types = []
+    types, marks = [], Marks(masked)
     for m in _CS_TYPE.finditer(masked):
-        if re.search(r"\b(record|where\s+\w+\s*:[^{]*)\s*$", masked[: m.start(1)]):
+        if _CS_WHERE.search(masked[marks.back(m.start(1)) : m.start(1)]):
             continue
-        end, _ = body(masked, m.end(), "{")
-        types.append(Found(m[2], m[1], m.start(), end))
+        types.append(Found(m[2], m[1], m.start(), marks.body(m.end(), "{")[0]))
     found = list(types)
     for t in types:
         if t.kind == "enum":
             continue
-        # members stand directly in the body of a type: insides of other brackets are skipped
+        # members stand directly in the body of a type, where a block or a statement ended before
         at, last = masked.find("{", t.start) + 1, t.end - 1
         while at < last:
-            m = _CS_MEMBER.match(masked, at)
-            if m and m[1] not in _CS_NO_TYPE and masked[:at].rstrip()[-1:] in "{};":
+            m = _CS_MEMBER.match(masked, ink_start(masked, at))
+            if m and m.start() < last and m[1] not in _CS_NO_TYPE:
                 if m[4] == "(":
-                    after = closing(masked, m.end() - 1)
-                    end, _ = body(masked, after)
-                    found.append(Found(m[2], "method", m.start(), end))
+                    at = marks.body(marks.closing(m.end() - 1))[0]
+                    found.append(Found(m[2], "method", m.start(), at))
                 elif m[4] == "{" and not m[3]:
-                    end = closing(masked, m.end() - 1)
-                    tail = re.compile(r"\s*=[^=>]").match(masked, end)
-                    end = body(masked, end, ";")[0] if tail else end
-                    found.append(Found(m[2], "field", m.start(), end))
+                    at = marks.closing(m.end() - 1)
+                    at = marks.body(at, ";")[0] if _CS_VALUE.match(masked, at) else at
+                    found.append(Found(m[2], "field", m.start(), at))
                 else:
-                    end, _ = body(masked, m.end(), ";")
+                    at = marks.body(m.end(), ";")[0]
                     if not m[3]:
-                        found.append(Found(m[2], "field", m.start(), end))
-                at = end
+                        found.append(Found(m[2], "field", m.start(), at))
+                if masked[ink_end(masked, at) - 1] in "{};":
+                    continue
+            while (n := _CS_NEXT.search(masked, at)) and n.start() < last:  # to the end of what is no member
+                at = marks.closing(n.start()) if n[0] in "({" else n.end()
+                if n[0] != "(":
+                    break
             else:
-                c = masked[at]
-                at = closing(masked, at) if c in "({" else at + 1
+                break
     for f in found:
         words = re.findall(r"\b(public|internal|private|protected)\b", masked[f.start : masked.find(f.name, f.start)])
         f.public = bool(words) and words[0] in ("public", "internal")
@@ -432,21 +513,23 @@ def _paragraph(lines: list[str], stop) -> str | None:
 
 
 def _line_docs(text: str, start: int, attribute: str) -> list[str]:
-    out = []
-    for line in reversed(text[: text.rfind("\n", 0, start) + 1].split("\n")[:-1]):
-        line = line.strip()
+    out, end = [], text.rfind("\n", 0, start)
+    while end >= 0:
+        first = text.rfind("\n", 0, end) + 1
+        line = text[first:end].strip()
         if line.startswith("///"):
             out.append(line.lstrip("/").strip())
         elif not line.startswith(attribute):
             break
+        end = first - 1
     return out[::-1]
 
 
 def _block_doc(text: str, start: int) -> str | None:
-    before = text[:start].rstrip()
-    if not before.endswith("*/"):
+    end = ink_end(text, start)
+    if not text.endswith("*/", 0, end):
         return None
-    comment = before[before.rfind("/*") :]
+    comment = text[text.rfind("/*", 0, end) : end]
     if not comment.startswith("/**"):
         return None
     lines = [x.strip().lstrip("*").strip() for x in comment[3:-2].strip().split("\n")]
@@ -469,7 +552,7 @@ def _opened(text: str, pair: str) -> int:
 
 def signature(content: str) -> str:
     """Trimmed lines up to the one that opens a body or ends a statement outside of brackets, five at most."""
-    lines = [x.strip() for x in content.split("\n")[:SIGNATURE_LINES]]
+    lines = [x.strip() for x in content.split("\n", SIGNATURE_LINES)[:SIGNATURE_LINES]]
     ends = (n for n, x in enumerate(lines, 1) if x.endswith(("{", ";")) and not any(_opened("".join(lines[:n]), pair) for pair in ("()", "<>")))
     return " ".join(lines[: next(ends, len(lines))])
 
@@ -478,10 +561,23 @@ def _contexts(found: list[Found], kinds: tuple[str, ...]) -> None:
     """The nearest enclosing container, by spans."""
     open_: list[Found] = []
     for f in sorted(found, key=lambda f: (f.start, -f.end)):
-        open_ = [o for o in open_ if o.end > f.start]
-        holders = [o for o in open_ if o.kind in kinds and o.end >= f.end and (o.start, o.end) != (f.start, f.end)]
-        f.context = holders[-1].name if holders else None
-        open_.append(f)
+        while open_ and open_[-1].end <= f.start:
+            open_.pop()
+        holder = next((o for o in reversed(open_) if o.end >= f.end and (o.start, o.end) != (f.start, f.end)), None)
+        f.context = holder.name if holder else None
+        if f.kind in kinds:
+            open_.append(f)
+
+
+def _places(text: str, found: list[Found]) -> tuple[list[int], dict[int, int]]:
+    """Where lines start, and the byte offsets of the definitions' ends."""
+    lines = [m.end() for m in re.finditer("\n", text)]
+    at, total, bytes_ = 0, 0, {}
+    for p in sorted({x for f in found for x in (f.start, f.end)}):
+        total += len(text[at:p].encode())
+        at = p
+        bytes_[p] = total
+    return lines, bytes_
 
 
 def parse(path: str, text: str) -> list[dict]:
@@ -510,13 +606,12 @@ def parse(path: str, text: str) -> list[dict]:
             f.doc = _xml_doc(_line_docs(text, f.start, "["))
     else:
         return []
-    out = []
+    out, (lines, bytes_) = [], _places(text, found)
     for f in sorted(found, key=lambda f: (f.start, -f.end, f.kind != "constant")):
         content = text[f.start : f.end]
-        line = text.count("\n", 0, f.start) + 1
         out.append({
             "chunk_type": "code", "name": f.name, "kind": "method" if f.kind == "function" and f.context else f.kind, "file": path, "seq": len(out),
-            "line_start": line, "line_end": line + content.count("\n"), "byte_start": len(text[: f.start].encode()), "byte_end": len(text[: f.end].encode()),
+            "line_start": bisect.bisect_right(lines, f.start) + 1, "line_end": bisect.bisect_right(lines, f.end) + 1, "byte_start": bytes_[f.start], "byte_end": bytes_[f.end],
             "content": content, "context": f.context, "signature": signature(content), "doc_summary": f.doc, "visibility": "public" if f.public else "private",
         })
     return out
