@@ -41,7 +41,7 @@ class Found:
 
 _STRINGS = {
     "rs": r'//[^\n]*|/\*|b?r(#*)"|b?"(?:[^"\\]|\\[\s\S])*"|b?\'(?:[^\'\\\n]|\\(?:u\{[^}]*\}|x..|.))\'',
-    "js": r'//[^\n]*|/\*|"(?:[^"\\\n]|\\[\s\S])*"|\'(?:[^\'\\\n]|\\[\s\S])*\'|`|(?<=[=(,:;!&|?{}\[\n])[ \t]*/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/',
+    "js": r'//[^\n]*|/\*|"(?:[^"\\\n]|\\[\s\S])*"|\'(?:[^\'\\\n]|\\[\s\S])*\'|`|(?:(?<=[=(,:;!&|?{}\[\n])|(?<==>)|(?<=\breturn)|(?<=\bcase)|(?<=\btypeof))[ \t]*+/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/',
     "cs": r'//[^\n]*|/\*|"""+|\$?@\$?"(?:[^"]|"")*"|\$?"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.[^\']*)\'|^[ \t]*#[^\n]*',
 }
 
@@ -112,6 +112,8 @@ class Marks:
             elif open_ and c == _CLOSE[self.mark[open_[-1]]]:
                 self.close[open_.pop()] = k
         self._stops: dict[str, list[int]] = {}
+        self._before: list[int] = []
+        self._found: dict[str, tuple[int, int]] = {}
 
     def _number(self, at: int) -> int:
         return bisect.bisect_left(self.at, at)
@@ -137,13 +139,26 @@ class Marks:
             return len(self.masked), ""
         return (self._after(k) if self.mark[k] == "{" else self.at[k] + 1), self.mark[k]
 
-    def back(self, at: int, marks: str = "{};") -> int:
-        """After the last of `marks` before `at`, or 0."""
-        k = self._number(at) - 1
-        while k >= 0 and self.mark[k] not in marks:
-            k -= 1
+    def back(self, at: int) -> int:
+        """After the last brace or semicolon before `at`, or 0."""
+        if not self._before:
+            last = -1
+            for k, c in enumerate(self.mark):
+                self._before.append(last)
+                last = k if c in "{};" else last
+            self._before.append(last)
+        k = self._before[self._number(at)]
         return self.at[k] + 1 if k >= 0 else 0
 
+    def search(self, pattern: re.Pattern, at: int) -> int:
+        """Where the pattern, of one character, is found next, or the length; asked from left to right, no stretch is searched twice."""
+        first, found = self._found.get(pattern.pattern, (0, -1))
+        if not first <= at <= found:
+            m = pattern.search(self.masked, at)
+            first, found = at, m.start() if m else len(self.masked)
+            self._found[pattern.pattern] = first, found
+        return found
+
 
 def ink_end(text: str, at: int) -> int:
     """After the last character before `at` that is no blank."""
@@ -331,11 +346,10 @@ def _declarators(masked: str, at: int, end: int, marks: Marks) -> Iterator[tuple
     """The names that a statement declares, and whether their values are arrow functions."""
     i, first = at, at
     while i <= end:
-        m = _SEPARATOR.search(masked, i, end)
-        if m and m[0] in _CLOSE:
-            i = marks.closing(m.start())
+        i = min(marks.search(_SEPARATOR, i), end)
+        if i < end and masked[i] in _CLOSE:
+            i = marks.closing(i)
             continue
-        i = m.start() if m else end
         name = _DECLARED.match(masked, first, i)
         if name:
             value = masked.find("=", first, i)
@@ -351,8 +365,8 @@ _GOES_ON = (tuple("=,+-*/&|?:<(."), (*".?:&|+-*/=<,", "extends ", "instanceof ")
 def _statement_end(masked: str, at: int, marks: Marks) -> int:
     """After the semicolon, or before a line end after which no expression goes on."""
     i = at
-    while m := _STOP.search(masked, i):
-        i, c = m.start(), m[0]
+    while (i := marks.search(_STOP, i)) < len(masked):
+        c = masked[i]
         if c == ";":
             return i + 1
         if c in ")}]":
@@ -375,16 +389,18 @@ _CS_MEMBER = re.compile(_CS_HEAD + r"([A-Za-z_][\w.]*(?:\s*<[^;{}()=]*>)?(?:\s*\
 _CS_NO_TYPE = {"return", "new", "else", "throw", "await", "using", "namespace", "class", "struct", "interface", "enum", "record", "case", "goto", "in", "is", "as", "where", "get", "set", "delegate", "event", "operator", "out", "ref", "yield", "lock", "do", "try", *"public private protected internal static virtual override abstract sealed async extern unsafe partial readonly required".split()}
 
 
-_CS_WHERE = re.compile(r"\b(?:record|where\s+\w+\s*:[^{]*)\s*\Z")
+_CS_WHERE = re.compile(r"\bwhere\s+\w+\s*:")
 _CS_VALUE = re.compile(r"\s*+=[^=>]")
 _CS_NEXT = re.compile(r"[({};]")
 
 
 def csharp(text: str, masked: str) -> list[Found]:
     types, marks = [], Marks(masked)
+    where = [w.start() for w in _CS_WHERE.finditer(masked)]
     for m in _CS_TYPE.finditer(masked):
-        if _CS_WHERE.search(masked[marks.back(m.start(1)) : m.start(1)]):
-            continue
+        k = bisect.bisect_left(where, m.start(1))
+        if ends_with(masked, ink_end(masked, m.start(1)), "record") is not None or k and where[k - 1] >= marks.back(m.start(1)):
+            continue  # a record, or a constraint
         types.append(Found(m[2], m[1], m.start(), marks.body(m.end(), "{")[0]))
     found = list(types)
     for t in types:
