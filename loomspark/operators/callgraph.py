@@ -9,8 +9,6 @@ from ..scratch import Scratch
 
 #: Names that are searched for together, at most: what is broadcast is bounded by it.
 NAMES = 100_000
-#: Calls that the driver walks by itself, at most, and those on or above cycles.
-LOCAL, CYCLIC = 100_000, 5_000_000
 
 
 def functions(chunks: DataFrame) -> DataFrame:
@@ -65,76 +63,107 @@ def token_edges(chunks: DataFrame) -> DataFrame:
     return words.join(f.select(F.col("name").alias("callee")).distinct(), "callee", "left_semi").where("caller <> callee").distinct()
 
 
+def _trimmed(scratch: Scratch, calls: DataFrame, name: str) -> DataFrame:
+    """`calls` without those of functions that nothing left calls, or that call nothing left: these are on no cycle.
+
+    Each round takes a layer off either end; deeper graphs are left to what follows.
+    """
+    left = scratch.cut(calls, f"{name}0")
+    n = left.count()
+    for step in range(1, 2 * n.bit_length() + 4):
+        if not n:
+            break
+        kept = left.join(left.select(F.col("caller").alias("callee")).distinct(), "callee", "left_semi")
+        kept = kept.join(left.select(F.col("callee").alias("caller")).distinct(), "caller", "left_semi")
+        left, before = scratch.cut(kept.select("caller", "callee"), f"{name}{step}"), n
+        scratch.drop(f"{name}{step - 1}")
+        n = left.count()
+        if n == before:
+            break
+    return left
+
+
+def _least(scratch: Scratch, calls: DataFrame, seed: int, name: str) -> DataFrame:
+    """name, least: the least label (a hash of names) of what a function reaches.
+
+    Labels go a call further each round, and calls of functions with a single call are replaced by what that calls, so that
+    a chain of n takes about log n rounds.
+    """
+    names = calls.select(F.col("caller").alias("name")).union(calls.select("callee")).distinct()
+    state, left, step = scratch.cut(names.withColumn("least", F.xxhash64("name", F.lit(seed))), f"{name}s0"), calls, 0
+    while True:
+        only = left.groupBy("caller").agg(F.count("*").alias("n"), F.first("callee").alias("next")).where("n = 1").select(F.col("caller").alias("callee"), "next")
+        told = left.join(state.select(F.col("name").alias("callee"), F.col("least").alias("said")), "callee").join(only, "callee", "left")
+        told = scratch.cut(told.select("caller", F.coalesce("next", "callee").alias("callee"), "said"), f"{name}t{step}")
+        said = told.groupBy(F.col("caller").alias("name")).agg(F.min("said").alias("said"))
+        state = state.join(said, "name", "left").select("name", F.least("least", "said").alias("least"), (F.col("said") < F.col("least")).alias("new"))
+        state = scratch.cut(state, f"{name}s{step + 1}")
+        if not state.where("new").take(1):
+            return state.select("name", "least")
+        left, step = told.where("caller <> callee").select("caller", "callee").distinct(), step + 1
+
+
+def cyclic(scratch: Scratch, calls: DataFrame) -> DataFrame:
+    """The calls between different functions of one strongly connected component.
+
+    Functions of a component reach the same least label and are reached from the same one. Calls between functions that differ
+    in either are cut, with other labels each time, until none is: then the least of each part reaches all of it
+    and is reached by all of it. Rounds grow with the logarithm of the size.
+    """
+    left = _trimmed(scratch, calls.where("caller <> callee").select("caller", "callee"), "trim0-")
+    seed, n = 0, left.count()
+    while n:
+        down = _least(scratch, left, seed, f"down{seed}-")
+        up = _least(scratch, left.select(F.col("callee").alias("caller"), F.col("caller").alias("callee")), seed, f"up{seed}-")
+        both = down.join(up.withColumnRenamed("least", "from"), "name")
+        same = left.join(both.toDF("caller", "a", "b"), "caller").join(both.toDF("callee", "c", "d"), "callee").where("a = c AND b = d")
+        seed += 1
+        kept = _trimmed(scratch, same.select("caller", "callee"), f"trim{seed}-")
+        left, before = kept, n
+        n = left.count()
+        if n == before:
+            break
+    return left
+
+
+def _longest(scratch: Scratch, state: DataFrame, left: DataFrame) -> DataFrame:
+    """name, level: the longest way down from each function over calls (caller, callee, d), which have no cycle, and not less than its `level`.
+
+    A round takes in the callees that are settled, and goes over those that have a single call left: chains and nested branches that meet
+    again take about the logarithm of their length.
+    """
+    state, step = scratch.cut(state, "way0"), 0
+    while True:
+        only = left.groupBy("caller").agg(F.count("*").alias("n"), F.first("callee").alias("next"), F.first("d").alias("far")).withColumnRenamed("caller", "name")
+        known = state.join(only, "name", "left").withColumnRenamed("name", "callee")
+        told = scratch.cut(left.join(known, "callee"), f"told{step}")
+        if not told.take(1):
+            return state
+        least = F.max(F.when(F.coalesce("n", F.lit(0)) <= 1, F.col("level") + F.col("d"))).alias("least")
+        state = state.join(told.groupBy(F.col("caller").alias("name")).agg(least), "name", "left").select("name", F.greatest("level", "least").alias("level"))
+        state = scratch.cut(state, f"way{step + 1}")
+        over = F.col("n") == 1
+        left = told.where("n is not null").select("caller", F.when(over, F.col("next")).otherwise(F.col("callee")).alias("callee"), (F.col("d") + F.when(over, F.col("far")).otherwise(0)).alias("d"))
+        left, step = left.groupBy("caller", "callee").agg(F.max("d").alias("d")), step + 1
+
+
 def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """name, level: 0 for those that call nothing, else one more than the highest callee.
 
-    Functions whose callees all have levels get theirs, a round for each level: one aggregate and two joins, one written table.
-    Once at most `LOCAL` calls are left, they are walked on the driver. So is what is on or above a cycle, which has no
-    unique answer: it is walked depth-first, by name, a call back into the walk counting as level 0; then levels close up.
-    Cycles and what is above them may hold at most `CYCLIC` calls.
+    On a cycle, which has no unique answer, a call to the function itself or to one that comes before it by name counts as level 0, if both
+    are in one strongly connected component; all other calls count, and have no cycle. Then levels close up.
     """
     spark, scratch = vertices.sparkSession, Scratch(vertices.sparkSession, "levels")
     names = vertices.select("name").distinct()
     calls = edges.select("caller", "callee").distinct().join(names.withColumnRenamed("name", "callee"), "callee", "left_semi")
-    calls = scratch.cut(calls, "calls")
-    # `open`: callees without a level; `level`: that of a function with none, so far the least it can be of others
-    state = names.join(calls.groupBy(F.col("caller").alias("name")).agg(F.count("*").alias("open")), "name", "left")
-    state = scratch.cut(state.select("name", F.coalesce("open", F.lit(0)).cast("long").alias("open"), F.lit(0).alias("level")), "state0")
-    step = 0
-    while True:
-        left = calls.join(state.where("open > 0").select(F.col("name").alias("caller")), "caller", "left_semi")
-        n, ready = left.count(), state.where(f"open = 0 AND level = {step}")
-        if n <= LOCAL or not ready.take(1):
-            break
-        told = calls.join(ready.select(F.col("name").alias("callee")), "callee", "left_semi").groupBy(F.col("caller").alias("name")).agg(F.count("*").alias("told"))
-        level = F.when(F.col("told") > 0, F.lit(step + 1)).otherwise(F.col("level"))
-        state = state.join(told, "name", "left").select("name", (F.col("open") - F.coalesce("told", F.lit(0))).alias("open"), level.alias("level"))
-        state = scratch.cut(state, f"state{step + 1}")
-        scratch.drop(f"state{step}")
-        step += 1
-    done = state.where("open = 0").select("name", "level")
-    if n > CYCLIC:
-        raise ValueError(f"{n} calls are on or above cycles; at most {CYCLIC} can be walked")
-    if n:
-        left = scratch.cut(left, "left")
-        known = {r.name: r.level for r in done.join(left.select(F.col("callee").alias("name")).distinct(), "name", "left_semi").collect()}
-        called: dict[str, list[str]] = {}
-        for r in left.collect():
-            called.setdefault(r.caller, []).append(r.callee)
-        done = done.unionByName(spark.createDataFrame(sorted(_walk(called, known).items()), "name string, level int"))
-    used = [r.level for r in done.select("level").distinct().orderBy("level").collect()]
-    closed = F.array_position(F.array(*map(F.lit, used)).cast("array<int>"), F.col("level")).cast("int") - 1
-    return done.select("name", closed.alias("level"))
-
-
-def _walk(calls: dict[str, list[str]], known: dict[str, int]) -> dict[str, int]:
-    """Levels of the residue, without recursion."""
-    level = dict(known)
-    for root in sorted(calls):
-        stack = [(root, iter(sorted(calls[root])), [0])]
-        open_ = {root}
-        if root in level:
-            continue
-        while stack:
-            name, callees, best = stack[-1]
-            for c in callees:
-                if c in level:
-                    best[0] = max(best[0], level[c] + 1)
-                elif c in open_:
-                    best[0] = max(best[0], 1)
-                elif c in calls:
-                    open_.add(c)
-                    stack.append((c, iter(sorted(calls[c])), [0]))
-                    break
-                else:
-                    best[0] = max(best[0], 1)
-            else:
-                stack.pop()
-                open_.discard(name)
-                level[name] = best[0]
-                if stack:
-                    stack[-1][2][0] = max(stack[-1][2][0], best[0] + 1)
-    return {n: level[n] for n in calls}
+    calls = scratch.cut(calls.select("caller", "callee"), "calls")
+    back = cyclic(scratch, calls).where("callee < caller").unionByName(calls.where("caller = callee"))
+    back = scratch.cut(back.select("caller", "callee"), "back")
+    least = back.select(F.col("caller").alias("name"), F.lit(1).alias("least")).distinct()
+    state = names.join(least, "name", "left").select("name", F.coalesce("least", F.lit(0)).alias("level"))
+    done = _longest(scratch, state, calls.join(back, ["caller", "callee"], "left_anti").withColumn("d", F.lit(1)))
+    used = [(r.level, k) for k, r in enumerate(done.select("level").distinct().orderBy("level").collect())]
+    return done.join(F.broadcast(spark.createDataFrame(used, "level int, closed int")), "level").select("name", F.col("closed").alias("level"))
 
 
 def stats(vertices: DataFrame, edges: DataFrame) -> DataFrame:
