@@ -11,6 +11,10 @@ from ..scratch import Scratch
 NAMES = 100_000
 
 
+#: Functions of at most so many open calls are gone over, as long as there are at most GROWTH times the calls that there were.
+FEW, GROWTH = 4, 3
+
+
 def functions(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("kind").isin("function", "method") & (F.col("chunk_type") == "code")).select("chunk_id", "name", "content")
 
@@ -83,24 +87,33 @@ def _trimmed(scratch: Scratch, calls: DataFrame, name: str) -> DataFrame:
     return left
 
 
+def _gone_over(some: DataFrame, left: DataFrame, few: int, *more: str) -> DataFrame:
+    """`some` calls of `left`, each of a function that has at most `few` calls replaced by all that this one calls; `more` columns add up."""
+    onward = left.groupBy("caller").agg(F.count("*").alias("n")).where(F.col("n") <= few).select("caller")
+    onward = left.join(onward, "caller", "left_semi").toDF("via", "next", *[f"next_{c}" for c in more])
+    both = some.withColumnRenamed("callee", "via").join(onward, "via", "left")
+    sums = [(F.col(c) + F.coalesce(f"next_{c}", F.lit(0))).alias(c) for c in more]
+    return both.select("caller", F.coalesce("next", "via").alias("callee"), *sums)
+
+
 def _least(scratch: Scratch, calls: DataFrame, seed: int, name: str) -> DataFrame:
     """name, least: the least label (a hash of names) of what a function reaches.
 
-    Labels go a call further each round, and calls of functions with a single call are replaced by what that calls, so that
-    a chain of n takes about log n rounds.
+    Labels go a call further each round, while calls go twice as far.
     """
     names = calls.select(F.col("caller").alias("name")).union(calls.select("callee")).distinct()
-    state, left, step = scratch.cut(names.withColumn("least", F.xxhash64("name", F.lit(seed))), f"{name}s0"), calls, 0
+    state = scratch.cut(names.withColumn("least", F.xxhash64("name", F.lit(seed))), f"{name}s0")
+    left, step, n = calls, 0, calls.count()
+    most = GROWTH * n
     while True:
-        only = left.groupBy("caller").agg(F.count("*").alias("n"), F.first("callee").alias("next")).where("n = 1").select(F.col("caller").alias("callee"), "next")
-        told = left.join(state.select(F.col("name").alias("callee"), F.col("least").alias("said")), "callee").join(only, "callee", "left")
-        told = scratch.cut(told.select("caller", F.coalesce("next", "callee").alias("callee"), "said"), f"{name}t{step}")
+        told = left.join(state.select(F.col("name").alias("callee"), F.col("least").alias("said")), "callee")
         said = told.groupBy(F.col("caller").alias("name")).agg(F.min("said").alias("said"))
         state = state.join(said, "name", "left").select("name", F.least("least", "said").alias("least"), (F.col("said") < F.col("least")).alias("new"))
         state = scratch.cut(state, f"{name}s{step + 1}")
         if not state.where("new").take(1):
             return state.select("name", "least")
-        left, step = told.where("caller <> callee").select("caller", "callee").distinct(), step + 1
+        left, step = scratch.cut(_gone_over(left, left, FEW if n <= most else 1).where("caller <> callee").distinct(), f"{name}c{step}"), step + 1
+        n = left.count()
 
 
 def cyclic(scratch: Scratch, calls: DataFrame) -> DataFrame:
@@ -126,25 +139,26 @@ def cyclic(scratch: Scratch, calls: DataFrame) -> DataFrame:
     return left
 
 
-def _longest(scratch: Scratch, state: DataFrame, left: DataFrame) -> DataFrame:
-    """name, level: the longest way down from each function over calls (caller, callee, d), which have no cycle, and not less than its `level`.
+def _longest(scratch: Scratch, state: DataFrame, left: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """name, level: the longest way down from each function over calls (caller, callee, d), and not less than its `level`; and the calls that a cycle leaves open.
 
-    A round takes in the callees that are settled, and goes over those that have a single call left: chains and nested branches that meet
-    again take about the logarithm of their length.
+    A round takes in the callees that are settled, and calls go twice as far, so chains and branches of n take about log n rounds.
+    Without a cycle, each round settles a function.
     """
-    state, step = scratch.cut(state, "way0"), 0
-    while True:
-        only = left.groupBy("caller").agg(F.count("*").alias("n"), F.first("callee").alias("next"), F.first("d").alias("far")).withColumnRenamed("caller", "name")
-        known = state.join(only, "name", "left").withColumnRenamed("name", "callee")
-        told = scratch.cut(left.join(known, "callee"), f"told{step}")
-        if not told.take(1):
-            return state
-        least = F.max(F.when(F.coalesce("n", F.lit(0)) <= 1, F.col("level") + F.col("d"))).alias("least")
-        state = state.join(told.groupBy(F.col("caller").alias("name")).agg(least), "name", "left").select("name", F.greatest("level", "least").alias("level"))
-        state = scratch.cut(state, f"way{step + 1}")
-        over = F.col("n") == 1
-        left = told.where("n is not null").select("caller", F.when(over, F.col("next")).otherwise(F.col("callee")).alias("callee"), (F.col("d") + F.when(over, F.col("far")).otherwise(0)).alias("d"))
-        left, step = left.groupBy("caller", "callee").agg(F.max("d").alias("d")), step + 1
+    state, left, step = scratch.cut(state, f"{name}0"), scratch.cut(left, f"{name}calls0"), 0
+    n, open_ = left.agg(F.count("*"), F.count_distinct("caller")).first()
+    most = GROWTH * n
+    while n:
+        told = left.join(state.withColumnRenamed("name", "callee"), "callee").groupBy(F.col("caller").alias("name")).agg(F.max(F.col("level") + F.col("d")).alias("least"))
+        state = scratch.cut(state.join(told, "name", "left").select("name", F.greatest("level", "least").alias("level")), f"{name}{step + 1}")
+        # what a call leads to that is gone over, settled or not, is taken in by the next round; calls to what is settled have been
+        onward = left.join(left.select(F.col("caller").alias("callee")).distinct(), "callee", "left_semi").select("caller", "callee", "d")
+        over = _gone_over(onward, left, FEW if n <= most else 1, "d").groupBy("caller", "callee").agg(F.max("d").alias("d"))
+        left, step, before = scratch.cut(over, f"{name}calls{step + 1}"), step + 1, open_
+        n, open_ = left.agg(F.count("*"), F.count_distinct("caller")).first()
+        if open_ == before:
+            break
+    return state, left
 
 
 def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -157,11 +171,16 @@ def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     names = vertices.select("name").distinct()
     calls = edges.select("caller", "callee").distinct().join(names.withColumnRenamed("name", "callee"), "callee", "left_semi")
     calls = scratch.cut(calls.select("caller", "callee"), "calls")
-    back = cyclic(scratch, calls).where("callee < caller").unionByName(calls.where("caller = callee"))
-    back = scratch.cut(back.select("caller", "callee"), "back")
-    least = back.select(F.col("caller").alias("name"), F.lit(1).alias("least")).distinct()
-    state = names.join(least, "name", "left").select("name", F.coalesce("least", F.lit(0)).alias("level"))
-    done = _longest(scratch, state, calls.join(back, ["caller", "callee"], "left_anti").withColumn("d", F.lit(1)))
+    one = lambda rows: rows.select(F.col("caller").alias("name"), F.lit(1).alias("least")).distinct()
+    floor = lambda names, rows: names.join(one(rows), "name", "left").select("name", F.coalesce("least", F.lit(0)).alias("level"))
+    own, others = calls.where("caller = callee"), calls.where("caller <> callee")
+    done, open_ = _longest(scratch, floor(names, own), others.withColumn("d", F.lit(1)), "way")
+    open_ = scratch.cut(open_.select(F.col("caller").alias("name")).distinct(), "open")
+    if open_.take(1):  # on cycles, or above
+        left = others.join(open_.toDF("caller"), "caller", "left_semi")
+        back = scratch.cut(cyclic(scratch, left.join(open_.toDF("callee"), "callee", "left_semi").select("caller", "callee")).where("callee < caller"), "back")
+        state = done.join(open_, "name", "left_anti").unionByName(floor(open_, own.unionByName(back)))
+        done, _ = _longest(scratch, state, left.select("caller", "callee").join(back, ["caller", "callee"], "left_anti").withColumn("d", F.lit(1)), "rest")
     used = [(r.level, k) for k, r in enumerate(done.select("level").distinct().orderBy("level").collect())]
     return done.join(F.broadcast(spark.createDataFrame(used, "level int, closed int")), "level").select("name", F.col("closed").alias("level"))
 

@@ -48,6 +48,16 @@ def test_same_as_plain_search(spark, seed, n, m):
         assert {tuple(r) for r in callgraph.cyclic(Scratch(spark, "test"), known).select("caller", "callee").collect()} == inside
 
 
+def test_long_and_short_ways(spark):
+    """Random graphs without cycles, some of whose functions are settled early by short ways and others late by long ones."""
+    rnd = random.Random(5)
+    names = [f"f{k:03}" for k in range(160)]
+    edges = [(names[k], names[k + 1]) for k in range(60)] + [(names[a], names[b]) for a, b in (sorted(rnd.sample(range(160), 2)) for _ in range(220))]
+    want, _ = brute(set(names), edges)
+    v, e = frames(spark, names, edges)
+    assert {r.name: r.level for r in callgraph.levels(v, e).collect()} == want
+
+
 def test_a_cycle_of_ten_thousand_functions(spark):
     """And a tail that leads to it: rounds grow with the logarithm."""
     n = 10_000
