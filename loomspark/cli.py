@@ -101,7 +101,7 @@ def main(args: list[str] | None = None, out=sys.stdout) -> int:
     elif a.command == "lookup":
         say(_rows(search.lookup_fuzzy(chunks, a.symbol, a.filter), "content") if a.fuzzy else search.lookup_output(chunks, a.symbol, a.filter))
     elif a.command == "status":
-        say(index.status())
+        say(index.status() | index.report(root, HashEmbedder().one).first().asDict())
     elif a.command == "embed":
         say({"embedded": index.embed(HashEmbedder(a.dim), a.batch_size), "pending": index.pending()})
     elif a.command == "map":

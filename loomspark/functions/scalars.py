@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# File extensions by kind, and the names of languages, as the data model has them.
+# File extensions by kind, the names of languages, kinds of symbols, their order and prefixes, as the data model has them.
 CODE_EXTENSIONS = ("rs", "ts", "tsx", "js", "jsx", "cs", "py")
 DOC_EXTENSIONS = ("md", "mdx", "txt", "json", "yaml", "yml", "toml", "xml", "rst")
 LANGUAGES = {"Rust": ("rs",), "TypeScript": ("ts", "tsx"), "JavaScript": ("js", "jsx"), "Python": ("py",), "C#": ("cs",)}
@@ -69,9 +69,10 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/", -1), -1)
 
 
-def relative(path: Column, root: str) -> Column:
-    prefix = root.rstrip("/") + "/"
-    return F.when(path.startswith(prefix), F.substring(path, F.lit(len(prefix) + 1), F.length(path))).otherwise(path)
+def relative(path: Column, root: str | Column) -> Column:
+    """The path below a root, which may differ by row; other paths stay."""
+    prefix = F.concat(F.rtrim(F.lit(root) if isinstance(root, str) else root, F.lit("/")), F.lit("/"))
+    return F.when(F.startswith(path, prefix), F.substring(path, F.length(prefix) + 1, F.length(path))).otherwise(path)
 
 
 def extension(path: Column) -> Column:
@@ -107,6 +108,7 @@ def kind_prefix(kind: Column) -> Column:
 
 
 def recommendation(pending: Column) -> Column:
+    # fixed values: the numbers and names of the steps
     return F.when(pending == 0, "none").when(pending <= 100, "sync").when(pending <= 500, "sync_acceptable").otherwise("background")
 
 

@@ -40,6 +40,8 @@ class Manifest:
     buckets: list[Bucket] = field(default_factory=list)
     whole: dict[str, list[int]] = field(default_factory=dict)  # tables without buckets
     next_id: int = 0
+    model: str = ""  # of the vectors
+    last_indexed: str = ""
 
     def parts(self) -> set[str]:
         """The folders that hold what is current."""
@@ -80,7 +82,7 @@ class Store:
             held = json.loads((self.folder / "_CURRENT").read_text())
             if held.get("version") != self.version:  # another format is recreated
                 return Manifest()
-            return Manifest([Bucket(**b) for b in held["buckets"]], held["whole"], held["next_id"])
+            return Manifest([Bucket(**b) for b in held["buckets"]], held["whole"], held["next_id"], held["model"], held["last_indexed"])
         except (FileNotFoundError, ValueError):
             return Manifest()
 
@@ -89,9 +91,9 @@ class Store:
 
     def commit(self, now: Manifest) -> None:
         """Makes a manifest current. Readers keep what they have: what neither it nor the one before it needs is removed."""
-        before = self.manifest()
+        before, now.last_indexed = self.manifest(), time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
         staged = self.folder / f"_CURRENT.{os.getpid()}"
-        staged.write_text(json.dumps({"version": self.version, **asdict(now), "last_indexed": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}))
+        staged.write_text(json.dumps({"version": self.version, **asdict(now)}))
         os.replace(staged, self.folder / "_CURRENT")
         needed = before.parts() | now.parts()
         kept = {str(Path(p).parent) for p in needed} | needed

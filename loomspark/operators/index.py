@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..scratch import Scratch
 from ..sources import code, docs, scan, schemas
-from . import buckets, hierarchy
+from . import buckets, hierarchy, search
 
 _BUCKETED = {"files": (schemas.FILES, ("path",)), "chunks": (schemas.RAW, ("file", "seq")), "vectors": ("file string, seq int, embedding array<float>", ("file", "seq"))}
 _WHOLE = {"summaries": schemas.SUMMARIES}
@@ -186,6 +186,7 @@ class Index:
             todo = todo.where(F.pmod(F.xxhash64("file", "seq"), F.lit(rounds)) == r)
             made = todo.select("file", "seq", text.alias("text")).mapInPandas(run, _BUCKETED["vectors"][0])
             self.store.write("vectors", made, now.buckets, lacking, v, append=True)
+            now.model = getattr(embedder, "name", type(embedder).__name__)
             self.store.commit(now)
         return n
 
@@ -193,6 +194,22 @@ class Index:
         row = hierarchy.status(self.chunks, self.embeddings).first().asDict()
         return row | {"n_indexed_files": self.files.count(), "n_errors": self.files.where("error is not null").count(), "version": schemas.VERSION, "locked": self.holder() is not None}
 
+    def report(self, root: str = "", embed=None) -> DataFrame:
+        """One row of all that is known of the index: `embed` is the embedder of queries, if there is one."""
+        held, chunks = self.store.manifest(), self.chunks
+        files = self.files.agg(F.count("*").alias("file_count"), *[F.count(F.when(F.col("chunk_type") == kind, 1)).alias(f"{kind}_files") for kind in ("code", "doc")])
+        twice = chunks.groupBy("name").agg(F.count("*").alias("n")).agg(F.count(F.when(F.col("n") > 1, 1)).alias("duplicate_names"))
+        said = chunks.select(F.explode(F.array("name", "content", "context", "signature", "doc_summary")).alias("s")).unionByName(self.files.select(F.explode(F.array("path", "hash")).alias("s")))
+        said = said.unionByName(self.spark.createDataFrame([(root,), (held.model,)], "s string")).agg(F.count_distinct("s").alias("string_table_size"))
+        n, vectors = held.total("chunks"), held.total("vectors")
+        out = files.join(F.broadcast(twice), F.lit(True)).join(F.broadcast(said), F.lit(True)).withColumns({
+            "version": F.lit(schemas.VERSION), "root": F.lit(root), "last_indexed": F.lit(held.last_indexed), "chunk_count": F.lit(n).cast("long"), "embedding_count": F.lit(vectors).cast("long"),
+            "embedding_model": F.lit(held.model), "has_embeddings": F.lit(0 < vectors == n), "pending_embeddings": F.lit(n - vectors).cast("long"), "embed_recommendation": S.recommendation(F.lit(n - vectors)),
+            "embedder_available": F.lit(embed is not None), "query_cache_size": F.lit(search.cache_size(embed)),
+        })
+        order = "version root last_indexed file_count code_files doc_files chunk_count embedding_count embedding_model has_embeddings pending_embeddings embed_recommendation duplicate_names embedder_available query_cache_size string_table_size"
+        return out.select(*order.split())
+
     # --- lock and dirty flag ---
 
     def holder(self) -> int | None:

@@ -100,6 +100,11 @@ def cached(embed: Callable[[str], Sequence[float]]):
     return _CACHES.setdefault(embed, lru_cache(maxsize=100)(lambda q: tuple(embed(q))))
 
 
+def cache_size(embed: Callable[[str], Sequence[float]] | None) -> int:
+    """How many query vectors are kept of an embedder."""
+    return cached(embed).cache_info().currsize if embed in _CACHES else 0
+
+
 def lookup(chunks: DataFrame, name: str, kind: str | None = None) -> DataFrame:
     """Definitions of a symbol, `Context.member` or plain, in the order of chunk_id, with match_type, confidence and suggestion."""
     context, member = S.qualified(name)
@@ -163,7 +168,9 @@ def duplicate_names(chunks: DataFrame) -> DataFrame:
 
 
 def uniqueness(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("n_same", F.count("*").over(Window.partitionBy("name"))).withColumn("unique", F.col("n_same") == 1)
+    """How many chunks have the same name: counted before they are joined, so that a name that most have is no single task."""
+    n = chunks.groupBy(F.col("name").alias("__name")).agg(F.count("*").alias("n_same"))
+    return chunks.join(n, F.col("name").eqNullSafe(F.col("__name"))).drop("__name").withColumn("unique", F.col("n_same") == 1)
 
 
 def interned(rows: DataFrame, value: str, order: str) -> DataFrame:

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import connectors, index
+from ..operators import connectors, index, search
 from ..scratch import shared_folder
 from ..sources import scan
 from ..streaming import changes
@@ -169,6 +169,20 @@ def watch_changes(spark, sf_dir):
     return spark.read.schema("step int, " + changes.SCHEMA).parquet(*[f"{told}/{step}" for step in range(3)])
 
 
+@_query(_CHUNKS + """, d AS (SELECT name FROM c GROUP BY name HAVING count(*) > 1), n AS (SELECT count(*) AS n FROM c)
+ SELECT 2 AS version, 'tree' AS root, true AS dated, count(*) AS file_count, count(*) FILTER (chunk_type = 'code') AS code_files, count(*) FILTER (chunk_type = 'doc') AS doc_files, (SELECT n FROM n) AS chunk_count, (SELECT n FROM n) AS embedding_count,
+ 'HashEmbedder' AS embedding_model, (SELECT n > 0 FROM n) AS has_embeddings, 0::BIGINT AS pending_embeddings, 'none' AS embed_recommendation, (SELECT count(*) FROM d) AS duplicate_names, true AS embedder_available, 1 AS query_cache_size FROM f""")
+def index_status(spark, sf_dir):
+    """All fields of an index's status, with vectors and one query's vector kept; the time only as whether there is one."""
+    ix, _, _ = _indexed(spark, sf_dir)
+    embedder = connectors.HashEmbedder(8)
+    ix.embed(embedder)
+    one = embedder.one
+    search.search(ix.chunks, "title", 1, None, ix.embeddings, one)
+    row = ix.report("tree", one)
+    return row.withColumn("dated", F.col("last_indexed").rlike("^20.*Z$")).drop("last_indexed", "string_table_size")
+
+
 _BUCKETS = """SELECT t.* FROM (SELECT count(*) AS n FROM pages) p, (VALUES ('one file changed', 'files', 1), ('one file changed', 'chunks', 1), ('one file changed', 'vectors', 1), ('one file touched', 'files', 1),
  ('one file touched', 'chunks', 0), ('one file touched', 'vectors', 0), ('one file gone', 'files', 1), ('one file gone', 'chunks', 1), ('one file gone', 'vectors', 1)) t(step, tbl, buckets) WHERE n > 8"""
 

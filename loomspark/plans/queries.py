@@ -639,16 +639,10 @@ def function_summaries(spark, sf_dir):
 def relative_paths(spark, sf_dir):
     """Paths below their host, of every second page; the others are asked for below a folder that only looks like theirs."""
     p = page_paths(spark, sf_dir)
-    root = F.regexp_extract("path", "^[^/]*", 0)
-    hosts = [r[0] for r in p.select(root.alias("h")).distinct().orderBy("h").collect()]  # of the pages, for a rule that takes one root
-    out = None
-    for k in range(0, len(hosts), 100):
-        rel = F.col("path")
-        for h in hosts[k : k + 100]:
-            rel = F.when((root == h) & (F.col("page_id") % 2 == 0), S.relative(F.col("path"), h + "/")).when((root == h), S.relative(F.col("path"), h[:-1])).otherwise(rel)
-        part = p.where(root.isin(*hosts[k : k + 100])).select("page_id", rel.alias("rel"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    host = F.regexp_extract("path", "^[^/]*", 0)
+    near = F.substring(host, F.lit(1), F.length(host) - 1)
+    root = F.when(F.col("page_id") % 2 == 0, F.concat(host, F.lit("/"))).otherwise(near)
+    return p.select("page_id", S.relative(F.col("path"), root).alias("rel"))
 
 
 @_query("""WITH r AS (SELECT p_partkey, p_size * 40.0 AS rpm, p_retailprice * 1000.0 AS tpm FROM part), c AS (SELECT *, greatest(5, least(50, least(rpm / 140, CASE WHEN tpm < 1000000 THEN tpm / 8000 / 30 ELSE 1e9 END)))::DOUBLE AS c FROM r)
