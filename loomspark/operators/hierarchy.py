@@ -158,9 +158,26 @@ def file_hashes(files: DataFrame) -> DataFrame:
 
 
 def tree_hashes(dirs: DataFrame) -> DataFrame:
-    """node, body_hash: of the directories below and their symbol counts."""
-    part = F.concat("dir", F.lit(":"), F.col("n_symbols").cast("string"))
-    return dirs.select(F.explode(ancestors("dir")).alias("node"), part.alias("part")).groupBy("node").agg(S.set_hash(F.collect_list("part"), ",").alias("body_hash"))
+    """node, body_hash: equal where the directories below and their symbol counts are.
+
+    A fold from the deepest level up, one aggregate a level: a node's hash is over its own count and its children's hashes and names,
+    so what meets in a row is the children of one directory, and rows that are shuffled are nodes, not pairs of nodes and directories below.
+    """
+    scratch = Scratch(dirs.sparkSession, "tree-hashes")
+    parts = F.split("dir", "/", -1)
+    own = scratch.cut(dirs.where("dir IS NOT NULL").select("dir", "n_symbols", (F.size(parts) - 1).alias("depth")), "own", by="depth")
+    deepest = own.agg(F.max("depth")).first()[0]
+    at = F.split("node", "/", -1)
+    above = F.array_join(F.slice(at, F.lit(1), F.size(at) - 1), "/")
+    body = F.concat(F.coalesce(F.max("own").cast("string"), F.lit("")), F.lit("/"), F.array_join(F.sort_array(F.collect_list("part")), "/"))
+    out = None
+    for depth in range(-1 if deepest is None else deepest, -1, -1):
+        rows = own.where(F.col("depth") == depth).select(F.col("dir").alias("node"), F.col("n_symbols").alias("own"), F.lit(None).cast("string").alias("part"))
+        if out is not None:  # `last` is the level below
+            rows = rows.unionByName(last.select(above.alias("node"), F.lit(None).cast("long").alias("own"), F.concat("body_hash", F.element_at(at, -1)).alias("part")))
+        last = scratch.cut(rows.groupBy("node").agg(F.sha2(body, 256).alias("body_hash")), f"level{depth}")
+        out = last if out is None else out.unionByName(last)
+    return dirs.sparkSession.createDataFrame([], "node string, body_hash string") if out is None else out
 
 
 def in_area(column: str, area: str) -> F.Column:

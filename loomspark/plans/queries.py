@@ -365,8 +365,12 @@ def names_previews(spark, sf_dir):
     return f.select("dir", "file_name", S.names_preview(F.col("names"), 8).alias("names"))
 
 
-@_query(_SYMBOLS + """, dd AS (SELECT dir, sum(n_symbols)::BIGINT AS n FROM f GROUP BY dir), e AS (SELECT string_split(dir, '/') AS p, unnest(range(1, len(string_split(dir, '/')) + 1)) AS i, dir || ':' || n AS part FROM dd)
- SELECT array_to_string(p[1:i], '/') AS node, sha256(string_agg(part, ',' ORDER BY part)) AS body_hash FROM e GROUP BY 1""")
+@_query(_SYMBOLS.replace("WITH ", "WITH RECURSIVE ", 1) + """, own AS (SELECT dir, sum(n_symbols)::BIGINT AS n, len(string_split(dir, '/')) - 1 AS depth FROM f GROUP BY dir),
+ up AS (SELECT dir AS node, depth, sha256(n || '/') AS body_hash FROM own WHERE depth = (SELECT max(depth) FROM own)
+ UNION ALL SELECT node, any_value(depth), sha256(coalesce(max(n)::VARCHAR, '') || '/' || coalesce(string_agg(part, '/' ORDER BY part), '')) FROM (
+  SELECT array_to_string(string_split(node, '/')[1:depth], '/') AS node, depth - 1 AS depth, NULL::BIGINT AS n, body_hash || string_split(node, '/')[-1] AS part FROM up WHERE depth > 0
+  UNION ALL SELECT dir, depth, n, NULL FROM own WHERE depth = (SELECT max(depth) - 1 FROM up)) GROUP BY node)
+ SELECT node, body_hash FROM up""")
 def tree_hashes(spark, sf_dir):
     return hierarchy.tree_hashes(hierarchy.directories(hierarchy.files(hierarchy.symbols(page_chunks(spark, sf_dir)))))
 

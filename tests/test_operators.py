@@ -355,3 +355,19 @@ def test_command_line(spark, tmp_path, monkeypatch):
     run("refresh", "--background-embed")
     assert len(started) == 2  # as long as vectors are missing
     assert json.loads(run("deps", "main", "--direction", "calls"))
+
+
+def test_tree_hashes_are_equal_where_the_trees_are(spark):
+    def hashes(dirs):
+        rows = hierarchy.tree_hashes(spark.createDataFrame(dirs, "dir string, n_symbols long")).collect()
+        assert len({r.node for r in rows}) == len(rows)
+        return {r.node: r.body_hash for r in rows}
+
+    here = hashes([("a/x/q", 2), ("a/x", 1), ("a/y/q/r", 2), ("b/x/q", 2), ("b/x", 1), ("b/y/q/r", 2), ("c", 5), (None, 4)])
+    assert set(here) == {"a", "a/x", "a/x/q", "a/y", "a/y/q", "a/y/q/r", "b", "b/x", "b/x/q", "b/y", "b/y/q", "b/y/q/r", "c"}
+    assert here["a"] == here["b"] and here["a/x"] == here["b/x"] and here["a/x"] != here["a/y"] and here["a/y"] != here["a/y/q"]
+    for other in ([("a/x/q", 3), ("a/x", 1), ("a/y/q/r", 2)], [("a/x/q", 2), ("a/y/q/r", 2)], [("a/x/q", 2), ("a/x", 1), ("a/y/q/s", 2)], [("a/x/q", 2), ("a/x", 1), ("a/y/q/r", 2), ("a", 0)]):
+        assert hashes(other)["a"] != here["a"]
+    assert hashes([]) == {}
+    deep = "/".join("d" * 12)
+    assert len(hashes([(deep, 1), ("", 2)])) == 13
