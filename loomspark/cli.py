@@ -87,6 +87,8 @@ def main(args: list[str] | None = None, out=sys.stdout) -> int:
     log.info("%s: %s", a.command, changes)
     chunks = index.chunks
     if a.command == "refresh":
+        if changes is not None:
+            index.index_names()
         if not a.quiet:
             say(vars(changes) if changes else {"locked": True})
         if a.background_embed and changes and changes.pending:
@@ -96,7 +98,7 @@ def main(args: list[str] | None = None, out=sys.stdout) -> int:
         kind = a.filter or search.type_of_flags(a.code_only, a.docs_only)
         held = index.embeddings.select(F.size("embedding").alias("n")).first()
         embed = HashEmbedder(held.n).one if held else None
-        found, suggestion = search.search(chunks, a.query, a.top, kind, index.embeddings, embed)
+        found, suggestion = search.search(chunks, a.query, a.top, kind, index.embeddings, embed, index.search_by_name)
         say({"results": _rows(found.select("rank", "chunk_type", "name", "kind", "file", "line_start", "line_end", "score", "preview", "context", "unique").orderBy("rank")), "suggestion": suggestion})
     elif a.command == "lookup":
         say(_rows(search.lookup_fuzzy(chunks, a.symbol, a.filter), "content") if a.fuzzy else search.lookup_output(chunks, a.symbol, a.filter))

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import names
+
 #: Bytes of contents in a bucket, about.
 SIZE = 32 << 20
 
@@ -122,15 +124,27 @@ class Store:
             n = counts.get(b.id, 0)
             b.versions[name] = [*(b.versions.get(name, []) if append else []), *([v] if n else [])]
             b.rows[name] = n + (b.rows.get(name, 0) if append else 0)
+            if name == "chunks":  # its lists are of other rows
+                b.versions.pop("lists", None)
+
+    def write_lists(self, rows: DataFrame, into: list[Bucket], v: int) -> None:
+        """Posting lists of whole buckets, a file each, in the order of tokens."""
+        rows.withColumn("bucket", F.col("at")).write.partitionBy("bucket").parquet(str(self.folder / f"v={v}/lists"))
+        for b in into:
+            b.versions["lists"] = [v]
+
+    def lists(self, held: list[Bucket]) -> DataFrame:
+        parts = [p for p in (self.folder / f"v={v}/lists/bucket={b.id}" for b in held for v in b.versions.get("lists", [])) if p.exists()]
+        return self.spark.read.schema(names.LISTS).option("recursiveFileLookup", True).parquet(*map(str, parts)) if parts else self.spark.createDataFrame([], names.LISTS)
 
-    def numbered(self, name: str, manifest: Manifest, number: str) -> DataFrame:
-        """All rows with their dense number in the order of keys."""
+    def numbered(self, name: str, manifest: Manifest, number: str, only: Iterable[Bucket] | None = None) -> DataFrame:
+        """All rows (of the buckets `only`) with their dense number in the order of keys."""
         base, total = [], 0
         for b in manifest.buckets:
             base.append((b.id, total))
             total += b.rows.get(name, 0)
-        rows = self.read(name, manifest.buckets).join(F.broadcast(self.spark.createDataFrame(base, "at int, base long")), "at")
-        return rows.select((F.col("base") + F.col("pos")).alias(number), *[c.split()[0] for c in self.tables[name][0].split(", ")])
+        rows = self.read(name, manifest.buckets if only is None else only).join(F.broadcast(self.spark.createDataFrame(base, "at int, base long")), "at")
+        return rows.select((F.col("base") + F.col("pos")).alias(number), *[c.split()[0] for c in self.tables[name][0].split(", ")], *(["at", "pos"] if only is not None else []))
 
     def cuts(self, files: DataFrame, size: int) -> list[str]:
         """Paths at which buckets begin that are not to hold more than twice `size` bytes; `files` has at, path, length."""

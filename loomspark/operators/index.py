@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..scratch import Scratch
 from ..sources import code, docs, scan, schemas
-from . import buckets, hierarchy, search
+from . import buckets, hierarchy, names, search
 
 _BUCKETED = {"files": (schemas.FILES, ("path",)), "chunks": (schemas.RAW, ("file", "seq")), "vectors": ("file string, seq int, embedding array<float>", ("file", "seq"))}
 _WHOLE = {"summaries": schemas.SUMMARIES}
@@ -90,13 +90,54 @@ class Index:
         now, v = self.store.manifest(), self.store.next_version()
         for name, rows in tables.items():
             if name in _BUCKETED:
-                now.buckets = now.buckets or [now.new("")]
+                now.buckets = now.buckets or self._ranges(now, rows if name == "chunks" else None)
                 self.store.write(name, rows, now.buckets, now.buckets, v, append)
             else:
                 rows.write.parquet(str(self.folder / f"v={v}/{name}"))
                 now.whole[name] = [*(now.whole.get(name, []) if append else []), v]
         self.store.commit(now)
 
+    def _ranges(self, now: buckets.Manifest, chunks: DataFrame | None) -> list[buckets.Bucket]:
+        """The first buckets of an index: ranges of paths by the contents of what is saved."""
+        one = now.new("")
+        if chunks is None:
+            return [one]
+        sizes = chunks.groupBy(F.col("file").alias("path")).agg(F.sum(F.octet_length("content")).alias("length")).withColumn("at", F.lit(one.id))
+        return [one, *(now.new(c) for c in self.store.cuts(sizes, self.bucket_bytes))]
+
+    # --- names ---
+
+    def index_names(self) -> int:
+        """Posting lists for the buckets that have none; how many there were. A refresh drops the lists of what it writes anew."""
+        now, v = self.store.manifest(), self.store.next_version()
+        lacking = [b for b in now.buckets if b.rows.get("chunks") and "lists" not in b.versions]
+        if lacking:
+            self.store.write_lists(names.lists(self.store.read("chunks", lacking)), lacking, v)
+            self.store.commit(now)
+        return len(lacking)
+
+    def _having(self, scratch: Scratch, name: str, words: list[set[str]], starts) -> DataFrame:
+        """Chunks that may have all tokens of a word or one of the starts: by their lists, and all of buckets without. Buckets without candidates are not read."""
+        held = self.store.manifest()
+        listed = [b for b in held.buckets if "lists" in b.versions]
+        found = scratch.cut(names.candidates(self.store.lists(listed), words, starts), name)
+        hit = {r["at"] for r in found.select("at").distinct().collect()}  # at most as many as the manifest has
+        some = self.store.numbered("chunks", held, "chunk_id", [b for b in listed if b.id in hit]).join(found, ["at", "pos"], "left_semi")
+        rest = self.store.numbered("chunks", held, "chunk_id", [b for b in held.buckets if b not in listed])
+        return some.unionByName(rest).drop("at", "pos")
+
+    def named(self, query: str) -> DataFrame:
+        """The chunks that a search by name has to score: all, if lists can't tell."""
+        tokens = names.asked(query)
+        return self.chunks if tokens is None else self._having(Scratch(self.spark, "names"), "named", *tokens)
+
+    def search_by_name(self, query: str, top: int = 5, kind: str | None = None) -> DataFrame:
+        """What `search.search_by_name` finds in all chunks, from candidates; names are counted among those that begin like the found ones."""
+        scratch = Scratch(self.spark, "names")
+        best = scratch.cut(search.ranked_by_name(self.named(query), query, top, kind), "best")
+        starts = [r[0] for r in best.where("name IS NOT NULL").select(names.start(F.col("name"))).distinct().collect()]  # `top` at most
+        return search.shown_by_name(best, self._having(scratch, "same", [], starts))
+
     # --- refresh ---
 
     def _parsed(self, found: DataFrame) -> DataFrame:

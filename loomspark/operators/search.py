@@ -52,11 +52,18 @@ def _top(scored: DataFrame, score: str, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "chunk_id")))
 
 
+def ranked_by_name(chunks: DataFrame, query: str, top: int = 5, kind: str | None = None) -> DataFrame:
+    rows = only(chunks, chosen_type(kind)).withColumn("points", name_points(query, F.col("name"), F.col("content"))).where("points > 0")
+    return _top(rows, "points", max(0, top))
+
+
+def shown_by_name(best: DataFrame, among: DataFrame) -> DataFrame:
+    return _with_unique(best, among).withColumn("score", F.col("points") / F.lit(10.0)).withColumn("preview", S.preview(F.col("content")))
+
+
 def search_by_name(chunks: DataFrame, query: str, top: int = 5, kind: str | None = None) -> DataFrame:
     """Ranked chunks; `unique`: no other chunk of the whole table has the name."""
-    rows = only(chunks, chosen_type(kind)).withColumn("points", name_points(query, F.col("name"), F.col("content"))).where("points > 0")
-    best = _top(rows, "points", max(0, top))
-    return _with_unique(best, chunks).withColumn("score", F.col("points") / F.lit(10.0)).withColumn("preview", S.preview(F.col("content")))
+    return shown_by_name(ranked_by_name(chunks, query, top, kind), chunks)
 
 
 def _with_unique(best: DataFrame, among: DataFrame) -> DataFrame:
@@ -75,20 +82,25 @@ def search_semantic(chunks: DataFrame, embeddings: DataFrame, vector: Sequence[f
 
 
 def search(
-    chunks: DataFrame, query: str, top: int = 5, kind: str | None = None, embeddings: DataFrame | None = None, embed: Callable[[str], Sequence[float]] | None = None
+    chunks: DataFrame, query: str, top: int = 5, kind: str | None = None, embeddings: DataFrame | None = None, embed: Callable[[str], Sequence[float]] | None = None,
+    by_name: Callable[..., DataFrame] | None = None,
 ) -> tuple[DataFrame, str | None]:
-    """(result, suggestion): by meaning if there is an embedder and every chunk has a vector, else by name."""
+    """(result, suggestion): by meaning if there is an embedder and every chunk has a vector, else by name.
+
+    `by_name` (query, top, kind) searches an index with lists; else all chunks are scored.
+    """
+    by_name = by_name or (lambda *asked: search_by_name(chunks, *asked))
     if not query.strip():
         return search_by_name(chunks.limit(0), "-", 0), NO_QUERY
     if embed is None or embeddings is None:
-        return search_by_name(chunks, query, top, kind), "Using name-based search (no embedder)."
+        return by_name(query, top, kind), "Using name-based search (no embedder)."
     pending = chunks.join(embeddings.select("chunk_id"), "chunk_id", "left_anti").count()
     if pending:
-        return search_by_name(chunks, query, top, kind), f"Using name-based search ({pending} chunks pending embeddings). Embed them for semantic search."
+        return by_name(query, top, kind), f"Using name-based search ({pending} chunks pending embeddings). Embed them for semantic search."
     try:
         vector = cached(embed)(query)
     except Exception as e:  # noqa: BLE001  a connector's failure is no failure of the search
-        return search_by_name(chunks, query, top, kind), f"Using name-based search ({e})."
+        return by_name(query, top, kind), f"Using name-based search ({e})."
     return search_semantic(chunks, embeddings, vector, top, kind), None
 
 

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ..operators import connectors, index, search
 from ..scratch import shared_folder
-from ..sources import scan
+from ..sources import scan, schemas
 from ..streaming import changes
-from .queries import _query, table
+from .queries import _WINDOWS, _query, table, window_chunks
 
 _KINDS = (".md", ".RS", ".py", ".bin", ".json", ".toml", ".txt", "", ".rs")
 _EXTRA = {
@@ -222,3 +222,26 @@ def index_lock(spark, sf_dir):
     ix.release()
     out += [("refreshed after", bool(ix.try_refresh(root).added)), ("clean after", not (ix.folder / "dirty").exists() and ix.holder() is None)]
     return spark.createDataFrame(out, "what string, ok boolean")
+
+
+_ASKED = ("anble innd", "see doc12", "reri doc7", "rewh")
+
+
+@_query(_WINDOWS + f""", n AS (SELECT *, row_number() OVER (ORDER BY 'doc' || doc_id, part) - 1 AS id, count(*) OVER (PARTITION BY name) = 1 AS "unique" FROM chunks), a AS (SELECT unnest({list(_ASKED)}) AS q),
+ s AS (SELECT q, id AS chunk_id, name, "unique", CASE WHEN name = q THEN 10 WHEN contains(name, q) THEN 8 WHEN contains(q, name) THEN 6 ELSE 0 END
+  + list_sum(list_transform(string_split(q, ' '), lambda w: CASE WHEN contains(name, w) THEN 3 ELSE 0 END + CASE WHEN contains(lower(content), w) THEN 1 ELSE 0 END)) AS points FROM n, a)
+ SELECT q, chunk_id, name, points / 10.0::DOUBLE AS score, "unique", row_number() OVER (PARTITION BY q ORDER BY points DESC, chunk_id) AS rank FROM s WHERE points > 0 QUALIFY rank <= 10""")
+def indexed_name_search(spark, sf_dir):
+    """Searches by name in an index of all documents' windows: posting lists give the candidates."""
+    chunks = window_chunks(spark, sf_dir)
+    none = {c.split()[0]: F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in schemas.RAW.split(", ")}
+    has = {"chunk_type": F.col("chunk_type"), "name": F.col("name"), "file": F.col("name").alias("file"), "seq": F.col("part").cast("int").alias("seq"), "content": F.col("content")}
+    folder = f"{shared_folder(spark).removeprefix('file://').removeprefix('file:')}/names-{uuid.uuid4().hex}"
+    ix = index.Index(spark, folder, bucket_bytes=1 << 20)
+    ix.save(chunks=chunks.select(*[has.get(k, v) for k, v in none.items()]))
+    ix.index_names()
+    out = None
+    for q in _ASKED:
+        one = ix.search_by_name(q, 10).select(F.lit(q).alias("q"), "chunk_id", "name", "score", "unique", F.col("rank").cast("long").alias("rank"))
+        out = one if out is None else out.unionByName(one)
+    return out
