@@ -73,12 +73,15 @@ def _with_unique(best: DataFrame, among: DataFrame) -> DataFrame:
     return best.join(F.broadcast(counts), "name", "left").withColumn("unique", F.col("count") == 1).drop("count")
 
 
-def search_semantic(chunks: DataFrame, embeddings: DataFrame, vector: Sequence[float], top: int = 5, kind: str | None = None) -> DataFrame:
-    """Ranked chunks by cosine; `unique` is judged after the filter. Vectors of other lengths than the query's score 0."""
+def search_semantic(chunks: DataFrame, embeddings: DataFrame, vector: Sequence[float], top: int = 5, kind: str | None = None, among: DataFrame | None = None) -> DataFrame:
+    """Ranked chunks by cosine; `unique` is judged after the filter. Vectors of other lengths than the query's score 0.
+
+    `among`: the chunks whose names count, if `embeddings` holds candidates only; else those that have vectors.
+    """
     rows = only(chunks, chosen_type(kind)).join(embeddings.select("chunk_id", "embedding"), "chunk_id")
     q = F.array(*[F.lit(float(v)) for v in vector]) if vector else F.array().cast("array<double>")
     best = _top(rows.withColumn("score", S.cosine(F.col("embedding"), q)), "score", max(0, top) if vector else 0)
-    return _with_unique(best.drop("embedding"), rows).withColumn("preview", S.preview(F.col("content")))
+    return _with_unique(best.drop("embedding"), rows if among is None else among).withColumn("preview", S.preview(F.col("content")))
 
 
 def search(

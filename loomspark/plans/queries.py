@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import callgraph, connectors, hierarchy, index, search, summaries
+from ..operators import callgraph, connectors, hierarchy, index, pivots, search, summaries
 from ..scratch import Scratch
 from ..sources import code, docs
 from . import expected, render, samples
@@ -149,6 +149,19 @@ def semantic_topk_filtered(spark, sf_dir):
     return search.search_semantic(chunks, vectors, q, 10, "CODE").select("chunk_id", "name", F.round("score", 6).alias("score"), "rank", "unique")
 
 
+@_query(_SEMANTIC.format("true"))
+def semantic_pivots(spark, sf_dir):
+    """As `semantic_topk`, over vectors grouped by pivots."""
+    chunks, vectors, q = _vectors(spark, sf_dir)
+    return pivots.Groups(vectors).search(chunks, q, 10).select("chunk_id", "name", F.round("score", 6).alias("score"), "rank", "unique")
+
+
+@_query(_SEMANTIC.format("label < 5"))
+def semantic_pivots_filtered(spark, sf_dir):
+    chunks, vectors, q = _vectors(spark, sf_dir)
+    return pivots.Groups(vectors).search(chunks, q, 10, "CODE").select("chunk_id", "name", F.round("score", 6).alias("score"), "rank", "unique")
+
+
 @_query(_PARTS + """ SELECT chunk_id, count(*) OVER (PARTITION BY name) AS n_same, count(*) OVER (PARTITION BY name) = 1 AS "unique" FROM chunks""")
 def name_uniqueness(spark, sf_dir):
     return search.uniqueness(part_chunks(spark, sf_dir).select("chunk_id", "name")).select("chunk_id", "n_same", "unique")
