@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from .operators import hierarchy, search, summaries
+from .operators.clients import EmbeddingClient, SummaryClient
 from .operators.connectors import FirstSentence, HashEmbedder
 from .operators.index import Index
 from .plans.render import BUDGET, Map
@@ -55,6 +56,11 @@ def parser() -> argparse.ArgumentParser:
     s = sub.add_parser("deps", help="what a symbol calls, and what mentions it")
     s.add_argument("symbol")
     s.add_argument("--direction", choices=("both", "calls", "called_by"), default="both")
+    for name in ("search", "embed", "summarize"):
+        s = sub.choices[name]
+        s.add_argument("--service", default=None, help="address of a service; without, vectors are hashed features and summaries first sentences")
+        s.add_argument("--model", default="", help="the service's model")
+        s.add_argument("--key-variable", default=None, help="the environment variable that holds its key")
     s = sub.add_parser("outline", help="sections or symbols of a file")
     s.add_argument("file")
     return p
@@ -69,6 +75,11 @@ def _log(folder: Path) -> logging.Logger:
     return log
 
 
+def _embedder(a: argparse.Namespace, dim: int):
+    """The service that is asked for, under the limits that it names; else the default."""
+    return EmbeddingClient(a.service, a.model, dim, key_variable=a.key_variable).probed() if a.service else HashEmbedder(dim)
+
+
 def _rows(df, *drop: str) -> list[dict]:
     return [{k: v for k, v in json.loads(x).items() if k not in drop} for x in df.toJSON().collect()]
 
@@ -97,7 +108,8 @@ def main(args: list[str] | None = None, out=sys.stdout) -> int:
     elif a.command == "search":
         kind = a.filter or search.type_of_flags(a.code_only, a.docs_only)
         held = index.embeddings.select(F.size("embedding").alias("n")).first()
-        embed = HashEmbedder(held.n).one if held else None
+        known = a.service or index.store.manifest().model in ("", HashEmbedder.__name__)  # vectors of a service are no hashed features
+        embed = _embedder(a, held.n).one if held and known else None
         found, suggestion = search.search(chunks, a.query, a.top, kind, index.embeddings, embed, index.search_by_name)
         say({"results": _rows(found.select("rank", "chunk_type", "name", "kind", "file", "line_start", "line_end", "score", "preview", "context", "unique").orderBy("rank")), "suggestion": suggestion})
     elif a.command == "lookup":
@@ -105,7 +117,7 @@ def main(args: list[str] | None = None, out=sys.stdout) -> int:
     elif a.command == "status":
         say(index.status() | index.report(root, HashEmbedder().one).first().asDict())
     elif a.command == "embed":
-        say({"embedded": index.embed(HashEmbedder(a.dim), a.batch_size), "pending": index.pending()})
+        say({"embedded": index.embed(_embedder(a, a.dim), a.batch_size), "pending": index.pending()})
     elif a.command == "map":
         if not chunks.where("chunk_type = 'code'").take(1):
             print("// The index has no symbols", file=out)
@@ -118,10 +130,11 @@ def main(args: list[str] | None = None, out=sys.stdout) -> int:
             say(summaries.dry_run(chunks, a.batch_size))
         else:
             cache = index.table("summaries")
-            cache, stats = summaries.generate_functions(chunks, cache.limit(0) if a.force else cache, FirstSentence(), a.batch_size)
+            summarizer = SummaryClient(a.service, a.model, a.key_variable) if a.service else FirstSentence()
+            cache, stats = summaries.generate_functions(chunks, cache.limit(0) if a.force else cache, summarizer, a.batch_size)
             symbols = hierarchy.symbols(chunks)
             for wanted in (summaries.wanted_entries(symbols), summaries.wanted_trees(symbols)):
-                cache = summaries.generate(wanted if a.area is None else summaries.in_area(wanted, a.area), cache, FirstSentence(), a.batch_size)
+                cache = summaries.generate(wanted if a.area is None else summaries.in_area(wanted, a.area), cache, summarizer, a.batch_size)
             index.save(summaries=cache)
             say(stats)
     elif a.command == "deps":

@@ -93,6 +93,14 @@ def batch_size(concurrent: int) -> int:
     return max(500, min(2000, concurrent * 20))
 
 
+def dealt(rows, service):
+    """(rows, service): over as many tasks as a service takes requests at a time, each with its share of the rate; as they are, if there is no service."""
+    if not hasattr(service, "shared"):
+        return rows, service
+    tasks = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, service.limits.concurrent))
+    return rows.repartition(tasks), service.shared(tasks)
+
+
 def function_prompt(batch: Sequence[dict]) -> str:
     """Numbered functions with their sizes, what is known of their callees, and their bodies, cut."""
     parts = []

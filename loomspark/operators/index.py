@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..scratch import Scratch
 from ..sources import code, docs, scan, schemas
-from . import buckets, hierarchy, names, search
+from . import buckets, connectors, hierarchy, names, search
 
 _BUCKETED = {"files": (schemas.FILES, ("path",)), "chunks": (schemas.RAW, ("file", "seq")), "vectors": ("file string, seq int, embedding array<float>", ("file", "seq"))}
 _WHOLE = {"summaries": schemas.SUMMARIES}
@@ -211,11 +211,11 @@ class Index:
             raise ValueError("batch_size has to be positive")
         text = S.embedding_text(F.col("chunk_type"), F.col("kind"), F.col("name"), F.col("content"))
 
-        def run(frames):
+        def run(frames, client):
             for pdf in frames:
                 out = []
                 for i in range(0, len(pdf), batch_size):
-                    out += embedder(list(pdf["text"].iloc[i : i + batch_size]))
+                    out += client(list(pdf["text"].iloc[i : i + batch_size]))
                 yield pdf[["file", "seq"]].assign(embedding=out)
 
         n = self.pending()
@@ -225,7 +225,8 @@ class Index:
             lacking = [b for b in now.buckets if b.rows.get("chunks", 0) > b.rows.get("vectors", 0)]
             todo = self.store.read("chunks", lacking).join(self.store.read("vectors", lacking).select("file", "seq"), ["file", "seq"], "left_anti")
             todo = todo.where(F.pmod(F.xxhash64("file", "seq"), F.lit(rounds)) == r)
-            made = todo.select("file", "seq", text.alias("text")).mapInPandas(run, _BUCKETED["vectors"][0])
+            todo, client = connectors.dealt(todo.select("file", "seq", text.alias("text")), embedder)
+            made = todo.mapInPandas(lambda frames, client=client: run(frames, client), _BUCKETED["vectors"][0])
             self.store.write("vectors", made, now.buckets, lacking, v, append=True)
             now.model = getattr(embedder, "name", type(embedder).__name__)
             self.store.commit(now)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..scratch import Scratch
 from . import callgraph, hierarchy
-from .connectors import SUMMARY_BATCH
+from .connectors import SUMMARY_BATCH, dealt
 
 SCHEMA = "key string, body_hash string, context_hash string, summary string"
 
@@ -81,7 +81,7 @@ def in_area(wanted: DataFrame, area: str) -> DataFrame:
 
 def generate(wanted: DataFrame, cache: DataFrame, summarizer, size: int = SUMMARY_BATCH) -> DataFrame:
     """The cache with summaries of all that is wanted; only misses are asked for, in batches, in parallel."""
-    todo = misses(wanted, cache)
+    todo, summarizer = dealt(misses(wanted, cache), summarizer)
 
     def run(frames):
         import pandas as pd
@@ -106,6 +106,7 @@ def generate_functions(chunks: DataFrame, cache: DataFrame, summarizer, size: in
     bodies = scratch.cut(f.groupBy("name").agg(F.max_by("content", "chunk_id").alias("body")), "bodies")
     depth = (order.agg(F.max("level")).first()[0] or 0) + 1 if order.take(1) else 0
     known = chunks.sparkSession.createDataFrame([], "name string, summary string")
+    service = dealt(bodies, summarizer)[1]
     stats = {"total_functions": bodies.count(), "levels": depth, "cached": 0, "generated": 0}
 
     def run(frames):
@@ -116,7 +117,7 @@ def generate_functions(chunks: DataFrame, cache: DataFrame, summarizer, size: in
             for i in range(0, len(pdf), size):
                 part = pdf.iloc[i : i + size]
                 batch = [{"name": n, "body": b, "calls": dict(c or {})} for n, b, c in zip(part["key"], part["body"], part["calls"])]
-                got = dict(summarizer.functions(batch))
+                got = dict(service.functions(batch))
                 out += [(k, b, c, got[k]) for k, b, c in zip(part["key"], part["body_hash"], part["context_hash"]) if k in got]
             yield pd.DataFrame(out, columns=["key", "body_hash", "context_hash", "summary"])
 
@@ -129,7 +130,7 @@ def generate_functions(chunks: DataFrame, cache: DataFrame, summarizer, size: in
         )
         now = scratch.cut(now, f"now{level}")
         had = scratch.cut(hits(now, cache).select("key", "body_hash", "context_hash", "summary"), f"had{level}")
-        new = scratch.cut(misses(now, cache).mapInPandas(run, SCHEMA), f"new{level}")
+        new = scratch.cut(dealt(misses(now, cache), summarizer)[0].mapInPandas(run, SCHEMA), f"new{level}")
         stats["cached"] += had.count()
         stats["generated"] += new.count()
         cache = scratch.cut(upsert(cache, new), f"cache{level}")
