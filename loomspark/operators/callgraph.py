@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-
-#: Names that are searched for together, at most: what is broadcast is bounded by it.
-NAMES = 100_000
-
+from .containment import contained
 
 #: Functions of at most so many open calls are gone over, as long as there are at most GROWTH times the calls that there were.
 FEW, GROWTH = 4, 3
@@ -19,37 +16,6 @@ def functions(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("kind").isin("function", "method") & (F.col("chunk_type") == "code")).select("chunk_id", "name", "content")
 
 
-def contained(rows: DataFrame, needles: DataFrame, text: str, needle: str, block: int = NAMES) -> DataFrame:
-    """Rows of `rows` with `needle`: once for each distinct needle that is a substring of `text`.
-
-    Exact containment: one automaton for a block of needles scans each text once, so the work is
-    the texts' length, not texts times needles. More needles than `block` take several scans.
-    """
-    import ahocorasick
-
-    spark = rows.sparkSession
-    names = needles.where(F.col(needle).isNotNull() & (F.col(needle) != "")).select(needle).distinct()
-    blocks = max(1, -(-names.count() // max(1, block // 2)))
-    schema = rows.withColumn(needle, F.lit("")).schema
-    out = spark.createDataFrame([], schema)
-    for b in range(blocks):
-        words = [r[0] for r in names.where(F.pmod(F.xxhash64(needle), F.lit(blocks)) == b).collect()]
-        held = spark.sparkContext.broadcast(words)
-
-        def run(frames, held=held):
-            machine = ahocorasick.Automaton()
-            for w in held.value:
-                machine.add_word(w, w)
-            machine.make_automaton()
-            for pdf in frames:
-                pdf[needle] = [sorted({w for _, w in machine.iter(t)}) if t and len(machine) else [] for t in pdf[text]]
-                pdf = pdf[pdf[needle].map(len) > 0].explode(needle)
-                yield pdf[[f.name for f in schema]]
-
-        out = out.unionByName(rows.mapInPandas(run, schema))
-    return out
-
-
 def edges(chunks: DataFrame) -> DataFrame:
     """caller, callee, n: how many other functions of the callee's name the caller's bodies mention."""
     f = functions(chunks)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import callgraph, connectors, hierarchy, index, pivots, search, summaries
+from ..operators import callgraph, connectors, containment, hierarchy, index, pivots, search, summaries
 from ..scratch import Scratch
 from ..sources import code, docs
 from . import expected, render, samples
@@ -549,7 +549,7 @@ def embed_documents(spark, sf_dir):
 @_query("SELECT doc_id, b.text AS needle FROM documents d, (SELECT DISTINCT text FROM benchmark) b WHERE contains(d.text, b.text)")
 def contains_edges(spark, sf_dir):
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return callgraph.contained(d.select("doc_id", "text"), b.select(F.col("text").alias("needle")), "text", "needle").select("doc_id", "needle")
+    return containment.contained(d.select("doc_id", "text"), b.select(F.col("text").alias("needle")), "text", "needle").select("doc_id", "needle")
 
 
 def _calls(spark, sf_dir, cycle: bool = False):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark import cli
-from loomspark.operators import callgraph, connectors, hierarchy, search, summaries
+from loomspark.operators import callgraph, connectors, containment, hierarchy, search, summaries
 from loomspark.operators.index import Index
 from loomspark.plans import render, samples
 from loomspark.sources import code, schemas
@@ -188,8 +188,8 @@ def test_edges_are_substrings(spark):
     df = frame(spark, [chunk(1, "get", content="fn get() { }"), chunk(2, "get_name", content="fn get_name() { get() }"), chunk(3, "get", content="other get"), chunk(4, "", content="get_name")])
     got = {(r.caller, r.callee): r.n for r in callgraph.edges(df).collect()}
     assert got == {("get", "get"): 2, ("get_name", "get"): 2, ("", "get"): 2, ("", "get_name"): 1}
-    blocks = callgraph.contained(df.select("chunk_id", "content"), df, "content", "name", block=2)
-    assert {(r.chunk_id, r.name) for r in blocks.collect()} == {(1, "get"), (2, "get"), (2, "get_name"), (3, "get"), (4, "get"), (4, "get_name")}
+    held = containment.contained(df.select("chunk_id", "content"), df, "content", "name")
+    assert {(r.chunk_id, r.name) for r in held.collect()} == {(1, "get"), (2, "get"), (2, "get_name"), (3, "get"), (4, "get"), (4, "get_name")}
     assert {(r.caller, r.callee) for r in callgraph.token_edges(df).collect()} == {("get_name", "get"), ("", "get_name")}
 
 
