@@ -91,13 +91,17 @@ def _bits(grams: DataFrame, slots: int) -> Bits:
     return Bits(((r["width"], r["bucket"], r["bits"]) for r in made.collect()), slots)
 
 
-def _named_grams(frames):
+def _told(numbers, grams: list[np.ndarray], name: str):
+    """Frames of a number or a hash with each of its grams."""
     import pandas as pd
 
+    return pd.DataFrame({name: np.repeat(np.array(numbers, dtype=np.int64), [len(g) for g in grams]), "gram": np.concatenate([np.zeros(0, dtype=np.int64), *grams])})
+
+
+def _named_grams(frames):
     for pdf in frames:
-        for n, text in zip(pdf["id"], pdf["needle"]):
-            grams = needle_grams(text)
-            yield pd.DataFrame({"id": np.full(len(grams), n), "width": np.full(len(grams), width(text), dtype=np.int32), "gram": grams})
+        grams, widths = [needle_grams(t) for t in pdf["needle"]], [width(t) for t in pdf["needle"]]
+        yield _told(pdf["id"], grams, "id").assign(width=np.repeat(np.array(widths, dtype=np.int32), [len(g) for g in grams]))[["id", "width", "gram"]]
 
 
 def _counted(rows: DataFrame, text: str, bits: Bits, block: int) -> DataFrame:
@@ -120,14 +124,9 @@ def _met(rows: DataFrame, text: str, bits: Bits, block: int) -> DataFrame:
     held = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(frames):
-        import pandas as pd
-
         test = held.value.tester(block)
         for pdf in frames:
-            for of, t in zip(pdf["_of"], pdf[text]):
-                grams = test(t) if t else ()
-                if len(grams):
-                    yield pd.DataFrame({"_of": np.full(len(grams), of), "gram": grams})
+            yield _told(pdf["_of"], [test(t) if t else np.zeros(0, dtype=np.int64) for t in pdf[text]], "_of")
 
     return rows.select(F.xxhash64(text).alias("_of"), text).mapInPandas(run, "_of long, gram long")
 
