@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
@@ -12,8 +12,12 @@ from .containment import contained
 FEW, GROWTH = 4, 3
 
 
+def is_function() -> Column:
+    return F.col("kind").isin("function", "method") & (F.col("chunk_type") == "code")
+
+
 def functions(chunks: DataFrame) -> DataFrame:
-    return chunks.where(F.col("kind").isin("function", "method") & (F.col("chunk_type") == "code")).select("chunk_id", "name", "content")
+    return chunks.where(is_function()).select("chunk_id", "name", "content")
 
 
 def edges(chunks: DataFrame) -> DataFrame:
@@ -38,16 +42,15 @@ def _trimmed(scratch: Scratch, calls: DataFrame, name: str) -> DataFrame:
 
     Each round takes a layer off either end; deeper graphs are left to what follows.
     """
-    left = scratch.cut(calls, f"{name}0")
-    n = left.count()
+    left, n = scratch.counted(calls, f"{name}0")
     for step in range(1, 2 * n.bit_length() + 4):
         if not n:
             break
         kept = left.join(left.select(F.col("caller").alias("callee")).distinct(), "callee", "left_semi")
         kept = kept.join(left.select(F.col("callee").alias("caller")).distinct(), "caller", "left_semi")
-        left, before = scratch.cut(kept.select("caller", "callee"), f"{name}{step}"), n
+        before = n
+        left, n = scratch.counted(kept.select("caller", "callee"), f"{name}{step}")
         scratch.drop(f"{name}{step - 1}")
-        n = left.count()
         if n == before:
             break
     return left
@@ -75,11 +78,11 @@ def _least(scratch: Scratch, calls: DataFrame, seed: int, name: str) -> DataFram
         told = left.join(state.select(F.col("name").alias("callee"), F.col("least").alias("said")), "callee")
         said = told.groupBy(F.col("caller").alias("name")).agg(F.min("said").alias("said"))
         state = state.join(said, "name", "left").select("name", F.least("least", "said").alias("least"), (F.col("said") < F.col("least")).alias("new"))
-        state = scratch.cut(state, f"{name}s{step + 1}")
-        if not state.where("new").take(1):
+        state, seen = scratch.observed(state, f"{name}s{step + 1}", new=F.count_if("new"))
+        if not seen["new"]:
             return state.select("name", "least")
-        left, step = scratch.cut(_gone_over(left, left, FEW if n <= most else 1).where("caller <> callee").distinct(), f"{name}c{step}"), step + 1
-        n = left.count()
+        left, n = scratch.counted(_gone_over(left, left, FEW if n <= most else 1).where("caller <> callee").distinct(), f"{name}c{step}")
+        step += 1
 
 
 def cyclic(scratch: Scratch, calls: DataFrame) -> DataFrame:

@@ -148,19 +148,19 @@ class Index:
         """Brings the index to the state of a tree. Contents are read, once, of new files and of those with another time only; buckets without such files stay."""
         scratch, before = Scratch(self.spark, "refresh"), self.files
         found = scratch.cut(scan.listing(self.spark, root), "listing")
-        status = scratch.cut(compared(found, before), "status")
-        counts = {r.status: r.n for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
-        if not (counts.get("added") or counts.get("removed") or counts.get("stale")):
+        kinds = {kind: F.count_if(F.col("status") == kind) for kind in ("added", "removed", "stale")}
+        status, counts = scratch.observed(compared(found, before), "status", **kinds)
+        if not any(counts.values()):
             scratch.drop("listing", "status")
             return Changes(pending=self.pending())
         fresh = scan.texts(scan.read(found.join(status.where(F.col("status").isin("added", "stale")), "path"), root)).drop("content")
         fresh = fresh.join(before.select("path", F.col("hash").alias("old_hash")), "path", "left")
-        fresh = scratch.cut(fresh.withColumn("same", F.col("hash").eqNullSafe(F.col("old_hash"))), "fresh")
-        updated = fresh.where("status = 'stale' AND NOT same").count()
+        fresh = fresh.withColumn("same", F.col("hash").eqNullSafe(F.col("old_hash")))
+        fresh, seen = scratch.observed(fresh, "fresh", updated=F.count_if(F.expr("status = 'stale' AND NOT same")))
         removed = status.where("status = 'removed'").select("path", F.lit(False).alias("same"))
         self._write(scratch, fresh, fresh.select("path", "same").unionByName(removed))
         scratch.drop("listing", "status", "fresh", "touched")
-        return Changes(counts.get("added", 0), updated, counts.get("removed", 0), self.pending())
+        return Changes(counts["added"], seen["updated"], counts["removed"], self.pending())
 
     def _write(self, scratch: Scratch, fresh: DataFrame, paths: DataFrame) -> None:
         """Writes the buckets of `paths` anew: of those with another content all tables, of the others their files' times."""
@@ -234,7 +234,8 @@ class Index:
 
     def status(self) -> dict:
         row = hierarchy.status(self.chunks, self.embeddings).first().asDict()
-        return row | {"n_indexed_files": self.files.count(), "n_errors": self.files.where("error is not null").count(), "version": schemas.VERSION, "locked": self.holder() is not None}
+        files = self.files.agg(F.count("*").alias("n_indexed_files"), F.count("error").alias("n_errors")).first().asDict()
+        return row | files | {"version": schemas.VERSION, "locked": self.holder() is not None}
 
     def report(self, root: str = "", embed=None) -> DataFrame:
         """One row of all that is known of the index: `embed` is the embedder of queries, if there is one."""

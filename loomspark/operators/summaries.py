@@ -97,17 +97,22 @@ def generate(wanted: DataFrame, cache: DataFrame, summarizer, size: int = SUMMAR
     return upsert(cache, todo.mapInPandas(run, SCHEMA))
 
 
+def _functions(chunks: DataFrame) -> DataFrame:
+    """What the call graph reads of chunks: they are read once for it."""
+    return chunks.where(callgraph.is_function()).select("chunk_id", "chunk_type", "kind", "name", "content")
+
+
 def generate_functions(chunks: DataFrame, cache: DataFrame, summarizer, size: int = SUMMARY_BATCH) -> tuple[DataFrame, dict]:
     """Function summaries, callees first: a function's context is the hash of what its callees' summaries say."""
     scratch = Scratch(chunks.sparkSession, "summaries")
-    f = callgraph.functions(chunks)
-    calls = scratch.cut(callgraph.edges(chunks).select("caller", "callee"), "calls")
-    order = scratch.cut(callgraph.levels(f, calls), "levels")
-    bodies = scratch.cut(f.groupBy("name").agg(F.max_by("content", "chunk_id").alias("body")), "bodies")
-    depth = (order.agg(F.max("level")).first()[0] or 0) + 1 if order.take(1) else 0
+    f = scratch.cut(_functions(chunks), "functions")
+    calls = scratch.cut(callgraph.edges(f).select("caller", "callee"), "calls")
+    order, seen = scratch.observed(callgraph.levels(f, calls), "levels", highest=F.max("level"))
+    bodies, n = scratch.counted(f.groupBy("name").agg(F.max_by("content", "chunk_id").alias("body")), "bodies")
+    depth = 0 if seen["highest"] is None else seen["highest"] + 1
     known = chunks.sparkSession.createDataFrame([], "name string, summary string")
     service = dealt(bodies, summarizer)[1]
-    stats = {"total_functions": bodies.count(), "levels": depth, "cached": 0, "generated": 0}
+    stats = {"total_functions": n, "levels": depth, "cached": 0, "generated": 0}
 
     def run(frames):
         import pandas as pd
@@ -129,10 +134,10 @@ def generate_functions(chunks: DataFrame, cache: DataFrame, summarizer, size: in
             F.col("name").alias("key"), F.sha2("body", 256).alias("body_hash"), F.sha2(F.array_join(F.coalesce("said", F.array().cast("array<string>")), "|"), 256).alias("context_hash"), "body", "calls"
         )
         now = scratch.cut(now, f"now{level}")
-        had = scratch.cut(hits(now, cache).select("key", "body_hash", "context_hash", "summary"), f"had{level}")
-        new = scratch.cut(dealt(misses(now, cache), summarizer)[0].mapInPandas(run, SCHEMA), f"new{level}")
-        stats["cached"] += had.count()
-        stats["generated"] += new.count()
+        had, cached = scratch.counted(hits(now, cache).select("key", "body_hash", "context_hash", "summary"), f"had{level}")
+        new, generated = scratch.counted(dealt(misses(now, cache), summarizer)[0].mapInPandas(run, SCHEMA), f"new{level}")
+        stats["cached"] += cached
+        stats["generated"] += generated
         cache = scratch.cut(upsert(cache, new), f"cache{level}")
         known = scratch.cut(known.unionByName(had.unionByName(new).select(F.col("key").alias("name"), "summary")), f"known{level}")
     return cache, stats
@@ -140,7 +145,6 @@ def generate_functions(chunks: DataFrame, cache: DataFrame, summarizer, size: in
 
 def dry_run(chunks: DataFrame, size: int = SUMMARY_BATCH) -> dict:
     """Counts only; here, functions are chunks and not names."""
-    f = callgraph.functions(chunks)
-    n = f.count()
-    depth = callgraph.levels(f, callgraph.edges(chunks)).agg(F.max("level")).first()[0]
+    f, n = Scratch(chunks.sparkSession, "dry-run").counted(_functions(chunks), "functions")
+    depth = callgraph.levels(f, callgraph.edges(f)).agg(F.max("level")).first()[0]
     return {"total_functions": n, "levels": 0 if depth is None else depth + 1, "api_calls": -(-n // size)}

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -58,6 +58,20 @@ class Scratch:
             (df.write.partitionBy(by) if by else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def observed(self, df: DataFrame, name: str, **what: Column) -> tuple[DataFrame, dict]:
+        """`df` as a table, and aggregates of its rows that are taken while it is written: no second scan, no second job.
+
+        They are taken in the tasks that write, of which each counts once, so that a task that is run again adds nothing.
+        """
+        seen = Observation()
+        table = self.cut(df.observe(seen, *[c.alias(n) for n, c in what.items()]), name)
+        return table, seen.get
+
+    def counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """`df` as a table, and the number of its rows."""
+        table, seen = self.observed(df, name, n=F.count("*"))
+        return table, seen["n"]
+
     def drop(self, *names: str) -> None:
         """Removes tables that nothing reads any more."""
         jvm = self.spark._jvm
