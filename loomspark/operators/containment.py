@@ -23,6 +23,8 @@ WIDTHS = (1, 2, 3, 6, 12)
 SLOTS = 1 << 24
 #: Characters of a text that are hashed at once.
 BLOCK = 1 << 18
+#: Bytes of candidates that are broadcast to the texts; more of them meet the texts in a shuffle.
+HELD = 32 << 20
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -131,11 +133,11 @@ def _met(rows: DataFrame, text: str, bits: Bits, block: int) -> DataFrame:
     return rows.select(F.xxhash64(text).alias("_of"), text).mapInPandas(run, "_of long, gram long")
 
 
-def contained(rows: DataFrame, needles: DataFrame, text: str, needle: str, slots: int = SLOTS, block: int = BLOCK) -> DataFrame:
+def contained(rows: DataFrame, needles: DataFrame, text: str, needle: str, slots: int = SLOTS, block: int = BLOCK, held: int = HELD) -> DataFrame:
     """Rows of `rows` with `needle`: once for each distinct needle that is a substring of `text`.
 
-    A needle of which some gram is in no text is done with after the count. Candidates carry hashes and numbers; a text is
-    shuffled once, to meet those that are left, and copies of a text share theirs.
+    A needle of which some gram is in no text is done with after the count. Candidates carry hashes and numbers, and copies of
+    a text share theirs. Texts stay where they are if candidates take at most `held` bytes, counted as they are written; else texts are shuffled, once.
     """
     scratch, rows = Scratch(rows.sparkSession, "containment"), rows.drop(needle)
     names = needles.where(F.col(needle) != "").select(F.col(needle).alias("needle")).distinct().withColumn("id", F.monotonically_increasing_id())
@@ -147,6 +149,9 @@ def contained(rows: DataFrame, needles: DataFrame, text: str, needle: str, slots
     keys = scratch.cut(keys.where("least > 0").drop("least"), "keys")
     found = _met(rows, text, _bits(keys, slots), block).join(keys, "gram").select("_of", "id").distinct()
     found = found.join(names, "id").select("_of", F.col("needle").alias("_needle"))
+    size = F.coalesce(F.sum(F.octet_length("_needle") + 64), F.lit(0))
+    found, seen = scratch.observed(found, "found", size=size)
+    found = F.broadcast(found) if seen["size"] <= held else found.hint("merge")
     at = F.xxhash64(text) == F.col("_of")
     out = rows.join(found, at & F.contains(F.col(text), F.col("_needle")))
     return out.select(*rows.columns, F.col("_needle").alias(needle))

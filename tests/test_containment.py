@@ -31,6 +31,7 @@ def test_equals_plain_search(spark):
     assert got(spark, rows, needles) == want
     # a full bitmap leaves nothing out, and texts are hashed in pieces: same rows
     assert got(spark, rows, needles, slots=1 << 8, block=16) == want
+    assert got(spark, rows, needles, held=0) == want
 
 
 def test_every_width_and_its_neighbours(spark):
@@ -67,10 +68,11 @@ def test_empty_tables_and_columns(spark):
     assert [tuple(r) for r in contained(clash, names, "text", "name").collect()] == [(1, "find me", 1, 2, 3, 4, "me")]
 
 
-def test_texts_are_shuffled_once(spark):
-    """The plan moves a text to its candidates and nowhere else."""
+def test_how_texts_meet_candidates(spark):
+    """Few candidates are broadcast, by their counted size; texts are shuffled, once, for more."""
     rows, needles = samples(50, 9, "abcd")
-    df = spark.createDataFrame(rows, "i int, text string")
-    out = contained(df, spark.createDataFrame([(n,) for n in needles], "name string"), "text", "name")
-    plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("MapInPandas") == 1 and "Contains" in plan
+    df, names = spark.createDataFrame(rows, "i int, text string"), spark.createDataFrame([(n,) for n in needles], "name string")
+    plan = lambda **sizes: contained(df, names, "text", "name", **sizes)._jdf.queryExecution().executedPlan().toString()
+    few, many = plan(), plan(held=0)
+    assert "BroadcastHashJoin" in few and "hashpartitioning" not in few
+    assert "SortMergeJoin" in many and many.count("hashpartitioning") == 2 and "Broadcast" not in many
