@@ -1,7 +1,7 @@
 """Containment joins by rare grams: which texts hold which needles as a substring, for any number of needles.
 
 Every needle is looked for by one gram of it, the one that the fewest texts hold, in an equi-join; what meets there is tested
-by the text itself. Grams are hashes of windows of 1, 2, 3, 6 or 12 characters, of the widest kind that a needle has. A clash of
+by the text itself. Grams are hashes of windows of 1 to 6 or 12 characters, of the widest kind that a needle has. A clash of
 hashes adds candidates and loses none. Texts are read three times, however many needles there are: to count
 grams, to join on them, and to test candidates. What is broadcast is a bitmap of fixed size.
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
-WIDTHS = (1, 2, 3, 6, 12)
+WIDTHS = (1, 2, 3, 4, 5, 6, 12)
 #: Bits of the bitmap that leaves grams of no needle out; a full one leaves all in, and results are the same.
 SLOTS = 1 << 24
 #: Characters of a text that are hashed at once.
@@ -40,17 +40,25 @@ def _windows(codes: np.ndarray) -> dict[int, np.ndarray]:
     two = _mixed(one[:-1], one[1:])
     three = _mixed(two[:-1], one[2:])
     six = _mixed(three[:-3], three[3:])
-    return dict(zip(WIDTHS, (one, two, three, six, _mixed(six[:-6], six[6:]))))
+    return dict(zip(WIDTHS, (one, two, three, _mixed(two[:-2], two[2:]), _mixed(three[:-2], two[3:]), six, _mixed(six[:-6], six[6:]))))
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
 
 
-def _blocks(text: str, block: int) -> Iterator[dict[int, np.ndarray]]:
-    codes = _codes(text)
-    for i in range(0, len(codes), block):
-        yield _windows(codes[i : i + block + WIDTHS[-1] - 1])
+def _blocks(texts: list[str], block: int) -> Iterator[tuple[np.ndarray, dict[int, np.ndarray]]]:
+    """Each character's text and the windows, over short texts together and long ones in pieces; windows go on into the next text."""
+    first, size = 0, 0
+    for n, text in enumerate(texts):
+        size += len(text)
+        if size >= block or n == len(texts) - 1:
+            part = texts[first : n + 1]
+            codes, of = _codes("".join(part)), np.repeat(np.arange(first, n + 1), [len(t) for t in part])
+            for i in range(0, len(codes), block):
+                end = i + block + WIDTHS[-1] - 1
+                yield of[i:end], _windows(codes[i:end])
+            first, size = n + 1, 0
 
 
 def width(needle: str) -> int:
@@ -73,17 +81,32 @@ class Bits:
             self.widths.add(w)
             self.packed[(bucket - 1) * size : bucket * size] |= np.frombuffer(bitmap, dtype=np.uint8)[:size]
 
-    def tester(self, block: int):
-        """A function of a text: its distinct grams that pass."""
+    def teller(self, block: int):
+        """A function of texts: the numbers of texts and their distinct grams that pass, sorted."""
         on, mask, widths = np.unpackbits(self.packed, bitorder="little").view(bool), np.uint64(self.slots - 1), sorted(self.widths)
 
-        def test(text: str) -> np.ndarray:
-            found = [np.zeros(0, dtype=np.uint64)]
-            for windows in _blocks(text, block):
-                found += [g[on[(g & mask).astype(np.int64)]] for g in (windows[w] for w in widths)]
-            return np.unique(np.concatenate(found)).view(np.int64)
+        def tell(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            owners, found = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+            for of, windows in _blocks(texts, block):
+                for w in widths:
+                    g = windows[w]
+                    at = np.flatnonzero(on[(g & mask).astype(np.int64)])
+                    at = at[of[at] == of[at + w - 1]]  # inside of one text
+                    owners.append(of[at])
+                    found.append(g[at])
+            owner, gram = np.concatenate(owners), np.concatenate(found)
+            order = np.lexsort((gram, owner))
+            owner, gram = owner[order], gram[order]
+            new = np.ones(len(gram), dtype=bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1])
+            return owner[new], gram[new].view(np.int64)
+
+        return tell
 
-        return test
+    def tester(self, block: int):
+        """A function of a text: its distinct grams that pass."""
+        tell = self.teller(block)
+        return lambda text: tell([text])[1]
 
 
 def _bits(grams: DataFrame, slots: int) -> Bits:
@@ -93,17 +116,23 @@ def _bits(grams: DataFrame, slots: int) -> Bits:
     return Bits(((r["width"], r["bucket"], r["bits"]) for r in made.collect()), slots)
 
 
-def _told(numbers, grams: list[np.ndarray], name: str):
-    """Frames of a number or a hash with each of its grams."""
-    import pandas as pd
+def _named_grams(block: int):
+    """Frames of a needle's number, its width and each of its grams."""
 
-    return pd.DataFrame({name: np.repeat(np.array(numbers, dtype=np.int64), [len(g) for g in grams]), "gram": np.concatenate([np.zeros(0, dtype=np.int64), *grams])})
+    def run(frames):
+        import pandas as pd
 
+        for pdf in frames:
+            texts, ids = list(pdf["needle"]), pdf["id"].to_numpy()
+            widths = np.array([width(t) for t in texts], dtype=np.int32)
+            for of, windows in _blocks(texts, block):
+                for w in set(widths[of].tolist()):
+                    at = np.arange(max(0, len(of) - w + 1))
+                    at = at[(of[at] == of[at + w - 1]) & (widths[of[at]] == w)]
+                    rows = pd.DataFrame({"id": ids[of[at]], "width": np.int32(w), "gram": windows[w][at].view(np.int64)})
+                    yield rows.drop_duplicates()
 
-def _named_grams(frames):
-    for pdf in frames:
-        grams, widths = [needle_grams(t) for t in pdf["needle"]], [width(t) for t in pdf["needle"]]
-        yield _told(pdf["id"], grams, "id").assign(width=np.repeat(np.array(widths, dtype=np.int32), [len(g) for g in grams]))[["id", "width", "gram"]]
+    return run
 
 
 def _counted(rows: DataFrame, text: str, bits: Bits, block: int) -> DataFrame:
@@ -113,9 +142,9 @@ def _counted(rows: DataFrame, text: str, bits: Bits, block: int) -> DataFrame:
     def run(frames):
         import pandas as pd
 
-        test = held.value.tester(block)
+        tell = held.value.teller(block)
         for pdf in frames:
-            grams, n = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *(test(t) for t in pdf[text] if t)]), return_counts=True)
+            grams, n = np.unique(tell([t or "" for t in pdf[text]])[1], return_counts=True)
             yield pd.DataFrame({"gram": grams, "n": n})
 
     return rows.select(text).mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -126,9 +155,12 @@ def _met(rows: DataFrame, text: str, bits: Bits, block: int) -> DataFrame:
     held = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(frames):
-        test = held.value.tester(block)
+        import pandas as pd
+
+        tell = held.value.teller(block)
         for pdf in frames:
-            yield _told(pdf["_of"], [test(t) if t else np.zeros(0, dtype=np.int64) for t in pdf[text]], "_of")
+            owner, grams = tell([t or "" for t in pdf[text]])
+            yield pd.DataFrame({"_of": pdf["_of"].to_numpy()[owner], "gram": grams})
 
     return rows.select(F.xxhash64(text).alias("_of"), text).mapInPandas(run, "_of long, gram long")
 
@@ -142,7 +174,7 @@ def contained(rows: DataFrame, needles: DataFrame, text: str, needle: str, slots
     scratch, rows = Scratch(rows.sparkSession, "containment"), rows.drop(needle)
     names = needles.where(F.col(needle) != "").select(F.col(needle).alias("needle")).distinct().withColumn("id", F.monotonically_increasing_id())
     names = scratch.cut(names, "names")
-    wanted = scratch.cut(names.mapInPandas(_named_grams, "id long, width int, gram long"), "grams")
+    wanted = scratch.cut(names.mapInPandas(_named_grams(block), "id long, width int, gram long"), "grams")
     counts = _counted(rows, text, _bits(wanted, slots), block)
     n = F.coalesce("n", F.lit(0))
     keys = wanted.join(counts, "gram", "left").groupBy("id", "width").agg(F.min_by("gram", F.struct(n, "gram")).alias("gram"), F.min(n).alias("least"))

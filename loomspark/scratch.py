@@ -43,12 +43,31 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: Bytes of a file, or of a shuffle, of which Spark makes a broadcast by itself: rows of a few bytes take twenty times as much in the driver.
+BROADCAST = 1 << 20
+
+
+def small_broadcasts(spark: SparkSession, most: int = BROADCAST) -> None:
+    """What Spark broadcasts by itself is at most so large, for this session: the driver's memory doesn't grow with tables of names and numbers."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) if not spark.conf.get(key).startswith("-") else -1
+    if now > most:
+        spark.conf.set(key, str(most))
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """`rows` over all cores, by a key: a file of one row group is one task, however many rows it has."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder: they cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         small_batches(spark)
+        small_broadcasts(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def cut(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from loomspark.operators import summaries
-from loomspark.scratch import Scratch
+from loomspark.scratch import Scratch, spread
 
 
 def test_counts_are_taken_while_a_table_is_written(spark):
@@ -37,3 +37,19 @@ def test_dry_run_reads_chunks_once(spark):
     got = summaries.dry_run(chunks.mapInPandas(run, chunks.schema), size=4)
     assert got == {"total_functions": 6, "levels": 6, "api_calls": 2}
     assert read.value == 7
+
+
+def test_a_table_of_names_is_no_broadcast_of_its_own(spark):
+    """Some MB of names in a file are some hundred MB in the driver."""
+    Scratch(spark, "any")
+    names = spark.range(400_000).selectExpr("sha2(cast(id as string), 256) AS name")
+    names = Scratch(spark, "names").cut(names.coalesce(1).selectExpr("substring(name, 1, 12) AS name"), "names")
+    plan = names.join(names.groupBy("name").count(), "name")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
+def test_rows_of_one_file_go_to_all_cores(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows = spread(spark.read.parquet(str(tmp_path / "one")), "id")
+    assert rows.groupBy(F.spark_partition_id()).count().count() >= spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in rows.collect()) == list(range(1000))
