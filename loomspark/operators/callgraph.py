@@ -20,6 +20,11 @@ def functions(chunks: DataFrame) -> DataFrame:
     return chunks.where(is_function()).select("chunk_id", "name", "content")
 
 
+def kept(chunks: DataFrame) -> DataFrame:
+    """What a call graph reads of chunks, as a table: it is read several times, and files are parsed once for it."""
+    return Scratch(chunks.sparkSession, "functions").cut(chunks.where(is_function()).select("chunk_id", "chunk_type", "kind", "name", "content"), "functions")
+
+
 def edges(chunks: DataFrame) -> DataFrame:
     """caller, callee, n: how many other functions of the callee's name the caller's bodies mention."""
     f = functions(chunks)

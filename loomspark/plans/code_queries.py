@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import callgraph, connectors, hierarchy, summaries
+from ..scratch import spread
 from ..sources import code
 from .queries import _query, table
 
@@ -59,10 +60,10 @@ def _concat(source: str, piece: str) -> Column:
 
 
 def files(spark, sf_dir) -> DataFrame:
-    """path, text."""
-    out = None
+    """path, text. Values are dealt over all cores before files are made of them, which are parsed where they are."""
+    out, key = None, {"pages": "page_id", "documents": "doc_id"}
     for ext, (source, pieces, _) in FILES.items():
-        one = table(spark, sf_dir, source).select(F.concat(F.lit(f"{source}/"), F.expr(_value(source, "id", True)), F.lit(f".{ext}")).alias("path"), F.concat(*[_concat(source, p) for p in pieces]).alias("text"))
+        one = spread(table(spark, sf_dir, source), key[source]).select(F.concat(F.lit(f"{source}/"), F.expr(_value(source, "id", True)), F.lit(f".{ext}")).alias("path"), F.concat(*[_concat(source, p) for p in pieces]).alias("text"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -115,7 +116,7 @@ _CALLED = """ SELECT 'run' || page_id || '_' AS caller, 'g' || page_id || '_' AS
 @_query(_CALLED)
 def code_calls(spark, sf_dir):
     """Calls among parsed files: classes and impl blocks, whose contents mention names too, are no functions."""
-    return callgraph.edges(_chunks(spark, sf_dir))
+    return callgraph.edges(callgraph.kept(_chunks(spark, sf_dir)))
 
 
 _FUNCTIONS = _FOUND + ", u AS (SELECT name, content, split_part(content, chr(10), 1) AS said FROM c WHERE kind IN ('function', 'method'))"
