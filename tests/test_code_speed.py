@@ -1,5 +1,6 @@
 """A file takes time in proportion to its length, whatever it looks like: 1 MiB, the most that a scan lets in."""
 
+import random
 import time
 
 import pytest
@@ -55,3 +56,15 @@ def test_shapes_that_invite_long_searches(shape, ext):
     """None takes as long as a search per match would; where spans nest without end, so do the contents, and the text is shorter."""
     _, took = timed(f"a.{ext}", SHAPES[shape](scan.MAX_BYTES // 2))
     assert took < 20
+
+
+def test_matches_are_looked_for_where_their_words_start():
+    r = random.Random(5)
+    pairs = [(n[: -len("_START")], n) for n in vars(code) if n.endswith("_START")]
+    assert len(pairs) == 11
+    bits = [*"fn pub const let class struct interface enum trait impl unsafe async function type where static public default extern x x1 a.b $y ( ) { } [ ] < > : ; = * \n . =>".split(" "), " ", " ", "pub(crate)", "new"]
+    for _ in range(400):
+        text = "".join(r.choice(bits) + r.choice(("", " ")) for _ in range(60))
+        for pattern, start in pairs:
+            pattern, start = getattr(code, pattern), getattr(code, start)
+            assert [m.span() for m in code.starting(start, pattern, text)] == [m.span() for m in pattern.finditer(text)]
