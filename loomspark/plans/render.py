@@ -157,15 +157,19 @@ class Map:
         lines = [text[d] for d in named]
         return ["//", "// --- other directories (top by size) ---", *lines, *([f"// ... and {n - 5} more directories"] if n > 5 else [])]
 
-    def area(self, area: str, budget: int = BUDGET) -> DataFrame:
-        """One directory's subtree, or one file, in detail; the largest others by name."""
+    def entries(self, inside: Column) -> int:
+        """Directories, files and symbols of an area."""
+        return self.files.where(inside).agg(F.coalesce(F.sum(F.col("n_symbols") + 1), F.lit(0))).first()[0] + self.dirs.where(inside).count()
+
+    def area(self, area: str, budget: int = BUDGET, whole: bool = False) -> DataFrame:
+        """One directory's subtree, or one file, in detail; the largest others by name. `whole`: files and symbols are shown however many there are, beyond the budget."""
         norm, header = area.rstrip("/"), self.header(area)
         zoom = self.zoom(area)
         inside = H.in_area("dir", norm)
         hint = self.hint(zoom, area)
         if self.dirs.where(inside).take(1):
-            entries = self.files.where(inside).agg(F.coalesce(F.sum(F.col("n_symbols") + 1), F.lit(0))).first()[0] + self.dirs.where(inside).count()
-            depth = 3 if entries < 30 else 2 if entries <= 100 else max(1, H.auto_depth(self.costs(inside), max(0, budget - 100)))
+            entries = self.entries(inside)
+            depth = 3 if entries < 30 else 2 if whole or entries <= 100 else max(1, H.auto_depth(self.costs(inside), max(0, budget - 100)))
             return self._joined(header, self._levels(depth, inside), self._others(~inside), hint)
         where, _, file = norm.rpartition("/")
         where = where or "."

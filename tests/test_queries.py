@@ -26,3 +26,14 @@ def test_same_as_sql(spark, con, name):
 
 def test_every_query_has_sql():
     assert set(queries.QUERIES) == set(queries.ORACLE_SQL)
+
+
+def test_area_of_a_large_directory_is_whole(spark, tmp_path):
+    """A directory of more than 100 entries, which a budget would cut."""
+    rows = [(i, f"https://a.example.com/{'en' if i % 3 else 'de'}/{i}?q", "x" * (i % 7)) for i in range(240)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = oracle.duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = oracle.rows_of_sql(con, queries.ORACLE_SQL["map_area"])
+    assert len(want[1]) > 240
+    assert oracle.rows_of_spark(queries.QUERIES["map_area"](spark, str(tmp_path))) == want
