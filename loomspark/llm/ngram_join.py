@@ -343,7 +343,7 @@ def _compared(scratch: Scratch, threshold: int, groups: DataFrame, arrays: DataF
 
 
 def _open_tiles(scratch: Scratch, rest: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """(tile, node, component) of the tiles whose nodes are of several components."""
+    """`rest` (tile, node, more) with components, of the tiles whose nodes are of several."""
     rest = rest.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = rest.groupBy("tile").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("tile")
     return scratch.cut(rest.join(mixed, "tile"), name)
@@ -352,31 +352,32 @@ def _open_tiles(scratch: Scratch, rest: DataFrame, found: DataFrame, name: str)
 def _by_hubs(scratch: Scratch, threshold: int, rest: DataFrame, texts, k: int, found: DataFrame) -> DataFrame:
     """The components (node, component) with the links between nodes of one tile of `rest` (tile, node, component). `texts` gives (doc_id, text) of nodes."""
     cut, drop, met = scratch.cut, scratch.drop, [f"met{salt}" for salt in range(HUBS)]
-    nodes = cut(rest.select("node", "component").distinct(), "nodes")
-    hubs, done = nodes, 0
-    while done < HUBS and some(rest):
-        # a node's hub: the first, in a hashed order, of the nodes that it shares a tile with
-        first = F.struct(F.xxhash64(F.lit(done), "node").alias("h"), F.col("node").alias("hub"))
-        least = rest.groupBy("tile").agg(F.min(first).alias("l"))
-        hub = rest.join(least, "tile").groupBy("node").agg(F.min("l").alias("l"))
-        hub = cut(hub.select("node", F.xxhash64(F.lit(done), "l.hub").bitwiseOR(F.lit(1)).alias(met[done])), f"hub{done}")
-        hubs = hubs.join(hub, "node", "left")
-        # tiles whose nodes have one hub are done when its group is
-        mixed = rest.join(hub, "node").groupBy("tile").agg(F.min(met[done]).alias("p"), F.max(met[done]).alias("q")).where("p < q").select("tile")
-        rest = cut(rest.join(mixed, "tile"), f"rest{done}")
-        done += 1
+    # a node's hubs: in each of several hashed orders, the first of the nodes that it shares a tile with
+    first = lambda salt: F.struct(F.xxhash64(F.lit(salt), "node").alias("h"), F.col("node").alias("hub"))
+    least = rest.groupBy("tile").agg(*[F.min(first(salt)).alias(m) for salt, m in enumerate(met)])
+    hub = rest.join(least, "tile").groupBy("node").agg(*[F.min(m).alias(m) for m in met])
+    hub = hub.select("node", *[F.xxhash64(F.lit(salt), f"{m}.hub").bitwiseOR(F.lit(1)).alias(m) for salt, m in enumerate(met)])
+    # all hubs meet the tiles in one join, as there are many more places in tiles than nodes
+    told = cut(rest.join(hub, "node"), "told")
+    # tiles whose nodes have one hub are done when its group is; `done` is the first such hub's number, HUBS for none
+    ends = told.groupBy("tile").agg(*[(F.min(m) == F.max(m)).alias(m) for m in met])
+    done = reduce(lambda later, n: F.when(F.col(met[n]), n).otherwise(later), reversed(range(HUBS)), F.lit(HUBS))
+    told = told.join(ends.select("tile", done.alias("done")), "tile")
     none = F.lit(0).cast("long")
-    hubs = cut(hubs.select("node", "component", *[F.coalesce(m, none).alias(m) if n < done else none.alias(m) for n, m in enumerate(met)]), "hubs")
-    arrays = texts(nodes.select("node")).select(F.col("doc_id").alias("node"), "text").mapInArrow(_arrays(k), "node long, n long, s binary")
+    # a node without a tile for a hub's group is in none
+    hubs = told.groupBy("node", "component", *met).agg(F.max("done").alias("done"))
+    hubs = cut(hubs.select("node", "component", *[F.when(F.col("done") >= n, F.col(m)).otherwise(none).alias(m) for n, m in enumerate(met)]), "hubs")
+    rest = told.where(F.col("done") == HUBS).select("tile", "node", *met)
+    arrays = texts(hubs.select("node")).select(F.col("doc_id").alias("node"), "text").mapInArrow(_arrays(k), "node long, n long, s binary")
     arrays = cut(arrays.where("n > 0"), "arrays")
     # a group's nodes with an earlier hub in common are not compared again
-    groups = [hubs.where(F.col(m) != 0).select(F.col(m).alias("key"), "node", "component", *[e if i < n else none.alias(e) for i, e in enumerate(met)]) for n, m in enumerate(met[:done])]
+    groups = [hubs.where(F.col(m) != 0).select(F.col(m).alias("key"), "node", "component", *[e if i < n else none.alias(e) for i, e in enumerate(met)]) for n, m in enumerate(met)]
     found = _compared(scratch, threshold, reduce(DataFrame.unionByName, groups), arrays, found, "hub")
-    last = _open_tiles(scratch, rest.select("tile", "node"), found, "last")
+    last = _open_tiles(scratch, rest, found, "last")
     if some(last):
-        groups = last.join(hubs.drop("component"), "node").select(F.col("tile").alias("key"), "node", "component", *met)
+        groups = last.select(F.col("tile").alias("key"), "node", "component", *met)
         found = _compared(scratch, threshold, groups, arrays, found, "tile")
-    drop("arrays", "hubs", "last")
+    drop("arrays", "told", "hubs", "last")
     return found
 
 

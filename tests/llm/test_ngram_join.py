@@ -116,6 +116,23 @@ def test_thousands_of_near_copies_about_the_threshold(spark, monkeypatch):
     assert found and sum(found) < 4 * 5000
 
 
+def test_hubs_meet_the_tiles_in_one_join(spark, monkeypatch):
+    texts, label = near_copies(5, 900, 60, (2, 3, 3, 4))
+    made, cut = {}, op.Scratch.cut
+
+    def counted(self, df, name):
+        out = cut(self, df, name)
+        if {"tile", "node"} <= set(out.columns):
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(op.Scratch, "cut", counted)
+    got = {r.doc_id: r.component_id for r in op.graph(frame(spark, list(enumerate(texts))), 5, 80).collect()}
+    assert [got[i] for i in range(900)] == label.tolist()
+    # places in open tiles, of which there are many for a node, are joined by node once for all hubs, and again if no hub is done with them
+    assert made["rest"] > 2000 and sum(n for name, n in made.items() if name not in ("members", "rest")) <= 2 * made["rest"]
+
+
 def test_block_is_a_spanning_forest():
     rnd = np.random.default_rng(2)
     base = np.unique(rnd.integers(0, 2**63, 60).astype(np.uint64))
