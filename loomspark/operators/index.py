@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..scratch import Scratch
+from ..scratch import Scratch, small_batches
 from ..sources import code, docs, scan, schemas
 from . import buckets, connectors, hierarchy, names, search
 
@@ -112,6 +112,7 @@ class Index:
         now, v = self.store.manifest(), self.store.next_version()
         lacking = [b for b in now.buckets if b.rows.get("chunks") and "lists" not in b.versions]
         if lacking:
+            small_batches(self.spark)
             self.store.write_lists(names.lists(self.store.read("chunks", lacking)), lacking, v)
             self.store.commit(now)
         return len(lacking)

@@ -85,3 +85,21 @@ def test_lists_of_empty_and_null(spark):
     assert names.lists(df.limit(0)).count() == 0
     long = spark.range(1).select(F.lit(0).alias("at"), F.col("id").alias("pos"), F.lit("n").alias("name"), F.expr("repeat('abcdefghij', 100000)").alias("content"))
     assert names.lists(long).count() == 11
+
+
+def test_lists_are_made_by_blocks(spark, monkeypatch):
+    given = [(k % 3, k // 3, name, content) for k, (_, name, content) in enumerate(items(90))]
+    df = spark.createDataFrame(given, "at int, pos long, name string, content string")
+    want = set()
+    for at, pos, name, content in given:
+        low = [(x or "").lower() for x in (name, content)]
+        want |= {(at, t[i : i + 3], pos) for t in low for i in range(len(t) - 2)} | ({(at, "^" + low[0][:8], pos)} if name is not None else set())
+    got = names.lists(df)
+    assert "Generate" not in got._jdf.queryExecution().toString()  # no row for each place of a token
+    assert {(r.at, r.token, p) for r in got.collect() for p in r.places} == want
+    parts = {}
+    monkeypatch.setattr(names, "BLOCK", 100)
+    for b in names._lists(df.select("at", "pos", names.start(F.col("name")).alias("start"), F.lower(F.coalesce("name", F.lit(""))).alias("name"), F.lower(F.coalesce("content", F.lit(""))).alias("content")).orderBy("at", "pos").toArrow().to_batches()):
+        for r in b.to_pylist():
+            parts.setdefault((r["at"], r["token"]), []).append(r["places"])
+    assert {(*k, p) for k, v in parts.items() for places in v for p in places} == want and max(map(len, parts.values())) > 2
