@@ -47,7 +47,8 @@ def _threes(texts: list[str], owner: np.ndarray) -> tuple[list[str], np.ndarray,
         kinds, three = np.unique(three, return_inverse=True)
     else:
         kinds = None
-    both = np.unique(three * owners + owner[of[inside]])
+    both = np.sort(three * owners + owner[of[inside]])  # many times faster than np.unique, which hashes
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])]
     three, found = both // owners, both % owners
     bounds = np.concatenate([[0], np.flatnonzero(np.diff(three)) + 1, [len(three)]])
     three = three[bounds[:-1]] if kinds is None else kinds[three[bounds[:-1]]]
