@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
@@ -61,13 +61,11 @@ def _trimmed(scratch: Scratch, calls: DataFrame, name: str) -> DataFrame:
     return left
 
 
-def _gone_over(some: DataFrame, left: DataFrame, few: int, *more: str) -> DataFrame:
-    """`some` calls of `left`, each of a function that has at most `few` calls replaced by all that this one calls; `more` columns add up."""
+def _gone_over(some: DataFrame, left: DataFrame, few: int) -> DataFrame:
+    """`some` calls of `left`, each of a function that has at most `few` calls replaced by all that this one calls."""
     onward = left.groupBy("caller").agg(F.count("*").alias("n")).where(F.col("n") <= few).select("caller")
-    onward = left.join(onward, "caller", "left_semi").toDF("via", "next", *[f"next_{c}" for c in more])
-    both = some.withColumnRenamed("callee", "via").join(onward, "via", "left")
-    sums = [(F.col(c) + F.coalesce(f"next_{c}", F.lit(0))).alias(c) for c in more]
-    return both.select("caller", F.coalesce("next", "via").alias("callee"), *sums)
+    onward = left.join(onward, "caller", "left_semi").toDF("via", "next")
+    return some.withColumnRenamed("callee", "via").join(onward, "via", "left").select("caller", F.coalesce("next", "via").alias("callee"))
 
 
 def _least(scratch: Scratch, calls: DataFrame, seed: int, name: str) -> DataFrame:
@@ -113,50 +111,72 @@ def cyclic(scratch: Scratch, calls: DataFrame) -> DataFrame:
     return left
 
 
-def _longest(scratch: Scratch, state: DataFrame, left: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """name, level: the longest way down from each function over calls (caller, callee, d), and not less than its `level`; and the calls that a cycle leaves open.
+def _longest(scratch: Scratch, state: DataFrame, calls: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """name, level: the longest way down from each function over calls (caller, callee, d), and not less than its `level`; and the functions that a cycle leaves open.
 
     A round takes in the callees that are settled, and calls go twice as far, so chains and branches of n take about log n rounds.
-    Without a cycle, each round settles a function.
+    Without a cycle, each round settles a function. A round is one job: what is told to a function and what its calls become
+    come of one join. It writes the calls of open functions only, with their levels; what is settled is written once. Calls of one function meet
+    in a task, sorted and not held.
     """
-    state, left, step = scratch.cut(state, f"{name}0"), scratch.cut(left, f"{name}calls0"), 0
-    n, open_ = left.agg(F.count("*"), F.count_distinct("caller")).first()
+    spark, of, types = scratch.spark, Window.partitionBy("name"), {f.name: f.dataType.simpleString() for f in [*state.schema, *calls.schema]}
+    schema = f"name {types['name']}, level int, callee {types['callee']}, d int, n long, nth int, step int, open int"
+
+    def written(rows: DataFrame, step: int) -> tuple[DataFrame, int, int]:
+        """The table, its calls and its functions that are open; one that is settled has a row without a callee."""
+        rows = rows.withColumn("level", F.max("level").over(of)).withColumn("n", F.count("callee").over(of)).where("n = 0 OR callee IS NOT NULL")
+        rows = rows.withColumn("nth", F.row_number().over(of.orderBy("callee"))).withColumn("open", (F.col("n") > 0).cast("int"))
+        _, seen = scratch.observed(rows, f"{name}/step={step}", by="open", calls=F.count("callee"), open=F.count_if(F.expr("nth = 1 AND n > 0")))
+        if step:
+            scratch.drop(f"{name}/step={step - 1}/open=1")
+        held = spark.read.schema(schema).parquet(f"{scratch.root}/{name}")
+        return held, seen["calls"], seen["open"]
+
+    first = state.join(calls.withColumnRenamed("caller", "name"), "name", "left").select("name", "level", "callee", "d")
+    (held, n, open_), step = written(first, 0), 0
     most = GROWTH * n
     while n:
-        told = left.join(state.withColumnRenamed("name", "callee"), "callee").groupBy(F.col("caller").alias("name")).agg(F.max(F.col("level") + F.col("d")).alias("least"))
-        state = scratch.cut(state.join(told, "name", "left").select("name", F.greatest("level", "least").alias("level")), f"{name}{step + 1}")
         # what a call leads to that is gone over, settled or not, is taken in by the next round; calls to what is settled have been
-        onward = left.join(left.select(F.col("caller").alias("callee")).distinct(), "callee", "left_semi").select("caller", "callee", "d")
-        over = _gone_over(onward, left, FEW if n <= most else 1, "d").groupBy("caller", "callee").agg(F.max("d").alias("d"))
-        left, step, before = scratch.cut(over, f"{name}calls{step + 1}"), step + 1, open_
-        n, open_ = left.agg(F.count("*"), F.count_distinct("caller")).first()
+        onward = [c for k in range(FEW) for c in (F.max(F.when(F.col("nth") == k + 1, F.col("callee"))).alias(f"next{k}"), F.max(F.when(F.col("nth") == k + 1, F.col("d"))).alias(f"far{k}"))]
+        said = held.groupBy(F.col("name").alias("callee")).agg(F.max("level").alias("said"), F.max("n").cast("int").alias("n"), *onward)
+        over = F.slice(F.array(*[F.struct(F.col(f"next{k}").alias("callee"), (F.col("d") + F.col(f"far{k}")).alias("d")) for k in range(FEW)]), F.lit(1), F.col("n"))
+        over = F.when(F.col("n") <= (FEW if n <= most else 1), over).otherwise(F.array(F.struct("callee", "d")))
+        told = held.where("open = 1").select("name", "level", "callee", "d").join(said, "callee")
+        told = told.select("name", F.greatest("level", F.col("said") + F.col("d")).alias("level"), F.explode_outer(over).alias("call"))
+        # dealt by caller for what follows too
+        told = told.select("name", "level", "call.callee", "call.d").repartition("name").groupBy("name", "callee").agg(F.max("level").alias("level"), F.max("d").alias("d"))
+        step, before = step + 1, open_
+        held, n, open_ = written(told, step)
         if open_ == before:
             break
-    return state, left
+    ends = held.where("nth = 1")
+    return ends.select("name", "level"), ends.where("open = 1").select("name")
 
 
 def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """name, level: 0 for those that call nothing, else one more than the highest callee.
 
     On a cycle, which has no unique answer, a call to the function itself or to one that comes before it by name counts as level 0, if both
-    are in one strongly connected component; all other calls count, and have no cycle. Then levels close up.
+    are in one strongly connected component; all other calls count, and have no cycle. Then levels close up. Names are numbered in their order
+    first, and all rounds are on numbers.
     """
     spark, scratch = vertices.sparkSession, Scratch(vertices.sparkSession, "levels")
-    names = vertices.select("name").distinct()
-    calls = edges.select("caller", "callee").distinct().join(names.withColumnRenamed("name", "callee"), "callee", "left_semi")
-    calls = scratch.cut(calls.select("caller", "callee"), "calls")
+    said = scratch.numbered(vertices.select("name").distinct(), "number", "name", name="names")
+    names, number = said.select(F.col("number").alias("name")), lambda column: said.toDF(column, f"{column}_number")
+    calls = edges.select("caller", "callee").join(number("callee"), "callee").join(number("caller"), "caller")
+    calls = scratch.cut(calls.select(F.col("caller_number").alias("caller"), F.col("callee_number").alias("callee")).distinct(), "calls")
     one = lambda rows: rows.select(F.col("caller").alias("name"), F.lit(1).alias("least")).distinct()
     floor = lambda names, rows: names.join(one(rows), "name", "left").select("name", F.coalesce("least", F.lit(0)).alias("level"))
     own, others = calls.where("caller = callee"), calls.where("caller <> callee")
     done, open_ = _longest(scratch, floor(names, own), others.withColumn("d", F.lit(1)), "way")
-    open_ = scratch.cut(open_.select(F.col("caller").alias("name")).distinct(), "open")
     if open_.take(1):  # on cycles, or above
         left = others.join(open_.toDF("caller"), "caller", "left_semi")
         back = scratch.cut(cyclic(scratch, left.join(open_.toDF("callee"), "callee", "left_semi").select("caller", "callee")).where("callee < caller"), "back")
         state = done.join(open_, "name", "left_anti").unionByName(floor(open_, own.unionByName(back)))
         done, _ = _longest(scratch, state, left.select("caller", "callee").join(back, ["caller", "callee"], "left_anti").withColumn("d", F.lit(1)), "rest")
     used = [(r.level, k) for k, r in enumerate(done.select("level").distinct().orderBy("level").collect())]
-    return done.join(F.broadcast(spark.createDataFrame(used, "level int, closed int")), "level").select("name", F.col("closed").alias("level"))
+    done = done.join(F.broadcast(spark.createDataFrame(used, "level int, closed int")), "level")
+    return done.withColumnRenamed("name", "number").join(said, "number").select("name", F.col("closed").alias("level"))
 
 
 def stats(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -77,13 +77,13 @@ class Scratch:
             (df.write.partitionBy(by) if by else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def observed(self, df: DataFrame, name: str, **what: Column) -> tuple[DataFrame, dict]:
+    def observed(self, df: DataFrame, name: str, by: str | None = None, **what: Column) -> tuple[DataFrame, dict]:
         """`df` as a table, and aggregates of its rows that are taken while it is written: no second scan, no second job.
 
         They are taken in the tasks that write, of which each counts once, so that a task that is run again adds nothing.
         """
         seen = Observation()
-        table = self.cut(df.observe(seen, *[c.alias(n) for n, c in what.items()]), name)
+        table = self.cut(df.observe(seen, *[c.alias(n) for n, c in what.items()]), name, by)
         return table, seen.get
 
     def counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:

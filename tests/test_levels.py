@@ -82,3 +82,20 @@ def test_no_functions_and_no_calls(spark):
     assert callgraph.levels(v, e).collect() == []
     v, e = frames(spark, ["a"], [("a", "b")])
     assert [tuple(r) for r in callgraph.levels(v, e).collect()] == [("a", 0)]
+
+
+def test_rounds_write_what_is_open_only(spark, monkeypatch):
+    """A chain beside many functions that call nothing: these are written once, whatever the rounds."""
+    rows, plain = {}, Scratch.cut
+
+    def cut(self, df, name, by=None):
+        table = plain(self, df, name, by)
+        if name.startswith("way"):
+            rows[name] = table.count()
+        return table
+
+    monkeypatch.setattr(Scratch, "cut", cut)
+    names = [f"f{k:03}" for k in range(300)]
+    v, e = frames(spark, names, [(names[k], names[k + 1]) for k in range(16)])
+    assert {r.name: r.level for r in callgraph.levels(v, e).collect()} == {n: max(16 - k, 0) for k, n in enumerate(names)}
+    assert len(rows) > 3 and sum(rows.values()) < 2 * len(names)
