@@ -59,7 +59,7 @@ class Index:
     def __init__(self, spark: SparkSession, folder: str, bucket_bytes: int = buckets.SIZE):
         self.spark, self.folder, self.bucket_bytes = spark, Path(folder), bucket_bytes
         self.folder.mkdir(parents=True, exist_ok=True)
-        self.store = buckets.Store(spark, self.folder, _BUCKETED, schemas.VERSION)
+        self.store = buckets.Store(spark, self.folder, _BUCKETED, schemas.VERSION, bucket_bytes)
 
     # --- tables ---
 
@@ -68,7 +68,7 @@ class Index:
         if name == "chunks":
             return self.store.numbered("chunks", held, "chunk_id")
         if name in _BUCKETED:
-            return self.store.read(name, held.buckets).drop("at", "pos")
+            return self.store.read(name, held, held.buckets).drop("at", "pos")
         parts = [str(self.folder / f"v={v}/{name}") for v in held.whole.get(name, [])]
         return self.spark.read.schema(_WHOLE[name]).parquet(*parts) if parts else self.spark.createDataFrame([], _WHOLE[name])
 
@@ -91,7 +91,7 @@ class Index:
         for name, rows in tables.items():
             if name in _BUCKETED:
                 now.buckets = now.buckets or self._ranges(now, rows if name == "chunks" else None)
-                self.store.write(name, rows, now.buckets, now.buckets, v, append)
+                self.store.write(name, rows, now, now.buckets, v, append)
             else:
                 rows.write.parquet(str(self.folder / f"v={v}/{name}"))
                 now.whole[name] = [*(now.whole.get(name, []) if append else []), v]
@@ -113,7 +113,7 @@ class Index:
         lacking = [b for b in now.buckets if b.rows.get("chunks") and "lists" not in b.versions]
         if lacking:
             small_batches(self.spark)
-            self.store.write_lists(names.lists(self.store.read("chunks", lacking)), lacking, v)
+            self.store.write_lists(names.lists(self.store.read("chunks", now, lacking)), lacking, v)
             self.store.commit(now)
         return len(lacking)
 
@@ -124,7 +124,7 @@ class Index:
         found = scratch.cut(names.candidates(self.store.lists(listed), words, starts), name)
         hit = {r["at"] for r in found.select("at").distinct().collect()}  # at most as many as the manifest has
         some = self.store.numbered("chunks", held, "chunk_id", [b for b in listed if b.id in hit]).join(found, ["at", "pos"], "left_semi")
-        rest = self.store.numbered("chunks", held, "chunk_id", [b for b in held.buckets if b not in listed])
+        rest = self.store.numbered("chunks", held, "chunk_id", [b for b in held.buckets if "lists" not in b.versions])
         return some.unionByName(rest).drop("at", "pos")
 
     def named(self, query: str) -> DataFrame:
@@ -167,32 +167,40 @@ class Index:
         """Writes the buckets of `paths` anew: of those with another content all tables, of the others their files' times."""
         now, v = self.store.manifest(), self.store.next_version()
         now.buckets = now.buckets or [now.new("")]
-        old = deepcopy(now.buckets)
+        before = deepcopy(now)
+        old, old_ids = before.buckets, {b.id for b in before.buckets}
         paths = scratch.cut(paths.withColumn("at", buckets.bucket_of(old, F.col("path"))), "touched")
         same = {r["at"]: r["same"] for r in paths.groupBy("at").agg(F.min("same").alias("same")).collect()}
         touched, changed = [b for b in old if b.id in same], [b for b in old if b.id in same and not same[b.id]]
+        changed += before.sparse(("chunks", "vectors"), changed)
+        touched += [b for b in changed if b.id not in same]
+        touched += before.sparse(("files",), touched)
         gone = paths.where(~F.col("same"))
         rows = fresh.select("path", "mtime", "hash", "chunk_type", "error", "length", "same")
         times = rows.where("same").select("path", F.col("mtime").alias("new"))
-        files = without(self.store.read("files", touched).drop("at", "pos"), gone, "path").join(times, "path", "left")
+        files = without(self.store.read("files", before, touched).drop("at", "pos"), gone, "path").join(times, "path", "left")
         files = files.withColumn("mtime", F.coalesce("new", "mtime")).drop("new").unionByName(rows.where(~F.col("same")).drop("same"))
         cuts = self.store.cuts(files.select(buckets.bucket_of(old, F.col("path")).alias("at"), "path", "length"), self.bucket_bytes)
         if cuts:  # a bucket that is cut is written under new ids
-            split = [buckets.holder(old, c) for c in cuts]
-            changed += [b for b in touched if b in split and b not in changed]
-            firsts = {b.first for b in split} | set(cuts)
-            now.buckets = sorted([b for b in now.buckets if b not in split] + [now.new(f) for f in firsts], key=lambda b: b.first)
-        into = lambda some: [b for b in now.buckets if b.id in {x.id for x in some} or b.id not in {x.id for x in old}]
-        self.store.write("files", files, now.buckets, into(touched), v)
+            split, held = {b.id: b for b in (buckets.holder(old, c) for c in cuts)}, {b.id for b in changed}
+            changed += [b for b in touched if b.id in split and b.id not in held]
+            firsts = {b.first for b in split.values()} | set(cuts)
+            now.buckets = sorted([b for b in now.buckets if b.id not in split] + [now.new(f) for f in sorted(firsts)], key=lambda b: b.first)
+
+        def into(some: list[buckets.Bucket]) -> list[buckets.Bucket]:
+            ids = {b.id for b in some}
+            return [b for b in now.buckets if b.id in ids or b.id not in old_ids]
+
+        self.store.write("files", files, now, into(touched), v)
         if changed:
-            kept = lambda name: without(self.store.read(name, changed).drop("at", "pos"), gone)
-            self.store.write("chunks", kept("chunks").unionByName(self._parsed(fresh.where(~F.col("same")))), now.buckets, into(changed), v)
+            kept = lambda name: without(self.store.read(name, before, changed).drop("at", "pos"), gone)
+            self.store.write("chunks", kept("chunks").unionByName(self._parsed(fresh.where(~F.col("same")))), now, into(changed), v)
             if any(b.versions.get("vectors") for b in changed):
-                self.store.write("vectors", kept("vectors"), now.buckets, into(changed), v)
+                self.store.write("vectors", kept("vectors"), now, into(changed), v)
         self.store.commit(now)
 
     def reindex(self, root: str) -> Changes:
-        self.store.commit(buckets.Manifest(whole={}, next_id=self.store.manifest().next_id))
+        self.store.commit(buckets.Manifest(next_id=self.store.manifest().next_id, per=self.store.per))
         return self.refresh(root)
 
     # --- vectors ---
@@ -224,11 +232,11 @@ class Index:
         for r in range(rounds):
             now, v = self.store.manifest(), self.store.next_version()
             lacking = [b for b in now.buckets if b.rows.get("chunks", 0) > b.rows.get("vectors", 0)]
-            todo = self.store.read("chunks", lacking).join(self.store.read("vectors", lacking).select("file", "seq"), ["file", "seq"], "left_anti")
+            todo = self.store.read("chunks", now, lacking).join(self.store.read("vectors", now, lacking).select("file", "seq"), ["file", "seq"], "left_anti")
             todo = todo.where(F.pmod(F.xxhash64("file", "seq"), F.lit(rounds)) == r)
             todo, client = connectors.dealt(todo.select("file", "seq", text.alias("text")), embedder)
             made = todo.mapInPandas(lambda frames, client=client: run(frames, client), _BUCKETED["vectors"][0])
-            self.store.write("vectors", made, now.buckets, lacking, v, append=True)
+            self.store.write("vectors", made, now, lacking, v, append=True)
             now.model = getattr(embedder, "name", type(embedder).__name__)
             self.store.commit(now)
         return n

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import connectors, index, search
-from ..scratch import shared_folder
+from ..scratch import shared_folder, spread
 from ..sources import scan, schemas
 from ..streaming import changes
 from .queries import _WINDOWS, _query, table, window_chunks
@@ -53,7 +53,7 @@ def _write(pages: DataFrame, root: str, state: int) -> None:
                 os.utime(path, (when, when))
             yield pdf[["page_id"]]
 
-    pages.select("page_id").mapInPandas(run, "page_id long").agg(F.count("*")).collect()
+    spread(pages.select("page_id"), "page_id").mapInPandas(run, "page_id long").agg(F.count("*")).collect()
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:

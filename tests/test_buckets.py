@@ -113,3 +113,22 @@ def test_ranges(spark):
     assert frame.withColumn("got", bucket_of(buckets, frame.path)).where("got <> want").count() == 0
     assert all(holder(buckets, p).id == b for p, b in rows)
     assert Manifest(buckets).total("chunks") == 0 and Manifest().parts() == set()
+
+
+def test_small_buckets_share_folders(spark, tmp_path):
+    """Folders don't grow with buckets; one whose buckets are mostly out of date is written anew."""
+    root = tmp_path / "tree"
+    for k in range(40):
+        write(root, f"f{k:02}.md", content(k, 0), 1_000_000)
+    index = Index(spark, str(tmp_path / "index"), bucket_bytes=100)
+    index.refresh(str(root))
+    assert len(index.store.manifest().buckets) > 8
+    assert len(list((tmp_path / "index").glob("v=*/chunks/bucket=*"))) == 1
+    for k in range(32):
+        write(root, f"f{k:02}.md", content(k, 1), 2_000_000)
+    index.refresh(str(root))
+    now = index.store.manifest()
+    assert len({v for b in now.buckets for v in b.versions["chunks"]}) == 1 and len({p for p in now.places() if "/chunks/" in p}) == 1
+    whole = Index(spark, str(tmp_path / "whole"))
+    whole.refresh(str(root))
+    assert dump(index) == dump(whole)
