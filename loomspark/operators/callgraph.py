@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from .containment import contained
+from .containment import mentioned
 
 #: Functions of at most so many open calls are gone over, as long as there are at most GROWTH times the calls that there were.
 FEW, GROWTH = 4, 3
 
 
+#: Kinds of chunks that are functions.
+KINDS = ("function", "method")
+
+
 def is_function() -> Column:
-    return F.col("kind").isin("function", "method") & (F.col("chunk_type") == "code")
+    return F.col("kind").isin(*KINDS) & (F.col("chunk_type") == "code")
 
 
 def functions(chunks: DataFrame) -> DataFrame:
@@ -28,7 +32,7 @@ def kept(chunks: DataFrame) -> DataFrame:
 def edges(chunks: DataFrame) -> DataFrame:
     """caller, callee, n: how many other functions of the callee's name the caller's bodies mention."""
     f = functions(chunks)
-    hits = contained(f.select("chunk_id", F.col("name").alias("caller"), "content"), f, "content", "name").select("caller", F.col("name").alias("callee"))
+    hits = mentioned(f.select(F.col("name").alias("caller"), "content"), f, "content", "name").select("caller", F.col("name").alias("callee"))
     names = f.groupBy(F.col("name").alias("callee")).agg(F.count("*").alias("same"))
     # the function itself is no other function of its name
     hits = hits.join(names, "callee").withColumn("n", F.col("same") - (F.col("caller") == F.col("callee")).cast("int"))

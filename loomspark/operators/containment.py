@@ -5,12 +5,19 @@ by the text itself. Grams are hashes of windows of 1 to 6 or 12 characters, of t
 hashes adds candidates and loses none. Texts are read three times, however many needles there are: to count
 grams, to join on them, and to test candidates. What is broadcast is a bitmap of fixed size.
 
+`mentioned` is for names: those of word characters only are looked for in the distinct words of the texts, of which there are far fewer than texts have
+characters. What texts say of other words doesn't leave them: the commonest words that hold no name are known to all tasks, and a bitmap of those that hold one.
+
 Defined results: null and empty needles and null texts are in no row of the result; repeated needles count once; repeated rows stay repeated.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,6 +32,15 @@ SLOTS = 1 << 24
 BLOCK = 1 << 18
 #: Bytes of candidates that are broadcast to the texts; more of them meet the texts in a shuffle.
 HELD = 32 << 20
+#: Common words without a needle that are broadcast; rarer ones are told by a bitmap, and those that pass it wrongly meet no needle.
+COMMON = 1 << 16
+#: Bits of the bitmap of words at most, 16 MiB; distinct words that a task holds, about; and the texts of which one is counted to tell common words.
+BITS, WORDS, COUNTED = 1 << 27, 1 << 18, 8
+#: Needles shorter than this are in so many words of a text that the text itself is asked.
+SHORTEST = 3
+#: Characters of words, and bytes of UTF-8 with blanks for all others.
+WORD = "0-9A-Za-z_$"
+_WORDS = bytes(b if re.match(f"[{WORD}]", chr(b)) else 32 for b in range(256))
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -187,3 +203,77 @@ def contained(rows: DataFrame, needles: DataFrame, text: str, needle: str, slots
     at = F.xxhash64(text) == F.col("_of")
     out = rows.join(found, at & F.contains(F.col(text), F.col("_needle")))
     return out.select(*rows.columns, F.col("_needle").alias(needle))
+
+
+def _words(text: str, shortest: int, most: int):
+    """Frames of distinct words, of as many texts as have about `most` of them, and how often one text in some has each: that says which are common, and nothing else."""
+
+    def run(frames):
+        import pandas as pd
+
+        def told():
+            kept = [(w.decode(), n) for w, n in held.items() if len(w) >= shortest]
+            held.clear()
+            return pd.DataFrame(kept, columns=["word", "n"])
+
+        held: Counter[bytes] = Counter()
+        for pdf in frames:
+            for k, t in enumerate(pdf[text]):
+                words = (t or b"").translate(_WORDS).split()
+                dict.update(held, dict.fromkeys(filterfalse(held.__contains__, words), 0))
+                if k % COUNTED == 0:
+                    held.update(set(words))
+            if len(held) >= most:
+                yield told()
+        yield told()
+
+    return run
+
+
+def _in_words(scratch: Scratch, rows: DataFrame, names: DataFrame, text: str, needle: str, shortest: int, slots: int, block: int, held: int, common: int) -> DataFrame:
+    """Needles of word characters: a text holds one if one of its words does. Texts are read twice: for the words that there are, and for those that hold a needle."""
+    said = F.col(text).cast("binary").alias(text)
+    words = rows.select(said).mapInPandas(_words(text, shortest, WORDS), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = scratch.cut(words, "words")
+    hits, n = scratch.counted(contained(words.select("word"), names, "word", "needle", slots, block, held).withColumnRenamed("needle", needle), "hits")
+    telling = hits.select("word").distinct()
+    no = words.join(telling, "word", "left_anti").orderBy(F.desc("n"), "word").limit(common)
+    slots = min(BITS, max(slots, 1 << (16 * n).bit_length()))
+    bits = _bits(telling.select(F.lit(0).alias("width"), F.crc32("word").alias("gram")), slots)
+    known = rows.sparkSession.sparkContext.broadcast((frozenset(r[0].encode() for r in no.collect()), bits))
+    rest = [c for c in rows.columns if c != text]
+    rows = rows.select(F.monotonically_increasing_id().alias("_row"), *rest, said)
+
+    def run(frames):
+        import pandas as pd
+
+        no, bits = known.value
+        on, mask = bits.packed.tobytes(), bits.slots - 1
+        for pdf in frames:
+            owner, found = [], []
+            for k, t in enumerate(pdf[text]):
+                for w in set(filterfalse(no.__contains__, (t or b"").translate(_WORDS).split())):
+                    h = zlib.crc32(w) & mask
+                    if on[h >> 3] >> (h & 7) & 1:
+                        owner.append(k)
+                        found.append(w.decode())
+            yield pdf.drop(columns=text).iloc[owner].assign(_word=pd.Series(found, dtype=object).to_numpy())
+
+    schema = rows.drop(text).withColumn("_word", F.lit("")).schema
+    return rows.mapInPandas(run, schema).join(hits.withColumnRenamed("word", "_word"), "_word").select("_row", *rest, needle).distinct().drop("_row")
+
+
+def mentioned(rows: DataFrame, needles: DataFrame, text: str, needle: str, slots: int = SLOTS, block: int = BLOCK, held: int = HELD, common: int = COMMON) -> DataFrame:
+    """What `contained` gives but for `text`, which is not shuffled for needles of word characters only."""
+    scratch, rows = Scratch(rows.sparkSession, "mentions"), rows.drop(needle)
+    names = needles.where(F.col(needle) != "").select(F.col(needle).alias("needle")).distinct()
+    worded = F.col("needle").rlike(rf"\A[{WORD}]+\z") & (F.length("needle") >= SHORTEST)
+    names, seen = scratch.observed(names.withColumn("worded", worded), "names", by="worded", shortest=F.min(F.when(F.col("worded"), F.length("needle"))), others=F.count_if(~F.col("worded")))
+    out = None
+    if seen["shortest"]:
+        out = _in_words(scratch, rows, names.where("worded").select("needle"), text, needle, seen["shortest"], slots, block, held, common)
+    if seen["others"] or out is None:
+        others = names.where("NOT worded").select(F.col("needle").alias(needle))
+        others = contained(rows, others, text, needle, slots, block, held).drop(text)
+        out = others if out is None else out.unionByName(others)
+    return out

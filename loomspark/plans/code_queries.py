@@ -60,16 +60,20 @@ def _concat(source: str, piece: str) -> Column:
 
 
 def files(spark, sf_dir) -> DataFrame:
-    """path, text. Values are dealt over all cores before files are made of them, which are parsed where they are."""
-    out, key = None, {"pages": "page_id", "documents": "doc_id"}
-    for ext, (source, pieces, _) in FILES.items():
-        one = spread(table(spark, sf_dir, source), key[source]).select(F.concat(F.lit(f"{source}/"), F.expr(_value(source, "id", True)), F.lit(f".{ext}")).alias("path"), F.concat(*[_concat(source, p) for p in pieces]).alias("text"))
+    """path, text. Values are dealt over all cores once before files are made of them, which are parsed where they are."""
+    out = None
+    for source, key in {"pages": "page_id", "documents": "doc_id"}.items():
+        made = [
+            F.struct(F.concat(F.lit(f"{source}/"), F.expr(_value(source, "id", True)), F.lit(f".{ext}")).alias("path"), F.concat(*[_concat(source, p) for p in pieces]).alias("text"))
+            for ext, (of, pieces, _) in FILES.items() if of == source
+        ]
+        one = spread(table(spark, sf_dir, source), key).select(F.explode(F.array(*made)).alias("file")).select("file.path", "file.text")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def _chunks(spark, sf_dir) -> DataFrame:
-    return code.definitions(files(spark, sf_dir)).withColumn("chunk_id", F.xxhash64("file", "seq"))
+def _chunks(spark, sf_dir, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    return code.definitions(files(spark, sf_dir), kinds).withColumn("chunk_id", F.xxhash64("file", "seq"))
 
 
 def _sql(source: str, text: str | None) -> str:
@@ -116,14 +120,14 @@ _CALLED = """ SELECT 'run' || page_id || '_' AS caller, 'g' || page_id || '_' AS
 @_query(_CALLED)
 def code_calls(spark, sf_dir):
     """Calls among parsed files: classes and impl blocks, whose contents mention names too, are no functions."""
-    return callgraph.edges(callgraph.kept(_chunks(spark, sf_dir)))
+    return callgraph.edges(callgraph.kept(_chunks(spark, sf_dir, callgraph.KINDS)))
 
 
 _FUNCTIONS = _FOUND + ", u AS (SELECT name, content, split_part(content, chr(10), 1) AS said FROM c WHERE kind IN ('function', 'method'))"
 
 
 def _summarized(spark, sf_dir):
-    return summaries.generate_functions(_chunks(spark, sf_dir), spark.createDataFrame([], summaries.SCHEMA), connectors.FirstSentence())
+    return summaries.generate_functions(_chunks(spark, sf_dir, callgraph.KINDS), spark.createDataFrame([], summaries.SCHEMA), connectors.FirstSentence())
 
 
 @_query(_FUNCTIONS + """ SELECT u.name AS key, sha256(u.content) AS body_hash, sha256(coalesce(k.said, '')) AS context_hash FROM u LEFT JOIN u k ON starts_with(u.name, 'run') AND k.name = 'g' || substring(u.name, 4)""")
@@ -140,5 +144,5 @@ def code_summary_stats(spark, sf_dir):
 
 @_query(_FUNCTIONS + " SELECT count(*) AS total_functions, CASE WHEN (SELECT count(*) FROM pages) > 0 THEN 2 ELSE least(count(*), 1) END::INTEGER AS levels, ceil(count(*) / 50)::BIGINT AS api_calls FROM u")
 def code_dry_run(spark, sf_dir):
-    got = summaries.dry_run(_chunks(spark, sf_dir))
+    got = summaries.dry_run(_chunks(spark, sf_dir, callgraph.KINDS))
     return spark.createDataFrame([(got["total_functions"], got["levels"], got["api_calls"])], "total_functions long, levels int, api_calls long")
