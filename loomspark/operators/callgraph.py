@@ -161,14 +161,18 @@ def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """name, level: 0 for those that call nothing, else one more than the highest callee.
 
     On a cycle, which has no unique answer, a call to the function itself or to one that comes before it by name counts as level 0, if both
-    are in one strongly connected component; all other calls count, and have no cycle. Then levels close up. Names are numbered in their order
-    first, and all rounds are on numbers.
+    are in one strongly connected component; all other calls count, and have no cycle. Then levels close up. Names that call or are called
+    are numbered in their order first, and all rounds are on numbers; names alone are of level 0.
     """
     spark, scratch = vertices.sparkSession, Scratch(vertices.sparkSession, "levels")
-    said = scratch.numbered(vertices.select("name").distinct(), "number", "name", name="names")
+    vertices = vertices.select("name").distinct()
+    edges = scratch.cut(edges.select("caller", "callee").distinct(), "edges")
+    ends = edges.select(F.explode(F.array("caller", "callee")).alias("name")).distinct().join(vertices, "name", "left_semi")
+    said = scratch.numbered(ends, "number", "name", name="names")
     names, number = said.select(F.col("number").alias("name")), lambda column: said.toDF(column, f"{column}_number")
-    calls = edges.select("caller", "callee").join(number("callee"), "callee").join(number("caller"), "caller")
-    calls = scratch.cut(calls.select(F.col("caller_number").alias("caller"), F.col("callee_number").alias("callee")).distinct(), "calls")
+    alone, n_alone = scratch.counted(vertices.join(said, "name", "left_anti").select("name", F.lit(0).alias("level")), "alone")
+    calls = edges.join(number("callee"), "callee").join(number("caller"), "caller")
+    calls = scratch.cut(calls.select(F.col("caller_number").alias("caller"), F.col("callee_number").alias("callee")), "calls")
     one = lambda rows: rows.select(F.col("caller").alias("name"), F.lit(1).alias("least")).distinct()
     floor = lambda names, rows: names.join(one(rows), "name", "left").select("name", F.coalesce("least", F.lit(0)).alias("level"))
     own, others = calls.where("caller = callee"), calls.where("caller <> callee")
@@ -178,9 +182,9 @@ def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         back = scratch.cut(cyclic(scratch, left.join(open_.toDF("callee"), "callee", "left_semi").select("caller", "callee")).where("callee < caller"), "back")
         state = done.join(open_, "name", "left_anti").unionByName(floor(open_, own.unionByName(back)))
         done, _ = _longest(scratch, state, left.select("caller", "callee").join(back, ["caller", "callee"], "left_anti").withColumn("d", F.lit(1)), "rest")
-    used = [(r.level, k) for k, r in enumerate(done.select("level").distinct().orderBy("level").collect())]
-    done = done.join(F.broadcast(spark.createDataFrame(used, "level int, closed int")), "level")
-    return done.withColumnRenamed("name", "number").join(said, "number").select("name", F.col("closed").alias("level"))
+    used = sorted({r.level for r in done.select("level").distinct().collect()} | ({0} if n_alone else set()))
+    done = done.join(F.broadcast(spark.createDataFrame([(level, k) for k, level in enumerate(used)], "level int, closed int")), "level")
+    return done.withColumnRenamed("name", "number").join(said, "number").select("name", F.col("closed").alias("level")).unionByName(alone)
 
 
 def stats(vertices: DataFrame, edges: DataFrame) -> DataFrame:
