@@ -87,3 +87,17 @@ def test_bodies_are_written_once_beside_the_functions(spark, monkeypatch):
     assert {r.key: r.summary for r in cache.collect()} == {"leaf_": "fn leaf_() { last }", "mid_": "fn mid_() { leaf_() }", "top_": "fn top_() { mid_() leaf_() }", "alone_": "fn alone_() {}"}
     assert [name for name, columns in written if "body" in columns] == ["bodies"]
     assert [name for name, columns in written if "summary" in columns] == [f"told/level={k}/new=1" for k in range(4)]  # the second leaf_ is another function of that name
+
+
+def test_a_cache_is_read_and_kept(spark):
+    say = connectors.FirstSentence()
+    cache, _ = summaries.generate_functions(chunks(spark, ROWS), spark.createDataFrame([], summaries.SCHEMA), say)
+    cache = cache.unionByName(spark.createDataFrame([("gone_", "b", "c", "old")], summaries.SCHEMA))
+    again, stats = summaries.generate_functions(chunks(spark, ROWS), cache, say)
+    assert stats == {"total_functions": 4, "levels": 4, "cached": 4, "generated": 0} and sorted(again.collect()) == sorted(cache.collect())
+    changed = [r if r[1] != "mid_" else (2, "mid_", "fn mid_() { new leaf_() }") for r in ROWS]
+    after, stats = summaries.generate_functions(chunks(spark, changed), cache, say)
+    assert stats["cached"] == 2 and stats["generated"] == 2  # itself and what calls it
+    assert {r.key: r.summary for r in after.collect()} == {r.key: r.summary for r in cache.collect()} | {"mid_": "fn mid_() { new leaf_() }"}
+    same, stats = summaries.generate_functions(chunks(spark, []), cache, say)
+    assert stats == {"total_functions": 0, "levels": 0, "cached": 0, "generated": 0} and sorted(same.collect()) == sorted(cache.collect())
